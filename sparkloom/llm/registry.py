@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import chat_format, decontaminate, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op2_shuffle_shards": shuffle_shards.op2_shuffle_shards,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_packing": packing.op4_packing,
+    "op5_pii": pii.op5_pii,
+    "op7_ngram_lm": ngram_lm.op7_ngram_lm,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE_SQL,
+}
