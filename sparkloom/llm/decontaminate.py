@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# An inner explode makes the optimizer test the array's size first, and it pushes that test down through the projections, where
+# arrays would be made anew for each element of a lambda; explode_outer keeps each array computed once.
 from .common import ALNUM_WORD_ANY_CASE, ascii_lower, checkpoint, or_empty
 
 WINDOW = 13
@@ -63,10 +65,11 @@ def _windows(words: Column, length: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """One row per distinct window: ``win``, ``len``, ``items``."""
-    words = benchmark.select(F.col(item).alias("__item"), alnum_words(or_empty(text)).alias("__w")).where(F.size("__w") > 0)
+    words = benchmark.select(F.col(item).alias("__item"), alnum_words(or_empty(text)).alias("__w"))
     length = F.least(F.size("__w"), F.lit(WINDOW))
-    wins = F.transform(F.sequence(F.lit(0), F.size("__w") - length), lambda p: F.array_join(F.slice("__w", p + 1, length), " "))
-    rows = words.select("__item", length.alias("len"), F.explode(F.array_distinct(wins)).alias("win"))
+    places = F.when(F.size("__w") > 0, F.sequence(F.lit(0), F.size("__w") - length))
+    wins = F.transform(places, lambda p: F.array_join(F.slice("__w", p + 1, length), " "))
+    rows = words.select("__item", length.alias("len"), F.explode_outer(F.array_distinct(wins)).alias("win")).where("win IS NOT NULL")
     return rows.groupBy("win", "len").agg(F.collect_set("__item").alias("items"))
 
 
@@ -82,8 +85,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
 
     worded = docs.withColumn("__w", alnum_words(F.col("__t")))
     prints = _fingerprints(bench.select(F.split("win", " ").alias("__w"), "len"), "__w", lengths, "__f")
-    prints = prints.select(F.explode("__f").alias("fp")).distinct()
-    marks = _fingerprints(worded.select("doc_id", "text_key", "__w"), "__w", lengths, "__f").select("doc_id", "text_key", F.explode("__f").alias("fp"))
+    prints = prints.select(F.explode_outer("__f").alias("fp")).where("fp IS NOT NULL").distinct()
+    marks = _fingerprints(worded.select("doc_id", "text_key", "__w"), "__w", lengths, "__f").select("doc_id", "text_key", F.explode_outer("__f").alias("fp"))
     suspects = checkpoint(marks.join(hint(prints), "fp", "left_semi").select("doc_id", "text_key").distinct())
     few = suspects.count() <= BROADCAST_KEYS
 
@@ -91,7 +94,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
     near = F.broadcast(suspects) if few else suspects
     held = docs.join(near, same(docs, near), "left_semi").withColumn("__w", alnum_words(F.col("__t")))
     places = F.concat(*[_windows(F.col("__w"), length) for length in lengths])
-    rows = held.select("doc_id", "text_key", F.explode(places).alias("s")).select("doc_id", "text_key", "s.p", "s.len", "s.win")
+    rows = held.select("doc_id", "text_key", F.explode_outer(places).alias("s")).select("doc_id", "text_key", "s.p", "s.len", "s.win")
     hits = rows.join(hint(bench.select("win", "items")), "win")
     by_doc = hits.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_set(F.struct("p", "len"))).alias("spans"),
