@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards
+from . import chat_format, chunk_dedup, decontaminate, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
+    "op6_chunk_dedup": chunk_dedup.op6_chunk_dedup,
     "op7_ngram_lm": ngram_lm.op7_ngram_lm,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
