@@ -102,9 +102,11 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """The bytes of the values, all first bytes, then all second ones: sorted values compress well like this."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def from_planes(blob: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
+    if not blob:
+        return np.zeros(0, dtype)
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
