@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE_SQL,
+    "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_ngram_join": ngram_join.ORACLE_SQL,
 }

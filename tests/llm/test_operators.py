@@ -427,14 +427,16 @@ def test_names():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES} == set(range(1, 11))
 
 
-def test_chat_sql(spark, folder):
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_sql(spark, folder, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
-    want = sorted(map(tuple, con.execute(chat_format.ORACLE_SQL).fetchall()))
-    got = sorted(map(tuple, registry.QUERIES["op1_chat_format"](spark, folder).collect()))
-    assert got == want
+    for table in ("conversations", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    want = con.execute(registry.ORACLE_SQL[name]).df()
+    got = registry.QUERIES[name](spark, folder).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.itertuples(index=False))) == sorted(map(tuple, want.itertuples(index=False)))
 
 
 def test_digest_columns(spark, folder):
