@@ -62,9 +62,10 @@ def _navigation(line: Column) -> Column:
 
 
 def _has_phrase(text: Column, found: Column) -> Column:
-    """``found``, or a stock phrase stands in ``text`` as listed, with its first letter large, or in capitals."""
+    """``found``, or a stock phrase stands in ``text`` as listed, with large first letters, or in capitals."""
     for phrase in BOILERPLATE:
-        found = found | text.contains(phrase) | text.contains(phrase[0].upper() + phrase[1:]) | text.contains(phrase.upper())
+        for form in dict.fromkeys((phrase, phrase.capitalize(), phrase.title(), phrase.upper())):
+            found = found | text.contains(form)
     return found
 
 
@@ -107,8 +108,10 @@ def apply_quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
 
 def filter_quality(df: DataFrame, text: str = "text") -> DataFrame:
     """The kept documents with their cleaned text, in the columns of ``df``."""
-    judged = apply_quality_rules(df.select(*df.columns, F.col(text).alias("__in")), "__in")
-    kept = judged.where("kept").withColumn(text, F.col("cleaned_text"))
+    judged = apply_quality_rules(df.select(F.struct(*df.columns).alias("__row"), F.col(text).alias("__in")), "__in")
+    # rejected rows get a null from explode_outer: a filter on what stands before it would be pushed down and make arrays anew inside lambdas
+    clean = F.explode_outer(F.when(F.col("kept"), F.array("cleaned_text"))).alias("__clean")
+    kept = judged.select("__row", clean).where("__clean IS NOT NULL").select("__row.*", "__clean").withColumn(text, F.col("__clean"))
     if "n_chars" in df.columns and text != "n_chars":
         kept = kept.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
     return kept.select(*df.columns)
