@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .common import checkpoint, or_empty, partitions_for
+from .common import checkpoint, or_empty, partitions_for, release_shuffles
 from .hashing import SPACE_WORD_BYTES, from_planes, mix, planes, text_chunks, word_hashes
 
 PAIR_WEIGHT = 0.7
@@ -37,6 +37,7 @@ PACK_BYTES = 6_000_000
 BUCKET_BYTES = 6_000_000
 BITS_PER_ENTRY = 12
 PROBES = 6
+PAIR_BITS = 10
 
 END = np.uint64(0x51ED270B9F3C5A17)
 _ROWS = "bucket int, pack long, words binary, word_counts binary, pairs binary, pair_counts binary, n long, v long"
@@ -57,7 +58,7 @@ class LogBloom:
                 self.bits[places] = True
 
     def _places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        first = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+        first = mix(keys ^ np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
         step = mix(first ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
         for k in range(PROBES):
             yield (first + np.uint64(k) * step) % np.uint64(self.size)
@@ -86,10 +87,19 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts), np.concatenate(sizes)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _pairs(tokens: np.ndarray) -> np.ndarray:
+def pair_mask(text_bytes: int) -> int:
+    """Which bits of a pair's hash are kept: PAIR_BITS more than it takes to number the corpus's bytes.
+
+    The filter errs on more pairs than these bits confuse, at every size, and the zeros left over need no room in a shuffle.
+    """
+    bits = min(64, max(1, text_bytes).bit_length() + PAIR_BITS)
+    return ((1 << bits) - 1) << (64 - bits)
+
+
+def _pairs(tokens: np.ndarray, mask: int) -> np.ndarray:
     before = np.empty_like(tokens)
     before[:1], before[1:] = END, tokens[:-1]
-    return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
+    return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + tokens) & np.uint64(mask)
 
 
 def held_out(doc_ids: list, rule: tuple[int, int] = HELD_OUT) -> np.ndarray:
@@ -121,13 +131,13 @@ def _by_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
         yield last, pa.Table.from_batches(held)
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, docs in _by_pack(batches):
             tokens, sizes = _tokens(docs.column("text"))
             train = np.repeat(~held_out(docs.column("doc_id").to_pylist()), sizes)
             asked = []
-            for keys in (tokens, _pairs(tokens)):
+            for keys in (tokens, _pairs(tokens, mask)):
                 unique, inverse = np.unique(keys, return_inverse=True)
                 asked.append((unique, np.bincount(inverse[train], minlength=len(unique)).astype(np.uint32), _cuts(unique, buckets)))
             (words, word_counts, a), (pairs, pair_counts, b) = asked
@@ -173,13 +183,13 @@ def _wide(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
 
 
-def _score(docs: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, n: int, v: int, mask: int) -> pa.Table:
     answers = answers.sort_by("bucket")
     counts = np.concatenate([_wide(x) for x in answers.column("word_counts").to_pylist()] or [np.zeros(0, np.int64)])
     levels = np.concatenate([np.frombuffer(x, np.uint8) for x in answers.column("pair_counts").to_pylist()] or [np.zeros(0, np.uint8)])
     tokens, sizes = _tokens(docs.column("text"))
     c = counts[np.unique(tokens, return_inverse=True)[1]]
-    level = levels[np.unique(_pairs(tokens), return_inverse=True)[1]].astype(np.float64)
+    level = levels[np.unique(_pairs(tokens, mask), return_inverse=True)[1]].astype(np.float64)
     end = c[-1:]  # the last token is an END
     before = np.concatenate([end, c[:-1]]).astype(np.float64)
     alone = (c + 1) / (n + v + 1)
@@ -207,14 +217,17 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     docs = docs.select(F.col(doc).alias("doc_id"), or_empty(text).alias("text"))
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0))).first()[0]
     packs, buckets = max(16, -(-text_bytes // PACK_BYTES)), max(16, -(-text_bytes // BUCKET_BYTES))
+    mask = pair_mask(text_bytes)
     dealt = docs.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs)).cast("long")).repartition(packs, "pack")
-    asked = map_arrow(dealt.sortWithinPartitions("pack").select("doc_id", "text", "pack"), _ask(buckets), _ROWS)
+    asked = map_arrow(dealt.sortWithinPartitions("pack").select("doc_id", "text", "pack"), _ask(buckets, mask), _ROWS)
     answers = map_arrow(asked.repartition(max(buckets, partitions_for(docs)), "bucket"), _answer, _ROWS)
     answers = checkpoint(answers.select("pack", "bucket", "word_counts", "pair_counts", "n", "v"))
+    del asked
+    release_shuffles(docs.sparkSession)  # the packs' questions are answered
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     answers = answers.select("pack", "bucket", "word_counts", "pair_counts").repartition(packs, "pack")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(lambda left, right: _score(left, right, n, v), schema)
+    return dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(lambda left, right: _score(left, right, n, v, mask), schema)
 
 
 def op7_ngram_lm(spark, sf_dir: str) -> DataFrame:
