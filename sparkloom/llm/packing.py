@@ -28,7 +28,7 @@ END_ID = 1
 #: Rows of documents for each group of pieces.
 GROUP_DOCS = 4000
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 VOCABULARY = "word_bpe_49k.json"
 
 _state: dict = {}
@@ -41,9 +41,11 @@ def default_tokenizer_path() -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts from ids of their words. The vocabulary's pre-tokeniser drops white space and merges nothing across it,
+    """Ids of whole texts from ids of their words.
 
-    so a text's ids are those of its parts between blanks, one after another.
+    The vocabulary lowers letters; its pre-tokeniser drops white space and merges nothing across it, so a text's ids are those of its parts
+    between blanks, one after another. A part of letters alone is one unit whose last token ends a word; many such parts are
+    encoded in one call and cut apart at those tokens. Likewise a full stop or comma after letters is a unit of its own.
     """
 
     def __init__(self, path: str):
@@ -51,20 +53,56 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, "<u4") for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        known, whole, stems, marked = self.known, [], set(), []
+        for word in words:
+            stem = word[:-1] if word[-1:] in (".", ",") else word
+            if stem.isalpha() and stem.lower().isalpha():
+                low = stem.lower() if stem.isascii() else stem
+                stems.add(low)
+                if low != word:
+                    marked.append((word, low))
+            else:
+                whole.append(word)
+        fresh = [stem for stem in stems if stem not in known]
+        groups = [fresh[k : k + 256] for k in range(0, len(fresh), 256)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):
+                whole.extend(group)
+                continue
+            blob, at = ids.tobytes(), 0
+            for stem, cut in zip(group, (4 * cuts).tolist(), strict=True):
+                known[stem] = blob[at:cut]
+                at = cut
+        for k in range(0, len(whole), 10_000):
+            for word, ids in zip(whole[k : k + 10_000], self._encode(whole[k : k + 10_000]), strict=True):
+                known[word] = ids.tobytes()
+        marks = dict(zip(".,", (ids.tobytes() for ids in self._encode([".", ","])), strict=True))
+        for word, low in marked:
+            known[word] = known[low] + (b"" if len(word) == len(low) else marks[word[-1]])
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        known = self.known
-        new = [word for word in set().union(*parts) if word not in known]
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in parts]
+        get = self.known.get
+        parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        found = [list(map(get, words)) for words in parts]
+        open_ = [k for k, got in enumerate(found) if None in got]
+        if open_:
+            self._learn({word for k in open_ for word, got in zip(parts[k], found[k], strict=True) if got is None})
+            for k in open_:
+                found[k] = map(get, parts[k])
+        return [b"".join(got) for got in found]
 
 
 def _tokenizer(path: str) -> WordTokenizer:
