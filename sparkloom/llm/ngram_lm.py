@@ -32,8 +32,8 @@ from .hashing import SPACE_WORD_BYTES, from_planes, mix, planes, text_chunks, wo
 
 PAIR_WEIGHT = 0.7
 HELD_OUT = (7, 2)
-#: Bytes of text of a pack, and of the texts whose words one bucket counts.
-PACK_BYTES = 6_000_000
+#: Bytes of text of a pack (larger ones ask for fewer words twice), and of the texts whose words one bucket counts.
+PACK_BYTES = 16_000_000
 BUCKET_BYTES = 6_000_000
 BITS_PER_ENTRY = 12
 PROBES = 6
