@@ -4,11 +4,12 @@ A gear hash rolls over the text's bytes: each byte shifts the hash left and adds
 depend on the last WINDOW bytes alone. A chunk ends where the masked bits are zero. Boundaries follow from the
 text around them only, so an insertion moves chunks but leaves their digests; there is no least length, which would
 make a boundary depend on the one before, and a longest length only cuts text that has no boundary at all.
-Chunks are dealt by digest to buckets, where each repeated digest learns its first place (smallest doc_id, then start).
-Runs of neighbouring chunks whose first places stand in one document at one distance are one repeated passage;
-short passages, which chance alone repeats, are left out.
+From each chunk on, the fewest chunks with LEAST_WORDS words make a window; what is shorter repeats by chance alone. Windows are dealt
+by digest to buckets, where each repeated digest learns its first place (smallest doc_id, then start). A repeated window is a repeated
+passage by itself, whatever its neighbours' first places are; overlapping windows whose first places stand in one document at
+one distance are joined. Passages of one document with different first places may overlap.
 
-Defined cases: null and empty texts have no chunks; repeated rows and rows of one doc_id are one document, their equal chunks at equal
+Defined cases: null and empty texts have no chunks; repeated rows and rows of one doc_id are one document, their equal windows at equal
 places counting once; a null doc_id comes before all others; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -37,7 +38,8 @@ MAPPER_CHUNKS = 1_000_000
 _GEAR = np.random.default_rng(4242).integers(0, 1 << 32, 256, dtype=np.uint32)
 _MASK = np.uint32(((1 << MASK_BITS) - 1) << (WINDOW - MASK_BITS))
 _NULL_ID = -(1 << 63)
-_DEALT = "bucket int, keys binary, docs binary, starts binary, ends binary, words binary"
+_DEALT = "bucket int, keys binary, docs binary, starts binary, ends binary, word_at binary, words binary"
+_HIT = "doc_id long, start long, end long, word_at long, n_words long, first_doc long, first_start long"
 _FOUND = "doc_id long, start long, end long, n_words long, first_doc long, first_start long"
 
 
@@ -67,111 +69,122 @@ def gear_boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.union1d(ends, np.array(extra, ends.dtype)) if extra else ends
 
 
-def chunk_texts(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per run of texts: row, start and end in code points, words and digest of each chunk."""
+def window_texts(column: pa.Array, least_words: int, least_chunks: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per run of texts: row, start and end in code points, first word, words and digest of each window.
+
+    From each chunk on a window takes the fewest chunks that hold enough; one more per text ends with it.
+    """
     for first, data, offsets in text_chunks(column):
         if not len(data):
             continue
         ends = gear_boundaries(data, offsets)
         starts = np.concatenate(([0], ends[:-1]))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * _power_table(_ODD, len(data)), dtype=np.uint64, out=sums[1:])
-        digest = mix((sums[ends] - sums[starts]) * _power_table(_ODD_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
         points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         inside = SPACE_WORD_BYTES[data]
-        inside[:-1] &= ~SPACE_WORD_BYTES[data][1:]
-        words = np.concatenate(([0], np.cumsum(inside)))
+        stops = inside.copy()
+        stops[:-1] &= ~inside[1:]
+        closing = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+        stops[closing] = inside[closing]
+        words = np.concatenate(([0], np.cumsum(stops)))
         row = np.searchsorted(offsets, starts, "right") - 1
-        base = points[offsets[row]]
-        yield first + row, points[starts] - base, points[ends] - base, words[ends] - words[starts], digest
+        number = np.arange(len(ends))
+        final = np.searchsorted(ends, offsets[row + 1])
+        reach = np.maximum(np.searchsorted(words[ends], words[starts] + least_words), number + least_chunks - 1)
+        whole = np.flatnonzero(reach <= final)
+        closes = whole[np.append(row[whole][1:] != row[whole][:-1], True)] if len(whole) else whole
+        closes = closes[reach[closes] < final[closes]]
+        row, starts, ends = (np.concatenate(x) for x in ((row[whole], row[closes]), (starts[whole], starts[closes]), (ends[reach[whole]], ends[final[closes]])))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[data] * _power_table(_ODD, len(data)), dtype=np.uint64, out=sums[1:])
+        digest = mix((sums[ends] - sums[starts]) * _power_table(_ODD_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+        at = offsets[row]
+        yield first + row, points[starts] - points[at], points[ends] - points[at], words[starts] - words[at], words[ends] - words[starts], digest
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, least_words: int, least_chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            docs, starts, ends, words, keys = (np.concatenate([h[k] for h in held]) for k in range(5))
+            docs, starts, ends, word_at, words, keys = (np.concatenate([h[k] for h in held]) for k in range(6))
             held.clear()
             order = np.argsort(keys, kind="stable")
-            docs, starts, ends, words, keys = (x[order] for x in (docs, starts, ends, words, keys))
+            docs, starts, ends, word_at, words, keys = (x[order] for x in (docs, starts, ends, word_at, words, keys))
             where = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64)).tolist()
             filled = [(b, i, j) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
             columns = [pa.array([b for b, _, _ in filled], pa.int32())]
-            columns += [pa.array([planes(x[i:j]) for _, i, j in filled], pa.binary()) for x in (keys, docs, starts.astype(np.uint32), ends.astype(np.uint32), words.astype(np.uint16))]
+            columns += [pa.array([planes(x[i:j]) for _, i, j in filled], pa.binary()) for x in (keys, docs, *(x.astype(np.uint32) for x in (starts, ends, word_at)), words.astype(np.uint16))]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _DEALT.split(", ")])
 
         size = 0
         for batch in batches:
             ids = np.array(batch.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False), np.int64)
-            for row, starts, ends, words, keys in chunk_texts(batch.column("text")):
-                held.append((ids[row], starts, ends, words, keys))
+            for row, *columns in window_texts(batch.column("text"), least_words, least_chunks):
+                held.append((ids[row], *columns))
                 size += len(row)
                 if size >= MAPPER_CHUNKS:
                     yield flush()
                     size = 0
-        if held:
+        if size:
             yield flush()
 
     return run
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: all chunks whose digest other places share, with the first of them."""
+    """Per bucket: all windows whose digest other places share, with the first of them."""
     held: dict[int, list[tuple]] = {}
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             held.setdefault(row[0], []).append(row[1:])
-    kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint16)
+    kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint16)
     for bucket in list(held):
         rows = held.pop(bucket)
-        keys, docs, starts, ends, words = (np.concatenate([from_planes(r[k], kind) for r in rows]) for k, kind in enumerate(kinds))
+        keys, docs, starts, ends, word_at, words = (np.concatenate([from_planes(r[k], kind) for r in rows]) for k, kind in enumerate(kinds))
         order = np.lexsort((starts, docs, keys))
-        keys, docs, starts, ends, words = (x[order] for x in (keys, docs, starts, ends, words))
+        keys, docs, starts, ends, word_at, words = (x[order] for x in (keys, docs, starts, ends, word_at, words))
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])))
-        keys, docs, starts, ends, words = (x[new] for x in (keys, docs, starts, ends, words))
+        keys, docs, starts, ends, word_at, words = (x[new] for x in (keys, docs, starts, ends, word_at, words))
         edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         times = np.diff(np.append(edge, len(keys)))
         first, many = np.repeat(edge, times), np.repeat(times, times) > 1
         picked = np.flatnonzero(many)
         for k in range(0, len(picked), 50_000):
             p = picked[k : k + 50_000]
-            columns = (docs[p], starts[p], ends[p], words[p], docs[first[p]], starts[first[p]])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], [x.split()[0] for x in _FOUND.split(", ")])
+            columns = (docs[p], starts[p], ends[p], word_at[p], words[p], docs[first[p]], starts[first[p]])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], [x.split()[0] for x in _HIT.split(", ")])
 
 
-def _join_runs(least_words: int, least_chunks: int):
-    """Chunks sorted by doc and start to passages."""
+def _join_runs():
+    """Windows sorted by doc to passages."""
 
-    def finish(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        doc, start, end, words, first, first_start = rows
-        # a run goes on while the next chunk begins where this one ended, and so do their first places
+    def finish(rows: list[np.ndarray]) -> pa.RecordBatch:
+        doc, start, end, word_at, words, first, first_start = rows
+        order = np.lexsort((start, first_start - start, first, doc))
+        doc, start, end, word_at, words, first, first_start = (x[order] for x in rows)
+        # a run goes on while the next window begins within this one, and so do their first places
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != end[:-1]) | (first[1:] != first[:-1]) | (first_start[1:] - start[1:] != first_start[:-1] - start[:-1])
+        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1]) | (first[1:] != first[:-1]) | (first_start[1:] - start[1:] != first_start[:-1] - start[:-1])
         at = np.flatnonzero(new)
-        if not len(at):
-            return None
-        total, chunks, last = np.add.reduceat(words, at), np.diff(np.append(at, len(doc))), np.append(at[1:], len(doc)) - 1
-        keep = (total >= least_words) & (chunks >= least_chunks)
-        at, last = at[keep], last[keep]
-        columns = (doc[at], start[at], end[last], total[keep], first[at], first_start[at])
+        total = np.maximum.reduceat(word_at + words, at) - word_at[at]
+        columns = (doc[at], start[at], np.maximum.reduceat(end, at), total, first[at], first_start[at])
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in _FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            rows = [batch.column(k).to_numpy() for k in range(6)]
+            rows = [batch.column(k).to_numpy() for k in range(7)]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             if not len(rows[0]):
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last document may go on in the next batch
             rest = [x[cut:] for x in rows]
-            if cut and (got := finish([x[:cut] for x in rows])) is not None:
-                yield got
-        if rest is not None and (got := finish(rest)) is not None:
-            yield got
+            if cut:
+                yield finish([x[:cut] for x in rows])
+        if rest is not None:
+            yield finish(rest)
 
     return run
 
@@ -185,9 +198,9 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(32, -(-text_bytes // BUCKET_BYTES))
     parts = max(partitions_for(docs), min(buckets, 20_000))
-    dealt = map_arrow(docs, _deal(buckets), _DEALT).repartition(parts, "bucket")
-    found = map_arrow(dealt, _resolve, _FOUND).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "start", "end")
-    out = map_arrow(found, _join_runs(least_words, least_chunks), _FOUND)
+    dealt = map_arrow(docs, _deal(buckets, least_words, least_chunks), _DEALT).repartition(parts, "bucket")
+    found = map_arrow(dealt, _resolve, _HIT).repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    out = map_arrow(found, _join_runs(), _FOUND)
     real = lambda c: F.when(F.col(c) != F.lit(_NULL_ID), F.col(c)).alias(c)
     return out.select(real("doc_id"), "start", "end", "n_words", real("first_doc"), "first_start")
 

@@ -256,6 +256,31 @@ def test_chunks_resist_shifts(spark, nothing):
     assert chunk_dedup.repeated_passages(nothing).count() == 0
 
 
+def planted_repeats(seed, pairs, size):
+    """Pairs of documents of a small vocabulary that share one passage each, and unrelated earlier documents."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.choice([1, 2, 3, 4, 5, 6, 8]))) for _ in range(1500)]
+    text = lambda n: " ".join(vocabulary[min(int(r.paretovariate(0.7)) - 1, 1499)] for _ in range(n))
+    rows, passages = [], {}
+    for k in range(pairs):
+        passages[2 * k + 1] = text(size)
+        rows += [(2 * k + d, f"{text(40)} {passages[2 * k + 1]} {text(30)}") for d in (0, 1)]
+    return rows, [(k - 10**6, text(400)) for k in range(400)], passages
+
+
+def test_earlier_documents_cut_no_passage(spark):
+    rows, earlier, passages = planted_repeats(17, 60, 55)
+
+    def caught(rows):
+        found = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        by = dict(rows)
+        assert all(by[r["doc_id"]][r["start"] : r["end"]] == by[r["first_doc"]][r["first_start"] : r["first_start"] + r["end"] - r["start"]] for r in found)
+        return {r["doc_id"] for r in found if r["doc_id"] in passages and r["first_doc"] == r["doc_id"] - 1}
+
+    alone = caught(rows)
+    assert len(alone) > 50 and caught(earlier + rows) == alone
+
+
 # 7
 
 
