@@ -1,13 +1,14 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the text's bytes: each byte shifts the hash left and adds a random value, so that the low bits
-depend on the last WINDOW bytes alone. A chunk ends where the masked bits are zero. Boundaries follow from the
-text around them only, so an insertion moves chunks but leaves their digests; there is no least length, which would
-make a boundary depend on the one before, and a longest length only cuts text that has no boundary at all.
+A gear hash rolls over the text's bytes: each byte shifts the hash left and adds a random value, so that it depends
+on the last WINDOW bytes alone. A chunk ends before a word whose hash is the least of some WINNOW words in a row, of equal ones
+the last. Boundaries follow from the text around them only, so an insertion moves chunks but leaves their digests, and any WINNOW
+words in a row have one, whatever they say: equal passages of 50 words share a window.
 From each chunk on, the fewest chunks with LEAST_WORDS words make a window; what is shorter repeats by chance alone. Windows are dealt
 by digest to buckets, where each repeated digest learns its first place (smallest doc_id, then start). A repeated window is a repeated
 passage by itself, whatever its neighbours' first places are; overlapping windows whose first places stand in one document at
-one distance are joined. Passages of one document with different first places may overlap.
+one distance are joined. Then the texts are compared, and a passage grows to both sides by the whole words that are equal too.
+Passages of one document with different first places may overlap.
 
 Defined cases: null and empty texts have no chunks; repeated rows and rows of one doc_id are one document, their equal windows at equal
 places counting once; a null doc_id comes before all others; an empty table gives an empty table; other columns are ignored.
@@ -15,6 +16,8 @@ places counting once; a null doc_id comes before all others; an empty table give
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .common import or_empty, partitions_for
+from .common import SPACE_WORD, checkpoint, or_empty, partitions_for, release_shuffles
 from .hashing import _BYTE_VALUES, _ODD, _ODD_INVERSE, SPACE_WORD_BYTES, _power_table, from_planes, mix, planes, text_chunks
 
-#: Bytes that a boundary depends on, and bits that are zero there: chunks of 2 ** MASK_BITS bytes on average.
-WINDOW, MASK_BITS = 16, 5
-LONGEST = 512
+#: Bytes before a word that its hash covers, and words in a row of which the least hash is a boundary.
+WINDOW, WINNOW = 16, 8
+#: Words before and after a passage that are compared: as many as its outermost windows can leave out, LEAST_WORDS of them after it.
+RIM_BEFORE, RIM_AFTER = 16, 28
 #: A repeated passage has so many words in whole chunks, and so many chunks.
 LEAST_WORDS, LEAST_CHUNKS = 20, 2
 BUCKET_BYTES = 6_000_000
 MAPPER_CHUNKS = 1_000_000
 
 _GEAR = np.random.default_rng(4242).integers(0, 1 << 32, 256, dtype=np.uint32)
-_MASK = np.uint32(((1 << MASK_BITS) - 1) << (WINDOW - MASK_BITS))
 _NULL_ID = -(1 << 63)
 _DEALT = "bucket int, keys binary, docs binary, starts binary, ends binary, word_at binary, words binary"
 _HIT = "doc_id long, start long, end long, word_at long, n_words long, first_doc long, first_start long"
@@ -52,21 +55,22 @@ def gear_boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         shifted[span:] = rolled[:-span] << np.uint32(span)
         rolled = rolled + shifted
         span *= 2
-    hit = (rolled & _MASK) == 0
-    # no boundary inside a character, nor where the window reaches into the text before
-    hit[:-1] &= (data[1:] & 0xC0) != 0x80
-    for k in range(WINDOW - 1):
-        early = offsets[:-1] + k
-        hit[early[early < offsets[1:]]] = False
-    ends = np.union1d(np.flatnonzero(hit) + 1, offsets[1:][offsets[1:] > offsets[:-1]])
-    starts = np.concatenate(([0], ends[:-1]))
-    extra = []
-    for k in np.flatnonzero(ends - starts > LONGEST):
-        for cut in range(int(starts[k]) + LONGEST, int(ends[k]), LONGEST):
-            while cut < ends[k] and data[cut] & 0xC0 == 0x80:
-                cut += 1
-            extra.append(cut)
-    return np.union1d(ends, np.array(extra, ends.dtype)) if extra else ends
+    inside = SPACE_WORD_BYTES[data]
+    places = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    text = np.searchsorted(offsets, places, "right") - 1
+    whole = places - offsets[text] >= WINDOW  # else the window reaches into the text before
+    places, text = places[whole], text[whole]
+    value = mix(rolled[places - 1].astype(np.uint64))
+    # words in a row to the left and right of each that leave it the least, of equal ones the last
+    reach = np.ones(len(places), np.int64)
+    for left in (True, False):
+        on = np.ones(len(places), bool)
+        for k in range(1, min(WINNOW, len(places))):
+            here, there = (slice(k, None), slice(None, -k)) if left else (slice(None, -k), slice(k, None))
+            on[here] &= (text[here] == text[there]) & ((value[here] <= value[there]) if left else (value[here] < value[there]))
+            on[slice(None, k) if left else slice(-k, None)] = False
+            reach += on
+    return np.union1d(places[reach >= WINNOW], offsets[1:][offsets[1:] > offsets[:-1]])
 
 
 def window_texts(column: pa.Array, least_words: int, least_chunks: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -189,6 +193,74 @@ def _join_runs():
     return run
 
 
+_UNIT = re.compile(f"{SPACE_WORD}[\\x20\\x09-\\x0D]*")
+_WORD = re.compile(SPACE_WORD)
+_SIDE = "doc long, start long, size long, digest binary, before string, after string"
+
+
+def _side(text: str, at: int, forward: bool) -> str:
+    """RIM_AFTER words after a place of the text, or RIM_BEFORE before it."""
+    most = RIM_AFTER if forward else RIM_BEFORE
+    size = 8 * most
+    while True:
+        piece = text[at : at + size] if forward else text[max(0, at - size) : at]
+        words = list(_UNIT.finditer(piece))
+        if len(words) > most:  # an outermost word may be cut
+            return piece[: words[most - 1].end()] if forward else piece[words[-most].start() :]
+        if at + size >= len(text) if forward else at <= size:
+            return piece
+        size *= 2
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per place asked for: the digest of its text and what stands beside it."""
+    names = [x.split()[0] for x in _SIDE.split(", ")]
+    for batch in batches:
+        rows: list[tuple] = []
+        for row in zip(*(batch.column(k) for k in range(3)), strict=True):
+            doc, text, places = (x.as_py() for x in row)
+            for place in places:
+                start, end = place["start"], place["start"] + place["size"]
+                if end <= len(text):
+                    digest = hashlib.blake2b(text[start:end].encode(), digest_size=16).digest()
+                    rows.append((doc, start, end - start, digest, _side(text, start, False), _side(text, end, True)))
+            if len(rows) >= 5_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+
+
+def _equal_units(own: Iterator[str], other: Iterator[str], last: bool) -> tuple[int, int]:
+    """Words and characters that are equal from the start on; with ``last`` a word counts though the space after it differs."""
+    words = chars = 0
+    for a, b in zip(own, other, strict=False):
+        if a != b:
+            word = _WORD.match(a)[0]
+            if last and word == _WORD.match(b)[0]:
+                words, chars = words + 1, chars + len(word)
+            break
+        words, chars = words + 1, chars + len(a)
+    return words, chars
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages with the whole words that are equal on both sides of both places."""
+    for batch in batches:
+        rows = []
+        for doc, start, end, words, first, first_start, own, kept in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            most = (0, 0, 0)
+            for x in own or ():
+                for y in kept or ():
+                    if x["digest"] == y["digest"]:
+                        left = _equal_units(reversed(_UNIT.findall(x["before"])), reversed(_UNIT.findall(y["before"])), False)
+                        right = _equal_units(iter(_UNIT.findall(x["after"])), iter(_UNIT.findall(y["after"])), True)
+                        most = max(most, (left[0] + right[0], left[1], right[1]))
+            rows.append((doc, start - most[1], end + most[2], words + most[0], first, first_start - most[1]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
+
+
 def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_chunks: int = LEAST_CHUNKS) -> DataFrame:
     """Per repeated passage: ``doc_id``, ``start``, ``end`` (code points), ``n_words``, ``first_doc``, ``first_start``.
 
@@ -200,7 +272,21 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     parts = max(partitions_for(docs), min(buckets, 20_000))
     dealt = map_arrow(docs, _deal(buckets, least_words, least_chunks), _DEALT).repartition(parts, "bucket")
     found = map_arrow(dealt, _resolve, _HIT).repartition(parts, "doc_id").sortWithinPartitions("doc_id")
-    out = map_arrow(found, _join_runs(), _FOUND)
+    runs = checkpoint(map_arrow(found, _join_runs(), _FOUND))
+    del dealt, found
+    release_shuffles(docs.sparkSession)
+    size = (F.col("end") - F.col("start")).alias("size")
+    own = runs.select(F.col("doc_id").alias("doc"), "start", size)
+    kept = runs.select(F.col("first_doc").alias("doc"), F.col("first_start").alias("start"), size)
+    asked = own.union(kept).groupBy("doc").agg(F.collect_set(F.struct("start", "size")).alias("places"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "text")
+    sides = map_arrow(texts.join(asked, "doc").select("doc", "text", "places"), _sides, _SIDE)
+    # both joins read one shuffle of the sides
+    sides = sides.groupBy("doc", "start", "size").agg(F.collect_set(F.struct("digest", "before", "after")).alias("sides"))
+    at = lambda doc, start, name: sides.select(F.col("doc").alias(doc), F.col("start").alias(start), "size", F.col("sides").alias(name))
+    both = runs.withColumn("size", size)
+    both = both.join(at("doc_id", "start", "own"), ["doc_id", "start", "size"], "left").join(at("first_doc", "first_start", "kept"), ["first_doc", "first_start", "size"], "left")
+    out = map_arrow(both.select(*[x.split()[0] for x in _FOUND.split(", ")], "own", "kept"), _extend, _FOUND).distinct()
     real = lambda c: F.when(F.col(c) != F.lit(_NULL_ID), F.col(c)).alias(c)
     return out.select(real("doc_id"), "start", "end", "n_words", real("first_doc"), "first_start")
 

@@ -281,6 +281,19 @@ def test_earlier_documents_cut_no_passage(spark):
     assert len(alone) > 50 and caught(earlier + rows) == alone
 
 
+def test_every_passage_is_found_whole(spark):
+    rows, earlier, passages = planted_repeats(23, 60, 55)
+    phrase = "so it goes on and on "  # few distinct bytes in a row
+    rows += [(1000, "Alpha beta gamma, delta. " + phrase * 10), (1001, "Quite other words open this one: " + phrase * 10 + "and more of them close it.")]
+    passages[1001] = (phrase * 10).strip()
+    found = chunk_dedup.repeated_passages(spark.createDataFrame(earlier + rows, "doc_id long, text string")).collect()
+    by = dict(earlier + rows)
+    assert all(len(space_words(by[r["doc_id"]][r["start"] : r["end"]])) == r["n_words"] >= chunk_dedup.LEAST_WORDS for r in found)
+    for doc, passage in passages.items():
+        at = by[doc].index(passage)
+        assert any(r["doc_id"] == doc and r["first_doc"] == doc - 1 and r["start"] <= at and r["end"] >= at + len(passage) for r in found)
+
+
 # 7
 
 
