@@ -25,7 +25,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # all words of capitals and digits in a row: _accounts looks for the numbers in them
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without a match of these cannot hold a span of the kind.
@@ -51,6 +52,13 @@ CONTEXT_BONUS = 0.4
 #: Spans of the kinds beyond the base need this score; base spans always stay.
 MIN_SCORE = 0.6
 
+#: Characters of an account number, blanks apart, and how many each country's have.
+IBAN_LEAST, IBAN_MOST = 15, 34
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 
 def _mod97(match: Column) -> Column:
     """Whether an account number leaves 1 after division by 97, its first four characters moved to the end."""
@@ -72,7 +80,39 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    return _mod97(match) if kind == "iban" else F.lit(True)
+    return F.lit(True)
+
+
+def _accounts(place: Column) -> Column:
+    """The account numbers in one row of words: from each word that can open one, the country's length if that is valid, else the longest that is."""
+    words = F.split(place["match"], " ")
+    plain = lambda t: F.length(F.regexp_replace(t, r"\x20", ""))
+    lengths = F.create_map(*[F.lit(x) for size, names in IBAN_COUNTRIES.items() for name in names.split() for x in (name, size)])
+    nothing = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+
+    def longest(rest: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(rest)), lambda k: F.array_join(F.slice(rest, 1, k), " "))
+        valid = F.filter(tries, lambda t: plain(t).between(IBAN_LEAST, IBAN_MOST) & _mod97(t))
+        pick = lambda v: F.coalesce(F.get(F.filter(v, lambda t: plain(t) == F.try_element_at(lengths, F.substring(t, 1, 2))), F.lit(0)), F.get(v, F.size(v) - 1))
+        return F.get(F.transform(F.array(valid), pick), F.lit(0))
+
+    def add(acc: Column, word: Column) -> Column:
+        opens = (acc["at"] >= acc["until"]) & word.rlike(r"^[A-Z]{2}[0-9]{2}")
+        match = F.when(opens, longest(F.slice(words, acc["n"] + 1, F.lit(IBAN_MOST))))
+        since = F.greatest(acc["n"] - CONTEXT_CHARS, F.lit(0))
+        before = F.concat(place["before"], F.concat_ws(" ", F.slice(words, since + 1, acc["n"] - since)), F.when(acc["n"] > 0, " ").otherwise(""))
+        start = place["start"] + acc["at"]
+
+        def taken(m: Column) -> Column:
+            found = F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), F.right(before, F.lit(CONTEXT_CHARS)).alias("before"))
+            got = F.when(m.isNull(), acc["got"]).otherwise(F.array_append(acc["got"], found))
+            until = F.when(m.isNull(), acc["until"]).otherwise(acc["at"] + F.length(m))
+            return F.struct((acc["at"] + F.length(word) + 1).alias("at"), (acc["n"] + 1).alias("n"), until.alias("until"), got.alias("got"))
+
+        return F.get(F.transform(F.array(match), taken), F.lit(0))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("until"), nothing.alias("got"))
+    return F.aggregate(words, zero, add, lambda acc: acc["got"])
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -89,6 +129,8 @@ def _spans(text: Column, kind: str) -> Column:
 
     both = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     placed = F.aggregate(both, F.struct(F.lit(0).alias("at"), nothing.alias("got")), add, lambda acc: acc["got"])
+    if kind == "iban":
+        placed = F.flatten(F.transform(placed, _accounts))
     bonus = lambda s: F.when(F.lower(s["before"]).rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
     scored = F.transform(
         F.filter(placed, lambda s: _valid(kind, s["match"])),

@@ -238,6 +238,18 @@ def test_mod97(spark):
     assert pick("GB82 WEST 1234 5698 7654 32") and pick("DE89370400440532013000") and not pick("DE89370400440532013001")
 
 
+def test_account_numbers_among_capitals(spark):
+    de, gb, fr = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"
+    texts = {
+        f"IBAN {de} BIC COBADEFFXXX": [de], f"{de} {gb} 12": [de, gb], f"REF AB12 {gb} OK": [gb], f"x {fr} 2024 EUR.": [fr],
+        f"{de}A": [], f"{de}a": [], f"A{de}": [], "DE89 3704 0044 0532 0130 01 BIC": [], f"été {de}, then {gb} Bank": [de, gb], "AB12 " * 500 + gb: [gb],
+    }
+    out = pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r["text"]: [r["text"][s["start"] : s["end"]] for s in r["pii_spans"] if s["kind"] == "iban"] for r in out} == texts
+    clean = pii.redact_pii(spark.createDataFrame([(f"IBAN {de} BIC COBADEFFXXX",)], "text string")).first()["text"]
+    assert clean == "IBAN [IBAN] BIC COBADEFFXXX"
+
+
 # 6
 
 
