@@ -275,6 +275,8 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     runs = checkpoint(map_arrow(found, _join_runs(), _FOUND))
     del dealt, found
     release_shuffles(docs.sparkSession)
+    itself = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
+    firsts, runs = runs.where(itself), runs.where(~itself)  # a first place has no other text to be compared with
     size = (F.col("end") - F.col("start")).alias("size")
     own = runs.select(F.col("doc_id").alias("doc"), "start", size)
     kept = runs.select(F.col("first_doc").alias("doc"), F.col("first_start").alias("start"), size)
@@ -286,12 +288,12 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     at = lambda doc, start, name: sides.select(F.col("doc").alias(doc), F.col("start").alias(start), "size", F.col("sides").alias(name))
     both = runs.withColumn("size", size)
     both = both.join(at("doc_id", "start", "own"), ["doc_id", "start", "size"], "left").join(at("first_doc", "first_start", "kept"), ["first_doc", "first_start", "size"], "left")
-    out = map_arrow(both.select(*[x.split()[0] for x in _FOUND.split(", ")], "own", "kept"), _extend, _FOUND).distinct()
+    out = map_arrow(both.select(*[x.split()[0] for x in _FOUND.split(", ")], "own", "kept"), _extend, _FOUND).distinct().unionByName(firsts)
     real = lambda c: F.when(F.col(c) != F.lit(_NULL_ID), F.col(c)).alias(c)
     return out.select(real("doc_id"), "start", "end", "n_words", real("first_doc"), "first_start")
 
 
 def op6_chunk_dedup(spark, sf_dir: str) -> DataFrame:
-    """Passages that stand in an earlier document too: each row pairs the document to cut with the one that keeps the passage."""
+    """Passages that stand earlier too, in another document or the same: each row pairs the place to cut with the one that keeps the passage."""
     found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    return found.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start"))))

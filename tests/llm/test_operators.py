@@ -306,6 +306,22 @@ def test_every_passage_is_found_whole(spark):
         assert any(r["doc_id"] == doc and r["first_doc"] == doc - 1 and r["start"] <= at and r["end"] >= at + len(passage) for r in found)
 
 
+def test_repeats_inside_a_document(spark, tmp_path):
+    r = random.Random(29)
+    text = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    twice, shared = text(60), text(60)
+    rows = [(1, f"{text(50)} {twice} {text(50)} {twice} {text(50)}"), (None, f"{text(20)} {shared} {text(9)}"), (None, f"{text(40)} {shared}"), (2, text(90))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"] or 0, r["start"], r["end"], r["n_words"], r["first_doc"] or 0, r["first_start"]) for r in chunk_dedup.op6_chunk_dedup(spark, str(tmp_path)).collect())
+    early, late = sorted(t.index(shared) for d, t in rows if d is None)
+    one = rows[0][1]
+    assert [(d, f, n >= 60) for d, _, _, n, f, _ in got] == [(0, 0, True), (1, 1, True)]
+    assert got[0][1] <= late and got[0][2] >= late + len(shared) and got[0][5] - got[0][1] == early - late
+    assert got[1][1] <= one.rindex(twice) and got[1][2] >= one.rindex(twice) + len(twice) and got[1][5] - got[1][1] == one.index(twice) - one.rindex(twice)
+    firsts = [r for r in chunk_dedup.repeated_passages(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect() if (r["doc_id"], r["start"]) == (r["first_doc"], r["first_start"])]
+    assert len(firsts) == 2 and all(r["n_words"] <= 60 for r in firsts)
+
+
 # 7
 
 
