@@ -427,8 +427,8 @@ def set_links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Data
     return links.unionByName(checkpoint(_run_groups(inner.select(keep).unionByName(probes.select(keep)), parts, similarity)))
 
 
-def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Per document row: ``doc_id``, ``text_key``, ``n_shingles``, ``component_id``."""
+def _rooted(docs: DataFrame, doc: str, text: str, similarity: tuple[int, int]) -> DataFrame:
+    """Per document row what :func:`jaccard_components` gives, and ``root``, which no two components share (null without shingles)."""
     docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(or_empty(text)).alias("text_key"), or_empty(text).alias("text"))
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     described = checkpoint(map_arrow(docs, _describe, "doc_id long, text_key long, n_shingles long, digest binary"))
@@ -437,15 +437,31 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     least = described.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
     least = least.join(roots, least["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("root"), "least")
     whole = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = least.join(whole, "root").select("digest", "component_id")
+    classes = least.join(whole, "root").select("digest", "root", "component_id")
     found = described.join(classes, "digest", "left")
-    return found.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"))
+
+
+def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Per document row: ``doc_id``, ``text_key``, ``n_shingles``, ``component_id``."""
+    return _rooted(docs, doc, text, similarity).drop("root")
 
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that have a component's smaller doc_id beside them; rows of one doc_id and text stay or go together."""
-    lost = jaccard_components(docs, doc, text).where("component_id != doc_id").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
-    return docs.join(lost, (docs[doc].cast("long") == lost["__d"]) & (F.xxhash64(or_empty(docs[text])) == lost["__k"]), "left_anti")
+    """``docs`` with one row of each component: of the smallest doc_id (null comes last), then text_key; rows without shingles stay."""
+    pairs = _rooted(docs, doc, text, SIMILARITY).where("root IS NOT NULL").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("times"))
+    pairs = checkpoint(pairs.select("root", F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "times"))
+    best = pairs.groupBy("root").agg(F.min(F.struct(F.col("__d").isNull().alias("none"), F.col("__d").alias("d"), F.col("__k").alias("k"))).alias("best"))
+    first = F.col("__d").eqNullSafe(F.col("best.d")) & (F.col("__k") == F.col("best.k"))
+    placed = pairs.join(best, "root").withColumn("first", first)
+    match = lambda other: docs[doc].cast("long").eqNullSafe(other["__d"]) & (F.xxhash64(or_empty(docs[text])) == other["__k"])
+    # a component's row that is there several times leaves with the others, and one of it comes back
+    gone = placed.where("NOT first OR times > 1").select("__d", "__k")
+    left = docs.join(gone, match(gone), "left_anti")
+    again = placed.where("first AND times > 1").select("__d", "__k")
+    if again.isEmpty():
+        return left
+    return left.unionByName(docs.join(again, match(again)).dropDuplicates(["__d", "__k"]).select(*docs.columns))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

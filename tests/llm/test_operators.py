@@ -420,6 +420,16 @@ def test_ngram_join(docs, nothing, block, monkeypatch):
         assert ngram_join.jaccard_components(nothing).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    other, third = " ".join(f"other{k}" for k in range(40)), " ".join(f"third{k}" for k in range(40))
+    rows = [(None, near(0)), (None, near(1)), (None, other), (7, third), (7, third), (7, near(2)), (8, third + " x"), (9, None), (9, None), (None, ""), (3, "lone text"), (3, "its other text")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    left = Counter((r["doc_id"], r["text"]) for r in ngram_join.drop_near_duplicates(df).collect())
+    assert left == Counter([(7, near(2)), (None, other), (7, third), (9, None), (9, None), (None, ""), (3, "lone text"), (3, "its other text")])
+    linked = spark.createDataFrame([(1, near(0)), (1, near(1)), (2, near(2))], "doc_id long, text string")
+    assert [r["doc_id"] for r in ngram_join.drop_near_duplicates(linked).collect()] == [1]
+
+
 def test_prefix_tree_against_pairs():
     r = random.Random(11)
     for _ in range(30):
