@@ -35,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("n-gram join", near_duplicates), ("decontamination", decontamination), ("PII", private_data), ("packing", pack)]
 
-#: Tokenising is not expressible in SQL; tests compare the pipeline with a brute-force version.
+#: Tokenising is not expressible in SQL; tests compare what follows the quality rules with a brute-force version.
 ORACLE_SQL = None
 
 

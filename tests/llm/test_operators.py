@@ -496,6 +496,40 @@ def test_lines_are_judged(spark):
     assert row["cleaned_text"] == good
 
 
+# pipeline
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() against brute force after the quality rules, whose own tests are above."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = random.Random(41)
+    prose = lambda: " ".join(" ".join(f"{r.choice('bcdfgh')}{r.choice('aeiou')}{r.choice('lmnrst')}{r.randrange(10**4)}" for _ in range(9)).capitalize() + "." for _ in range(12))
+    leaked = prose()
+    texts = [*TEXTS, (50, prose() + " Please write to jane.doe@example.org about this one."), (51, leaked), (52, prose() + " Call +1 (555) 010-9999 or ask the host 10.2.3.4 for it.")]
+    items = [(1, leaked), (2, "nothing of this stands anywhere in the small fixture of documents at all")]
+    spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(row["doc_id"], row["text"]) for row in quality_rules.filter_quality(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()]
+    assert {20, 21, 50, 51, 52} <= {i for i, _ in left}
+    places = brute_join(left)
+    left = [(i, t) for i, t in left if places[i][1] == i]
+    hit = brute_contamination(left, items)
+    left = [(i, t) for i, t in left if not hit[i][3]]
+    assert {50, 52} <= {i for i, _ in left} and not {21, 51} & {i for i, _ in left}
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer_path())
+    want = {}
+    for i, t in left:
+        for start, k, end in reversed(brute_pii(t)):
+            t = f"{t[:start]}[{pii.KINDS[k].upper()}]{t[end:]}"
+        want[i] = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+    got = {}
+    for row in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda row: (row["doc_id"], row["piece"])):
+        got.setdefault(row["doc_id"], []).extend(np.frombuffer(row["ids"], "<u4").tolist())
+    assert got == want
+
+
 # all
 
 
