@@ -58,3 +58,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions_for(df: DataFrame, least: int = 0) -> int:
     """Shuffle partitions as the session sets them, ``least`` at least."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Most tasks of a shuffle whose rows are dealt by number; each works through its buckets one after another.
+MOST_TASKS = 20_000
+
+
+def deal_by_id(df: DataFrame, column: str, numbers: int) -> DataFrame:
+    """``df`` dealt by a column of numbers from 0 to ``numbers - 1``: consecutive tasks get consecutive numbers in turn, none by chance more than others."""
+    tasks = max(1, min(numbers, MOST_TASKS))
+    return df.repartitionById(tasks, F.pmod(F.col(column), F.lit(tasks)).cast("int"))

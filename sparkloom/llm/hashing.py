@@ -82,10 +82,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -
     after[-1], after[:-1] = False, inside[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, A-Z lowered."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[LOWER_BYTES[data]] * _power_table(_ODD, len(data)), dtype=np.uint64, out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power_table(_ODD_INVERSE, len(data))[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    return mix(hashes + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -146,7 +146,10 @@ def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer_path())
-    out = packing.pack_documents(docs, capacity=512).collect()
+    clash = docs.withColumn("sequence_id", F.lit("x"))
+    out = packing.pack_documents(clash, capacity=512).collect()
+    twice = clash.union(clash.where("doc_id IN (4, 8)")).union(clash.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    assert Counter((r["doc_id"], r["piece"]) for r in packing.pack_documents(twice, capacity=512).collect()) == Counter([(r["doc_id"], r["piece"]) for r in out] + [(r["doc_id"], r["piece"]) for r in out if r["doc_id"] in (4, 8)] + [(None, 0)])
     ids = {}
     for r in sorted(out, key=lambda r: (r["doc_id"], r["piece"])):
         assert r["start"] == len(ids.setdefault(r["doc_id"], b"")) // 4 and r["length"] * 4 == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(r["ids"])
@@ -194,14 +197,25 @@ def test_sum_of_squares_choice():
         assert (max(number) + 1, offset) == brute_sum_of_squares(lengths, 20)
 
 
-def test_words_make_texts():
+def test_units_make_texts(monkeypatch):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer_path()
-    own, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
-    texts = [t or "" for _, t in TEXTS] + ["It's naïve, isn't it?! 12,5. A.. b,, İstanbul, ΣΑΣ. e\u0301t\u0301. x\u00a0y ,. \u2003z 's don't ﬁne, Ǆ."]
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = Tokenizer.from_file(path)
+    texts = [t for _, t in TEXTS] + ["It's naïve, isn't it?! 12,5. A.. b,, İstanbul, ΣΑΣ. e\u0301t\u0301. x\u00a0y ,. \u2003z 's don't ﬁne, Ǆ. =\u0338 a\x0bb c\x0cd \x1c e"]
+    texts += ["x <|endoftext|> y", "<|startoftext|>x", "<|EndOfText|> <| endoftext |>", "aΣ.b a.Σ x.'s 's.y", None, "a" * 30_000 + "." * 3000]
+    r = random.Random(77)
+    texts += ["".join(r.choice("aB3.,'!$ \n\té»Σ“ñß<|>😀\u0301") for _ in range(r.randrange(60))) for _ in range(3000)]
+    want = [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for units in (packing.TABLE_UNITS, 60):  # the second table forgets again and again
+        monkeypatch.setattr(packing, "TABLE_UNITS", units)
+        own, got = packing.UnitTokenizer(path), []
+        for _ in range(2):
+            got.clear()
+            for _, ids, bounds in own.ids(pa.array(texts)):
+                got.extend(ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True))
+            assert got == want
 
 
 # 5
