@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .common import checkpoint, or_empty, partitions_for
+from .common import MOST_TASKS, checkpoint, deal_by_id, or_empty, partitions_for
 from .components import connected_components
 from .hashing import SPACE_WORD_BYTES, from_planes, gram_hashes, planes, text_chunks, word_hashes
 
@@ -37,11 +37,15 @@ SHINGLE_WORDS = 5
 #: Similarity as a fraction of whole numbers: intersection / union >= 75 / 100.
 SIMILARITY = (75, 100)
 #: A mapper hands on what it has gathered whenever it holds so many shingles.
-MAPPER_SHINGLES = 3_000_000
+MAPPER_SHINGLES = 1_500_000
 #: Bytes of text for each bucket of shingles; the buckets' number grows with the input.
 BUCKET_BYTES = 4_000_000
 BLOCK_SETS = 128
 BLOCK_SHINGLES = 400_000
+#: A prefix tree holds so many shingles at most (or one set); a group of more is joined tree after tree.
+TREE_SHINGLES = 100_000
+#: Digests of sets that a mapper remembers, so that exact copies are dealt once.
+SEEN_DIGESTS = 200_000
 
 _BUCKETED = "bucket int, mapper long, kind int, keys binary, docs binary, counts binary"
 _SETS = "digest binary, n long, keys binary, counts binary"
@@ -73,8 +77,21 @@ def _bucket_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds, strict=True)], ["bucket", "mapper", "kind", "keys", "docs", "counts"])
 
 
+def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys, only buckets that have some: the top bits tell the bucket."""
+    if not len(keys):
+        return []
+    where = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    return list(zip(where[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True))
+
+
 def _deal(buckets: int):
-    """Texts to rows of shingles by bucket (kind 0), and a row with the sets' digests and sizes (kind 1) for each flush."""
+    """Texts to rows of shingles by bucket (kind 0), and for each flush a row of what need not be asked (kind 1).
+
+    Kind 0 has each shingle of the flush once, with the first set that has it and the number of sets: a shingle of a third of all texts is one entry
+    of a flush. Kind 1 has the sets' digests and sizes, and the further sets of shingles that several have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, part = 0, TaskContext.get().partitionId()
@@ -88,23 +105,29 @@ def _deal(buckets: int):
             number += 1
             sizes = np.array([len(x) for x in sets], np.int64)
             keys, docs = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-            order = np.argsort(keys)
-            keys, docs = keys[order], docs[order]
-            # the top bits tell the bucket, so that each bucket is a slice
-            where = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, mapper, 0, planes(keys[i:j]), planes(docs[i:j]), b"") for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
-            rows.append((mapper % buckets, mapper, 1, b"".join(digests), sizes.tobytes(), b""))
             sets.clear()
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+            del order
+            new = np.concatenate(([True], keys[1:] != keys[:-1]))
+            more_keys, more_docs = keys[~new], docs[~new]
+            edges = np.flatnonzero(new)
+            times = np.diff(np.append(edges, len(keys))).astype(np.uint32)
+            keys, docs = keys[new], docs[new]
+            rows = [(b, mapper, 0, planes(keys[i:j]), planes(docs[i:j]), planes(times[i:j])) for b, i, j in bucket_slices(keys, buckets)]
+            rows.append((mapper % buckets, mapper, 1, b"".join(digests), sizes.tobytes(), planes(more_keys) + planes(more_docs)))
             digests.clear()
             return _bucket_rows(rows)
 
         held = 0
         for batch in batches:
             for _, keys in shingle_sets(batch.column("text")):
-                if not len(keys) or (digest := _digest(keys)) in seen:
+                if not len(keys):
                     continue
-                if len(seen) >= 1_000_000:
+                digest = _digest(keys)
+                if digest in seen:
+                    continue
+                if len(seen) >= SEEN_DIGESTS:
                     seen.clear()
                 seen.add(digest)
                 sets.append(keys)
@@ -119,30 +142,47 @@ def _deal(buckets: int):
     return run
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows sorted by a column, all of one value together; no more than one value's rows are held."""
+    last, rows = None, []
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            for row in zip(*(part.column(c).to_pylist() for c in range(part.num_columns)), strict=True):
+                if row[column] != last and rows:
+                    yield last, rows
+                    rows = []
+                last = row[column]
+                rows.append(row)
+    if rows:
+        yield last, rows
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: answer each mapper with its shingles that two or more sets have, and their counts."""
-    held: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for bucket, mapper, kind, keys, docs in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+    for _, rows in _by_bucket(batches, 0):
+        for _, mapper, kind, keys, docs, counts in rows:
             if kind:
-                yield _bucket_rows([(0, mapper, 1, keys, docs, b"")])
-            else:
-                held.setdefault(bucket, []).append((mapper, keys, docs))
-        del batch
-    for bucket in list(held):
-        rows = held.pop(bucket)
-        parts = [from_planes(x[1], np.uint64) for x in rows]
+                yield _bucket_rows([(0, mapper, 1, keys, docs, counts)])
+        rows = [r for r in rows if not r[2]]
+        if not rows:
+            continue
+        parts = [from_planes(r[3], np.uint64) for r in rows]
         keys = np.concatenate(parts)
+        times = np.concatenate([from_planes(r[5], np.uint32) for r in rows])
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
+        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        totals = np.add.reduceat(times[order].astype(np.uint64), edge)
         counts = np.empty(len(keys), np.uint32)
-        counts[order] = np.repeat(np.diff(edge), np.diff(edge))
+        counts[order] = np.repeat(np.minimum(totals, (1 << 32) - 1).astype(np.uint32), np.diff(np.append(edge, len(keys))))
+        del keys, times, order, ordered
         at = 0
-        for (mapper, _, docs), part in zip(rows, parts, strict=True):
-            shared = np.flatnonzero(counts[at : at + len(part)] >= 2)
+        for (_, mapper, _, _, docs, _), part in zip(rows, parts, strict=True):
+            here = counts[at : at + len(part)]
+            shared = np.flatnonzero(here >= 2)
             if len(shared):
-                yield _bucket_rows([(0, mapper, 0, planes(part[shared]), planes(from_planes(docs, np.uint32)[shared]), planes(counts[at : at + len(part)][shared]))])
+                yield _bucket_rows([(0, mapper, 0, planes(part[shared]), planes(from_planes(docs, np.uint32)[shared]), planes(here[shared]))])
             at += len(part)
 
 
@@ -155,15 +195,21 @@ def _gather(similarity: tuple[int, int]):
     """Per mapper: the sets of which shared shingles make up enough, their shared shingles in the global order."""
 
     def finish(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        digests = sizes = None
+        digests = sizes = more = None
         parts = []
-        for kind, keys, docs, counts in rows:
+        for _, _, kind, keys, docs, counts in rows:
             if kind:
-                digests, sizes = keys, np.frombuffer(docs, np.int64)
+                digests, sizes, more = keys, np.frombuffer(docs, np.int64), counts
             else:
                 parts.append((from_planes(keys, np.uint64), from_planes(docs, np.uint32), from_planes(counts, np.uint32)))
         if digests is None or not parts:
             return
+        if more:  # keys that several sets of the mapper have were answered once
+            further = len(more) // 12
+            keys, docs = from_planes(more[: 8 * further], np.uint64), from_planes(more[8 * further :], np.uint32)
+            answered, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+            order = np.argsort(answered)
+            parts.append((keys, docs, counts[order[np.searchsorted(answered, keys, sorter=order)]]))
         keys, docs, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
         enough = similarity[1] * np.bincount(docs, minlength=len(sizes)) >= similarity[0] * sizes
         keep = enough[docs]
@@ -182,15 +228,7 @@ def _gather(similarity: tuple[int, int]):
             yield _set_rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
-        for batch in batches:  # sorted by mapper
-            for mapper, kind, keys, docs, counts in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
-                if mapper != last and rows:
-                    yield from finish(rows)
-                    rows = []
-                last = mapper
-                rows.append((kind, keys, docs, counts))
-        if rows:
+        for _, rows in _by_bucket(batches, 1):
             yield from finish(rows)
 
     return run
@@ -331,13 +369,28 @@ def join_sets(members: list[tuple], similarity: tuple[int, int] = SIMILARITY) ->
     for k, m in enumerate(members):
         if m[3] is not None:
             parents[k] = first.setdefault(m[3], k)
-    tree = PrefixTree(parents, similarity)
-    for k in sorted(range(len(members)), key=lambda k: (not members[k][4], members[k][5], -members[k][0])):
-        tokens = ranks[cuts[k] : cuts[k + 1]].tolist()
-        if members[k][5]:
-            tree.probe(k, tokens, members[k][0])
-        if members[k][4]:
-            tree.add(k, tokens, members[k][0])
+    ranks = ranks.astype(np.int32)
+    del keys, counts, distinct, inverse, times, weight, rank, owner, keep, order
+    order = sorted(range(len(members)), key=lambda k: (not members[k][4], members[k][5], -members[k][0]))
+    at = 0
+    while True:
+        # the next members that a tree has room for; whoever comes later probes it
+        tree, held, end = PrefixTree(parents, similarity), 0, at
+        while end < len(order) and members[order[end]][4] and (end == at or held + cuts[order[end] + 1] - cuts[order[end]] <= TREE_SHINGLES):
+            held += cuts[order[end] + 1] - cuts[order[end]]
+            end += 1
+        if end == at:
+            break
+        for place in range(at, len(order)):
+            k = order[place]
+            if not members[k][5] and place >= end:
+                continue
+            tokens = ranks[cuts[k] : cuts[k + 1]].tolist()
+            if members[k][5]:
+                tree.probe(k, tokens, members[k][0])
+            if place < end:
+                tree.add(k, tokens, members[k][0])
+        at = end
     return [tree.find(k) for k in range(len(members))]
 
 
@@ -357,22 +410,24 @@ def _join_groups(similarity: tuple[int, int]):
         linked = [k for k, r in enumerate(roots) if k != r]
         return [digests[k] for k in linked], [digests[roots[k]] for k in linked]
 
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        a, b = finish(rows)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for cluster, group, *row in zip(*columns, strict=True):
-                if (cluster, group) != last and rows:
-                    a, b = finish(rows)
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                    rows = []
-                last = (cluster, group)
-                rows.append(tuple(row))
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                for cluster, group, *row in zip(*(part.column(c).to_pylist() for c in range(part.num_columns)), strict=True):
+                    if (cluster, group) != last and rows:
+                        yield from links(rows)
+                        rows = []
+                    last = (cluster, group)
+                    rows.append(tuple(row))
         if rows:
-            a, b = finish(rows)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            yield from links(rows)
 
     return run
 
@@ -385,9 +440,9 @@ def _run_groups(rows: DataFrame, parts: int, similarity: tuple[int, int]) -> Dat
 def shared_sets(docs: DataFrame, text_bytes: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The distinct sets of which enough is shared: ``digest``, ``n``, ``keys`` (shared shingles, rarest first), ``counts``."""
     buckets = max(1, -(-text_bytes // BUCKET_BYTES))
-    parts = max(partitions_for(docs), min(buckets, 20_000))
+    parts = max(partitions_for(docs), min(buckets, MOST_TASKS))
     dealt = map_arrow(docs.select("text"), _deal(buckets), _BUCKETED)
-    counted = map_arrow(dealt.repartition(parts, "bucket"), _count, _BUCKETED)
+    counted = map_arrow(deal_by_id(dealt, "bucket", buckets).sortWithinPartitions("bucket"), _count, _BUCKETED)
     gathered = map_arrow(counted.repartition(parts, "mapper").sortWithinPartitions("mapper"), _gather(similarity), _SETS)
     return gathered.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
 
@@ -414,7 +469,7 @@ def set_links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Data
     roots = connected_components(links).select(F.col("node").alias("digest"), "root")
     parted = checkpoint(large.join(roots, "digest", "left").withColumn("component", F.coalesce("root", "digest")).drop("root"))
     most = parted.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-    rest = parted.join(most, "cluster").where("component != main").drop("main")
+    rest = checkpoint(parted.join(most, "cluster").where("component != main").drop("main"))  # a cluster's rows need not meet in one task from here on
     extent = rest.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("keys") / 8) / BLOCK_SHINGLES)).cast("int").alias("rows"))
     rest = checkpoint(rest.join(extent, "cluster"))
     if rest.isEmpty():

@@ -426,6 +426,8 @@ def brute_join(texts):
 @pytest.mark.parametrize("block", [128, 3])
 def test_ngram_join(docs, nothing, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 900)  # tens of buckets
+    monkeypatch.setattr(ngram_join, "TREE_SHINGLES", 300)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
     assert got == brute_join(TEXTS)
     if block == 128:
@@ -434,6 +436,30 @@ def test_ngram_join(docs, nothing, block, monkeypatch):
         assert ngram_join.jaccard_components(nothing).count() == 0
 
 
+def test_shared_sets_of_one_mapper_and_many(spark, monkeypatch):
+    """Shingles that a flush has in several sets are asked for once; counts are those over all sets."""
+    r = random.Random(13)
+    bases = [[f"v{r.randrange(10**6)}" for _ in range(60)] for _ in range(8)]
+    texts = [" ".join(base[r.randrange(9) : r.randrange(40, 60)] + [f"x{r.randrange(10**6)}" for _ in range(r.randrange(12))]) for base in bases for _ in range(9)]
+    monkeypatch.setattr(ngram_join, "MAPPER_SHINGLES", 200)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {r["digest"]: r for r in ngram_join.shared_sets(df, 10**8).collect()}
+    import pyarrow as pa
+
+    sets = {ngram_join._digest(keys): keys for _, keys in ngram_join.shingle_sets(pa.array(texts))}
+    flushes = Counter(int(x) for keys in sets.values() for x in keys)
+    assert got
+    for digest, keys in sets.items():
+        shared = [int(x) for x in keys if flushes[int(x)] > 1]
+        if 100 * len(shared) >= 75 * len(keys):
+            have = np.frombuffer(got[digest]["keys"], np.uint64).tolist()
+            assert sorted(have) == sorted(shared) and got[digest]["n"] == len(keys)
+            counts = np.frombuffer(got[digest]["counts"], np.uint32).tolist()
+            assert counts == sorted(counts) and all(c == flushes[k] for k, c in zip(have, counts))
+        else:
+            assert digest not in got
+
+
 def test_one_row_of_each_component_stays(spark):
     other, third = " ".join(f"other{k}" for k in range(40)), " ".join(f"third{k}" for k in range(40))
     rows = [(None, near(0)), (None, near(1)), (None, other), (7, third), (7, third), (7, near(2)), (8, third + " x"), (9, None), (9, None), (None, ""), (3, "lone text"), (3, "its other text")]
@@ -444,7 +470,9 @@ def test_one_row_of_each_component_stays(spark):
     assert [r["doc_id"] for r in ngram_join.drop_near_duplicates(linked).collect()] == [1]
 
 
-def test_prefix_tree_against_pairs():
+@pytest.mark.parametrize("tree", [100_000, 90])
+def test_prefix_tree_against_pairs(tree, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TREE_SHINGLES", tree)
     r = random.Random(11)
     for _ in range(30):
         base = [[r.randrange(10**6) for _ in range(40)] for _ in range(4)]
