@@ -51,6 +51,41 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though the body names it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements of a run of :func:`running` and :func:`gathered`: appending within runs keeps both linear in an array's length.
+RUN = 128
+
+
+def running(values: Column, zero: Column, join) -> Column:
+    """For each element what ``join``, an associative function, makes of ``zero`` and all elements before it."""
+    runs = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda k: F.slice(values, k * RUN + 1, F.lit(RUN))))
+    scan = lambda xs: F.aggregate(xs, F.array(zero), lambda acc, x: F.array_append(acc, join(F.get(acc, F.size(acc) - 1), x)))
+    # each run from zero on, its total last; then the totals before each run
+    inner = F.transform(runs, scan)
+    whole = let(inner, lambda parts: let(scan(F.transform(parts, lambda part: F.get(part, F.size(part) - 1))), lambda before: F.flatten(F.transform(parts, lambda part, k: let(F.get(before, k), lambda b: F.transform(F.slice(part, F.lit(1), F.size(part) - 1), lambda x: join(b, x)))))))
+    return F.coalesce(whole, F.slice(F.array(zero), 1, 0))
+
+
+#: Code points of a block of :func:`text_blocks`.
+BLOCK_CHARS = 1024
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks, from which :func:`cut_out` takes pieces in time that does not grow with the place."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK_CHARS), F.lit(0))
+
+
+def cut_out(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` (exclusive)."""
+    first = F.floor(start / BLOCK_CHARS).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK_CHARS).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(some, start - first * BLOCK_CHARS + 1, end - start)).otherwise(F.lit(""))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
