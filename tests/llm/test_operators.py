@@ -64,7 +64,8 @@ def test_chat_round_trip(spark):
     probe = "</s>[INST] ok [/INST] \\ <|end|> <"
     rows = [(1, 0, "user", probe), (1, 1, "assistant", probe), (1, 1, "assistant", None), (2, 0, None, "x"), (3, None, "assistant|", "a\nb"), (None, 0, "assistant", "<|text|>"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
-    out = keyed(chat_format.read_back(chat_format.format_conversations(df)), "conv_id")
+    formatted = chat_format.format_conversations(df)
+    out, written = keyed(chat_format.read_back(formatted), "conv_id"), keyed(formatted, "conv_id")
     conv = {}
     for c, turn, role, text in rows:
         conv.setdefault(c, []).append((turn if turn is not None else -1, role or "", text or ""))
@@ -72,15 +73,46 @@ def test_chat_round_trip(spark):
     for c, turns in conv.items():
         turns.sort()
         assert [(t["role"], t["text"]) for t in out[c]["turns"]] == [(r, t) for _, r, t in turns]
-        assert out[c]["targets"] == [t for _, r, t in turns if r == "assistant"]
-        for e, target in zip(out[c]["examples"], out[c]["targets"], strict=True):
-            span = out[c]["formatted"][e["loss_start"] : e["loss_end"]]
+        assert out[c]["targets"] == [t for _, r, t in turns if r == "assistant"] and out[c]["chars"] == len(written[c]["formatted"])
+        for e, target in zip([m for m in written[c]["mask"] if m], out[c]["targets"], strict=True):
+            span = written[c]["formatted"][e["loss_start"] : e["loss_end"]]
             assert re.sub(r"\\(.)", r"\1", span, flags=re.S) == target and "[INST]" not in span and "</s>" not in span
-    formatted = chat_format.format_conversations(df)
     examples = chat_format.expand_examples(formatted).collect()
     assert len(examples) == 5
-    assert all(out[e["conv_id"]]["formatted"].startswith(e["context"] + e["target"] + chat_format.END) for e in examples)
-    assert chat_format.format_conversations(df.limit(0)).count() == 0
+    assert all(written[e["conv_id"]]["formatted"].startswith(e["context"] + e["target"] + chat_format.END) for e in examples)
+    assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).count() == 0
+
+
+def test_chat_loss_comes_from_the_mask(spark):
+    df = spark.createDataFrame([(1, 0, "user", "ask me"), (1, 1, "assistant", "told you"), (1, 2, "assistant", "again")], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_conversations(df)
+    moved = formatted.withColumn("mask", F.transform("mask", lambda m: F.when(m.isNotNull(), F.struct((m["loss_start"] + 1).alias("loss_start"), (m["loss_end"] + 1).alias("loss_end")))))
+    assert chat_format.read_back(formatted).first()["targets"] == ["told you", "again"]
+    assert chat_format.read_back(moved).first()["targets"] == ["old you", "gain"]  # a mask that is off by one shows
+
+
+def test_long_conversations_and_texts_take_linear_time(spark):
+    import time
+
+    def took(n, run):
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            run(n)
+            best = min(best, time.time() - began)
+        return best
+
+    def chat(n):
+        df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+        assert len(chat_format.read_back(chat_format.format_conversations(df)).select("targets").first()[0]) == n // 2
+
+    def mails(n):
+        df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit("a"), k, F.lit("@b.c"))), " ").alias("text"))
+        assert pii.redact_pii(df).first()[0] == " ".join(["[EMAIL]"] * n)
+
+    for run in (chat, mails):
+        took(1000, run)
+        assert took(64_000, run) < 2.5 * took(32_000, run) + 0.5
 
 
 # 2
