@@ -115,3 +115,28 @@ def from_planes(blob: bytes, dtype) -> np.ndarray:
     if not blob:
         return np.zeros(0, dtype)
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
+
+
+def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys, only buckets that have some: the top bits tell the bucket."""
+    if not len(keys):
+        return []
+    where = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    return list(zip(where[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows sorted by a column, all of one value together; no more than one value's rows are held."""
+    last, rows = None, []
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            for row in zip(*(part.column(c).to_pylist() for c in range(part.num_columns)), strict=True):
+                if row[column] != last and rows:
+                    yield last, rows
+                    rows = []
+                last = row[column]
+                rows.append(row)
+    if rows:
+        yield last, rows

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import map_arrow
 from .common import MOST_TASKS, checkpoint, deal_by_id, or_empty, partitions_for
 from .components import connected_components
-from .hashing import SPACE_WORD_BYTES, from_planes, gram_hashes, planes, text_chunks, word_hashes
+from .hashing import SPACE_WORD_BYTES, bucket_slices, from_planes, gram_hashes, planes, sorted_groups, text_chunks, word_hashes
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction of whole numbers: intersection / union >= 75 / 100.
@@ -77,15 +77,6 @@ def _bucket_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds, strict=True)], ["bucket", "mapper", "kind", "keys", "docs", "counts"])
 
 
-def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted keys, only buckets that have some: the top bits tell the bucket."""
-    if not len(keys):
-        return []
-    where = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-    return list(zip(where[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True))
-
-
 def _deal(buckets: int):
     """Texts to rows of shingles by bucket (kind 0), and for each flush a row of what need not be asked (kind 1).
 
@@ -142,25 +133,9 @@ def _deal(buckets: int):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows sorted by a column, all of one value together; no more than one value's rows are held."""
-    last, rows = None, []
-    for batch in batches:
-        for k in range(0, batch.num_rows, 64):
-            part = batch.slice(k, 64)
-            for row in zip(*(part.column(c).to_pylist() for c in range(part.num_columns)), strict=True):
-                if row[column] != last and rows:
-                    yield last, rows
-                    rows = []
-                last = row[column]
-                rows.append(row)
-    if rows:
-        yield last, rows
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: answer each mapper with its shingles that two or more sets have, and their counts."""
-    for _, rows in _by_bucket(batches, 0):
+    for _, rows in sorted_groups(batches, 0):
         for _, mapper, kind, keys, docs, counts in rows:
             if kind:
                 yield _bucket_rows([(0, mapper, 1, keys, docs, counts)])
@@ -228,7 +203,7 @@ def _gather(similarity: tuple[int, int]):
             yield _set_rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(batches, 1):
+        for _, rows in sorted_groups(batches, 1):
             yield from finish(rows)
 
     return run
@@ -432,19 +407,21 @@ def _join_groups(similarity: tuple[int, int]):
     return run
 
 
-def _run_groups(rows: DataFrame, parts: int, similarity: tuple[int, int]) -> DataFrame:
-    dealt = rows.select("cluster", "group", "role", "digest", "n", "keys", "counts", "component").repartition(parts, "cluster", "group").sortWithinPartitions("cluster", "group", "role", "digest")
+def _run_groups(places: DataFrame, sets: DataFrame, parts: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links of the sets that places (``cluster``, ``group``, ``role``, ``digest``, ``component``) bring together."""
+    rows = places.join(sets, "digest").select("cluster", "group", "role", "digest", "n", "keys", "counts", "component")
+    rows = rows.dropDuplicates(["cluster", "group", "role", "digest"])  # where the join has put them
+    dealt = rows.repartition(parts, "cluster", "group").sortWithinPartitions("cluster", "group", "role", "digest")
     return map_arrow(dealt, _join_groups(similarity), "a binary, b binary")
 
 
 def shared_sets(docs: DataFrame, text_bytes: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The distinct sets of which enough is shared: ``digest``, ``n``, ``keys`` (shared shingles, rarest first), ``counts``."""
+    """The sets of which enough is shared: ``digest``, ``n``, ``keys`` (shared shingles, rarest first), ``counts``; once for each flush that has a set."""
     buckets = max(1, -(-text_bytes // BUCKET_BYTES))
     parts = max(partitions_for(docs), min(buckets, MOST_TASKS))
     dealt = map_arrow(docs.select("text"), _deal(buckets), _BUCKETED)
     counted = map_arrow(deal_by_id(dealt, "bucket", buckets).sortWithinPartitions("bucket"), _count, _BUCKETED)
-    gathered = map_arrow(counted.repartition(parts, "mapper").sortWithinPartitions("mapper"), _gather(similarity), _SETS)
-    return gathered.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
+    return map_arrow(counted.repartition(parts, "mapper").sortWithinPartitions("mapper"), _gather(similarity), _SETS)
 
 
 def set_links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -454,14 +431,14 @@ def set_links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Data
     first = prefixes.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("times")).where("times > 1").drop("times")
     clusters = connected_components(prefixes.join(first, "key").select(F.col("digest").alias("a"), "b").where("a != b").distinct())
     clusters = clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
-    placed = sets.join(clusters, "digest")
-    size = placed.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.octet_length("keys") / 8).alias("shingles"))
-    size = size.select("cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # the sets themselves travel only once their places are known
+    placed = sets.groupBy("digest").agg(F.max(F.octet_length("keys") / 8).alias("shingles")).join(clusters, "digest")
+    size = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = checkpoint(placed.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")))
     none = F.lit(None).cast("binary")
-    own = placed.select("*", F.lit(0).alias("role"), F.col("block").cast("long").alias("group"), none.alias("component"))
-    pivots = placed.where("blocks > 1 AND block = 0").select("*", F.lit(1).alias("role"), F.explode(F.expr("sequence(1L, blocks - 1L)")).alias("group"), none.alias("component"))
-    links = checkpoint(_run_groups(own.unionByName(pivots), parts, similarity))
+    own = placed.select("cluster", F.col("block").cast("long").alias("group"), F.lit(0).alias("role"), "digest", none.alias("component"))
+    pivots = placed.where("blocks > 1 AND block = 0").select("cluster", F.explode(F.expr("sequence(1L, blocks - 1L)")).alias("group"), F.lit(1).alias("role"), "digest", none.alias("component"))
+    links = checkpoint(_run_groups(own.unionByName(pivots), sets, parts, similarity))
     large = placed.where("blocks > 1")
     if large.isEmpty():
         return links
@@ -470,16 +447,16 @@ def set_links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Data
     parted = checkpoint(large.join(roots, "digest", "left").withColumn("component", F.coalesce("root", "digest")).drop("root"))
     most = parted.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
     rest = checkpoint(parted.join(most, "cluster").where("component != main").drop("main"))  # a cluster's rows need not meet in one task from here on
-    extent = rest.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("keys") / 8) / BLOCK_SHINGLES)).cast("int").alias("rows"))
-    rest = checkpoint(rest.join(extent, "cluster"))
     if rest.isEmpty():
         return links
+    extent = rest.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("rows"))
     place = lambda row, column: (row.cast("long") * F.lit(1 << 31) + column.cast("long")).alias("group")
     row = F.pmod(F.xxhash64("digest", F.lit(1)), "rows")
-    inner = rest.withColumn("row", row).select("*", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col")).select("*", place(F.col("row"), F.col("col")))
-    probes = parted.join(extent, "cluster").select("*", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")).select("*", place(F.col("row"), F.col("block")))
-    keep = ["cluster", "group", "role", "digest", "n", "keys", "counts", "component"]
-    return links.unionByName(checkpoint(_run_groups(inner.select(keep).unionByName(probes.select(keep)), parts, similarity)))
+    inner = rest.join(extent, "cluster").withColumn("row", row).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"))
+    inner = inner.select("cluster", place(F.col("row"), F.col("col")), F.lit(1).alias("role"), "digest", "component")
+    probes = parted.join(extent, "cluster").select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    probes = probes.select("cluster", place(F.col("row"), F.col("block")), F.lit(2).alias("role"), "digest", "component")
+    return links.unionByName(checkpoint(_run_groups(inner.unionByName(probes), sets, parts, similarity)))
 
 
 def _rooted(docs: DataFrame, doc: str, text: str, similarity: tuple[int, int]) -> DataFrame:
