@@ -119,7 +119,9 @@ def test_long_conversations_and_texts_take_linear_time(spark):
 
 
 def test_shards(docs, nothing):
-    out = shuffle_shards.shuffle_into_shards(docs.union(docs.where("doc_id = 4")), shards=5).collect()
+    clash = docs.union(docs.where("doc_id = 4")).withColumns({c: F.lit("x") for c in ("shard", "slot", "bucket", "before", "row", "__bucket")})
+    out = shuffle_shards.shuffle_into_shards(clash, shards=5).collect()
+    assert all(r["bucket"] == r["row"] == "x" and r["n_words"] == "clash" for r in out)
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter([*TEXTS, (4, "one two")])
     sizes = Counter(r["shard"] for r in out)
     assert max(sizes.values()) - min(sizes.values()) <= 1
@@ -371,17 +373,37 @@ def test_repeats_inside_a_document(spark, tmp_path):
 # 7
 
 
-def test_language_model(docs, nothing):
-    got = keyed(ngram_lm.score_texts(docs))
-    tokens = {i: SPACE.findall((t or "").translate(LOW)) + [None] for i, t in TEXTS}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in TEXTS}
-    counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+def brute_model(texts):
+    """Per text: held out, tokens, known ones, N, unigram score, score of the discounted and quantised bigrams."""
+    tokens = [SPACE.findall((t or "").translate(LOW)) + [None] for _, t in texts]
+    held = [zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2 for i, _ in texts]
+    counts = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
+    pairs = Counter(p for ws, h in zip(tokens, held) if not h for p in zip([None, *ws], ws))
     n, v = sum(counts.values()), len(counts)
-    for i, ws in tokens.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert r["score"] <= 0
+    once, twice = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once else 0.5
+    for (i, _), ws, h in zip(texts, tokens, held):
+        alone = [(counts[w] + 1) / (n + v + 1) for w in ws]
+        score = 0.0
+        for before, w, p in zip([None, *ws], ws, alone):
+            if counts[before]:
+                c = pairs[before, w]
+                seen = 2 ** int(math.log2(c)) - discount if c else 0
+                p = ngram_lm.PAIR_WEIGHT * seen / counts[before] + (1 - ngram_lm.PAIR_WEIGHT) * p
+            score += math.log10(p)
+        yield i, h, len(ws), sum(counts[w] > 0 for w in ws), n, sum(map(math.log10, alone)), score
+
+
+def test_language_model(spark, docs, nothing):
+    more = [(None, "one two"), (None, LONG), (4, "one two"), (6, "other text of the id")]
+    table = docs.select("doc_id", "text", "n_words").union(spark.createDataFrame([(*r, "x") for r in more], "doc_id long, text string, n_words string"))
+    # so many bits that no probe errs
+    got = sorted(((r["doc_id"] or 0, r["n_tokens"], r) for r in ngram_lm.score_texts(table.withColumn("pack", F.lit("clash")), bits_per_entry=256).collect()), key=lambda x: x[:2])
+    want = sorted(((r[0] or 0, r[2], r) for r in brute_model([*TEXTS, *more])), key=lambda x: x[:2])
+    assert len(got) == len(want)
+    for (_, _, r), (_, _, w) in zip(got, want):
+        assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:5]
+        assert math.isclose(r["base_score"], w[5], rel_tol=1e-9) and math.isclose(r["score"], w[6], rel_tol=1e-9) and r["score"] < 0
     assert ngram_lm.score_texts(nothing).count() == 0
 
 
