@@ -1,11 +1,12 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line is judged on its own by a punctuation, a navigation and a boilerplate rule; failing lines are
-removed; a document goes if it fails the base rules or loses too much of its text.
+Every line is judged on its own: by punctuation (marks after most words, no mark at its end), by its words (capitals, words without
+letters, links), as navigation and as boilerplate. Failing lines are removed; a document goes if it fails the base rules or loses too
+much of its text.
 
 Defined cases: a null text counts as an empty one (no words, rejected, cleaned text empty); an empty table
-gives an empty table; repeated rows are judged each on their own; all other columns pass through, and a column
-named like one of the results is replaced by it.
+gives an empty table; repeated rows and rows of one doc_id are judged each on their own; a very long text is one row of its words, which must
+fit a task; all other columns pass through, and a column named like one of the results is replaced by it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,15 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST = 0.5
 #: A line fails the punctuation rule if symbols or marks other than sentence marks follow more than this share of its words.
 MAX_MARKED_WORDS = 0.5
+#: Shares of a line's words, and words that a line needs to be judged by them.
+MAX_CAPITALS, MAX_LETTERLESS, MAX_LINKS = 0.8, 0.4, 0.3
+LEAST_SHOUTED, LEAST_LETTERLESS = 8, 5
+#: Lines of so many words need a mark at their end: fragments of menus and lists have none, longer ones are prose all the same.
+ENDED_WORDS = (5, 30)
+_SPACE = r"\x20\x09-\x0D"
+#: Marks with which a line of prose may end.
+_CLOSING = r".!?…:;\x22'”»’)\]。！？"
+_LETTERS = r"A-Za-z\x{80}-\x{10FFFF}"
 BOILERPLATE = ("lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here")
 
 
@@ -74,14 +84,61 @@ def _boilerplate(line: Column) -> Column:
     return _has_phrase(line, F.lit(False)) & (F.regexp_count(line, F.lit(SPACE_WORD)) <= 20)
 
 
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(SPACE_WORD))
+
+
+def _whole_words(line: Column, word: str) -> Column:
+    """How many words of the line match as a whole."""
+    return F.regexp_count(line, F.lit(f"(?<![^{_SPACE}])(?:{word})(?![^{_SPACE}])"))
+
+
+def _unended(line: Column) -> Column:
+    """Second punctuation rule: a short line that no closing mark ends."""
+    return line.rlike(f"[^{_CLOSING}{_SPACE}][{_SPACE}]*+\\z") & _words(line).between(*ENDED_WORDS)
+
+
+def _shouted(line: Column) -> Column:
+    """Word rule: most words have capitals and no small letters."""
+    n = _words(line)
+    return (n >= LEAST_SHOUTED) & (_whole_words(line, f"[^a-z{_SPACE}]*?[A-Z][^a-z{_SPACE}]*+") >= F.lit(MAX_CAPITALS) * n)
+
+
+def _letterless(line: Column) -> Column:
+    """Word rule: many words hold no letter."""
+    n = _words(line)
+    return (n >= LEAST_LETTERLESS) & (_whole_words(line, f"[^{_LETTERS}{_SPACE}]++") > F.lit(MAX_LETTERLESS) * n)
+
+
+def _linked(line: Column) -> Column:
+    """Word rule: many words are links."""
+    return _whole_words(line, f"(?:https?://|www[.])[^{_SPACE}]*+") > F.lit(MAX_LINKS) * _words(line)
+
+
+#: Rules with what a line, and so the text, must match before they are worth trying. The patterns mean the same for a line and a text of lines.
+_RULES = (
+    (r"[#*$%&<>]|[!?]{2}", _marked),
+    (r"[|»›•·>]", _navigation),
+    (f"(?m)[^{_CLOSING}{_SPACE}][{_SPACE}]*+$", _unended),
+    (r"[A-Z][^a-z]{15}", _shouted),
+    (f"(?<![^{_SPACE}])[^{_LETTERS}{_SPACE}]++(?![^{_SPACE}])", _letterless),
+    (r"https?://|www[.]", _linked),
+)
+
+
 def line_fails(line: Column) -> Column:
     """Whether any rule removes the line; cheap tests stand before the costly ones."""
-    return (line.rlike(r"[#*$%&<>]|[!?]{2}") & _marked(line)) | (line.rlike(r"[|»›•·>]") & _navigation(line)) | _boilerplate(line)
+    fails = _boilerplate(line)
+    for gate, rule in _RULES:
+        fails = fails | (line.rlike(gate) & rule(line))
+    return fails
 
 
 def _suspect(text: Column) -> Column:
     """Whether any line of the text can fail: a cheap test of the whole text before the rules of its lines."""
-    found = text.rlike(r"[#*$%&<>|»›•·]|[!?]{2}")
+    found = F.lit(False)
+    for gate, _ in _RULES:
+        found = found | text.rlike(gate)
     return _has_phrase(text, found)
 
 

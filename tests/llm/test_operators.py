@@ -585,11 +585,45 @@ def test_quality(docs, nothing):
     assert quality_rules.apply_quality_rules(nothing).count() == 0
 
 
+def brute_line_fails(line):
+    words = SPACE.findall(line)
+    n = len(words)
+    marked = len(re.findall(r"(?:[#*$%&<>]|[!?]{2,})(?=[\x20\x09-\x0D]|$)", line))
+    separators = sum(w in ("|", "»", "›", "•", "·", ">") for w in words)
+    phrase = any(form in line for p in quality_rules.BOILERPLATE for form in (p, p.capitalize(), p.title(), p.upper()))
+    shouted = sum(any("A" <= c <= "Z" for c in w) and not any("a" <= c <= "z" for c in w) for w in words)
+    letterless = sum(not any(c >= "\x80" or c.isalpha() for c in w) for w in words)
+    links = sum(w.startswith(("http://", "https://", "www.")) for w in words)
+    return (
+        marked > 0.5 * n or separators >= 3 and 4 * separators >= n or phrase and n <= 20
+        or 5 <= n <= 30 and words[-1][-1] not in ".!?…:;\"'”»’)]。！？" or n >= 8 and shouted >= 0.8 * n or n >= 5 and letterless > 0.4 * n or links > 0.3 * n
+    )
+
+
+def brute_quality(text):
+    """(kept, cleaned text) given that the base rules pass."""
+    lines = (text or "").split("\n")
+    bad = [bool(SPACE.search(x)) and brute_line_fails(x) for x in lines]
+    full = sum(len(x) for x in lines if SPACE.search(x))
+    lost = sum(len(x) for x, b in zip(lines, bad) if b)
+    return lost <= 0.5 * full, "\n".join(x for x, b in zip(lines, bad) if not b), lost
+
+
+def test_kept_against_brute_force(spark, docs, folder):
+    table = docs.select("doc_id", "text").union(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    kinds = Counter()
+    for r in quality_rules.apply_quality_rules(table).collect():
+        keeps, clean, lost = brute_quality(r["text"])
+        assert (r["kept"], r["cleaned_text"], r["lost_chars"]) == (keeps and not r["base_failed"], clean, lost), r["text"]
+        kinds[r["kept"], lost > 0] += 1
+    assert len(kinds) == 4
+
+
 def test_lines_are_judged(spark):
     good = "This is a good line of prose that ends well."
-    text = "\n".join([good] * 1 + ["Home | News | Contact | About |", "we%%% love$$$ odd### marks***", "Read our Privacy Policy"])
-    row = quality_rules.apply_quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert row["cleaned_text"] == good
+    bad = ["Home | News | Contact | About |", "we%%% love$$$ odd### marks***", "Read our Privacy Policy", "THIS LINE IS ALL IN CAPITALS, SO OUT IT GOES!", "1 22 333 4.4 five.", "this one has no mark at its end", "see https://a.example www.b.example"]
+    row = quality_rules.apply_quality_rules(spark.createDataFrame([(1, "\n".join([good, *bad, good, "Two words"]))], "doc_id long, text string")).first()
+    assert row["cleaned_text"] == f"{good}\n{good}\nTwo words"
 
 
 # pipeline
