@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, or_empty
+from .common import SPACE_WORD, let, or_empty
 
 SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS = 50
@@ -28,9 +28,11 @@ MAX_CAPITALS, MAX_LETTERLESS, MAX_LINKS = 0.8, 0.4, 0.3
 LEAST_SHOUTED, LEAST_LETTERLESS = 8, 5
 #: Lines of so many words need a mark at their end: fragments of menus and lists have none, longer ones are prose all the same.
 ENDED_WORDS = (5, 30)
+#: A stock phrase fails a line of so many words at the most.
+BOILERPLATE_WORDS = 20
 _SPACE = r"\x20\x09-\x0D"
 #: Marks with which a line of prose may end.
-_CLOSING = r".!?…:;\x22'”»’)\]。！？"
+_CLOSING = ".!?…:;\"'”»’)]。！？"
 _LETTERS = r"A-Za-z\x{80}-\x{10FFFF}"
 BOILERPLATE = ("lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here")
 
@@ -79,11 +81,6 @@ def _has_phrase(text: Column, found: Column) -> Column:
     return found
 
 
-def _boilerplate(line: Column) -> Column:
-    """Boilerplate rule: a stock phrase in a line of at most 20 words."""
-    return _has_phrase(line, F.lit(False)) & (F.regexp_count(line, F.lit(SPACE_WORD)) <= 20)
-
-
 def _words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(SPACE_WORD))
 
@@ -95,7 +92,8 @@ def _whole_words(line: Column, word: str) -> Column:
 
 def _unended(line: Column) -> Column:
     """Second punctuation rule: a short line that no closing mark ends."""
-    return line.rlike(f"[^{_CLOSING}{_SPACE}][{_SPACE}]*+\\z") & _words(line).between(*ENDED_WORDS)
+    last = F.right(F.rtrim(line, F.lit(" \t\x0b\x0c\r")), F.lit(1))
+    return (F.instr(F.lit(_CLOSING), last) == 0) & _words(line).between(*ENDED_WORDS)
 
 
 def _shouted(line: Column) -> Column:
@@ -115,31 +113,37 @@ def _linked(line: Column) -> Column:
     return _whole_words(line, f"(?:https?://|www[.])[^{_SPACE}]*+") > F.lit(MAX_LINKS) * _words(line)
 
 
-#: Rules with what a line, and so the text, must match before they are worth trying. The patterns mean the same for a line and a text of lines.
+def _phrase(text: Column) -> Column:
+    return _has_phrase(text, F.lit(False))
+
+
+#: Rules with the test that a text, and then a line of it, must pass before they are worth trying; it means the same for both.
 _RULES = (
-    (r"[#*$%&<>]|[!?]{2}", _marked),
-    (r"[|»›•·>]", _navigation),
-    (f"(?m)[^{_CLOSING}{_SPACE}][{_SPACE}]*+$", _unended),
-    (r"[A-Z][^a-z]{15}", _shouted),
-    (f"(?<![^{_SPACE}])[^{_LETTERS}{_SPACE}]++(?![^{_SPACE}])", _letterless),
-    (r"https?://|www[.]", _linked),
+    (lambda t: t.rlike(r"[#*$%&<>|»›•·]|[!?]{2}"), lambda line: _marked(line) | _navigation(line)),
+    (lambda t: t.rlike(r"[A-Z][^a-z]{15}"), _shouted),
+    (lambda t: t.rlike(f"(?:^|[{_SPACE}])[^{_LETTERS}{_SPACE}]"), _letterless),
+    (lambda t: t.contains("http") | t.contains("www."), _linked),
+    (_phrase, lambda line: _words(line) <= BOILERPLATE_WORDS),
 )
 
 
-def line_fails(line: Column) -> Column:
-    """Whether any rule removes the line; cheap tests stand before the costly ones."""
-    fails = _boilerplate(line)
-    for gate, rule in _RULES:
-        fails = fails | (line.rlike(gate) & rule(line))
+def line_fails(line: Column, worth: list[Column] | None = None) -> Column:
+    """Whether any rule removes the line. ``worth``: what the tests of the whole text say, rule by rule; cheap tests stand before the costly ones."""
+    fails = _unended(line)
+    for k, (test, rule) in enumerate(_RULES):
+        passed = test(line) & rule(line)
+        fails = fails | (passed if worth is None else worth[k] & passed)
     return fails
 
 
-def _suspect(text: Column) -> Column:
-    """Whether any line of the text can fail: a cheap test of the whole text before the rules of its lines."""
-    found = F.lit(False)
-    for gate, _ in _RULES:
-        found = found | text.rlike(gate)
-    return _has_phrase(text, found)
+def _parted(text: Column) -> Column:
+    """``bad``: the failing lines; ``clean``: the text without them. The whole text is tested once for each rule before its lines are."""
+    worth = F.struct(*[test(text).alias(f"w{k}") for k, (test, _) in enumerate(_RULES)])
+    flags = lambda w: [w[f"w{k}"] for k in range(len(_RULES))]
+    blank = lambda line: ~line.rlike(f"[^{_SPACE}]")
+    judged = let(worth, lambda w: F.transform(F.split(text, "\n", -1), lambda line: F.struct(line.alias("line"), (~blank(line) & line_fails(line, flags(w))).alias("bad"))))
+    lines = lambda rows: F.transform(rows, lambda r: r["line"])
+    return let(judged, lambda rows: let(F.filter(rows, lambda r: r["bad"]), lambda bad: F.struct(lines(bad).alias("bad"), F.when(F.size(bad) == 0, text).otherwise(F.array_join(lines(F.filter(rows, lambda r: ~r["bad"])), "\n")).alias("clean"))))
 
 
 def apply_quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
@@ -153,14 +157,12 @@ def apply_quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_symbols", F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long"))
         .withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
         .withColumn("base_failed", (F.size("__w") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.size("__w")))
-        .withColumn("__bad", F.when(_suspect(F.col("__t")), F.filter(F.col("__l"), line_fails)).otherwise(F.array().cast("array<string>")))
+        .withColumn("__p", _parted(F.col("__t")))
     )
     chars = lambda lines: F.coalesce(F.length(F.array_join(lines, "")), F.lit(0)).cast("long")
-    out = out.withColumn("lost_chars", chars("__bad"))
-    clean = F.when(F.size("__bad") == 0, F.col("__t")).otherwise(F.array_join(F.filter(F.split("__t", "\n", -1), lambda line: ~line_fails(line)), "\n"))
-    out = out.withColumn("cleaned_text", clean)
+    out = out.withColumn("lost_chars", chars(F.col("__p.bad"))).withColumn("cleaned_text", F.col("__p.clean"))
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= F.lit(MAX_LOST) * chars("__l"))
-    return out.withColumn("kept", kept).drop("__t", "__w", "__l", "__bad")
+    return out.withColumn("kept", kept).drop("__t", "__w", "__l", "__p")
 
 
 def filter_quality(df: DataFrame, text: str = "text") -> DataFrame:

@@ -328,6 +328,28 @@ def planted_repeats(seed, pairs, size):
     return rows, [(k - 10**6, text(400)) for k in range(400)], passages
 
 
+def test_equal_words_beside_a_passage():
+    """Against a comparison word by word."""
+    unit = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+    def units(own, other, last):
+        chars = 0
+        for a, b in zip(own, other):
+            if a != b:
+                if last and SPACE.match(a)[0] == SPACE.match(b)[0]:
+                    chars += len(SPACE.match(a)[0])
+                break
+            chars += len(a)
+        return chars
+
+    r = random.Random(3)
+    for _ in range(20_000):
+        a, b = ("".join(r.choice(["a", "b", "ab", " ", "  ", "\n"]) for _ in range(r.randrange(9))).lstrip() for _ in range(2))
+        assert chunk_dedup.equal_after(a, b) == units(unit.findall(a), unit.findall(b), True), (a, b)
+        c, d = (x + " " if x and not x[-1].isspace() else x for x in (a, b))  # what stands before a chunk ends with space
+        assert chunk_dedup.equal_before(c, d) == units(unit.findall(c)[::-1], unit.findall(d)[::-1], False), (c, d)
+
+
 def test_earlier_documents_cut_no_passage(spark):
     rows, earlier, passages = planted_repeats(17, 60, 55)
 
