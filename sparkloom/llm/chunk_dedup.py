@@ -11,7 +11,8 @@ one distance are joined. Then the texts are compared, and a passage grows to bot
 Passages of one document with different first places may overlap.
 
 Defined cases: null and empty texts have no chunks; repeated rows and rows of one doc_id are one document, their equal windows at equal
-places counting once; a null doc_id comes before all others; an empty table gives an empty table; other columns are ignored.
+places counting once; a null doc_id comes before all others; very long texts are hashed alone, in time linear in their length; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .common import SPACE_WORD, checkpoint, or_empty, partitions_for, release_shuffles
-from .hashing import _BYTE_VALUES, _ODD, _ODD_INVERSE, SPACE_WORD_BYTES, _power_table, from_planes, mix, planes, text_chunks
+from .common import MOST_TASKS, SPACE_WORD, deal_by_id, or_empty, packed_checkpoint, partitions_for
+from .hashing import _BYTE_VALUES, _ODD, _ODD_INVERSE, SPACE_WORD_BYTES, _power_table, bucket_slices, from_planes, mix, planes, sorted_groups, text_chunks
 
 #: Bytes before a word that its hash covers, and words in a row of which the least hash is a boundary.
 WINDOW, WINNOW = 16, 8
@@ -37,7 +38,7 @@ RIM_BEFORE, RIM_AFTER = 16, 28
 #: A repeated passage has so many words in whole chunks, and so many chunks.
 LEAST_WORDS, LEAST_CHUNKS = 20, 2
 BUCKET_BYTES = 6_000_000
-MAPPER_CHUNKS = 1_000_000
+MAPPER_CHUNKS = 500_000
 
 _GEAR = np.random.default_rng(4242).integers(0, 1 << 32, 256, dtype=np.uint32)
 _NULL_ID = -(1 << 63)
@@ -114,18 +115,16 @@ def _deal(buckets: int, least_words: int, least_chunks: int):
             held.clear()
             order = np.argsort(keys, kind="stable")
             docs, starts, ends, word_at, words, keys = (x[order] for x in (docs, starts, ends, word_at, words, keys))
-            where = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64)).tolist()
-            filled = [(b, i, j) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+            filled = bucket_slices(keys, buckets)
             columns = [pa.array([b for b, _, _ in filled], pa.int32())]
-            columns += [pa.array([planes(x[i:j]) for _, i, j in filled], pa.binary()) for x in (keys, docs, *(x.astype(np.uint32) for x in (starts, ends, word_at)), words.astype(np.uint16))]
+            columns += [pa.array([planes(x[i:j]) for _, i, j in filled], pa.binary()) for x in (keys, docs, starts, ends, word_at, words)]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _DEALT.split(", ")])
 
         size = 0
         for batch in batches:
             ids = np.array(batch.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False), np.int64)
             for row, *columns in window_texts(batch.column("text"), least_words, least_chunks):
-                held.append((ids[row], *columns))
+                held.append((ids[row], *(x.astype(kind, copy=False) for x, kind in zip(columns, (np.uint32, np.uint32, np.uint32, np.uint16, np.uint64), strict=True))))
                 size += len(row)
                 if size >= MAPPER_CHUNKS:
                     yield flush()
@@ -136,28 +135,27 @@ def _deal(buckets: int, least_words: int, least_chunks: int):
     return run
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: all windows whose digest other places share, with the first of them."""
-    held: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-            held.setdefault(row[0], []).append(row[1:])
-    kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint16)
-    for bucket in list(held):
-        rows = held.pop(bucket)
-        keys, docs, starts, ends, word_at, words = (np.concatenate([from_planes(r[k], kind) for r in rows]) for k, kind in enumerate(kinds))
-        order = np.lexsort((starts, docs, keys))
-        keys, docs, starts, ends, word_at, words = (x[order] for x in (keys, docs, starts, ends, word_at, words))
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])))
-        keys, docs, starts, ends, word_at, words = (x[new] for x in (keys, docs, starts, ends, word_at, words))
-        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        times = np.diff(np.append(edge, len(keys)))
-        first, many = np.repeat(edge, times), np.repeat(times, times) > 1
-        picked = np.flatnonzero(many)
-        for k in range(0, len(picked), 50_000):
-            p = picked[k : k + 50_000]
-            columns = (docs[p], starts[p], ends[p], word_at[p], words[p], docs[first[p]], starts[first[p]])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], [x.split()[0] for x in _HIT.split(", ")])
+def _resolve(firsts: bool):
+    """Per bucket: all windows whose digest other places share, with the first of them; ``firsts``: the first itself too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint16)
+        for _, rows in sorted_groups(batches, 0):
+            keys, docs, starts, ends, word_at, words = (np.concatenate([from_planes(r[k], kind) for r in rows]) for k, kind in enumerate(kinds, 1))
+            order = np.lexsort((starts, docs, keys))
+            keys, docs, starts, ends, word_at, words = (x[order] for x in (keys, docs, starts, ends, word_at, words))
+            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])))
+            keys, docs, starts, ends, word_at, words = (x[new] for x in (keys, docs, starts, ends, word_at, words))
+            edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            times = np.diff(np.append(edge, len(keys)))
+            first, many = np.repeat(edge, times), np.repeat(times, times) > 1
+            picked = np.flatnonzero(many if firsts else many & (first != np.arange(len(keys))))
+            for k in range(0, len(picked), 50_000):
+                p = picked[k : k + 50_000]
+                columns = (docs[p], starts[p], ends[p], word_at[p], words[p], docs[first[p]], starts[first[p]])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], [x.split()[0] for x in _HIT.split(", ")])
+
+    return run
 
 
 def _join_runs():
@@ -231,17 +229,46 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
 
 
-def _equal_units(own: Iterator[str], other: Iterator[str], last: bool) -> tuple[int, int]:
-    """Words and characters that are equal from the start on; with ``last`` a word counts though the space after it differs."""
-    words = chars = 0
-    for a, b in zip(own, other, strict=False):
-        if a != b:
-            word = _WORD.match(a)[0]
-            if last and word == _WORD.match(b)[0]:
-                words, chars = words + 1, chars + len(word)
-            break
-        words, chars = words + 1, chars + len(a)
-    return words, chars
+_BLANKS = frozenset("\x20\t\n\x0b\x0c\r")
+
+
+def _alike(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def equal_after(a: str, b: str) -> int:
+    """Characters of the equal words that both begin with, and of the equal space between them."""
+    n = _alike(a, b)
+    if not n:
+        return 0
+    next_a, next_b = a[n : n + 1], b[n : n + 1]
+    if a[n - 1] in _BLANKS:  # a word counts though the space after it differs
+        return len(a[:n].rstrip("".join(_BLANKS))) if next_a in _BLANKS or next_b in _BLANKS else n
+    if (not next_a or next_a in _BLANKS) and (not next_b or next_b in _BLANKS):
+        return n
+    while n and a[n - 1] not in _BLANKS:
+        n -= 1
+    return n
+
+
+def equal_before(a: str, b: str) -> int:
+    """Characters of the equal words that both end with, each with the space after it."""
+    n = _alike(a[::-1], b[::-1])
+    i, j = len(a) - n, len(b) - n
+    if n and a[i] not in _BLANKS and (i and a[i - 1] not in _BLANKS or j and b[j - 1] not in _BLANKS):
+        while i < len(a) and a[i] not in _BLANKS:  # the rest of a word that differs
+            i += 1
+    while i < len(a) and a[i] in _BLANKS:
+        i += 1
+    return len(a) - i
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,28 +280,26 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in own or ():
                 for y in kept or ():
                     if x["digest"] == y["digest"]:
-                        left = _equal_units(reversed(_UNIT.findall(x["before"])), reversed(_UNIT.findall(y["before"])), False)
-                        right = _equal_units(iter(_UNIT.findall(x["after"])), iter(_UNIT.findall(y["after"])), True)
-                        most = max(most, (left[0] + right[0], left[1], right[1]))
+                        left, right = equal_before(x["before"], y["before"]), equal_after(x["after"], y["after"])
+                        more = len(_WORD.findall(x["before"][len(x["before"]) - left :])) + len(_WORD.findall(x["after"][:right]))
+                        most = max(most, (more, left, right))
             rows.append((doc, start - most[1], end + most[2], words + most[0], first, first_start - most[1]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
 
-def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_chunks: int = LEAST_CHUNKS) -> DataFrame:
+def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_chunks: int = LEAST_CHUNKS, firsts: bool = True) -> DataFrame:
     """Per repeated passage: ``doc_id``, ``start``, ``end`` (code points), ``n_words``, ``first_doc``, ``first_start``.
 
-    The first place of a passage is a row too, with itself as first; where it differs, the span can be cut out of ``doc_id``.
+    The first place of a passage is a row too (unless ``firsts`` is false), with itself as first; where it differs, the span can be cut out of ``doc_id``.
     """
     docs = docs.select(F.col(doc).cast("long").alias("doc_id"), or_empty(text).alias("text"))
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(32, -(-text_bytes // BUCKET_BYTES))
-    parts = max(partitions_for(docs), min(buckets, 20_000))
-    dealt = map_arrow(docs, _deal(buckets, least_words, least_chunks), _DEALT).repartition(parts, "bucket")
-    found = map_arrow(dealt, _resolve, _HIT).repartition(parts, "doc_id").sortWithinPartitions("doc_id")
-    runs = checkpoint(map_arrow(found, _join_runs(), _FOUND))
-    del dealt, found
-    release_shuffles(docs.sparkSession)
+    parts = max(partitions_for(docs), min(buckets, MOST_TASKS))
+    dealt = deal_by_id(map_arrow(docs, _deal(buckets, least_words, least_chunks), _DEALT), "bucket", buckets).sortWithinPartitions("bucket")
+    found = map_arrow(dealt, _resolve(firsts), _HIT).repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    runs = packed_checkpoint(found, _join_runs(), _FOUND)
     itself = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
     firsts, runs = runs.where(itself), runs.where(~itself)  # a first place has no other text to be compared with
     size = (F.col("end") - F.col("start")).alias("size")
@@ -295,5 +320,5 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 
 def op6_chunk_dedup(spark, sf_dir: str) -> DataFrame:
     """Passages that stand earlier too, in another document or the same: each row pairs the place to cut with the one that keeps the passage."""
-    found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), firsts=False)
     return found.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start"))))

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are hashed together up to so many bytes; a longer text alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
