@@ -10,6 +10,9 @@ matches take time in proportion to their length; other columns pass through, wha
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,12 @@ PATTERNS = {
     # a value that is assigned to a telling name
     "secret": r"(?i)(?<![a-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\x22']?\x20?(?:=|:)\x20?[\x22']?[a-z0-9+/=_.~!@#$%^&*-]{8,}+",
 }
+
+
+def _holds(text: Column, *strings: str) -> Column:
+    return reduce(or_, (text.contains(s) for s in strings))
+
+
 #: A text without a match of these cannot hold a span of the kind.
 GATES = {
     "email": lambda t: t.contains("@"),
@@ -43,8 +52,8 @@ GATES = {
     "phone": lambda t: t.contains("+"),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"),
     "ssn": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    "key": lambda t: t.contains("AKIA") | t.contains("ASIA") | t.rlike(r"gh[opsu]_|xox[abpr]-|AIza|sk-[A-Za-z0-9_-]{20}|eyJ|-----BEGIN "),
-    "secret": lambda t: t.rlike(r"[A-Za-z][\x22']?\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/=_.~!@#$%^&*-]{8}"),
+    "key": lambda t: _holds(t, "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "xox", "AIza", "sk-", "eyJ", "-----BEGIN "),
+    "secret": lambda t: _holds(t, "=", ":") & t.rlike(r"[A-Za-z][\x22']?\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/=_.~!@#$%^&*-]{8}"),
 }
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.2, "key": 0.9, "secret": 0.4}
 CONTEXT = {
