@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigurationError
+from . import codecs
+from .codecs import SHORTLIST
 
-CODECS = ("fp32", "int8", "binary", "polar")
-#: Candidates that a coded search hands to exact rescoring, for each result asked for.
-SHORTLIST = 4
+#: Known vectors of so many components are written out in generated code; longer ones are one array literal.
+UNROLLED = 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,7 +31,9 @@ def literal(vector: list[float]) -> Column:
 
 
 def dot_with(v: Column, query: list[float]) -> Column:
-    """The dot product with a known vector, component by component: no lambda, so it stays in generated code."""
+    """The dot product with a known vector: component by component in generated code while that stays small."""
+    if len(query) > UNROLLED:
+        return dot(v, literal(query))
     total = F.lit(0.0)
     for i, x in enumerate(query):
         total = total + F.get(v, F.lit(i)).cast("double") * float(x)
@@ -65,26 +67,24 @@ def hamming(a: Column, bits: list[int]) -> Column:
     return total
 
 
-def approximate_score(v: Column, query: list[float], codec: str) -> Column:
-    """What a codec's code of the direction says about the cosine."""
+def int8_score(v: Column, query: list[float]) -> Column:
+    """What the int8 code of a vector says about the dot product with the query's direction, in built-in functions."""
     norm = math.sqrt(sum(x * x for x in query)) or 1.0
-    unit = [x / norm for x in query]
-    if codec == "int8":
-        scale = int8_scale(v)
-        return dot_with(int8_codes(v, scale), unit) * scale / 127
-    if codec == "binary":
-        return F.cos(F.lit(math.pi) * hamming(sign_bits(v), [1 if x >= 0 else 0 for x in unit]) / len(unit))
-    raise ConfigurationError(f"Unknown codec {codec}", f"Known: {', '.join(CODECS)}")
+    scale = int8_scale(v)
+    return dot_with(int8_codes(v, scale), [x / norm for x in query]) * scale / 127
 
 
-def top_k(df: DataFrame, key: str, vector: str, query: list[float], k: int, codec: str = "fp32") -> DataFrame:
+def top_k(df: DataFrame, key: str, vector: str, query: list[float], k: int, codec: str = "fp32", code: str | None = None) -> DataFrame:
     """``key``, ``score`` of the k nearest rows by cosine. Coded search scores codes first and rescores SHORTLIST * k exactly.
 
-    Only the key and the vector are read; both limits are a top-k per task and a merge of tops.
+    With ``code``, a column of stored codes, only keys and codes are read for the shortlist and vectors for its few rows; without one the codes
+    are made on the way. Both limits are a top-k per task and a merge of tops.
     """
+    codecs.check_codec(codec)
     if not any(query):
         return df.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).limit(0)
-    rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
     if codec != "fp32":
-        rows = rows.withColumn("approx", approximate_score(F.col("v"), query, codec)).orderBy(F.desc("approx"), "key").limit(SHORTLIST * k)
+        few = codecs.shortlist(df, key, code or vector, query, SHORTLIST * k, codec, code is not None)
+        rows = rows.join(F.broadcast(few.select("key")), "key")  # SHORTLIST * k rows at the most
     return rows.select("key", cosine_with(F.col("v"), query).alias("score")).orderBy(F.desc("score"), "key").limit(k)

@@ -11,6 +11,7 @@ from ..catalog import Graph, node_id
 from ..errors import SchemaError
 from ..functions import text as bm
 from ..functions import vectors
+from . import embed, textindex
 
 RRF_K, LABEL_CAP, TOP_K, MAX_HOPS, TOKEN_BUDGET = 60, 2, 8, 3, 2000
 
@@ -43,20 +44,44 @@ def diversify(fused: DataFrame, top_k: int = TOP_K, cap: int = LABEL_CAP) -> Dat
 def expand(graph: Graph, seeds: DataFrame, hops: int = 1, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All nodes within ``hops`` of the seeds (``node_id``, ``depth``) and the edges met on the way, regardless of direction.
 
-    Breadth first: each level joins the last level's new nodes only, so paths are never enumerated.
+    Breadth first: each level joins the last level's new nodes only, so paths are never enumerated. The reached nodes are kept
+    level by level, so that no level is worked out again; each relationship type is joined on its own keys, where files and their statistics can prune.
     """
     hops = max(0, min(MAX_HOPS, hops))
-    edges = graph.edges() if edges is None else edges
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src"))
     reached = seeds.select("node_id").distinct().withColumn("depth", F.lit(0))
-    frontier = reached
+    frontier, touched = reached, None
+    types = None if edges is not None else graph.visible_rels()
     for depth in range(1, hops + 1):
-        step = frontier.join(both, frontier["node_id"] == both["a"]).select(F.col("b").alias("node_id")).distinct()
-        frontier = step.join(reached.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = frontier.persist()
+        if types is None:
+            near = frontier.select(F.col("node_id").alias("near"))
+            met = edges.join(near, edges["src"] == near["near"], "left_semi").union(edges.join(near, edges["dst"] == near["near"], "left_semi"))
+        else:
+            met = _edges_at(graph, frontier, types)
+        met = met.distinct().persist()
+        ends = met.select(F.col("src").alias("node_id")).union(met.select("dst")).distinct()
+        frontier = ends.join(reached.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth))
         reached = reached.unionByName(frontier)
-    inner = reached.where(F.col("depth") < hops).select(F.col("node_id").alias("near"))
-    touched = edges.join(inner, edges["src"] == inner["near"], "left_semi").union(edges.join(inner, edges["dst"] == inner["near"], "left_semi")).distinct()
-    return reached, touched
+        touched = met if touched is None else touched.union(met)
+    if touched is None:
+        touched = (graph.edges() if edges is None else edges).limit(0)
+    return reached, touched.distinct()
+
+
+def _edges_at(graph: Graph, frontier: DataFrame, types: list[str]) -> DataFrame:
+    """Edges with an end in the frontier; keys are compared as their own type."""
+    out = None
+    keys = {}
+    for name in types:
+        spec = graph.rel_specs[name]
+        for end, label in (("_src", spec.source), ("_dst", spec.target)):
+            if label not in keys:
+                mine = frontier.where(F.col("node_id").startswith(f"{label}:"))
+                keys[label] = mine.select(F.expr(f"substring(node_id, {len(label) + 2})").cast(graph.key_type(label)).alias("near"))
+            rel, near = graph.rels[name], keys[label]
+            one = rel.join(near, rel[end] == near["near"], "left_semi").select(F.lit(name).alias("type"), node_id(spec.source, F.col("_src")).alias("src"), node_id(spec.target, F.col("_dst")).alias("dst"))
+            out = one if out is None else out.union(one)
+    return out
 
 
 def shortest_hops(edges: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
@@ -70,16 +95,25 @@ def shortest_hops(edges: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
     return reached
 
 
-def text_hits(graph: Graph, query: str, labels: list[str], top_k: int) -> DataFrame | None:
-    """BM25 hits of each table, at most ``top_k`` of each, ranked by table and then by score."""
+def searched_columns(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if t == "string" and not c.startswith("_")]
+
+
+def text_hits(graph: Graph, query: str, labels: list[str], top_k: int, root: str | None = None) -> DataFrame | None:
+    """BM25 hits of each table, at most ``top_k`` of each, ranked by table and then by score.
+
+    A table made of files is searched by its stored index below ``root`` (the session's shared folder by default), any other by a scan.
+    """
     out = None
     for order, label in enumerate(labels):
         df, spec = graph.nodes[label], graph.node_specs[label]
-        columns = [c for c, t in df.dtypes if t == "string" and not c.startswith("_")]
+        columns = searched_columns(df)
         terms = bm.query_terms(df.sparkSession, query)
         if not columns or not terms:
             continue
-        hits = bm.bm25(df, spec.key, columns, terms).orderBy(F.desc("score"), "key").limit(top_k)
+        index = textindex.index_for(df, spec.key, columns, root or textindex.shared_root(df.sparkSession))
+        hits = index.search(terms) if index else bm.bm25(df, spec.key, columns, terms)
+        hits = hits.orderBy(F.desc("score"), "key").limit(top_k)
         one = hits.select(node_id(label, F.col("key")).alias("node_id"), F.lit(label).alias("label"), F.lit(order).alias("table"), "score")
         out = one if out is None else out.unionByName(one)
     if out is None:
@@ -93,7 +127,8 @@ def vector_hits(graph: Graph, query: list[float], labels: list[str], top_k: int,
         df, spec = graph.nodes[label], graph.node_specs[label]
         if "embedding" not in df.columns:
             continue
-        one = vectors.top_k(df, spec.key, "embedding", query, top_k, codec).select(node_id(label, F.col("key")).alias("node_id"), F.lit(label).alias("label"), "score")
+        code = "_emb_code" if codec != "fp32" and "_emb_code" in df.columns else None
+        one = vectors.top_k(df, spec.key, "embedding", query, top_k, codec, code).select(node_id(label, F.col("key")).alias("node_id"), F.lit(label).alias("label"), "score")
         out = one if out is None else out.unionByName(one)
     if out is None:
         return None
@@ -106,33 +141,67 @@ class SearchResult:
     nodes: DataFrame
     edges: DataFrame
     vector_status: str | None
+    pending_embeddings: int = 0
+
+
+def candidate_labels(graph: Graph, labels: list[str] | None) -> list[str]:
+    """The asked labels that exist, in their order, else the searchable ones, else all."""
+    return [n for n in labels if n in graph.nodes] if labels else [n for n, s in graph.node_specs.items() if s.searchable] or graph.visible_labels()
+
 
+def search(
+    graph: Graph, query: str, vector: list[float] | None = None, labels: list[str] | None = None, top_k: int = TOP_K, hops: int = 1, cap: int = LABEL_CAP, codec: str = "fp32", embedder: embed.Embedder | None = None, root: str | None = None
+) -> SearchResult:
+    """Text and vector hits fused, made diverse and expanded.
 
-def search(graph: Graph, query: str, vector: list[float] | None = None, labels: list[str] | None = None, top_k: int = TOP_K, hops: int = 1, cap: int = LABEL_CAP, codec: str = "fp32") -> SearchResult:
-    """Text and vector hits fused, made diverse and expanded. Without a query vector the text hits decide alone."""
-    names = [n for n in labels if n in graph.nodes] if labels else [n for n, s in graph.node_specs.items() if s.searchable] or graph.visible_labels()
+    The query's vector is given or made by the embedder; without either the text hits decide alone (``vector_status`` off), as they do
+    if vectors fail (error). A blank query has no hits and no status.
+    """
+    names = candidate_labels(graph, labels)
     spark = next(iter(graph.nodes.values())).sparkSession
     empty = spark.createDataFrame([], "node_id string, label string, score double, rank int")
-    fts = text_hits(graph, query, names, top_k) if query.strip() else None
-    near = vector_hits(graph, vector, names, top_k, codec) if vector and query.strip() else None
+    fts = near = status = None
+    if query.strip():
+        fts, status = text_hits(graph, query, names, top_k, root), "off"
+        try:
+            vector = vector or (embedder.embed([query])[0] if embedder else None)
+            if vector:
+                near, status = vector_hits(graph, vector, names, top_k, codec), "on"
+        except Exception:  # whatever an embedder raises
+            near, status = None, "error"
+    pending = sum(embed.pending_count(graph.nodes[n]) for n in names) if embedder else 0
     fused = fuse(empty if fts is None else fts, empty if near is None else near)
-    seeds = diversify(fused, top_k, cap)
+    # a handful of rows that several plans read
+    seeds = diversify(fused, top_k, cap).persist()
     nodes, edges = expand(graph, seeds, hops)
-    return SearchResult(seeds, nodes, edges, None if not query.strip() else "on" if near is not None else "off")
+    return SearchResult(seeds, nodes, edges, status, pending)
 
 
 def resolve_keys(graph: Graph, ids: list[str]) -> DataFrame:
-    """``node_id`` of each asked id: ``Label:key``, or a bare key that one label alone has."""
-    known = graph.scan_ids()
+    """``node_id`` of each asked id: ``Label:key``, or a bare key that one label alone has. Each table is asked for its own keys."""
+    spark = next(iter(graph.nodes.values())).sparkSession
     full = [i for i in ids if i.partition(":")[0] in graph.nodes]
-    bare = [i for i in ids if i not in full]
-    hits = known.where(F.col("node_id").isin(full)).select("node_id")
+    bare = list(dict.fromkeys(i for i in ids if i not in full))
+    hits = spark.createDataFrame([], "node_id string")
+    found: dict[str, list[str]] = {}
+    for label in graph.node_specs:
+        df, key = graph.nodes[label], graph.node_specs[label].key
+        kind = graph.key_type(label)
+        own = [i.partition(":")[2] for i in full if i.partition(":")[0] == label]
+        asked = own + ([] if label.startswith("_") else bare)
+        if not asked:
+            continue
+        # the text of a key need not be the one a number is written with: compare both, the typed one prunes the scan
+        rows = df.where(F.col(key).isin([F.lit(a).try_cast(kind) for a in asked])).where(F.col(key).cast("string").isin(asked))
+        rows = rows.select(node_id(label, F.col(key)).alias("node_id"), F.col(key).cast("string").alias("key"))
+        if own:
+            hits = hits.union(rows.where(F.col("key").isin(own)).select("node_id"))
+        if bare and not label.startswith("_"):
+            for r in rows.where(F.col("key").isin(bare)).collect():  # as many as were asked for
+                found.setdefault(r["key"], []).append(r["node_id"])
+    for key in bare:
+        if len(found.get(key, [])) != 1:
+            raise SchemaError(f"'{key}' names {'no' if key not in found else 'more than one'} node", "Give it as Label:key.")
     if bare:
-        keyed = known.withColumn("key", F.expr("substring(node_id, length(label) + 2)")).where(F.col("key").isin(bare))
-        found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id"))
-        unique = {r["key"]: r["n"] for r in found.collect()}
-        for key in bare:
-            if unique.get(key) != 1:
-                raise SchemaError(f"'{key}' names {'no' if key not in unique else 'more than one'} node", "Give it as Label:key.")
-        hits = hits.union(found.select("node_id"))
+        hits = hits.union(spark.createDataFrame([(found[k][0],) for k in bare], "node_id string"))
     return hits
