@@ -96,6 +96,32 @@ class Graph:
 
     # catalog documents
 
+    def table_info(self, name: str) -> list[tuple]:
+        """(number, number, column, type, is key, is key) of each column that a query can name; keys of a relationship are those of its ends."""
+        if name in self.node_specs:
+            df, key = self.nodes[name], self.node_specs[name].key
+        elif name in self.rel_specs:
+            df, key = self.rels[name].drop("_src", "_dst"), None
+        else:
+            raise SchemaError(f"Unknown table {name}", f"Known: {', '.join([*self.visible_labels(), *self.visible_rels()])}")
+        kind = lambda c, t: "FLOAT[]" if c == "embedding" else "BLOB" if t == "binary" else _type_name(t)
+        return [(k, k, c, kind(c, t), c == key, c == key) for k, (c, t) in enumerate(df.dtypes)]
+
+    def endpoints(self, name: str) -> tuple[str, str, str, str]:
+        """Labels and keys of a relationship's ends: source, its key, target, its key."""
+        if name not in self.rel_specs:
+            raise SchemaError(f"Unknown relationship type {name}", f"Known types: {', '.join(sorted(self.visible_rels()))}")
+        spec = self.rel_specs[name]
+        return spec.source, self.node_specs[spec.source].key, spec.target, self.node_specs[spec.target].key
+
+    def sample(self, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Up to ``n`` nodes (``node_id``, ``label``), up to ``n`` edges that join two of them, and the table counts."""
+        nodes = self.scan_ids().limit(n).persist()
+        few = F.broadcast(nodes.select(F.col("node_id").alias("near")))
+        edges = self.edges()
+        kept = edges.join(few, edges["src"] == F.col("near"), "left_semi").join(few, edges["dst"] == F.col("near"), "left_semi").limit(n)
+        return nodes, kept, self.table_stats()
+
     def table_stats(self) -> DataFrame:
         """``name``, ``kind``, ``n`` for each visible table."""
         parts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), F.lit("node").alias("kind"), "n") for n, df in self.nodes.items() if not n.startswith("_")]

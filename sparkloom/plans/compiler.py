@@ -19,8 +19,8 @@ from ..catalog import VECTOR_COLUMNS, Graph, node_id
 from ..errors import CypherError, SchemaError
 from .parser import NodePattern, PathPattern, Projection, RelPattern, check_read_only, parse
 
-#: Hops that an open ``*`` may take at most.
-MAX_HOPS = 8
+#: Levels after which an open ``*`` is given up with an error, unless the caller says otherwise. Nothing is cut silently.
+OPEN_HOPS = 30
 SEP = "·"
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect", "stdev", "stdevp", "percentilecont", "percentiledisc"}
 
@@ -75,7 +75,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "current_timestamp": F.current_timestamp, "year": F.year, "month": F.month, "day": F.day, "date_part": lambda p, x: F.date_part(p, x), "date_trunc": F.date_trunc, "datediff": F.datediff,
     "coalesce": F.coalesce, "nullif": F.nullif, "head": lambda x: F.get(x, F.lit(0)), "last": lambda x: F.element_at(x, F.lit(-1)), "tail": lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))),
     "range": lambda a, b, s=None: F.sequence(a, b) if s is None else F.sequence(a, b, s), "concat": F.concat, "sha256": lambda x: F.sha2(x, 256), "md5": F.md5,
-    "starts_with": F.startswith, "ends_with": F.endswith, "contains": F.contains, "list_contains": F.array_contains, "json_extract": F.get_json_object,
+    "starts_with": F.startswith, "ends_with": F.endswith, "contains": F.contains, "list_contains": F.array_contains, "list_sort": F.sort_array, "list_to_string": lambda sep, xs: F.regexp_replace(F.array_join(xs, "\x00"), F.lit("\x00"), sep), "list_distinct": F.array_distinct, "json_extract": F.get_json_object,
 }
 _BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
@@ -86,8 +86,9 @@ _BINARY: dict[str, Callable[[Column, Column], Column]] = {
 
 
 class Compiler:
-    def __init__(self, graph: Graph, params: dict[str, Any] | None = None, procedures: dict[str, Callable[..., DataFrame]] | None = None):
-        self.graph, self.params, self.procedures, self.fresh = graph, params or {}, procedures or {}, 0
+    def __init__(self, graph: Graph, params: dict[str, Any] | None = None, procedures: dict[str, Callable[..., DataFrame]] | None = None, open_hops: int = OPEN_HOPS):
+        self.graph, self.params, self.fresh, self.open_hops = graph, params or {}, 0, open_hops
+        self.procedures = catalog_procedures(graph) | (procedures or {})
 
     # expressions
 
@@ -164,7 +165,23 @@ class Compiler:
             return F.aggregate(go(source), go(start), lambda a, x: self.expr(step, scope, local | {acc: a, var: x}))
         if kind == "call":
             return self.call(e, scope, local)
-        raise CypherError(f"Unsupported expression {kind}", "EXISTS and COUNT subqueries stand in WHERE, joined by AND.")
+        if kind == "projected":
+            return self.projection_of(e, scope, local)
+        raise CypherError(f"Unsupported expression {kind}", "EXISTS, COUNT and pattern predicates stand in WHERE, WITH and RETURN, outside comprehensions.")
+
+    def projection_of(self, e: Any, scope: dict, local: dict) -> Column:
+        _, subject, items = e
+        binding = scope.get(subject[1]) if subject[1] not in local else None
+        fields: dict[str, Column] = {}
+        for name, value in items:
+            if name != "*":
+                fields[name] = self.expr(value, scope, local)
+            elif binding and binding.kind in ("node", "rel"):
+                fields |= {p: col(subject[1] + SEP + p) for p in _visible(binding.props)}
+            else:
+                raise CypherError(f".* needs a node or a relationship, {subject[1]} is neither")
+        whole = F.struct(*[c.alias(n) for n, c in fields.items()])
+        return F.when(self.identity(subject[1], scope).isNotNull(), whole) if binding and binding.kind in ("node", "rel") else whole
 
     def plus(self, a: Any, b: Any, scope: dict, local: dict) -> Column:
         x, y = self.expr(a, scope, local), self.expr(b, scope, local)
@@ -365,37 +382,74 @@ class Compiler:
             frame.scope[var] = nbinding
         self.filtered(frame, var, node.props)
 
-    def join_hops(self, frame: Frame, left: str, rel: RelPattern, node: NodePattern, var: str, keep_path: bool) -> str | None:
-        """Extend over lo..hi relationships. Each level joins the ends reached so far with the relationships once more."""
+    def join_hops(self, frame: Frame, left: str, rel: RelPattern, node: NodePattern, var: str, keep_path: bool, shortest: str | None) -> str | None:
+        """Extend over lo..hi relationships, level by level from the distinct nodes that the frame has reached.
+
+        Without a path to keep, a level is (start, end, how many walks), summed, so that hubs do not multiply rows; for shortest paths a
+        level holds only ends that no level before it has reached from that start.
+        """
         low, high = rel.hops
-        high = MAX_HOPS if high is None else high
         hop = self.name_for(None)
         every = RelPattern(None, rel.types, {}, rel.direction)
         labels = self.graph.visible_labels()
         rdf, binding, froms, tos = self.rel_frame(every, hop, labels, labels)
-        whole = lambda ls, c: c if len(ls) > 1 else node_id(ls[0], c)
         for key, value in rel.props.items():
             rdf = rdf.where(col(f"{hop}{SEP}{key}") == self.expr(value, frame.scope))
-        edges = rdf.select(whole(froms, col(f"{hop}{SEP}_from")).alias("__from"), whole(tos, col(f"{hop}{SEP}_to")).alias("__to"), F.concat_ws("", col(f"{hop}{SEP}_type"), F.lit(":"), col(f"{hop}{SEP}_src"), F.lit("->"), col(f"{hop}{SEP}_dst")).alias("__edge"))
-        rels, nodes, end = f"{hop}{SEP}rels", f"{hop}{SEP}nodes", f"{hop}{SEP}end"
-        # levels start from the distinct nodes that the frame has reached, not from its rows
-        level = frame.df.select(col(f"{left}{SEP}_id").alias("__start")).distinct().withColumn(end, F.col("__start"))
+        # one label all along: keys are joined as they are, else as canonical ids
+        plain = froms == tos and len(froms) == 1 and frame.scope[left].labels == froms
+        whole = lambda ls, c: c if len(ls) > 1 or plain else node_id(ls[0], c)
+        named = lambda c: node_id(froms[0], c) if plain else c
+        point = lambda c: F.struct(named(c).alias("_id"), F.substring_index(named(c), ":", 1).alias("_label"))
+        edge = F.struct(col(f"{hop}{SEP}_type").alias("_type"), col(f"{hop}{SEP}_src").alias("_src"), col(f"{hop}{SEP}_dst").alias("_dst"))
+        edges = rdf.select(whole(froms, col(f"{hop}{SEP}_from")).alias("__from"), whole(tos, col(f"{hop}{SEP}_to")).alias("__to"), *([edge.alias("__edge")] if keep_path else []))
+        rels, nodes, end, walks = (f"{hop}{SEP}{x}" for x in ("rels", "nodes", "end", "walks"))
+        origin = col(f"{left}{SEP}_key") if plain else col(f"{left}{SEP}_id")
+        level = frame.df.select(origin.alias("__start")).distinct().withColumn(end, F.col("__start"))
         if keep_path:
-            level = level.withColumn(rels, F.array().cast("array<string>")).withColumn(nodes, F.array(F.col("__start")))
+            level = level.withColumn(rels, F.array().cast("array<struct<_type:string,_src:string,_dst:string>>")).withColumn(nodes, F.array(point(F.col("__start"))))
+        elif not shortest:
+            level = level.withColumn(walks, F.lit(1).cast("long"))
         found = level if low == 0 else None
-        for k in range(1, high + 1):
-            step = level.join(edges, col(end) == F.col("__from")).select("__start", F.col("__to").alias(end), *([F.concat(col(rels), F.array("__edge")).alias(rels), F.concat(col(nodes), F.array("__to")).alias(nodes)] if keep_path else []))
+        seen = level.select("__start", end)
+        for k in range(1, (self.open_hops if high is None else high) + 1):
+            step = level.join(edges, col(end) == F.col("__from"))
+            if keep_path:
+                step = step.select("__start", F.col("__to").alias(end), F.concat(col(rels), F.array("__edge")).alias(rels), F.concat(col(nodes), F.array(point(F.col("__to")))).alias(nodes))
+            elif shortest:
+                step = step.select("__start", F.col("__to").alias(end)).distinct()
+            else:
+                step = step.groupBy("__start", F.col("__to").alias(end)).agg(F.sum(walks).alias(walks))
+            if shortest:
+                step = step.join(seen.withColumnRenamed("__start", "__s").withColumnRenamed(end, "__e"), (F.col("__start") == F.col("__s")) & (col(end) == F.col("__e")), "left_anti")
+                if keep_path and shortest == "one":
+                    step = step.groupBy("__start", end).agg(F.min(F.struct(rels, nodes)).alias("__one")).select("__start", end, F.col(f"__one.`{rels}`").alias(rels), F.col(f"__one.`{nodes}`").alias(nodes))
+                seen = seen.union(step.select("__start", end).distinct())
+            if high is None:  # how far it goes is not known before
+                step = step.persist()
+                if step.isEmpty():
+                    break
             level = step
             if k >= low:
                 found = level if found is None else found.unionByName(level)
-        frame.df = frame.df.join(found, col(f"{left}{SEP}_id") == F.col("__start")).drop("__start")
+        else:
+            if high is None:
+                raise CypherError(f"A path of open length goes on beyond {self.open_hops} hops", "Give an upper bound, as in *1..5, or a larger open_hops.")
+        if found is None:
+            found = level.limit(0)
+        if not keep_path and not shortest:
+            # one row for each walk
+            found = found.select("__start", end, F.explode(F.sequence(F.lit(1).cast("long"), col(walks))).alias("__walk")).drop("__walk")
+        frame.df = frame.df.join(found, origin == F.col("__start")).drop("__start")
         if var in frame.scope:
-            frame.df = frame.df.where(col(f"{var}{SEP}_id") == col(end))
+            here = col(f"{var}{SEP}_key") if plain and frame.scope[var].labels == froms else col(f"{var}{SEP}_id")
+            reached = col(end) if not plain or frame.scope[var].labels == froms else named(col(end))
+            frame.df = frame.df.where(here == reached)
             if node.labels:
                 frame.df = frame.df.where(col(f"{var}{SEP}_label").isin(node.labels))
         else:
-            ndf, nbinding = self.scan(node.labels or (tos if len(tos) == 1 and low > 0 else []), var)
-            frame.df = frame.df.join(ndf, col(end) == col(f"{var}{SEP}_id"))
+            ndf, nbinding = self.scan(node.labels or (tos if len(tos) == 1 and (low > 0 or plain) else []), var)
+            same = plain and nbinding.labels == froms
+            frame.df = frame.df.join(ndf, (col(end) if same or not plain else named(col(end))) == (col(f"{var}{SEP}_key") if same else col(f"{var}{SEP}_id")))
             frame.scope[var] = nbinding
         self.filtered(frame, var, node.props)
         frame.df = frame.df.drop(end)
@@ -420,23 +474,25 @@ class Compiler:
                 continue
             first = NodePattern(nodes[0].var, nodes[0].labels or self.reachable(nodes, rels, 0), nodes[0].props)
             self.bind_node(frame, first, vars_[0])
-            parts = [F.array(col(f"{vars_[0]}{SEP}_id"))]
+            point = lambda v: F.array(F.struct(col(f"{v}{SEP}_id").alias("_id"), col(f"{v}{SEP}_label").alias("_label")))
+            parts = [point(vars_[0])]
             edges = []
+            alone = path.shortest if len(rels) == 1 else None
             for k, rel in enumerate(rels):
                 if rel.hops:
-                    hop = self.join_hops(frame, vars_[k], rel, nodes[k + 1], vars_[k + 1], bool(path.var or rel.var))
+                    hop = self.join_hops(frame, vars_[k], rel, nodes[k + 1], vars_[k + 1], bool(path.var or rel.var), alone)
                     if path.var:
                         parts.append(F.slice(col(f"{hop}{SEP}nodes"), F.lit(2), F.size(col(f"{hop}{SEP}rels"))))
                         edges.append(col(f"{hop}{SEP}rels"))
                 else:
                     rel.var = rel.var or self.name_for(None)
                     self.join_hop(frame, vars_[k], rel, nodes[k + 1], vars_[k + 1])
-                    parts.append(F.array(col(f"{vars_[k + 1]}{SEP}_id")))
-                    edges.append(F.array(F.concat(col(f"{rel.var}{SEP}_type"), F.lit(":"), col(f"{rel.var}{SEP}_src"), F.lit("->"), col(f"{rel.var}{SEP}_dst"))))
+                    parts.append(point(vars_[k + 1]))
+                    edges.append(F.array(F.struct(*[col(f"{rel.var}{SEP}{c}").alias(c) for c in ("_type", "_src", "_dst")])))
             if path.var:
                 frame.df = frame.df.withColumn(path.var, F.struct(F.concat(*parts).alias("nodes"), F.concat(*edges).alias("rels")))
                 frame.scope[path.var] = Binding("path")
-                if path.shortest:
+                if path.shortest and not alone:
                     ends = [col(f"{vars_[0]}{SEP}_id"), col(f"{vars_[-1]}{SEP}_id")]
                     best = frame.df.groupBy(*[c.alias(f"__e{k}") for k, c in enumerate(ends)]).agg(F.min(F.struct(F.size(col(path.var)["rels"]).alias("n"), col(path.var).alias("p"))).alias("__best"))
                     rest = frame.df.drop(path.var).dropDuplicates([f"{vars_[0]}{SEP}_id", f"{vars_[-1]}{SEP}_id"])
@@ -484,9 +540,17 @@ class Compiler:
             self.where(inner, where)
         return inner, shared
 
-    def on_shared(self, inner: Frame, shared: list[str]) -> tuple[DataFrame, list[str]]:
-        keys = [f"__k{k}" for k in range(len(shared))]
-        return inner.df.select([col(f"{v}{SEP}_id").alias(k) for v, k in zip(shared, keys, strict=True)]), keys
+    def end_of(self, inner: Frame, frame: Frame, var: str) -> str:
+        """The column on which two bindings of a variable meet: the key itself where both have the same one label."""
+        labels = inner.scope[var].labels
+        return "_key" if len(labels) == 1 and frame.scope[var].labels == labels else "_id"
+
+    def on_shared(self, inner: Frame, frame: Frame, shared: list[str], more: list[str] = ()) -> tuple[DataFrame, list[str], list[Column]]:
+        """The inner rows with their ends under names of their own, those names, and the conditions that join them to the frame."""
+        keys = [f"__k{self.name_for(None)}" for _ in shared]
+        ends = [self.end_of(inner, frame, v) for v in shared]
+        df = inner.df.select(*[col(f"{v}{SEP}{e}").alias(k) for v, e, k in zip(shared, ends, keys, strict=True)], *map(col, more))
+        return df, keys, [col(f"{v}{SEP}{e}") == df[k] for v, e, k in zip(shared, ends, keys, strict=True)]
 
     def where(self, frame: Frame, condition: Any) -> None:
         """Filters; EXISTS and COUNT subqueries become semi, anti and left joins."""
@@ -497,33 +561,36 @@ class Compiler:
         negated, inner = (True, condition[1]) if condition[0] == "not" else (False, condition)
         if inner[0] == "exists_sub":
             sub, shared = self.sub_frame(frame, inner[1], inner[2])
-            keys_df, keys = self.on_shared(sub, shared)
-            on = [col(f"{v}{SEP}_id") == keys_df[k] for v, k in zip(shared, keys, strict=True)]
+            keys_df, _, on = self.on_shared(sub, frame, shared)
             frame.df = frame.df.join(keys_df, on, "left_anti" if negated else "left_semi")
             return
-        counts = [e for e in _walk(condition) if e and e[0] == "count_sub"]
-        if counts:
-            for number, e in enumerate(counts):
-                sub, shared = self.sub_frame(frame, e[1], e[2])
-                keys_df, keys = self.on_shared(sub, shared)
-                name = self.name_for(None)
-                counted = keys_df.groupBy(*keys).agg(F.count("*").alias(name))
-                frame.df = frame.df.join(counted, [col(f"{v}{SEP}_id") == counted[k] for v, k in zip(shared, keys, strict=True)], "left").drop(*keys).withColumn(name, F.coalesce(col(name), F.lit(0)))
-                frame.scope[name] = Binding("value")
-                condition = _replace(condition, e, ("var", name))
+        condition = self.subqueries(frame, condition)  # which joins columns to the frame
         frame.df = frame.df.where(self.expr(condition, frame.scope))
 
+    def subqueries(self, frame: Frame, e: Any) -> Any:
+        """``e`` with its EXISTS and COUNT subqueries replaced by columns, which left joins of distinct or counted ends bring to the frame."""
+        for sub in [x for x in _walk(e) if x and x[0] in ("exists_sub", "count_sub")]:
+            inner, shared = self.sub_frame(frame, sub[1], sub[2])
+            keys_df, keys, on = self.on_shared(inner, frame, shared)
+            name = self.name_for(None)
+            counted = keys_df.groupBy(*keys).agg(F.count("*").alias(name))
+            on = [F.col(k) == c for k, c in zip(keys, [col(f"{v}{SEP}{self.end_of(inner, frame, v)}") for v in shared], strict=True)]
+            joined = frame.df.join(counted, on, "left").drop(*keys) if on else frame.df.crossJoin(F.broadcast(counted))
+            frame.df = joined.withColumn(name, F.coalesce(col(name), F.lit(0)))
+            frame.scope[name] = Binding("value")
+            e = _replace(e, sub, ("var", name) if sub[0] == "count_sub" else ("op", ">", ("var", name), ("lit", 0)))
+        return e
+
     def optional(self, frame: Frame, patterns: list[PathPattern], where: Any) -> None:
         inner, shared = self.sub_frame(frame, patterns, where)
         new = {v: b for v, b in inner.scope.items() if v not in frame.scope}
         columns = [c for c in inner.df.columns if c.split(SEP)[0] in new]
-        keys_df, keys = inner.df.select(*[col(f"{v}{SEP}_id").alias(f"__k{k}") for k, v in enumerate(shared)], *map(col, columns)), [f"__k{k}" for k in range(len(shared))]
-        on = [col(f"{v}{SEP}_id") == keys_df[k] for v, k in zip(shared, keys, strict=True)]
+        keys_df, keys, on = self.on_shared(inner, frame, shared, columns)
         frame.df = frame.df.join(keys_df, on, "left").drop(*keys)
         frame.scope |= new
 
     def project(self, frame: Frame, p: Projection) -> Frame:
-        items = [(i.expr, i.name) for i in p.items]
+        items = [(self.subqueries(frame, i.expr), i.name) for i in p.items]
         if p.star:
             items = [(("var", v), v) for v in frame.scope if not v.startswith("_anon")]
         scope: dict[str, Binding] = {}
@@ -596,8 +663,14 @@ class Compiler:
             elif clause[0] == "call":
                 if clause[1] not in self.procedures:
                     raise CypherError(f"Procedure {clause[1]} is not available here")
-                frame.df = self.procedures[clause[1]](*[self.params[a[1]] if a[0] == "param" else a[1] for a in clause[2]])
+                value = lambda a: self.params[a[1]] if a[0] == "param" else [x[1] if x[0] == "lit" else -x[1][1] for x in a[1]] if a[0] == "list" else a[1]
+                options = {a[1]: value(a[2]) for a in clause[2] if a[0] == "named"}
+                frame.df = self.procedures[clause[1]](*[value(a) for a in clause[2] if a[0] != "named"], **options)
+                if clause[3]:
+                    frame.df = frame.df.select(*[col(c).alias(name) for c, name in clause[3]])
                 frame.scope |= {c: Binding("value") for c in frame.df.columns}
+            elif clause[0] == "where":
+                self.where(frame, clause[1])
             else:
                 if frame.df is None:
                     frame.df = self.one_row()
@@ -618,6 +691,26 @@ class Compiler:
         return out
 
 
+def catalog_procedures(graph: Graph) -> dict[str, Callable[..., DataFrame]]:
+    """What CALL can read of the catalog."""
+    spark = next(iter(graph.nodes.values())).sparkSession if graph.nodes else None
+
+    def show_tables() -> DataFrame:
+        rows = [(n, "NODE") for n in graph.visible_labels()] + [(n, "REL") for n in graph.visible_rels()]
+        return spark.createDataFrame(rows, "name string, type string")
+
+    def table_info(name: str) -> DataFrame:
+        return spark.createDataFrame(graph.table_info(name), "`property id` int, property_id int, name string, type string, `primary key` boolean, primary_key boolean")
+
+    def setting(name: str) -> DataFrame:
+        return spark.createDataFrame([(name, spark.conf.get(name, None))], "name string, value string")
+
+    def version() -> DataFrame:
+        return spark.createDataFrame([(spark.version,)], "version string")
+
+    return {"SHOW_TABLES": show_tables, "TABLE_INFO": table_info, "CURRENT_SETTING": setting, "DB_VERSION": version}
+
+
 def items_by_expr(items: list[tuple[Any, str]]) -> list[tuple[str, str]]:
     return [(repr(e), name) for e, name in items]
 
@@ -636,6 +729,6 @@ def _replace(e: Any, old: Any, new: Any) -> Any:
     return [_replace(x, old, new) for x in e] if isinstance(e, list) else e
 
 
-def cypher(graph: Graph, text: str, params: dict[str, Any] | None = None, procedures: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
+def cypher(graph: Graph, text: str, params: dict[str, Any] | None = None, procedures: dict[str, Callable[..., DataFrame]] | None = None, open_hops: int = OPEN_HOPS) -> DataFrame:
     """The DataFrame of a read query."""
-    return Compiler(graph, params, procedures).compile(text)
+    return Compiler(graph, params, procedures, open_hops).compile(text)
