@@ -1,23 +1,29 @@
-"""The facade: schema, upserts, read queries, search, context and ingest over one store."""
+"""The facade: schema, upserts, read queries, search, context, ingest and transfer over one store."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .catalog import VECTOR_COLUMNS, NodeTable, RelTable
-from .errors import SchemaError
-from .operators import chunk, mutate, pack, retrieve
+from .errors import NotFoundError, SchemaError
+from .functions import codecs
+from .functions import text as bm
+from .functions import vectors
+from .operators import chunk, codegraph, embed, mutate, pack, retrieve, subgraph, textindex
 from .plans.compiler import cypher
 from .plans.parser import check_read_only
+from .sources import transfer
 from .store import GraphStore
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
-_BARE = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"")
+#: Rows that one search embeds at the most.
+EMBED_PER_SEARCH = 256
 
 
 @dataclass
@@ -25,6 +31,7 @@ class QueryResponse:
     columns: list[str]
     rows: list[list[Any]]
     truncated: bool
+    subgraph: subgraph.Subgraph = field(default_factory=subgraph.Subgraph)
 
     @property
     def row_count(self) -> int:
@@ -36,11 +43,27 @@ class ContextResponse:
     text: str
     truncated: bool
     seeds: list[dict[str, Any]]
+    vector_status: str | None = None
+    pending_embeddings: int = 0
+
+    def with_footer(self) -> str:
+        """The context, a rule, and the seeds as JSON with scores of six places: what a tool returns to a language model."""
+        seeds = [{k: round(v, 6) if isinstance(v, float) else v for k, v in s.items()} for s in self.seeds]
+        return f"{self.text}\n\n---\n{json.dumps({'seeds': seeds}, ensure_ascii=False)}"
+
+
+@dataclass
+class WriteReport:
+    written: int
+    removed: int = 0
+    warnings: list[str] = field(default_factory=list)
 
 
 class GraphService:
-    def __init__(self, store: GraphStore):
-        self.store = store
+    def __init__(self, store: GraphStore, embedder: embed.Embedder | None = None, codec: str = "fp32"):
+        self.store, self.embedder, self.codec = store, embedder, codecs.check_codec(codec)
+
+    # schema
 
     def describe_schema(self) -> str:
         return self.store.graph().describe_text()
@@ -48,36 +71,145 @@ class GraphService:
     def define_schema(self, nodes: list[NodeTable], rels: list[RelTable] = (), key_types: dict[str, str] | None = None) -> None:
         self.store.define(list(nodes), list(rels), key_types)
 
-    def upsert_nodes(self, label: str, batch: DataFrame) -> None:
-        """Merge rows by key (``_ordinal`` orders repeats). Changed text takes a row's vectors with it."""
+    def add_columns(self, table: str, columns: dict[str, str]) -> None:
+        self.store.add_columns(table, columns)
+
+    def _label(self, label: str) -> tuple[DataFrame, str]:
         graph = self.store.graph()
         if label not in graph.nodes:
             raise SchemaError(f"Unknown label {label}", f"Known labels: {', '.join(sorted(graph.nodes))}")
-        old, key = graph.nodes[label], graph.node_specs[label].key
-        new = mutate.upsert(old, self._ordered(batch), [key])
-        vectors = [c for c in VECTOR_COLUMNS if c in old.columns]
-        if vectors:
-            texts = [c for c, t in old.dtypes if t == "string" and not c.startswith("_") and c != key]
-            new = mutate.invalidate_embeddings(old, new, key, texts, vectors)
-        self.store.replace({label: new})
+        return graph.nodes[label], graph.node_specs[label].key
 
-    def upsert_edges(self, name: str, batch: DataFrame) -> None:
+    def _type(self, name: str) -> tuple[DataFrame, RelTable]:
         graph = self.store.graph()
         if name not in graph.rels:
             raise SchemaError(f"Unknown relationship type {name}", f"Known types: {', '.join(sorted(graph.rels))}")
-        spec = graph.rel_specs[name]
+        return graph.rels[name], graph.rel_specs[name]
+
+    # writing
+
+    def upsert_nodes(self, label: str, batch: DataFrame) -> WriteReport:
+        """Merge rows by key (``_ordinal`` orders repeats). Changed text takes a row's vectors with it."""
+        old, key = self._label(label)
+        clean, warnings = mutate.sanitize(batch, old, [key])
+        clean = self._ordered(clean)
+        new = mutate.upsert(old, clean, [key])
+        held = [c for c in VECTOR_COLUMNS if c in old.columns]
+        if held:
+            texts = [c for c, t in old.dtypes if t == "string" and not c.startswith("_") and c != key]
+            new = mutate.invalidate_embeddings(old, new, key, texts, held)
+        self.store.replace({label: new})
+        return WriteReport(clean.count(), 0, warnings)
+
+    def upsert_edges(self, name: str, batch: DataFrame) -> WriteReport:
+        table, spec = self._type(name)
+        graph = self.store.graph()
+        clean, warnings = mutate.sanitize(batch, table, ["_src", "_dst"])
+        clean = self._ordered(clean)
         ends = [(graph.nodes[label], graph.node_specs[label].key) for label in (spec.source, spec.target)]
-        self.store.replace({name: mutate.upsert_edges(graph.rels[name], self._ordered(batch), *ends[0], *ends[1])})
+        self.store.replace({name: mutate.upsert_edges(table, clean, *ends[0], *ends[1])})
+        return WriteReport(clean.count(), 0, warnings)
+
+    def create_nodes(self, label: str, batch: DataFrame) -> WriteReport:
+        """Add rows whose keys must be new."""
+        old, key = self._label(label)
+        taken = batch.join(old.select(F.col(key).alias("__k")), batch[key] == F.col("__k"), "left_semi").select(F.col(key).cast("string").alias("k")).limit(5).collect()
+        if taken:
+            raise SchemaError(f"{label} has the keys already: {', '.join(r['k'] for r in taken)}", "Upsert them instead.")
+        return self.upsert_nodes(label, batch)
+
+    def create_edges(self, name: str, batch: DataFrame) -> WriteReport:
+        return self.upsert_edges(name, batch)
+
+    def set_properties(self, label: str, keys: list[Any], values: dict[str, Any]) -> int:
+        """Set columns of the rows with the keys, None clears; the number of rows."""
+        table, key = self._label(label)
+        if unknown := [c for c in values if c not in table.columns or c == key]:
+            raise SchemaError(f"{label} has no columns {', '.join(unknown)} to set", f"Columns: {', '.join(c for c in table.columns if c != key)}")
+        mine = F.col(key).isin(keys)
+        new = mutate.set_values(table, mine, {c: F.lit(v) for c, v in values.items()})
+        if held := [c for c in VECTOR_COLUMNS if c in table.columns]:
+            new = mutate.invalidate_embeddings(table, new, key, [c for c, t in table.dtypes if t == "string" and not c.startswith("_") and c != key], held)
+        self.store.replace({label: new})
+        return table.where(mine).count()
+
+    def delete_nodes(self, label: str, keys: list[Any]) -> int:
+        """Delete nodes and the relationships that touch them; the number of nodes."""
+        table, key = self._label(label)
+        return self._remove(label, table.where(F.col(key).isin(keys)), key)
+
+    def delete_edges(self, name: str, pairs: list[tuple[Any, Any]]) -> int:
+        """Delete the relationships between the pairs of keys; their number."""
+        table, _ = self._type(name)
+        schema = T.StructType([T.StructField("__a", table.schema["_src"].dataType), T.StructField("__b", table.schema["_dst"].dataType)])
+        gone = table.sparkSession.createDataFrame(pairs, schema).distinct()
+        on = (table["_src"] == gone["__a"]) & (table["_dst"] == gone["__b"])
+        number = table.join(gone, on, "left_semi").count()
+        self.store.replace({name: table.join(gone, on, "left_anti")})
+        return number
+
+    def _remove(self, label: str, removed: DataFrame, key: str, kept: DataFrame | None = None) -> int:
+        """Write a label without the removed rows, and each type without relationships to them, in one version."""
+        graph = self.store.graph()
+        table = graph.nodes[label] if kept is None else kept
+        gone = removed.select(F.col(key).alias("__k")).distinct().persist()
+        number = gone.count()
+        changed = {label: table.join(gone, table[key] == gone["__k"], "left_anti")}
+        if number:
+            for name, spec in graph.rel_specs.items():
+                ends = [end for end, at in (("_src", spec.source), ("_dst", spec.target)) if at == label]
+                if ends:
+                    changed[name] = mutate.detach(graph.rels[name], gone, "__k", ends)
+        self.store.replace(changed)
+        gone.unpersist()
+        return number
 
     def _ordered(self, batch: DataFrame) -> DataFrame:
+        """Without ``_ordinal`` rows follow the batch's own order; give it where the batch comes out of a shuffle and repeats keys."""
         return batch if mutate.ORDINAL in batch.columns else batch.withColumn(mutate.ORDINAL, F.monotonically_increasing_id())
 
+    # reading
+
+    def procedures(self) -> dict[str, Any]:
+        """Search as procedures of CALL: ``node`` and ``score`` (text), ``node`` and ``distance`` (vectors)."""
+        graph = self.store.graph()
+
+        def whole(label: str, hits: DataFrame, value: str) -> DataFrame:
+            df, key = graph.nodes[label], graph.node_specs[label].key
+            shown = [c for c in df.columns if c not in VECTOR_COLUMNS]
+            node = F.struct(F.concat(F.lit(label + ":"), F.col(key).cast("string")).alias("_id"), F.lit(label).alias("_label"), *[F.col(f"`{c}`") for c in shown])
+            return df.join(F.broadcast(hits), df[key] == hits["key"]).select(node.alias("node"), value)
+
+        def query_text(label: str, index: str, query: str, top: int = 10) -> DataFrame:
+            df, key = self._label(label)
+            terms, columns = bm.query_terms(df.sparkSession, query), retrieve.searched_columns(df)
+            found = textindex.index_for(df, key, columns, self._root())
+            hits = found.search(terms) if found else bm.bm25(df, key, columns, terms)
+            return whole(label, hits.orderBy(F.desc("score"), "key").limit(top), "score").orderBy(F.desc("score"))
+
+        def query_vectors(label: str, index: str, vector: list[float], k: int = 10) -> DataFrame:
+            df, key = self._label(label)
+            if "embedding" not in df.columns:
+                raise NotFoundError(f"{label} has no vectors", "Embed it first.")
+            hits = vectors.top_k(df, key, "embedding", vector, k, self.codec, "_emb_code" if self.codec != "fp32" and "_emb_code" in df.columns else None)
+            return whole(label, hits.select("key", (1 - F.col("score")).alias("distance")), "distance").orderBy("distance")
+
+        return {"QUERY_FTS_INDEX": query_text, "QUERY_VECTOR_INDEX": query_vectors}
+
+    def _root(self) -> str:
+        return f"{self.store.path}/indexes"
+
     def cypher_query(self, text: str, params: dict[str, Any] | None = None, limit: int | None = None) -> QueryResponse:
         check_read_only(text)
         limit = max(1, min(limit or DEFAULT_LIMIT, MAX_LIMIT))
-        out = cypher(self.store.graph(), text, params)
+        out = cypher(self.store.graph(), text, params, self.procedures())
         rows = out.limit(limit + 1).collect()
-        return QueryResponse(out.columns, [list(r) for r in rows[:limit]], len(rows) > limit)
+        return QueryResponse(out.columns, [list(r) for r in rows[:limit]], len(rows) > limit, subgraph.of_rows(rows[:limit]))
+
+    def sample_graph(self, n: int = 100) -> dict[str, Any]:
+        """Some nodes, edges between them, and the counts of all tables."""
+        nodes, edges, stats = self.store.graph().sample(max(1, min(n, MAX_LIMIT)))
+        return {"nodes": [r.asDict() for r in nodes.collect()], "edges": [r.asDict() for r in edges.collect()], "tables": [r.asDict() for r in stats.collect()]}
 
     def _context(self, seeds: list[str], nodes: DataFrame, edges: DataFrame, budget: int | None) -> tuple[str, bool]:
         """Lines of the nodes, seeds first, then of the edges, within the budget. A budget bounds what is collected."""
@@ -90,7 +222,9 @@ class GraphService:
         lines = {}
         for label, ids in by_label.items():
             df, key = graph.nodes[label], graph.node_specs[label].key
-            for row in df.where(F.col(key).cast("string").isin([i.partition(":")[2] for i in ids])).collect():
+            asked = [i.partition(":")[2] for i in ids]
+            typed = F.col(key).isin([F.lit(a).try_cast(graph.key_type(label)) for a in asked])  # reaches the files' statistics
+            for row in df.where(typed & F.col(key).cast("string").isin(asked)).collect():
                 props = {k: v for k, v in row.asDict().items() if k not in VECTOR_COLUMNS}
                 lines[f"{label}:{row[key]}"] = pack.node_line(f"{label}:{row[key]}", props)
         ordered = [lines[i] for i in dict.fromkeys([*seeds, *near]) if i in lines]
@@ -98,25 +232,98 @@ class GraphService:
         return pack.pack(ordered + links, budget)
 
     def search_knowledge(self, query: str, vector: list[float] | None = None, labels: list[str] | None = None, top_k: int = retrieve.TOP_K, hops: int = 1, token_budget: int | None = None) -> ContextResponse:
-        found = retrieve.search(self.store.graph(), query, vector, labels, top_k, hops)
+        """Text and vector search, expanded and packed. With an embedder up to EMBED_PER_SEARCH rows that wait for vectors get them first."""
+        if self.embedder and query.strip():
+            for label in retrieve.candidate_labels(self.store.graph(), labels):
+                self.embed_pending(label, EMBED_PER_SEARCH)
+        found = retrieve.search(self.store.graph(), query, vector, labels, top_k, hops, codec=self.codec, embedder=self.embedder, root=self._root())
         seeds = [r.asDict() for r in found.seeds.orderBy("seed_rank").collect()]
         text, cut = self._context([s["node_id"] for s in seeds], found.nodes, found.edges, token_budget)
-        return ContextResponse(text, cut, seeds)
+        found.seeds.unpersist()
+        return ContextResponse(text, cut, seeds, found.vector_status, found.pending_embeddings)
 
     def get_context(self, ids: list[str], hops: int = 1, token_budget: int | None = None) -> ContextResponse:
         graph = self.store.graph()
         seeds = retrieve.resolve_keys(graph, ids)
         nodes, edges = retrieve.expand(graph, seeds, hops)
-        names = [r["node_id"] for r in seeds.orderBy("node_id").collect()]
+        have = {r["node_id"] for r in seeds.collect()}  # as many as were asked for
+        asked = {n.partition(":")[2]: n for n in have}
+        names = list(dict.fromkeys(n for i in ids if (n := i if i in have else asked.get(i)) in have))
         text, cut = self._context(names, nodes, edges, token_budget)
         return ContextResponse(text, cut, [{"node_id": n} for n in names])
 
-    def ingest(self, docs: DataFrame, label: str = "Chunk", size: int = chunk.SIZE, overlap: int = chunk.OVERLAP) -> None:
-        """Chunk documents (``text``, ``source``, ``metadata``, ``ordinal``) and merge them; chunks that a source no longer gives go."""
+    # vectors
+
+    def embed_pending(self, label: str, most: int | None = None) -> int:
+        """Make the vectors that are missing, ``most`` at once if given; how many were made."""
+        if self.embedder is None:
+            return 0
+        df, key = self._label(label)
+        waiting = embed.pending_count(df) if "embedding" in df.columns else df.count()
+        if waiting:
+            self.store.replace({label: embed.embed_pending(df, key, self.embedder, self.codec, most)})
+        return waiting if most is None else min(waiting, most)
+
+    def pending_embeddings(self, label: str) -> int:
+        return embed.pending_count(self._label(label)[0]) if self.embedder else 0
+
+    def reindex(self, label: str) -> int:
+        """Make all vectors of a label anew; how many."""
+        if self.embedder is None:
+            raise SchemaError("No embedder is configured")
+        df, key = self._label(label)
+        self.store.replace({label: embed.reindex(df, key, self.embedder, self.codec)})
+        return df.count()
+
+    # documents, code and files
+
+    def ingest(self, docs: DataFrame, label: str = "Chunk", size: int = chunk.SIZE, overlap: int = chunk.OVERLAP) -> WriteReport:
+        """Chunk documents (``text``, ``source``, ``metadata``, ``ordinal``) and merge them; chunks that a document or source no longer gives go."""
         self.store.define([NodeTable(label, "id", {"text": "STRING", "meta": "STRING"}, True)], [])
-        graph = self.store.graph()
-        chunks = chunk.chunk_documents(docs, size, overlap).withColumnRenamed("chunk", mutate.ORDINAL)
-        merged = mutate.upsert(graph.nodes[label], chunks, ["id"])
-        sources = docs.where("source IS NOT NULL").select(F.col("source").alias("__s")).distinct()
-        mine = merged.join(sources, merged["_source"] == sources["__s"], "left_semi").join(chunks.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti").select(F.col("id").alias("__gone"))
-        self.store.replace({label: merged.join(mine, F.col("id") == F.col("__gone"), "left_anti")})
+        old, key = self._label(label)
+        chunks = chunk.chunk_documents(docs, size, overlap).withColumnRenamed("chunk", mutate.ORDINAL).persist()
+        merged = mutate.upsert(old, chunks, ["id"])
+        if held := [c for c in VECTOR_COLUMNS if c in old.columns]:
+            merged = mutate.invalidate_embeddings(old, merged, "id", ["text"], held)
+        owners = chunks.select(F.regexp_replace("id", "#[0-9]+$", "").alias("prefix"))
+        kept, first = mutate.prune_prefix(merged, chunks, "id", owners)
+        kept, second = mutate.prune_sources(kept, chunks, "id", docs.where("source IS NOT NULL").select(F.col("source").alias("_source")))
+        written = chunks.count()
+        removed = self._remove(label, first.select(key).union(second.select(key)), key, kept)
+        chunks.unpersist()
+        self.embed_pending(label)
+        return WriteReport(written, removed)
+
+    def ingest_code(self, root: str, **options: Any) -> codegraph.CodeReport:
+        return codegraph.ingest_code(self, root, **options)
+
+    def export_to(self, path: str) -> None:
+        transfer.export_graph(self.store.graph(), path)
+
+    def import_from(self, path: str) -> WriteReport:
+        """Replay an export: tables that are missing are made, rows are merged by key with their creation times, edges without ends are warned of.
+
+        Doing it twice changes nothing.
+        """
+        spark = self.store.spark
+        found, bad = transfer.import_graph(spark, path)
+        nodes = [NodeTable(n, s.key, {p: k for p, k in s.properties.items() if not p.startswith("_")}, s.searchable) for n, s in found.node_specs.items()]
+        rels = [RelTable(n, s.source, s.target, {p: k for p, k in s.properties.items() if not p.startswith("_")}) for n, s in found.rel_specs.items()]
+        from .catalog import _type_name
+
+        self.store.define(nodes, rels, {n: _type_name(found.key_type(n).simpleString()) for n in found.node_specs})
+        graph, written = self.store.graph(), 0
+        changed = {}
+        for name, df in found.nodes.items():
+            batch, key = df.withColumn(mutate.ORDINAL, F.monotonically_increasing_id()), graph.node_specs[name].key
+            new = mutate.upsert(graph.nodes[name], batch, [key], restore=True)
+            if held := [c for c in VECTOR_COLUMNS if c in new.columns]:
+                new = mutate.invalidate_embeddings(graph.nodes[name], new, key, [c for c, t in new.dtypes if t == "string" and not c.startswith("_") and c != key], held)
+            changed[name] = new
+            written += df.count()
+        for name, df in found.rels.items():
+            changed[name] = mutate.upsert(graph.rels[name], df.withColumn(mutate.ORDINAL, F.monotonically_increasing_id()), ["_src", "_dst"])
+            written += df.count()
+        self.store.replace(changed)
+        warned = bad.groupBy("warning").agg(F.count("*").alias("n"), F.min("line").alias("line")).collect()
+        return WriteReport(written, 0, [f"{r['warning']}: {r['n']} lines, as {r['line']}" for r in warned])

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files of a kind that warnings name.
+MOST_WARNINGS = 100
 _DOC = "struct<text: string, source: string, metadata: string>"
 
 
@@ -30,9 +32,11 @@ def read_documents(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, li
         whole = spark.read.text(kinds["json"], wholetext=True).withColumn("file", F.col("_metadata.file_path"))
         docs = F.coalesce(F.from_json("value", f"array<{_DOC}>"), F.from_json("value", f"struct<documents: array<{_DOC}>>")["documents"])
         read = whole.select("file", docs.alias("docs"))
-        warnings += [f"{r['file']}: not a list of documents" for r in read.where("docs IS NULL").select("file").collect()]
+        warnings += [f"{r['file']}: not a list of documents" for r in read.where("docs IS NULL").select("file").orderBy("file").limit(MOST_WARNINGS).collect()]
         out = out.unionByName(read.where("docs IS NOT NULL").select(F.explode("docs").alias("d")).select("d.text", "d.source", "d.metadata"))
     if kinds["jsonl"]:
-        lines = spark.read.text(kinds["jsonl"]).where(F.trim("value") != "").select(F.from_json("value", _DOC).alias("d"))
+        lines = spark.read.text(kinds["jsonl"]).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.from_json("value", _DOC).alias("d"))
+        broken = lines.where("d.text IS NULL").groupBy("file").count()
+        warnings += [f"{r['file']}: {r['count']} lines are no documents" for r in broken.orderBy("file").limit(MOST_WARNINGS).collect()]
         out = out.unionByName(lines.where("d.text IS NOT NULL").select("d.text", "d.source", "d.metadata"))
     return out, warnings

@@ -11,6 +11,7 @@ from ..catalog import TYPES, VECTOR_COLUMNS, Graph, node_id
 from ..errors import SchemaError
 
 FORMAT, VERSION = "graph_export", 1
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def export_lines(graph: Graph) -> DataFrame:
@@ -28,14 +29,14 @@ def export_lines(graph: Graph) -> DataFrame:
         df, key = graph.nodes[label], graph.node_specs[label].key
         props = [c for c in df.columns if c not in VECTOR_COLUMNS and c not in (key, "_source", "_created_at")]
         rest = [F.col(c).alias(a) for c, a in (("_source", "source"), ("_created_at", "created_at")) if c in df.columns]
-        line = F.to_json(F.struct(F.lit("node").alias("type"), F.lit(label).alias("label"), F.col(key).alias("key"), F.struct(*props).alias("properties") if props else F.lit(None).alias("properties"), *rest))
+        line = F.to_json(F.struct(F.lit("node").alias("type"), F.lit(label).alias("label"), F.col(key).alias("key"), F.struct(*props).alias("properties") if props else F.lit(None).alias("properties"), *rest), _JSON)
         out = out.unionByName(df.select(F.lit(k).alias("part"), line.alias("line")))
     for k, name in enumerate(rels, 2 + len(labels)):
         df, spec = graph.rels[name], graph.rel_specs[name]
         props = [c for c in df.columns if c not in ("_src", "_dst", "_source")]
         rest = [F.col("_source").alias("source")] if "_source" in df.columns else []
         ends = (F.lit("edge").alias("type"), F.lit(name).alias("rel"), node_id(spec.source, F.col("_src")).alias("from"), node_id(spec.target, F.col("_dst")).alias("to"))
-        out = out.unionByName(df.select(F.lit(k).alias("part"), F.to_json(F.struct(*ends, *([F.struct(*props).alias("properties")] if props else []), *rest)).alias("line")))
+        out = out.unionByName(df.select(F.lit(k).alias("part"), F.to_json(F.struct(*ends, *([F.struct(*props).alias("properties")] if props else []), *rest), _JSON).alias("line")))
     return out
 
 

@@ -11,41 +11,69 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import TYPES, Graph, NodeTable, RelTable, check_identifier
+from .catalog import TYPES, VECTOR_COLUMNS, Graph, NodeTable, RelTable, check_identifier
 from .errors import SchemaError
 
 RESERVED_NODE = {"_source": "STRING", "_created_at": "TIMESTAMP"}
+PUBLISH_TRIES = 20
 
 
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._lock = spark, path.rstrip("/"), threading.Lock()
+        self.spark, self.path, self._lock = spark, path.rstrip("/"), threading.RLock()
         self._catalog = self._newest()
 
-    # catalog versions
+    # catalog versions: one small file each, made only if it is not there yet
 
-    def _versions(self) -> list[str]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/catalog")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return []
-        found = [s.getPath() for s in files.listStatus(folder)]
-        return sorted(p.getName() for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def _files(self):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/catalog")
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _newest(self) -> dict:
-        versions = self._versions()
-        if not versions:
-            return {"version": 0, "nodes": {}, "rels": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/catalog/{versions[-1]}").first()["value"])
-
-    def _publish(self, catalog: dict) -> None:
-        catalog["version"] += 1
-        line = self.spark.createDataFrame([(json.dumps(catalog),)], "value string")
-        line.coalesce(1).write.text(f"{self.path}/catalog/v{catalog['version']:08d}")
-        self._catalog = catalog
+        folder, files = self._files()
+        names = sorted(s.getPath().getName() for s in files.listStatus(folder)) if files.exists(folder) else []
+        names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+        for name in reversed(names):
+            text = self.spark.read.text(f"{self.path}/catalog/{name}", wholetext=True).first()
+            try:
+                return json.loads(text["value"])
+            except (TypeError, ValueError):  # another process is still writing it
+                continue
+        return {"version": 0, "nodes": {}, "rels": {}}
+
+    def _create(self, catalog: dict) -> bool:
+        """Write the catalog as its version; False if that version is there already."""
+        folder, files = self._files()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"v{catalog['version']:08d}.json")
+        files.mkdirs(folder)
+        try:
+            out = files.create(path, False)
+        except Exception:
+            if files.exists(path):
+                return False
+            raise
+        out.write(bytearray(json.dumps(catalog).encode()))
+        out.close()
+        return True
+
+    def _change(self, apply) -> None:
+        """Publish the newest catalog as ``apply`` changes it; whoever publishes first wins, the others apply their change to what is there then."""
+        with self._lock:
+            for _ in range(PUBLISH_TRIES):
+                catalog = self._newest()
+                apply(catalog)
+                catalog["version"] += 1
+                if self._create(catalog):
+                    self._catalog = catalog
+                    return
+        raise SchemaError("The graph is being changed by others all the time", "Try again.")
+
+    def refresh(self) -> None:
+        """See what other processes have published."""
+        self._catalog = self._newest()
 
     def _write(self, df: DataFrame) -> str:
         folder = f"{self.path}/tables/{uuid.uuid4().hex}"
@@ -56,39 +84,56 @@ class GraphStore:
 
     def define(self, nodes: list[NodeTable], rels: list[RelTable], key_types: dict[str, str] | None = None) -> None:
         """Create tables; all is checked before any is written. A table that exists keeps its columns; its ``searchable`` flag may change."""
-        with self._lock:
-            catalog = json.loads(json.dumps(self._catalog))
-            names = [t.name for t in [*nodes, *rels]]
-            if len(set(names)) != len(names):
-                raise SchemaError("A table is defined twice")
-            for t in [*nodes, *rels]:
-                for name in (t.name, *t.properties):
-                    check_identifier(name)
-                for name, kind in t.properties.items():
-                    if name.startswith("_") or name == "embedding":
-                        raise SchemaError(f"Property {name} is reserved")
-                    if kind not in TYPES:
-                        raise SchemaError(f"Unknown type {kind}", f"Known: {', '.join(TYPES)}")
+        kinds = key_types or {}
+        names = [t.name for t in [*nodes, *rels]]
+        if len(set(names)) != len(names):
+            raise SchemaError("A table is defined twice")
+        for t in [*nodes, *rels]:
+            for name in (t.name, *t.properties, *([t.key] if isinstance(t, NodeTable) else [])):
+                check_identifier(name)
+            for name, kind in t.properties.items():
+                if name.startswith("_") or name in VECTOR_COLUMNS:
+                    raise SchemaError(f"Property {name} is reserved")
+                if kind not in TYPES:
+                    raise SchemaError(f"Unknown type {kind}", f"Known: {', '.join(TYPES)}")
+            if isinstance(t, NodeTable) and (t.key.startswith("_") or t.key in VECTOR_COLUMNS or kinds.get(t.name, "STRING") not in TYPES):
+                raise SchemaError(f"Key {t.key} of {t.name} is reserved or of an unknown type")
+
+        def apply(catalog: dict) -> None:
             labels = {*catalog["nodes"], *(n.name for n in nodes)}
             for r in rels:
                 if {r.source, r.target} - labels:
                     raise SchemaError(f"Relationship {r.name} refers to an unknown label", f"Known labels: {', '.join(sorted(labels))}")
                 if (old := catalog["rels"].get(r.name)) and (old["from"], old["to"]) != (r.source, r.target):
                     raise SchemaError(f"Relationship {r.name} already joins {old['from']} to {old['to']}")
-            kinds = key_types or {}
             for n in nodes:
                 if n.name in catalog["nodes"]:
                     catalog["nodes"][n.name]["searchable"] = n.searchable
-                    continue
-                columns = {check_identifier(n.key): kinds.get(n.name, "STRING"), **n.properties, **RESERVED_NODE}
-                catalog["nodes"][n.name] = {"key": n.key, "searchable": n.searchable, "folder": self._write(self._empty(columns))}
+                else:
+                    columns = {n.key: kinds.get(n.name, "STRING"), **{p: k for p, k in n.properties.items() if p != n.key}, **RESERVED_NODE}
+                    catalog["nodes"][n.name] = {"key": n.key, "searchable": n.searchable, "folder": self._write(self._empty(columns))}
             for r in rels:
-                if r.name in catalog["rels"]:
-                    continue
-                key = lambda label: self._key_kind(catalog, label)
-                schema = T.StructType([T.StructField("_src", key(r.source)), T.StructField("_dst", key(r.target)), *[T.StructField(p, TYPES[k]) for p, k in r.properties.items()], T.StructField("_source", T.StringType())])
-                catalog["rels"][r.name] = {"from": r.source, "to": r.target, "folder": self._write(self.spark.createDataFrame([], schema))}
-            self._publish(catalog)
+                if r.name not in catalog["rels"]:
+                    key = lambda label: self._key_kind(catalog, label)
+                    schema = T.StructType([T.StructField("_src", key(r.source)), T.StructField("_dst", key(r.target)), *[T.StructField(p, TYPES[k]) for p, k in r.properties.items()], T.StructField("_source", T.StringType())])
+                    catalog["rels"][r.name] = {"from": r.source, "to": r.target, "folder": self._write(self.spark.createDataFrame([], schema))}
+
+        self._change(apply)
+
+    def add_columns(self, name: str, columns: dict[str, str]) -> None:
+        """Add columns, null everywhere, to a table; those that it has stay as they are."""
+        for column, kind in columns.items():
+            check_identifier(column)
+            if kind not in TYPES:
+                raise SchemaError(f"Unknown type {kind}", f"Known: {', '.join(TYPES)}")
+        df = self.table(name)
+        self.replace({name: df.withColumns({c: F.lit(None).cast(TYPES[k]) for c, k in columns.items() if c not in df.columns})})
+
+    def table(self, name: str) -> DataFrame:
+        for kind in ("nodes", "rels"):
+            if name in self._catalog[kind]:
+                return self.spark.read.parquet(self._catalog[kind][name]["folder"])
+        raise SchemaError(f"Unknown table {name}", f"Known: {', '.join([*self._catalog['nodes'], *self._catalog['rels']])}")
 
     def _empty(self, columns: dict[str, str]) -> DataFrame:
         return self.spark.createDataFrame([], T.StructType([T.StructField(c, TYPES[k]) for c, k in columns.items()]))
@@ -108,12 +153,19 @@ class GraphStore:
         return graph
 
     def replace(self, tables: dict[str, DataFrame]) -> None:
-        """Swap the contents of tables, all in one version."""
+        """Swap the contents of tables, all in one version. A table that another process has changed meanwhile is an error."""
         with self._lock:
-            catalog = json.loads(json.dumps(self._catalog))
-            for name, df in tables.items():
-                kind = "nodes" if name in catalog["nodes"] else "rels"
-                if name not in catalog[kind]:
+            seen = self._catalog
+            for name in tables:
+                if name not in seen["nodes"] and name not in seen["rels"]:
                     raise SchemaError(f"Unknown table {name}")
-                catalog[kind][name]["folder"] = self._write(df)
-            self._publish(catalog)
+            folders = {name: self._write(df) for name, df in tables.items()}
+
+            def apply(catalog: dict) -> None:
+                for name, folder in folders.items():
+                    kind = "nodes" if name in seen["nodes"] else "rels"
+                    if catalog[kind].get(name, {}).get("folder") != seen[kind][name]["folder"]:
+                        raise SchemaError(f"Table {name} was changed by another process", "Refresh and try again.")
+                    catalog[kind][name]["folder"] = folder
+
+            self._change(apply)
