@@ -136,8 +136,8 @@ def test_code_resolution(spark):
     files = spark.createDataFrame([("p/a.py", "def f():\n    return g()\n\ndef g():\n    return f()\n"), ("p/b.py", "from p.a import f\nclass A:\n    def m(self):\n        self.n(); f()\n    def n(self): pass\n"), ("p/bad.py", "def (")], "path string, source string")
     nodes, edges = codegraph.code_graph(files)
     calls = got(edges.where("type = 'CALLS'").select("src", "dst"))
-    assert calls == [("p/a.py::f", "p/a.py::g"), ("p/a.py::g", "p/a.py::f"), ("p/b.py::A.m", "p/a.py::f"), ("p/b.py::A.m", "p/b.py::A.n")]
-    assert got(edges.where("type = 'IMPORTS'").select("src", "dst")) == [("p/b.py", "p/a.py")]
+    assert calls == [("repo:p/a.py#f", "repo:p/a.py#g"), ("repo:p/a.py#g", "repo:p/a.py#f"), ("repo:p/b.py#A.m", "repo:p/a.py#f"), ("repo:p/b.py#A.m", "repo:p/b.py#A.n")]
+    assert got(edges.where("type = 'IMPORTS'").select("src", "dst")) == [("repo:p/b.py", "repo:p/a.py")]
     assert nodes.where("kind = 'Module'").count() == 2
 
 
