@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import codecs, vectors
 from .functions import text as bm
-from .functions import vectors
-from .operators import chunk, codegraph, mutate, pack, retrieve
+from .operators import chunk, codegraph, embed, mentions, mutate, pack, retrieve, subgraph
 from .plans.compiler import cypher
 from .sources.testgraph import table_graph
 from .sources.transfer import export_lines
@@ -64,7 +64,7 @@ _cypher("union_distinct", "MATCH (c:Customer) RETURN c.c_nationkey AS n UNION MA
 _cypher("union_all", "MATCH (c:Customer) RETURN c.c_nationkey AS n UNION ALL MATCH (s:Supplier) RETURN s.s_nationkey AS n", "SELECT c_nationkey n FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 _cypher("with_having", "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n, sum(o.o_totalprice) AS spent WHERE n >= 3 RETURN c.c_mktsegment AS seg, count(*) AS customers, round(sum(spent), 2) AS spent", "SELECT c_mktsegment seg, count(*) customers, round(sum(spent),2) spent FROM (SELECT c_custkey, c_mktsegment, count(*) n, sum(o_totalprice) spent FROM customer JOIN orders ON o_custkey=c_custkey GROUP BY 1,2) WHERE n>=3 GROUP BY 1")
 _cypher("unwind_range", "UNWIND range(1, 5) AS x MATCH (r:Region) WHERE r.r_regionkey < x RETURN x, count(*) AS n", "SELECT x::INT AS x, count(*) n FROM range(1,6) t(x) JOIN region ON r_regionkey < x GROUP BY 1")
-_cypher("collect_list_sorted", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, collect(n.n_name) AS names RETURN r.r_name AS region, size(names) AS n", "SELECT r_name region, count(*) n FROM nation JOIN region ON n_regionkey=r_regionkey GROUP BY 1")
+_cypher("collect_list_sorted", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, collect(n.n_name) AS names RETURN r.r_name AS region, size(names) AS n, list_to_string('|', list_sort(names)) AS names", "SELECT r_name region, count(*) n, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey=r_regionkey GROUP BY 1")
 
 # joins along relationships
 
@@ -76,16 +76,55 @@ _cypher("rel_scan", "MATCH ()-[r:HAS_PART]->() RETURN count(*) AS n, round(sum(r
 _cypher("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 100000 RETURN c.c_custkey AS k, count(o) AS n", "SELECT c_custkey k, count(o_orderkey) n FROM customer LEFT JOIN orders ON o_custkey=c_custkey AND o_totalprice>100000 GROUP BY 1")
 _cypher("cartesian_points", "MATCH (a:Region {r_regionkey: 0}), (b:Nation {n_nationkey: 3}) RETURN a.r_name AS a, b.n_name AS b", "SELECT r_name a, n_name b FROM region, nation WHERE r_regionkey=0 AND n_nationkey=3")
 _cypher("semi_exists", "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 250000 } AND c.c_acctbal > 0 RETURN c.c_custkey AS k", "SELECT c_custkey k FROM customer WHERE c_acctbal>0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice>250000)")
-_cypher("anti_exists", "MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->(:Order) } RETURN c.c_custkey AS k", "SELECT c_custkey k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_cypher("anti_exists", "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 150000 } RETURN c.c_custkey AS k", "SELECT c_custkey k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 _cypher("count_subquery", "MATCH (n:Nation) WHERE COUNT { (n)<-[:LIVES_IN]-(:Customer) } > 5 RETURN n.n_nationkey AS k", "SELECT c_nationkey k FROM customer GROUP BY 1 HAVING count(*)>5")
 _cypher("var_length_1_3", "MATCH (t:Turn)-[:NEXT_TURN*1..3]->(u:Turn) WHERE t.turn = 0 RETURN t.conv_id AS c, count(*) AS n, max(u.turn) AS last", "SELECT a.conv_id c, count(*) n, max(b.turn) AS last FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn BETWEEN 1 AND 3 WHERE a.turn=0 GROUP BY 1")
 _cypher("path_length", "MATCH p = (t:Turn {turn: 0})-[:NEXT_TURN*1..2]->(u:Turn) RETURN t.conv_id AS c, length(p) AS hops, u.role AS role", "SELECT a.conv_id c, b.turn hops, b.role AS role FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn IN (1,2) WHERE a.turn=0")
 _cypher("all_labels_count", "MATCH (n) RETURN label(n) AS label, count(*) AS n", " UNION ALL ".join(f"SELECT '{a}' AS label, count(*) n FROM {b}" for a, b in (("Region", "region"), ("Nation", "nation"), ("Customer", "customer"), ("Supplier", "supplier"), ("Part", "part"), ("Order", "orders"), ("Doc", "documents"), ("Label", "labels"), ("Turn", "conversations"))))
 _cypher("all_rels_count", "MATCH (a)-[r]->(b) RETURN type(r) AS t, count(*) AS n", " UNION ALL ".join(f"SELECT '{a}' AS t, count(*) n FROM {b}" for a, b in (("IN_REGION", "nation"), ("LIVES_IN", "customer"), ("BASED_IN", "supplier"), ("PLACED", "orders"), ("HAS_PART", "lineitem"), ("SUPPLIED_BY", "lineitem"), ("HAS_LABEL", "labels"), ("NEXT_TURN", "conversations WHERE turn > 0"))))
 
+_cypher("exists_under_or", "MATCH (c:Customer) WHERE c.c_acctbal > 9000 OR EXISTS { MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 250000 } RETURN c.c_custkey AS k", "SELECT c_custkey k FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice > 250000)")
+_cypher("pattern_predicate", "MATCH (p:Part) WHERE NOT (p)<-[:HAS_PART {quantity: 50.0}]-(:Order) AND p.p_size > 20 RETURN p.p_partkey AS k", "SELECT p_partkey k FROM part WHERE p_size > 20 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+_cypher("count_in_return", "MATCH (n:Nation) RETURN n.n_nationkey AS k, COUNT { (n)<-[:LIVES_IN]-(:Customer) } AS customers, EXISTS { (n)<-[:BASED_IN]-(s:Supplier) WHERE s.s_acctbal > 5000 } AS rich", "SELECT n_nationkey k, (SELECT count(*) FROM customer WHERE c_nationkey=n_nationkey) customers, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey=n_nationkey AND s_acctbal > 5000) rich FROM nation")
+_cypher("map_projection", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH n {.n_name, .n_regionkey, region: r.r_name, double: n.n_nationkey * 2} AS m RETURN m.n_name AS name, m.region AS region, m.double AS double", "SELECT n_name AS name, r_name region, n_nationkey * 2 AS double FROM nation JOIN region ON n_regionkey=r_regionkey")
+_cypher("call_show_tables", "CALL SHOW_TABLES() RETURN *", "SELECT * FROM (VALUES ('Region','NODE'),('Nation','NODE'),('Customer','NODE'),('Supplier','NODE'),('Part','NODE'),('Order','NODE'),('Doc','NODE'),('Label','NODE'),('Turn','NODE'),('IN_REGION','REL'),('LIVES_IN','REL'),('BASED_IN','REL'),('PLACED','REL'),('HAS_PART','REL'),('SUPPLIED_BY','REL'),('HAS_LABEL','REL'),('NEXT_TURN','REL')) t(name, type)")
+_cypher("call_table_info", "CALL TABLE_INFO('Customer') RETURN name, type, primary_key AS pk", "SELECT * FROM (VALUES ('c_custkey','INT64',true),('c_name','STRING',false),('c_nationkey','INT64',false),('c_acctbal','DOUBLE',false),('c_mktsegment','STRING',false)) t(name, type, pk)")
+_cypher("open_path", "MATCH (t:Turn {turn: 0})-[:NEXT_TURN*]->(u:Turn) WHERE t.conv_id % 10 < 3 RETURN t.conv_id AS c, count(*) AS n", "SELECT conv_id c, count(*) n FROM conversations WHERE turn > 0 AND conv_id % 10 < 3 GROUP BY 1")
+_cypher("undirected_walks", "MATCH (r:Region)-[:IN_REGION*2..3]-(x) RETURN r.r_regionkey AS k, label(x) AS label, count(*) AS n", "WITH d AS (SELECT n_regionkey r, count(*) c FROM nation GROUP BY 1) SELECT r k, 'Region' AS label, c n FROM d UNION ALL SELECT r, 'Nation', c * c FROM d")
+_cypher("all_shortest", "MATCH p = allShortestPaths((a:Region {r_regionkey: 1})-[*1..2]-(c:Customer)) RETURN c.c_custkey AS k, length(p) AS hops, nodes(p)[1]._id AS via", "SELECT c_custkey k, 2::BIGINT hops, 'Nation:'||n_nationkey AS via FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=1")
+_cypher("shortest_path", "MATCH p = (a:Turn)-[:NEXT_TURN* SHORTEST 1..3]->(b:Turn) WHERE a.turn = 1 RETURN a.conv_id AS c, b.turn AS t, length(p) AS hops", "SELECT a.conv_id c, b.turn t, b.turn - a.turn AS hops FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn - a.turn BETWEEN 1 AND 3 WHERE a.turn = 1")
+_cypher("optional_chain", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:BASED_IN]-(s:Supplier)<-[:SUPPLIED_BY]-(o:Order) WHERE o.o_totalprice > 200000 RETURN n.n_nationkey AS k, count(DISTINCT s) AS suppliers, count(o) AS orders", "SELECT n_nationkey k, count(DISTINCT s_suppkey) suppliers, count(o_orderkey) orders FROM nation LEFT JOIN (SELECT s_nationkey, s_suppkey, o_orderkey FROM supplier JOIN lineitem ON l_suppkey=s_suppkey JOIN orders ON o_orderkey=l_orderkey AND o_totalprice > 200000) ON s_nationkey=n_nationkey GROUP BY 1")
+
 
 # catalog
 
+@_query("subgraph_nodes", "SELECT DISTINCT 'Nation:'||n_nationkey AS id, 'Nation' AS label FROM nation UNION ALL SELECT DISTINCT 'Region:'||n_regionkey, 'Region' FROM nation")
+def subgraph_nodes(spark, folder):
+    """The nodes that stand in the rows of a whole result, each once."""
+    found = cypher(table_graph(spark, folder), "MATCH (n:Nation)-[r:IN_REGION]->(x:Region) RETURN n, r, x")
+    return subgraph.subgraph_frames(found)[0].select("id", "label")
+
+
+@_query("subgraph_edges", "SELECT 'IN_REGION:Nation:'||n_nationkey||'->Region:'||n_regionkey AS id, 'IN_REGION' AS type, 'Nation:'||n_nationkey AS src, 'Region:'||n_regionkey AS dst FROM nation")
+def subgraph_edges(spark, folder):
+    found = cypher(table_graph(spark, folder), "MATCH (n:Nation)-[r:IN_REGION]->(x:Region) RETURN n, r, x")
+    return subgraph.subgraph_frames(found)[1]
+
+
+@_query("laid_out_columns", "SELECT 'Nation:'||n_nationkey AS n, n_nationkey nk, n_name AS name, n_regionkey rk FROM nation")
+def laid_out_columns(spark, folder):
+    """Nodes of a result as columns of their properties."""
+    wide = subgraph.laid_out(cypher(table_graph(spark, folder), "MATCH (n:Nation) RETURN n"))
+    return wide.select("n", F.col("`n.n_nationkey`").alias("nk"), F.col("`n.n_name`").alias("name"), F.col("`n.n_regionkey`").alias("rk"))
+
+
+@_query("subgraph_filter", "WITH n AS (SELECT n_nationkey, n_regionkey FROM nation JOIN region ON r_regionkey=n_regionkey WHERE contains('nation:'||n_nationkey, '1') OR contains(lower(n_name), '1') OR contains(n_nationkey::VARCHAR, '1') OR contains(n_regionkey::VARCHAR, '1')) SELECT 'Nation:'||n_nationkey AS src, 'Region:'||n_regionkey AS dst FROM n WHERE n_regionkey = 1 OR EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND contains(lower(r_name), '1'))")
+def subgraph_filter(spark, folder):
+    """Edges between the nodes that hold a text in their id or properties."""
+    nodes, edges = subgraph.subgraph_frames(cypher(table_graph(spark, folder), "MATCH (n:Nation)-[r:IN_REGION]->(x:Region) RETURN n, r, x"))
+    return subgraph.filtered(nodes, edges, "1")[1].select("src", "dst")
+
+
 @_query("table_stats", " UNION ALL ".join(f"SELECT '{a}' AS name, 'node' AS kind, count(*) n FROM {b}" for a, b in (("Region", "region"), ("Nation", "nation"), ("Customer", "customer"), ("Supplier", "supplier"), ("Part", "part"), ("Order", "orders"), ("Doc", "documents"), ("Label", "labels"), ("Turn", "conversations"))) + "".join(f" UNION ALL SELECT '{a}', 'rel', count(*) FROM {b}" for a, b in (("IN_REGION", "nation"), ("LIVES_IN", "customer"), ("BASED_IN", "supplier"), ("PLACED", "orders"), ("HAS_PART", "lineitem"), ("SUPPLIED_BY", "lineitem"), ("HAS_LABEL", "labels"), ("NEXT_TURN", "conversations WHERE turn > 0"))))
 def table_stats(spark, folder):
     return table_graph(spark, folder).table_stats()
@@ -130,13 +169,31 @@ def postings(spark, folder):
     return bm.postings(docs, "doc_id", ["text"]).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@_query("mention_join", "SELECT d.doc_id, n.term FROM documents d, (VALUES ('worthless'), ('apache license'), ('pathetic'), ('disgusting')) n(term) WHERE contains(lower(d.text), n.term)")
+_NAMES = "n AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS name FROM benchmark WHERE regexp_full_match(array_to_string(string_split(text, ' ')[1:2], ' '), '[A-Za-z]+ [A-Za-z]+'))"
+
+
+def _benchmark_names(spark, folder) -> DataFrame:
+    first = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+    return spark.read.parquet(f"{folder}/benchmark.parquet").select(F.lower(first).alias("name")).where(first.rlike("^[A-Za-z]+ [A-Za-z]+$")).distinct()
+
+
+@_query("mention_join", f"WITH {_NAMES} SELECT doc_id AS key, name FROM documents, n WHERE contains(lower(text), name)")
 def mention_join(spark, folder):
-    """Which documents mention which of a few names: the names are known, so each text is read once."""
-    docs, names = spark.read.parquet(f"{folder}/documents.parquet"), ["worthless", "apache license", "pathetic", "disgusting"]
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    found = F.filter(F.array(*[F.when(F.col("low").contains(n), F.lit(n)) for n in names]), lambda x: x.isNotNull())
-    return low.select("doc_id", F.explode(found).alias("term"))
+    """Which documents hold the first two words of which benchmark items, anywhere."""
+    return mentions.contained(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", _benchmark_names(spark, folder), "name")
+
+
+@_query("mention_words", f"WITH {_NAMES} SELECT doc_id AS key, name FROM documents, n WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || name || '($|[^\\p{{L}}\\p{{N}}_])')")
+def mention_words(spark, folder):
+    """The same as whole words, by an equi-join on words."""
+    return mentions.mentioned(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", _benchmark_names(spark, folder), "name")
+
+
+@_query("mention_patterns", "SELECT doc_id AS key, name FROM documents, (VALUES ('insult', '(?i)(^|[^\\p{L}\\p{N}_])(worthless|pathetic|stupid)($|[^\\p{L}\\p{N}_])'), ('license', '(?i)(^|[^\\p{L}\\p{N}_])(apache license|mit license)($|[^\\p{L}\\p{N}_])')) t(name, p) WHERE regexp_matches(text, p)")
+def mention_patterns(spark, folder):
+    """Which documents mention which things under any of their names."""
+    aliases = {"insult": ["worthless", "pathetic", "stupid"], "license": ["Apache License", "MIT License"]}
+    return mentions.pattern_mentions(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", aliases)
 
 
 # vectors
@@ -167,7 +224,7 @@ def magnitude_split(spark, folder):
 
 @_query("int8_scores", f"WITH s AS (SELECT vec_id, embedding::DOUBLE[] e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) m FROM embeddings) SELECT vec_id, round(list_dot_product(list_transform(e, lambda x: round_even(x * 127 / m, 0)::DOUBLE), {_QL}) / sqrt(list_dot_product({_QL}, {_QL})) * m / 127, 6) AS score FROM s")
 def int8_scores(spark, folder):
-    return _vectors(spark, folder).select("vec_id", F.round(vectors.approximate_score(F.col("embedding"), _Q, "int8"), 6).alias("score"))
+    return _vectors(spark, folder).select("vec_id", F.round(vectors.int8_score(F.col("embedding"), _Q), 6).alias("score"))
 
 
 @_query("hamming_scores", "SELECT vec_id, (" + " + ".join(f"(CASE WHEN (embedding[{i + 1}] >= 0) <> {str(x >= 0).upper()} THEN 1 ELSE 0 END)" for i, x in enumerate(_Q)) + ")::INT AS distance FROM embeddings")
@@ -175,16 +232,63 @@ def hamming_scores(spark, folder):
     return _vectors(spark, folder).select("vec_id", vectors.hamming(vectors.sign_bits(F.col("embedding")), [1 if x >= 0 else 0 for x in _Q]).alias("distance"))
 
 
-@_query("int8_rescore_topk")
+_UNIT = "list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))"
+_RESCORED = f"SELECT vec_id AS key, {_COS} AS score FROM embeddings WHERE vec_id IN (SELECT vec_id FROM ({{shortlist}})) ORDER BY {_COS.removeprefix('round(').removesuffix(', 6)')} DESC, 1 LIMIT 10"
+_INT8 = f"WITH s AS (SELECT vec_id, {_UNIT} e FROM embeddings) SELECT vec_id FROM s ORDER BY list_dot_product(list_transform(e, lambda x: round_even(x * 127 / list_max(list_transform(e, lambda y: abs(y))), 0)::DOUBLE), {_QL}) * list_max(list_transform(e, lambda y: abs(y))) DESC, vec_id LIMIT 40"
+_BITS = "SELECT vec_id FROM embeddings ORDER BY " + " + ".join(f"(CASE WHEN (embedding[{i + 1}] >= 0) <> {str(x >= 0).upper()} THEN 1 ELSE 0 END)" for i, x in enumerate(_Q)) + ", vec_id LIMIT 40"
+
+
+@_query("codec_recall")
+def codec_recall(spark, folder):
+    """For each codec the share of the ten nearest rows that a coded search finds, over every fiftieth row as a query."""
+    table = codecs.with_codes(_vectors(spark, folder), "embedding", "int8", "int8_code", "r")
+    asked = [(r["vec_id"], list(r["embedding"])) for r in _vectors(spark, folder).where("vec_id % 50 = 0").orderBy("vec_id").limit(codecs.BATCH_QUERIES).collect()]
+    truth, out = codecs.batch_top_k(table, "vec_id", "embedding", asked, 10).persist(), None
+    for codec in codecs.CODECS:
+        found = codecs.batch_top_k(table, "vec_id", "embedding", asked, 10, codec, "int8_code" if codec == "int8" else None)
+        one = codecs.recall(truth, found).select(F.lit(codec).alias("codec"), "recall")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query("batch_topk", f"WITH q AS (SELECT vec_id query, embedding::DOUBLE[] e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS key, list_dot_product(e, embedding::DOUBLE[]) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) score FROM q, embeddings) SELECT query, key, round(score, 5) score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, key) <= 5")
+def batch_topk(spark, folder):
+    """The five nearest rows of every fiftieth row, in one pass."""
+    asked = [(r["vec_id"], list(r["embedding"])) for r in _vectors(spark, folder).where("vec_id % 50 = 0").orderBy("vec_id").limit(codecs.BATCH_QUERIES).collect()]
+    return codecs.batch_top_k(_vectors(spark, folder), "vec_id", "embedding", asked, 5).select("query", "key", F.round("score", 5).alias("score"))
+
+
+@_query("int8_rescore_topk", _RESCORED.format(shortlist=_INT8))
 def int8_rescore_topk(spark, folder):
     return vectors.top_k(_vectors(spark, folder), "vec_id", "embedding", _Q, 10, "int8").select("key", F.round("score", 6).alias("score"))
 
 
-@_query("binary_rescore_topk")
+@_query("binary_rescore_topk", _RESCORED.format(shortlist=_BITS))
 def binary_rescore_topk(spark, folder):
     return vectors.top_k(_vectors(spark, folder), "vec_id", "embedding", _Q, 10, "binary").select("key", F.round("score", 6).alias("score"))
 
 
+@_query("polar_rescore_topk")
+def polar_rescore_topk(spark, folder):
+    return vectors.top_k(_vectors(spark, folder), "vec_id", "embedding", _Q, 10, "polar").select("key", F.round("score", 6).alias("score"))
+
+
+@_query("stored_codes", "SELECT vec_id, 68 AS code_bytes, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) r FROM embeddings")
+def stored_codes(spark, folder):
+    """Lengths and int8 codes as they are stored."""
+    coded = codecs.with_codes(_vectors(spark, folder), "embedding", "int8")
+    return coded.select("vec_id", F.octet_length("_emb_code").alias("code_bytes"), F.round("_emb_r", 5).alias("r"))
+
+
+@_query("embed_pending", "SELECT doc_id, (doc_id % 4 = 0 OR doc_id < 2 * (SELECT count(*) FROM documents WHERE doc_id % 4 = 0)) AS has_vector FROM documents WHERE doc_id % 4 = 0")
+def embed_pending(spark, folder):
+    """Documents whose id is divisible by four lack vectors and get them; all have one then, of the embedder's size."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    waiting = embed.provision(docs, 64).withColumn("embedding", F.when(F.col("doc_id") % 4 != 0, F.array_repeat(F.lit(1.0).cast("float"), 64)))
+    done = embed.embed_pending(waiting, "doc_id", embed.HashEmbedder(64), "int8")
+    return done.where("_emb_model = 'hash-64'").select("doc_id", (F.size("embedding") == 64).alias("has_vector"))
+
+
 @_query("polar_roundtrip")
 def polar_roundtrip(spark, folder):
     """Cosine of each vector with what its angular code gives back."""
@@ -231,26 +335,22 @@ def diversity_cap(spark, folder):
     return retrieve.diversify(retrieve.fuse(*_lists(spark, folder))).select("node_id", "label", "seed_rank")
 
 
-_EDGES = "e AS (SELECT 'Nation:'||n_nationkey s, 'Region:'||n_regionkey d FROM nation UNION ALL SELECT 'Customer:'||c_custkey, 'Nation:'||c_nationkey FROM customer UNION ALL SELECT 'Supplier:'||s_suppkey, 'Nation:'||s_nationkey FROM supplier)"
+_EDGES = "e AS (SELECT 'Nation:'||n_nationkey s, 'Region:'||n_regionkey d FROM nation UNION ALL SELECT 'Customer:'||c_custkey, 'Nation:'||c_nationkey FROM customer UNION ALL SELECT 'Supplier:'||s_suppkey, 'Nation:'||s_nationkey FROM supplier UNION ALL SELECT 'Customer:'||o_custkey, 'Order:'||o_orderkey FROM orders UNION ALL SELECT DISTINCT 'Order:'||l_orderkey, 'Part:'||l_partkey FROM lineitem UNION ALL SELECT DISTINCT 'Order:'||l_orderkey, 'Supplier:'||l_suppkey FROM lineitem UNION ALL SELECT 'Doc:'||doc_id, 'Label:'||doc_id FROM labels UNION ALL SELECT 'Turn:'||(conv_id*10000+turn-1), 'Turn:'||(conv_id*10000+turn) FROM conversations WHERE turn > 0)"
 _TWO_HOPS = f"WITH RECURSIVE {_EDGES}, u AS (SELECT s a, d b FROM e UNION ALL SELECT d, s FROM e), w AS (SELECT 'Region:1' n, 0 depth UNION SELECT b, depth + 1 FROM w JOIN u ON n = a WHERE depth < 2), m AS (SELECT n node_id, min(depth) depth FROM w GROUP BY 1) "
 
 
-def _small_edges(spark, folder) -> DataFrame:
-    return table_graph(spark, folder).edges().where(F.col("type").isin("IN_REGION", "LIVES_IN", "BASED_IN"))
-
-
 @_query("khop_nodes", _TWO_HOPS + "SELECT node_id, depth::INT depth FROM m")
 def khop_nodes(spark, folder):
     graph = table_graph(spark, folder)
     seeds = spark.createDataFrame([("Region:1",)], "node_id string")
-    return retrieve.expand(graph, seeds, 2, _small_edges(spark, folder))[0]
+    return retrieve.expand(graph, seeds, 2)[0]
 
 
 @_query("khop_edges", _TWO_HOPS + "SELECT DISTINCT s AS src, d AS dst FROM e WHERE s IN (SELECT node_id FROM m WHERE depth < 2) OR d IN (SELECT node_id FROM m WHERE depth < 2)")
 def khop_edges(spark, folder):
     graph = table_graph(spark, folder)
     seeds = spark.createDataFrame([("Region:1",)], "node_id string")
-    return retrieve.expand(graph, seeds, 2, _small_edges(spark, folder))[1].select("src", "dst").distinct()
+    return retrieve.expand(graph, seeds, 2)[1].select("src", "dst").distinct()
 
 
 @_query("shortest_hops", "SELECT 'Turn:'||(conv_id*10000+turn) AS node_id, turn::INT hops FROM conversations WHERE turn <= 4 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)")
@@ -261,10 +361,34 @@ def shortest_hops(spark, folder):
     return retrieve.shortest_hops(edges, turns.where("turn = 0").select(ident().alias("node_id")), 4)
 
 
-@_query("hybrid_seeds")
-def hybrid_seeds(spark, folder):
+_HYBRID_TERMS = ["thand", "shand", "worthless"]
+_HYBRID = ("WITH d AS" + _bm25_sql("text", _HYBRID_TERMS).split("WITH d AS")[1]).replace("SELECT doc_id AS key, round(", ", bm AS (SELECT doc_id AS key, round(").replace(", 6) AS score FROM t, s", ", 12) AS score FROM t, s")
+_HYBRID += f"""),
+vt AS (SELECT doc_id AS key, list_dot_product(embedding::DOUBLE[], {_QL}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_QL}, {_QL}))) AS score FROM documents JOIN embeddings ON vec_id = doc_id),
+fa AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) r FROM bm QUALIFY r <= 8),
+fb AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) r FROM vt QUALIFY r <= 8),
+fu AS (SELECT coalesce(fa.key, fb.key) AS key, coalesce(1.0::DOUBLE/(60+fa.r),0) + coalesce(1.0::DOUBLE/(60+fb.r),0) AS score, CASE WHEN fa.r IS NOT NULL AND (fb.r IS NULL OR fa.r <= fb.r) THEN 'fts' ELSE 'vector' END AS match, fa.r ar, fb.r br FROM fa FULL JOIN fb ON fa.key = fb.key),
+se AS (SELECT 'Doc:'||key AS node_id, 'Doc' AS label, round(score, 8) score, match, row_number() OVER (ORDER BY score DESC, ar NULLS LAST, br NULLS LAST, 'Doc:'||key) AS seed_rank FROM fu QUALIFY seed_rank <= 8)"""
+
+
+def _searched(spark, folder):
+    """Documents with vectors, and their labels: both halves of the search and a hop of expansion have work to do."""
     graph = table_graph(spark, folder)
-    return retrieve.search(graph, "thand shand worthless", labels=["Doc"], hops=0).seeds.select("node_id", "label", F.round("score", 8).alias("score"), "match", "seed_rank")
+    docs = graph.nodes["Doc"].join(_vectors(spark, folder).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return graph.add_nodes("Doc", docs, "doc_id", searchable=True), spark.read.parquet(f"{folder}/documents.parquet")
+
+
+@_query("hybrid_seeds", _HYBRID + " SELECT node_id, label, score, match, seed_rank::INT seed_rank FROM se")
+def hybrid_seeds(spark, folder):
+    graph, _ = _searched(spark, folder)
+    return retrieve.search(graph, " ".join(_HYBRID_TERMS), _Q, labels=["Doc"], hops=0).seeds.select("node_id", "label", F.round("score", 8).alias("score"), "match", "seed_rank")
+
+
+@_query("hybrid_nodes", _HYBRID + " SELECT node_id, 0 AS depth FROM se UNION ALL SELECT 'Label:'||doc_id, 1 FROM labels WHERE 'Doc:'||doc_id IN (SELECT node_id FROM se)")
+def hybrid_nodes(spark, folder):
+    """The seeds and what lies a hop around them."""
+    graph, _ = _searched(spark, folder)
+    return retrieve.search(graph, " ".join(_HYBRID_TERMS), _Q, labels=["Doc"], hops=1).nodes
 
 
 # writing
@@ -304,6 +428,42 @@ def embedding_invalidation(spark, folder):
     return mutate.invalidate_embeddings(docs, changed, "doc_id", ["lang"], ["embedding"]).select("doc_id", F.col("embedding").isNotNull().alias("has_vector"))
 
 
+@_query("prune_prefix", "SELECT 'd'||doc_id||'#'||lpad(n::VARCHAR, 4, '0') AS id FROM documents, range(3) t(n) WHERE NOT (doc_id % 5 = 0 AND n = 2)")
+def prune_prefix(spark, folder):
+    """Of chunks whose document is ingested again those go that it no longer gives."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("own"), "doc_id")
+    chunks = docs.select("own", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")).select("own", "doc_id", "n", F.concat("own", F.format_string("#%04d", "n")).alias("id"))
+    again = chunks.where("doc_id % 5 = 0")
+    return mutate.prune_prefix(chunks, again.where("n < 2"), "id", again.select(F.col("own").alias("prefix")))[0].select("id")
+
+
+@_query("detach_delete", "SELECT l_orderkey _src, l_partkey _dst, count(*) n FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_partkey % 11 <> 0 GROUP BY 1, 2")
+def detach_delete(spark, folder):
+    """Relationships that are left when nodes at both ends are deleted."""
+    graph = table_graph(spark, folder)
+    rels = mutate.detach(graph.rels["HAS_PART"], graph.nodes["Order"].where("o_orderkey % 7 = 0"), "o_orderkey", ["_src"])
+    rels = mutate.detach(rels, graph.nodes["Part"].where("p_partkey % 11 = 0"), "p_partkey", ["_dst"])
+    return rels.groupBy("_src", "_dst").agg(F.count("*").alias("n"))
+
+
+@_query("set_values", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def set_values(spark, folder):
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    return mutate.set_values(customers, F.col("c_acctbal") < 0, {"c_mktsegment": F.lit(None), "c_acctbal": F.lit(0.0)}).select("c_custkey", "c_mktsegment", "c_acctbal")
+
+
+@_query("coerced_upsert", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE p_partkey END::BIGINT AS size, (p_size * 2)::DOUBLE AS price FROM part")
+def coerced_upsert(spark, folder):
+    """Text and whole numbers are taken where they read as the declared type, the rest is left out with a warning."""
+    parts = spark.read.parquet(f"{folder}/part.parquet")
+    table = parts.select("p_partkey", F.col("p_size").cast("long").alias("size"), "p_retailprice").withColumnRenamed("p_retailprice", "price")
+    text = F.when(F.col("p_partkey") % 3 == 0, "none").otherwise(F.concat(F.lit(" "), F.col("p_partkey").cast("string")))
+    batch = parts.select("p_partkey", text.alias("size"), (F.col("p_size") * 2).alias("price"), F.lit(True).alias("undeclared"), F.lit(0).alias(mutate.ORDINAL))
+    clean, warnings = mutate.sanitize(batch, table, ["p_partkey"])
+    assert len(warnings) == 2, warnings
+    return mutate.upsert(table, clean, ["p_partkey"])
+
+
 @_query("anti_missing_endpoints", "SELECT doc_id*2 AS _src, doc_id AS _dst, 'source' AS missing FROM labels WHERE doc_id*2 NOT IN (SELECT doc_id FROM documents)")
 def anti_missing_endpoints(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
@@ -342,7 +502,10 @@ def pack_context(spark, folder):
     return spark.createDataFrame([(text, truncated)], "context string, truncated boolean")
 
 
-@_query("code_graph")
+_GOLDEN = ["CONTAINS_REPO_MODULE repo repo:pkg/__init__.py", "CONTAINS_REPO_MODULE repo repo:pkg/base.py", "CONTAINS_REPO_MODULE repo repo:pkg/more.py", "CONTAINS_MODULE_CLASS repo:pkg/base.py repo:pkg/base.py#Base", "CONTAINS_MODULE_CLASS repo:pkg/more.py repo:pkg/more.py#More", "CONTAINS_CLASS_FUNCTION repo:pkg/base.py#Base repo:pkg/base.py#Base.run", "CONTAINS_CLASS_FUNCTION repo:pkg/base.py#Base repo:pkg/base.py#Base.step", "CONTAINS_MODULE_FUNCTION repo:pkg/base.py repo:pkg/base.py#helper", "CONTAINS_CLASS_FUNCTION repo:pkg/more.py#More repo:pkg/more.py#More.go", "IMPORTS repo:pkg/more.py repo:pkg/base.py", "INHERITS repo:pkg/more.py#More repo:pkg/base.py#Base", "CALLS repo:pkg/base.py#Base.run repo:pkg/base.py#Base.step", "CALLS repo:pkg/base.py#Base.step repo:pkg/base.py#helper", "CALLS repo:pkg/more.py#More.go repo:pkg/base.py#helper"]
+
+
+@_query("code_graph", "SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(line.split(" ")) + "')" for line in _GOLDEN) + ") t(type, src, dst)")
 def code_graph(spark, folder):
     files = spark.createDataFrame(
         [
@@ -352,9 +515,24 @@ def code_graph(spark, folder):
         ],
         "path string, source string",
     )
-    return codegraph.code_graph(files)[1]
+    return codegraph.code_graph(files)[1].select("type", "src", "dst")
+
+
+_EXPORTED = [("customer", "Customer"), ("documents", "Doc"), ("labels", "Label"), ("nation", "Nation"), ("orders", "Order"), ("part", "Part"), ("region", "Region"), ("supplier", "Supplier"), ("conversations", "Turn")]
+_EXPORTED_RELS = [("supplier", "BASED_IN"), ("labels", "HAS_LABEL"), ("lineitem", "HAS_PART"), ("nation", "IN_REGION"), ("customer", "LIVES_IN"), ("conversations WHERE turn > 0", "NEXT_TURN"), ("orders", "PLACED"), ("lineitem", "SUPPLIED_BY")]
 
 
-@_query("export_jsonl")
+@_query("export_jsonl", " UNION ALL ".join(["SELECT 'graph_export' AS type, NULL AS name, 1 AS lines", "SELECT 'schema', NULL, 1", *(f"SELECT 'node', '{n}', count(*) FROM {t}" for t, n in _EXPORTED), *(f"SELECT 'edge', '{n}', count(*) FROM {t}" for t, n in _EXPORTED_RELS)]))
 def export_jsonl(spark, folder):
-    return export_lines(table_graph(spark, folder)).groupBy("part").agg(F.count("*").alias("lines"))
+    """The lines of an export by what they say they are."""
+    lines = export_lines(table_graph(spark, folder))
+    field = lambda name: F.get_json_object("line", f"$.{name}")
+    return lines.groupBy(field("type").alias("type"), F.coalesce(field("label"), field("rel")).alias("name")).agg(F.count("*").alias("lines"))
+
+
+@_query("export_lines", "SELECT 'Nation' AS label, n_nationkey AS key, n_name AS name, n_regionkey AS region FROM nation")
+def export_nations(spark, folder):
+    """What the exported lines of a table hold, read back."""
+    lines = export_lines(table_graph(spark, folder)).where(F.get_json_object("line", "$.label") == "Nation")
+    read = lines.select(F.from_json("line", "struct<label: string, key: int, properties: struct<n_name: string, n_regionkey: int>>").alias("r"))
+    return read.select("r.label", "r.key", F.col("r.properties.n_name").alias("name"), F.col("r.properties.n_regionkey").alias("region"))
