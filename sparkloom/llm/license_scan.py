@@ -6,8 +6,9 @@ its words, all mandatory words standing there exactly. Punctuation and A-Z case
 
 Base phrases are searched beside the templates and count every place, overlapping ones too.
 
-Defined cases: a null text has no words and no labels; an empty table gives an empty table; repeated rows are scanned each on their own;
-overlapping matches of different templates all count; other columns are ignored.
+Defined cases: a null text has no words and no labels; an empty table gives an empty table; repeated rows and rows of one doc_id are scanned
+each on their own; overlapping matches of different templates all count; a very long text is scanned once for each template, and
+automata run only from words that open one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +45,52 @@ TEMPLATES = {
     "cc-by-notice": "licensed under a creative commons attribution <<var;6>> license",
     "spdx": "spdx license identifier <<var;1>>",
     "mit-short": "<<beginOptional>>released<<endOptional>> licensed under the mit license",
+    "mpl-2.0-notice": """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file
+        you can obtain one at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> mozilla org mpl 2 0""",
+    "epl-2.0-notice": """this program and the accompanying materials are made available under the terms of the eclipse public license <<beginOptional>>v<<endOptional>> 2 0
+        <<beginOptional>>which <<var;1>> available at <<var;8>><<endOptional>>""",
+    "cc0-notice": "to the extent possible under law <<var;12>> waived all copyright and related or neighboring rights to <<var;8>>",
+    # whole texts
+    "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>>
+        to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
+        and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software
+        the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+        in no event shall <<var;10>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+        or the use or other dealings in the software""",
+    "bsd-2-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        <<var;1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        <<var;1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        this software is provided by <<var;8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+        in no event shall <<var;8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+        loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+        arising in any way out of the use of this software even if advised of the possibility of such damage""",
+    "bsd-3-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        <<var;1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        <<var;1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        <<var;1>> neither the name of <<var;12>> nor the names of <<beginOptional>>its<<endOptional>> <<beginOptional>>other<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission
+        this software is provided by <<var;8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+        in no event shall <<var;8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+        loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+        arising in any way out of the use of this software even if advised of the possibility of such damage""",
+    "isc-text": """permission to use copy modify <<beginOptional>>and or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies
+        the software is provided as is and <<var;6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+        in no event shall <<var;6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+    "zlib-text": """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+        permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+        <<var;1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software
+        if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required
+        <<var;1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+        <<var;1>> this notice may not be removed or altered from any source distribution""",
+    "unlicense-text": """this is free and unencumbered software released into the public domain
+        anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means
+        in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain
+        we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
+        we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law
+        the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+        in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
 }
 
 #: Words that may separate a run of a template; a label needs a whole template.

@@ -469,6 +469,74 @@ def test_licenses(docs, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+MIT = """Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def brute_accepts(parts, words, at):
+    """Ends of all runs from a word that a template's parts accept, tried one way after another."""
+    if not parts:
+        return {at}
+    (kind, what), rest = parts[0], parts[1:]
+    if kind == "words":
+        return brute_accepts(rest, words, at + len(what)) if words[at : at + len(what)] == what else set()
+    if kind == "var":
+        return set().union(*(brute_accepts(rest, words, at + n) for n in range(what + 1) if at + n <= len(words)))
+    return brute_accepts(rest, words, at) | brute_accepts([*what, *rest], words, at)
+
+
+def template_parts(template):
+    stack = [[]]
+    for k, part in enumerate(license_scan._MARK.split(template)):
+        if k % 2 == 0:
+            if words := license_scan.words_of(part):
+                stack[-1].append(("words", words))
+        elif part == "beginOptional":
+            stack.append([])
+        elif part == "endOptional":
+            inner = stack.pop()
+            stack[-1].append(("optional", inner))
+        else:
+            stack[-1].append(("var", int(part.partition(";")[2])))
+    return stack[0]
+
+
+def test_automata_against_trying_all_ways():
+    r = random.Random(8)
+    compiled = {label: automaton for label, automaton, _ in license_scan.compile_templates(license_scan.TEMPLATES)}
+    for label, template in license_scan.TEMPLATES.items():
+        parts = template_parts(template)
+
+        def written(parts):
+            out = []
+            for kind, what in parts:
+                out += what if kind == "words" else [b"x"] * r.randrange(what + 2) if kind == "var" else written(what) if r.random() < 0.5 else []
+            return out
+
+        for _ in range(30):
+            words = written(parts) + [b"more"] * r.randrange(2)
+            if r.random() < 0.5:
+                words[r.randrange(len(words))] = b"changed"
+            assert compiled[label].longest(words, 0) == max(brute_accepts(parts, words, 0), default=-1), (label, words)
+
+
+def test_whole_license_texts(spark):
+    docs = [(1, MIT), (2, MIT.replace("merge, ", "")), (3, "x " + MIT.upper()), (4, MIT + "\n" + MIT), (4, None), (5, MIT.replace("AUTHORS OR COPYRIGHT HOLDERS", "ACME Corp of Nowhere"))]
+    rows = license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string").withColumn("labels", F.lit("clash"))).collect()
+    labels = [sorted(m["label"] for m in r["matches"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["n_words"]))]
+    assert labels == [["mit", "mit-text"], [], ["mit", "mit-text"], [], ["mit", "mit", "mit-text", "mit-text"], ["mit", "mit-text"]]
+
+
 def test_template_regions():
     (label, automaton, _), *_ = license_scan.compile_templates({"t": "use <<var;2>> freely <<beginOptional>>or not<<endOptional>> today"})
     run = lambda s: automaton.longest(license_scan.words_of(s), 0)
