@@ -7,9 +7,13 @@ with a fingerprint of the benchmark are extended to whole windows, whose words a
 Items of fewer than 13 words are one window each; their lengths that occur (twelve at most) each get fingerprints of
 that many words.
 
+One pass over the texts gives their word counts and suspects. A word is hashed once; runs of two, four and eight words, and the minima of two, four and six
+of their hashes, come from pairs of neighbours, so that no step looks at more than two entries.
+
 Defined cases: a null or wordless text has no words, no hits and is not contaminated; null and wordless items have no
 window; null item_ids mark hits but are not listed; repeated document rows each get the same result; an empty
-benchmark leaves all documents clean; documents of one doc_id with different texts are told apart by a hash of the text.
+benchmark leaves all documents clean; documents of one doc_id with different texts are told apart by a hash of the text; a very long text is
+one row of its words, which must fit a task; other columns are ignored, and those of documents travel through :func:`drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 # An inner explode makes the optimizer test the array's size first, and it pushes that test down through the projections, where
 # arrays would be made anew for each element of a lambda; explode_outer keeps each array computed once.
-from .common import ALNUM_WORD_ANY_CASE, ascii_lower, checkpoint, or_empty
+from .common import ascii_lower, checkpoint, or_empty
 
 WINDOW = 13
 GRAM = 8
@@ -34,27 +38,59 @@ def alnum_words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
-def _gram_hashes(df: DataFrame, words: str, out: str, size: int) -> DataFrame:
+#: Stands for the document itself among its fingerprints, which are even.
+DOCUMENT = 1
+
+
+def _hashed(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _less(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _ahead(array: str, n: int) -> Column:
+    return F.slice(array, F.lit(n + 1), F.size(array))
+
+
+def _pairs(df: DataFrame, out: str, left: str, right: str, n: int, join) -> DataFrame:
+    """``out``: each entry of ``left`` joined with the entry of ``right`` that is ``n`` places on; past its end ``left``'s alone."""
+    return df.withColumn(out, F.zip_with(left, _ahead(right, n), join))
+
+
+def _gram_hashes(df: DataFrame, hashes: str, out: str, size: int) -> DataFrame:
     """``out``: for each place the hash of ``size`` words from there; the last ``size - 1`` entries are of fewer words."""
-    rest = lambda i: [F.get(words, i + k) for k in range(1, size)]
-    return df.withColumn(out, F.transform(words, lambda w, i: F.xxhash64(w, *rest(i))))
+    half = 1 << (size.bit_length() - 1)
+    if size == 1:
+        return df.withColumn(out, F.col(hashes))
+    rest = half if size > half else half // 2
+    names = [f"{out}a", f"{out}b"]
+    df = _gram_hashes(df, hashes, names[0], size - rest if size > half else rest)
+    if size == half:  # two equal halves
+        return _pairs(df, out, names[0], names[0], rest, _hashed).drop(names[0])
+    df = _gram_hashes(df, hashes, names[1], rest)
+    return _pairs(df, out, names[0], names[1], size - rest, _hashed).drop(*names)
 
 
 def _fingerprints(df: DataFrame, words: str, lengths: list[int], out: str) -> DataFrame:
     """``out``: the distinct fingerprints of all windows of the given lengths."""
     n, parts = F.size(words), []
+    df = df.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w)))
     for length in lengths:
         name = f"__f{length}"
         if length == WINDOW:
-            df = _gram_hashes(df, words, "__g", GRAM)
-            smallest = lambda x, i: F.least(x, *[F.get("__g", i + k) for k in range(1, PER_WINDOW)])
-            df = df.withColumn(name, F.when(n >= WINDOW, F.transform(F.slice("__g", F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), smallest)))
+            df = _gram_hashes(df, "__h", "__g", GRAM)
+            df = _pairs(df, "__m2", "__g", "__g", 1, _less)
+            df = _pairs(df, "__m4", "__m2", "__m2", 2, _less)
+            df = _pairs(df, "__m6", "__m4", "__m2", PER_WINDOW - 2, _less).drop("__g", "__m2", "__m4")
+            df = df.withColumn(name, F.when(n >= WINDOW, F.slice("__m6", F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))))).drop("__m6")
         else:
-            df = _gram_hashes(df, words, "__g", length)
-            df = df.withColumn(name, F.when(n >= length, F.slice("__g", F.lit(1), F.greatest(n - length + 1, F.lit(1)))))
-        df = df.withColumn(name, F.coalesce(F.array_distinct(name), F.array().cast("array<bigint>"))).drop("__g")
+            df = _gram_hashes(df, "__h", "__g", length)
+            df = df.withColumn(name, F.when(n >= length, F.slice("__g", F.lit(1), F.greatest(n - length + 1, F.lit(1))))).drop("__g")
+        df = df.withColumn(name, F.coalesce(F.transform(F.array_distinct(name), lambda x: x.bitwiseAND(F.lit(-2).cast("long"))), F.array().cast("array<bigint>")))
         parts.append(name)
-    return df.withColumn(out, F.concat(*parts)).drop(*parts)
+    return df.withColumn(out, F.concat(*parts)).drop("__h", *parts)
 
 
 def _windows(words: Column, length: int) -> Column:
@@ -86,8 +122,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
     worded = docs.withColumn("__w", alnum_words(F.col("__t")))
     prints = _fingerprints(bench.select(F.split("win", " ").alias("__w"), "len"), "__w", lengths, "__f")
     prints = prints.select(F.explode_outer("__f").alias("fp")).where("fp IS NOT NULL").distinct()
-    marks = _fingerprints(worded.select("doc_id", "text_key", "__w"), "__w", lengths, "__f").select("doc_id", "text_key", F.explode_outer("__f").alias("fp"))
-    suspects = checkpoint(marks.join(hint(prints), "fp", "left_semi").select("doc_id", "text_key").distinct())
+    prints = prints.union(docs.sparkSession.range(1).select(F.lit(DOCUMENT).cast("long")))
+    marks = _fingerprints(worded.select("doc_id", "text_key", "__w"), "__w", lengths, "__f").select("doc_id", "text_key", F.size("__w").cast("long").alias("n_words"), F.concat(F.array(F.lit(DOCUMENT).cast("long")), "__f").alias("__f"))
+    marks = marks.select("doc_id", "text_key", "n_words", F.explode_outer("__f").alias("fp"))
+    # a row for each document, and one for each fingerprint that it shares with the benchmark
+    seen = checkpoint(marks.join(hint(prints), "fp", "left_semi"))
+    suspects = checkpoint(seen.where(F.col("fp") != DOCUMENT).select("doc_id", "text_key").distinct())
     few = suspects.count() <= BROADCAST_KEYS
 
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
@@ -113,7 +153,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
     by_doc = by_doc.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), covered.alias("n_hit"), items.alias("items"))
     if few:
         by_doc = F.broadcast(by_doc)
-    counted = docs.select("doc_id", "text_key", F.regexp_count("__t", F.lit(ALNUM_WORD_ANY_CASE)).cast("long").alias("n_words"))
+    counted = seen.where(F.col("fp") == DOCUMENT).select("doc_id", "text_key", "n_words")
     out = counted.join(by_doc, counted["doc_id"].eqNullSafe(by_doc["__d"]) & (counted["text_key"] == by_doc["__k"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
