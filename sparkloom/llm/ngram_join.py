@@ -493,7 +493,9 @@ def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text
     again = placed.where("first AND times > 1").select("__d", "__k")
     if again.isEmpty():
         return left
-    return left.unionByName(docs.join(again, match(again)).dropDuplicates(["__d", "__k"]).select(*docs.columns))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs[doc].cast("long").alias("d"), F.xxhash64(or_empty(docs[text])).alias("k"))
+    one = rows.join(again, F.col("d").eqNullSafe(F.col("__d")) & (F.col("k") == F.col("__k"))).dropDuplicates(["__d", "__k"])
+    return left.unionByName(one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -170,10 +170,14 @@ def filter_quality(df: DataFrame, text: str = "text") -> DataFrame:
     judged = apply_quality_rules(df.select(F.struct(*df.columns).alias("__row"), F.col(text).alias("__in")), "__in")
     # rejected rows get a null from explode_outer: a filter on what stands before it would be pushed down and make arrays anew inside lambdas
     clean = F.explode_outer(F.when(F.col("kept"), F.array("cleaned_text"))).alias("__clean")
-    kept = judged.select("__row", clean).where("__clean IS NOT NULL").select("__row.*", "__clean").withColumn(text, F.col("__clean"))
-    if "n_chars" in df.columns and text != "n_chars":
-        kept = kept.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
-    return kept.select(*df.columns)
+    kept = judged.select("__row", clean).where("__clean IS NOT NULL")
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("__clean").alias(c)
+        return (F.length("__clean").cast(df.schema[c].dataType) if c == "n_chars" else F.col(f"__row.`{c}`")).alias(c)
+
+    return kept.select(*map(column, df.columns))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -181,3 +185,31 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return apply_quality_rules(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"
     )
+
+
+_SQL_FORMS = [form for phrase in BOILERPLATE for form in dict.fromkeys((phrase, phrase.capitalize(), phrase.title(), phrase.upper()))]
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest(range(i, i + 3)) AS p FROM g JOIN (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1) m ON g.doc_id = m.doc_id AND g.g = m.g) GROUP BY 1),
+x AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS v FROM (SELECT doc_id, unnest(l) AS line FROM w)),
+c AS (SELECT doc_id, line, v, len(v) AS n,
+  len(list_filter(v, lambda x: regexp_matches(x, '([#*$%&<>]|[!?][!?])$'))) AS marked,
+  len(list_filter(v, lambda x: x IN ('|', '»', '›', '•', '·', '>'))) AS separators,
+  len(list_filter(v, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS shouted,
+  len(list_filter(v, lambda x: NOT regexp_matches(x, '[A-Za-z\x{{80}}-\x{{10FFFF}}]'))) AS letterless,
+  len(list_filter(v, lambda x: regexp_matches(x, '^(https?://|www[.])'))) AS links,
+  {" OR ".join(f"contains(line, '{form}')" for form in _SQL_FORMS)} AS phrase
+  FROM x),
+b AS (SELECT doc_id, sum(length(line)) AS chars, sum(length(line)) FILTER (
+  marked > {MAX_MARKED_WORDS} * n OR separators >= 3 AND 4 * separators >= n OR phrase AND n <= {BOILERPLATE_WORDS}
+  OR n BETWEEN {ENDED_WORDS[0]} AND {ENDED_WORDS[1]} AND NOT contains('{_CLOSING.replace("'", "''")}', right(v[-1], 1))
+  OR n >= {LEAST_SHOUTED} AND shouted >= {MAX_CAPITALS} * n OR n >= {LEAST_LETTERLESS} AND letterless > {MAX_LETTERLESS} * n OR links > {MAX_LINKS} * n) AS lost
+  FROM c GROUP BY 1),
+e AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost_chars, coalesce(chars, 0) AS chars FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN b ON b.doc_id = w.doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND lost_chars <= {MAX_LOST} * chars AS kept, lost_chars::BIGINT AS lost_chars FROM e
+"""

@@ -20,4 +20,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op9_ngram_join": ngram_join.ORACLE_SQL,
+    "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
