@@ -48,6 +48,11 @@ class Graph:
         self.nodes: dict[str, DataFrame] = {}
         self.rels: dict[str, DataFrame] = {}
 
+    def copy(self) -> "Graph":
+        out = Graph()
+        out.node_specs, out.rel_specs, out.nodes, out.rels = dict(self.node_specs), dict(self.rel_specs), dict(self.nodes), dict(self.rels)
+        return out
+
     def add_nodes(self, label: str, df: DataFrame, key: str, searchable: bool = False) -> "Graph":
         check_identifier(label)
         if key not in df.columns:

@@ -42,7 +42,7 @@ def mentioned(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     rarest = rarest.where("r.times > 0").select("name", "__n", F.col("r.word").alias("word"))
     pairs = of_texts.join(rarest, "word").select("key", "name", "__n")
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.regexp_replace("__n", r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    return pairs.join(rows, "key").where(F.regexp_like("__low", quoted)).select("key", "name").distinct()
+    return pairs.join(rows, "key").where(F.col("__low").contains(F.col("__n"))).where(F.regexp_like("__low", quoted)).select("key", "name").distinct()
 
 
 def pattern_mentions(texts: DataFrame, key: str, text: str, aliases: dict[str, list[str]]) -> DataFrame:

@@ -6,6 +6,7 @@ The index is keyed by the table's files and the searched columns: a table that c
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,13 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.documents, self.mean_length = spark.read.parquet(f"{path}/totals").first()
+        self._postings: DataFrame | None = None
 
     @classmethod
-    def write(cls, df: DataFrame, key: str, columns: list[str], path: str, buckets: int = BUCKETS) -> "TextIndex":
+    def write(cls, df: DataFrame, key: str, columns: list[str], path: str) -> "TextIndex":
         """Build postings (``bucket``, ``term``, ``key``, ``tf``, ``dl``), sorted by term within a folder, then the totals."""
-        rows = bm.postings(df, key, columns).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        rows = bm.postings(df, key, columns).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
+        rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         lengths = df.select(F.size(bm.tokens(bm.searched_text(df, columns))).alias("dl"))
         lengths.agg(F.count("*").alias("documents"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean_length")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return cls(df.sparkSession, path)
@@ -34,9 +36,8 @@ class TextIndex:
     def search(self, terms: list[str], k1: float = bm.K1, b: float = bm.B) -> DataFrame:
         """``key``, ``score`` of all rows with any of the terms. The statistics of the terms come from their postings."""
         terms = list(dict.fromkeys(terms))
-        spark = self.spark
-        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets())).cast("int")).collect()] if terms else []
-        rows = self.postings().where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        folders = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+        rows = self.postings().where(F.col("bucket").isin(folders) & F.col("term").isin(terms))
         with_df = rows.groupBy("term").agg(F.count("*").alias("df"))  # one row a term of the query
         rows = rows.join(F.broadcast(with_df), "term")
         idf = F.log(1 + (F.lit(self.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -44,10 +45,9 @@ class TextIndex:
         return rows.groupBy("key").agg(F.sum(idf * norm).alias("score"))
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
-
-    def buckets(self) -> int:
-        return BUCKETS
+        if self._postings is None:
+            self._postings = self.spark.read.parquet(f"{self.path}/postings")
+        return self._postings
 
 
 def _fingerprint(df: DataFrame, columns: list[str], key: str) -> str | None:

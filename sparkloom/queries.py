@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import codecs, vectors
 from .functions import text as bm
-from .operators import chunk, codegraph, embed, mentions, mutate, pack, retrieve, subgraph
+from .operators import chunk, codegraph, embed, mentions, mutate, pack, retrieve, subgraph, textindex
 from .plans.compiler import cypher
 from .sources.testgraph import table_graph
 from .sources.transfer import export_lines
@@ -153,7 +153,9 @@ def _bm25_sql(text: str, terms: list[str]) -> str:
 @_query("bm25_topk", _bm25_sql("text", ["the", "thand", "shand", "über"]) + " ORDER BY 2 DESC, 1 LIMIT 50")
 def bm25_topk(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    hits = bm.bm25(docs, "doc_id", ["text"], ["the", "thand", "shand", "über"]).select("key", F.round("score", 6).alias("score"))
+    index, terms = textindex.index_for(docs, "doc_id", ["text"], textindex.shared_root(spark)), ["the", "thand", "shand", "über"]
+    hits = index.search(terms) if index else bm.bm25(docs, "doc_id", ["text"], terms)
+    hits = hits.select("key", F.round("score", 6).alias("score"))
     return hits.orderBy(F.desc("score"), "key").limit(50)
 
 

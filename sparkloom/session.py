@@ -50,9 +50,10 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, name: str = "sparkloom") -> SparkSession:
+def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, name: str = "sparkloom", shared: str | None = None) -> SparkSession:
+    """``shared``: a folder for checkpoints and indexes."""
     session = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.config(map={"spark.checkpoint.dir": shared} if shared else {}).master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

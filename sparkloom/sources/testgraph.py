@@ -8,8 +8,21 @@ from pyspark.sql import functions as F
 from ..catalog import Graph
 
 
+_opened: dict[tuple[str, str], Graph] = {}
+
+
 def table_graph(spark: SparkSession, folder: str) -> Graph:
-    """Region, Nation, Customer, Supplier, Part, Order, Doc and Vec nodes and the relationships that foreign keys imply."""
+    """The graph of a folder: opened once in a session, as its tables are read-only; each caller gets a catalog of its own to add to."""
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _opened:
+        if len(_opened) >= 8:
+            _opened.clear()
+        _opened[place] = _open(spark, folder)
+    return _opened[place].copy()
+
+
+def _open(spark: SparkSession, folder: str) -> Graph:
+    """Region, Nation, Customer, Supplier, Part, Order, Doc, Label and Turn nodes and the relationships that foreign keys imply."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     lines, docs = read("lineitem"), read("documents")
     graph = Graph()

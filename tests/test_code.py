@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import codegraph, codeparse
 from sparkloom.service import GraphService
@@ -165,4 +166,10 @@ def test_ingest_code(spark, tmp_path):
     assert "pkg/more.py#More.go" not in left and "web/shapes.ts" not in left and {"pkg/base.py#helper", "pkg/base.py"} <= left
     assert report.nodes_pruned == 3 and ("web/board.ts", "web/shapes.ts") not in edges_of(service, "IMPORTS")
     assert ("pkg/base.py#Base.run", "pkg/base.py#Base.step") in edges_of(service, "CALLS")
-    assert codegraph.repo_id(str(root)).startswith("proj-") and len(codegraph.repo_id(str(root))) == 5 + 64
+    # ids without a digest, of an earlier time, go
+    service.upsert_nodes("Repo", spark.createDataFrame([("proj", os.path.realpath(root))], "id string, path string"))
+    service.store.replace({"Module": graph.nodes["Module"].union(graph.nodes["Module"].where("path = 'bad.py' OR path = 'pkg/base.py'").withColumn("id", F.lit("proj:pkg/base.py")))})
+    assert service.ingest_code(str(root), max_kb=2).nodes_pruned == 2 and [r["id"] for r in service.store.table("Repo").collect()] == [codegraph.repo_id(str(root))]
+    paths = spark.createDataFrame([("one", "pkg/base.py"), ("two", "nowhere")], "name string, path string")
+    assert [(r["name"], r["module_id"].partition(":")[2]) for r in codegraph.match_paths(paths, "path", service.store.table("Module").select("path", "id")).collect()] == [("one", "pkg/base.py")]
+    assert codegraph.commits_behind(str(root), None) is None and codegraph.repo_id(str(root)).startswith("proj-") and len(codegraph.repo_id(str(root))) == 5 + 64

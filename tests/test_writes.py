@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkloom.catalog import NodeTable, RelTable
 from sparkloom.errors import NotFoundError, SchemaError
 from sparkloom.operators import mutate, subgraph
+from sparkloom.registry import GraphRegistry
 from sparkloom.service import GraphService
 from sparkloom.store import GraphStore
 
@@ -110,3 +111,16 @@ def test_frames_of_subgraphs(spark):
     two = spark.createDataFrame([("b", "z"), ("c", "w")], "id string, v string")
     assert rows(subgraph.merge_frames([one, two]), "id", "v") == [("a", "x"), ("b", "y"), ("c", "w")]
     assert rows(subgraph.first_per(two.union(two.withColumn("v", F.lit("a"))), ["id"], [F.col("v")]), "id", "v") == [("b", "a"), ("c", "a")]
+
+
+def test_registry(spark, tmp_path):
+    graphs = GraphRegistry(spark, str(tmp_path))
+    for name in ("alpha", "beta"):
+        graphs.service(name).define_schema([NodeTable("Item", "id", {"name": "STRING"})])
+        graphs.service(name).upsert_nodes("Item", spark.createDataFrame([(name,)], "id string"))
+    assert GraphRegistry(spark, str(tmp_path)).names() == ["alpha", "beta"] and graphs.service("alpha") is graphs.service("alpha")
+    assert rows(graphs.service("beta").store.table("Item"), "id") == [("beta",)]
+    with pytest.raises(NotFoundError):
+        graphs.service("gamma", create=False)
+    with pytest.raises(SchemaError):
+        graphs.service("../x")
