@@ -409,8 +409,8 @@ def _join_groups(similarity: tuple[int, int]):
 
 def _run_groups(places: DataFrame, sets: DataFrame, parts: int, similarity: tuple[int, int]) -> DataFrame:
     """Links of the sets that places (``cluster``, ``group``, ``role``, ``digest``, ``component``) bring together."""
-    rows = places.join(sets, "digest").select("cluster", "group", "role", "digest", "n", "keys", "counts", "component")
-    rows = rows.dropDuplicates(["cluster", "group", "role", "digest"])  # where the join has put them
+    once = sets.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))  # where the join puts them
+    rows = places.join(once, "digest").select("cluster", "group", "role", "digest", "n", "keys", "counts", "component")
     dealt = rows.repartition(parts, "cluster", "group").sortWithinPartitions("cluster", "group", "role", "digest")
     return map_arrow(dealt, _join_groups(similarity), "a binary, b binary")
 
