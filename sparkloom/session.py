@@ -37,9 +37,19 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of a batch on its way to a worker, where the session leaves Spark's own bound (64 MB) as it is: several batches are in memory at once, in both processes.
+BATCH_BYTES = "8m"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the workers, which give back what memory they no longer need."""
+    """``df.mapInArrow`` with this package at hand on the workers, which give back what memory they no longer need.
+
+    A session that has Spark's default for the bytes of an Arrow batch gets BATCH_BYTES.
+    """
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        df.sparkSession.conf.set(_BATCH_KEY, BATCH_BYTES)
 
     def run(batches):
         try:
