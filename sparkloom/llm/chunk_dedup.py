@@ -42,7 +42,7 @@ MAPPER_CHUNKS = 500_000
 
 _GEAR = np.random.default_rng(4242).integers(0, 1 << 32, 256, dtype=np.uint32)
 _NULL_ID = -(1 << 63)
-_DEALT = "bucket int, keys binary, docs binary, starts binary, ends binary, word_at binary, words binary"
+_DEALT = "bucket int, kind int, keys binary, docs binary, starts binary, ends binary, word_at binary, words binary, more binary"
 _HIT = "doc_id long, start long, end long, word_at long, n_words long, first_doc long, first_start long"
 _FOUND = "doc_id long, start long, end long, n_words long, first_doc long, first_start long"
 
@@ -106,19 +106,31 @@ def window_texts(column: pa.Array, least_words: int, least_chunks: int) -> Itera
         yield first + row, points[starts] - points[at], points[ends] - points[at], words[starts] - words[at], words[ends] - words[starts], digest
 
 
+_KINDS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint16, np.uint8)
+
+
 def _deal(buckets: int, least_words: int, least_chunks: int):
+    """Windows by bucket: each digest of a flush once, with its first place and whether there are more (kind 0), and those others (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
             docs, starts, ends, word_at, words, keys = (np.concatenate([h[k] for h in held]) for k in range(6))
             held.clear()
-            order = np.argsort(keys, kind="stable")
+            order = np.lexsort((starts, docs, keys))
             docs, starts, ends, word_at, words, keys = (x[order] for x in (docs, starts, ends, word_at, words, keys))
-            filled = bucket_slices(keys, buckets)
-            columns = [pa.array([b for b, _, _ in filled], pa.int32())]
-            columns += [pa.array([planes(x[i:j]) for _, i, j in filled], pa.binary()) for x in (keys, docs, starts, ends, word_at, words)]
-            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _DEALT.split(", ")])
+            new = np.concatenate(([True], keys[1:] != keys[:-1]))
+            edge = np.flatnonzero(new)
+            first = edge[np.cumsum(new) - 1]
+            other = (docs != docs[first]) | (starts != starts[first])  # rows of one document at one place are one place
+            more = np.repeat(np.maximum.reduceat(other.astype(np.uint8), edge), np.diff(np.append(edge, len(keys))))
+            rows = []
+            for kind, chosen in ((0, new), (1, other)):
+                columns = [x[chosen] for x in (keys, docs, starts, ends, word_at, words, more)]
+                rows += [(b, kind, *(planes(x[i:j]) for x in columns)) for b, i, j in bucket_slices(columns[0], buckets)]
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 7)
+            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
 
         size = 0
         for batch in batches:
@@ -135,25 +147,41 @@ def _deal(buckets: int, least_words: int, least_chunks: int):
     return run
 
 
+def _hits(columns: list[np.ndarray], first_doc: np.ndarray, first_start: np.ndarray, picked: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the picked windows with their first places."""
+    _, docs, starts, ends, word_at, words, _ = columns
+    for k in range(0, len(picked), 50_000):
+        p = picked[k : k + 50_000]
+        found = (docs[p], starts[p], ends[p], word_at[p], words[p], first_doc[p], first_start[p])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], [x.split()[0] for x in _HIT.split(", ")])
+
+
 def _resolve(firsts: bool):
-    """Per bucket: all windows whose digest other places share, with the first of them; ``firsts``: the first itself too."""
+    """Per bucket: all windows whose digest other places share, with the first of them; ``firsts``: the first itself too.
+
+    Rows come by bucket and kind. What is held is a place of each digest and flush; all further places of a passage that many texts share pass through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint16)
-        for _, rows in sorted_groups(batches, 0):
-            keys, docs, starts, ends, word_at, words = (np.concatenate([from_planes(r[k], kind) for r in rows]) for k, kind in enumerate(kinds, 1))
-            order = np.lexsort((starts, docs, keys))
-            keys, docs, starts, ends, word_at, words = (x[order] for x in (keys, docs, starts, ends, word_at, words))
-            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])))
-            keys, docs, starts, ends, word_at, words = (x[new] for x in (keys, docs, starts, ends, word_at, words))
-            edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            times = np.diff(np.append(edge, len(keys)))
-            first, many = np.repeat(edge, times), np.repeat(times, times) > 1
-            picked = np.flatnonzero(many if firsts else many & (first != np.arange(len(keys))))
-            for k in range(0, len(picked), 50_000):
-                p = picked[k : k + 50_000]
-                columns = (docs[p], starts[p], ends[p], word_at[p], words[p], docs[first[p]], starts[first[p]])
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], [x.split()[0] for x in _HIT.split(", ")])
+        keys = first_doc = first_start = np.zeros(0)
+        for (_, kind), rows in sorted_groups(batches, 0, 1, stream=1):
+            columns = [np.concatenate([from_planes(r[k], x) for r in rows]) for k, x in enumerate(_KINDS, 2)]
+            if kind == 0:
+                order = np.lexsort((columns[2], columns[1], columns[0]))
+                columns = [x[order] for x in columns]
+                new = np.concatenate(([True], columns[0][1:] != columns[0][:-1]))
+                edge = np.flatnonzero(new)
+                keys, first_doc, first_start = columns[0][edge], columns[1][edge], columns[2][edge]
+                # rows of one document at one place are one place
+                place = new | np.concatenate(([True], (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])))
+                many = (np.add.reduceat(place.astype(np.int64), edge) > 1) | (np.maximum.reduceat(columns[6], edge) > 0)
+                which = np.cumsum(new) - 1
+                picked = np.flatnonzero(many[which] & place & (firsts | ~new))
+            else:
+                which = np.searchsorted(keys, columns[0])
+                other = (columns[1] != first_doc[which]) | (columns[2] != first_start[which])
+                picked = np.flatnonzero(other)
+            yield from _hits(columns, first_doc[which], first_start[which], picked)
 
     return run
 
@@ -297,7 +325,7 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(32, -(-text_bytes // BUCKET_BYTES))
     parts = max(partitions_for(docs), min(buckets, MOST_TASKS))
-    dealt = deal_by_id(map_arrow(docs, _deal(buckets, least_words, least_chunks), _DEALT), "bucket", buckets).sortWithinPartitions("bucket")
+    dealt = deal_by_id(map_arrow(docs, _deal(buckets, least_words, least_chunks), _DEALT), "bucket", buckets).sortWithinPartitions("bucket", "kind")
     found = map_arrow(dealt, _resolve(firsts), _HIT).repartition(parts, "doc_id").sortWithinPartitions("doc_id")
     runs = packed_checkpoint(found, _join_runs(), _FOUND)
     itself = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))

@@ -126,17 +126,21 @@ def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return list(zip(where[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True))
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows sorted by a column, all of one value together; no more than one value's rows are held."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], *columns: int, stream: int | None = None) -> Iterator[tuple]:
+    """(value, rows) of rows sorted by columns, all of one value together; no more than one value's rows are held.
+
+    With several columns the value is a tuple. Where its last part is ``stream``, rows come one at a time instead.
+    """
     last, rows = None, []
     for batch in batches:
         for k in range(0, batch.num_rows, 64):
             part = batch.slice(k, 64)
             for row in zip(*(part.column(c).to_pylist() for c in range(part.num_columns)), strict=True):
-                if row[column] != last and rows:
+                value = row[columns[0]] if len(columns) == 1 else tuple(row[c] for c in columns)
+                if rows and (value != last or stream is not None and value[-1] == stream):
                     yield last, rows
                     rows = []
-                last = row[column]
+                last = value
                 rows.append(row)
     if rows:
         yield last, rows

@@ -316,6 +316,29 @@ def test_chunks_resist_shifts(spark, nothing):
     assert chunk_dedup.repeated_passages(nothing).count() == 0
 
 
+@pytest.mark.parametrize("flush", [10, 10**6])
+def test_windows_against_all_places(spark, flush, monkeypatch):
+    """Every window whose text stands in another place too is found with the first of its places, whatever a flush holds."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunk_dedup, "MAPPER_CHUNKS", flush)
+    r = random.Random(31)
+    common = " ".join(f"c{r.randrange(10**6)}" for _ in range(60))
+    rows = [(k, f"{' '.join(f'o{r.randrange(10**6)}' for _ in range(r.randrange(30, 60)))} {common if k % 3 else ''} end") for k in range(40)]
+    rows += [rows[0], rows[1], (None, rows[2][1])]
+    places = {}
+    for doc, text in rows:
+        for _, starts, ends, word_at, words, _ in chunk_dedup.window_texts(pa.array([text]), 20, 2):
+            for start, end in zip(starts.tolist(), ends.tolist()):
+                places.setdefault(text[start:end], set()).add((chunk_dedup._NULL_ID if doc is None else doc, start, end))
+    want = {(*p, *min(found)[:2]) for found in places.values() if len(found) > 1 for p in found}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for firsts in (True, False):
+        dealt = chunk_dedup.deal_by_id(chunk_dedup.map_arrow(table, chunk_dedup._deal(7, 20, 2), chunk_dedup._DEALT), "bucket", 7).sortWithinPartitions("bucket", "kind")
+        got = {(x["doc_id"], x["start"], x["end"], x["first_doc"], x["first_start"]) for x in chunk_dedup.map_arrow(dealt, chunk_dedup._resolve(firsts), chunk_dedup._HIT).collect()}
+        assert got == {x for x in want if firsts or x[:2] != x[3:]}
+
+
 def planted_repeats(seed, pairs, size):
     """Pairs of documents of a small vocabulary that share one passage each, and unrelated earlier documents."""
     r = random.Random(seed)
