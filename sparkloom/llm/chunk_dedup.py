@@ -299,21 +299,34 @@ def equal_before(a: str, b: str) -> int:
     return len(a) - i
 
 
+def _lists(column: pa.Array) -> tuple[list, list, list, list]:
+    """Where each row's list of sides begins and the last ends, and the digests, texts before and texts after of all."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+    return ((offsets - offsets[0]).tolist(), *(values.field(k).to_pylist() for k in range(3)))
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages with the whole words that are equal on both sides of both places."""
     for batch in batches:
-        rows = []
-        for doc, start, end, words, first, first_start, own, kept in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-            most = (0, 0, 0)
-            for x in own or ():
-                for y in kept or ():
-                    if x["digest"] == y["digest"]:
-                        left, right = equal_before(x["before"], y["before"]), equal_after(x["after"], y["after"])
-                        more = len(_WORD.findall(x["before"][len(x["before"]) - left :])) + len(_WORD.findall(x["after"][:right]))
-                        most = max(most, (more, left, right))
-            rows.append((doc, start - most[1], end + most[2], words + most[0], first, first_start - most[1]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
+        if not batch.num_rows:
+            continue
+        doc, start, end, words, first, first_start = (batch.column(k).to_numpy() for k in range(6))
+        own, own_digests, own_before, own_after = _lists(batch.column(6))
+        kept, kept_digests, kept_before, kept_after = _lists(batch.column(7))
+        most = np.zeros((batch.num_rows, 3), np.int64)
+        for row in range(batch.num_rows):
+            best = (0, 0, 0)
+            for x in range(own[row], own[row + 1]):
+                for y in range(kept[row], kept[row + 1]):
+                    if own_digests[x] == kept_digests[y]:
+                        before, after = own_before[x], own_after[x]
+                        left, right = equal_before(before, kept_before[y]), equal_after(after, kept_after[y])
+                        more = (len(_WORD.findall(before[len(before) - left :])) if left else 0) + (len(_WORD.findall(after[:right])) if right else 0)
+                        best = max(best, (more, left, right))
+            most[row] = best
+        columns = (doc, start - most[:, 1], end + most[:, 2], words + most[:, 0], first, first_start - most[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_chunks: int = LEAST_CHUNKS, firsts: bool = True) -> DataFrame:

@@ -151,7 +151,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
     )
     items = F.sort_array(F.transform(F.array_distinct(F.flatten("lists")), lambda x: x.cast("string")))
     by_doc = by_doc.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), covered.alias("n_hit"), items.alias("items"))
-    if few:
+    by_doc = checkpoint(by_doc)
+    if by_doc.agg(F.coalesce(F.sum(64 + F.octet_length(F.array_join("items", ","))), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         by_doc = F.broadcast(by_doc)
     counted = seen.where(F.col("fp") == DOCUMENT).select("doc_id", "text_key", "n_words")
     out = counted.join(by_doc, counted["doc_id"].eqNullSafe(by_doc["__d"]) & (counted["text_key"] == by_doc["__k"]), "left")
