@@ -27,10 +27,12 @@ def read_documents(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, li
             kinds[kind].append(path)
     out = spark.createDataFrame([], "text string, source string, metadata string")
     if kinds["text"]:
-        out = out.unionByName(spark.read.text(kinds["text"], wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"), F.lit(None).cast("string").alias("metadata")))
+        out = out.unionByName(spark.read.text(kinds["text"], wholetext=True).select(F.col("value").alias("text"), F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("source"), F.lit(None).cast("string").alias("metadata")))
     if kinds["json"]:
         whole = spark.read.text(kinds["json"], wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-        docs = F.coalesce(F.from_json("value", f"array<{_DOC}>"), F.from_json("value", f"struct<documents: array<{_DOC}>>")["documents"])
+        # an object read as a list would be its only element
+        listed = F.from_json("value", f"array<{_DOC}>")
+        docs = F.when(F.ltrim("value").startswith("["), listed).otherwise(F.from_json("value", f"struct<documents: array<{_DOC}>>")["documents"])
         read = whole.select("file", docs.alias("docs"))
         warnings += [f"{r['file']}: not a list of documents" for r in read.where("docs IS NULL").select("file").orderBy("file").limit(MOST_WARNINGS).collect()]
         out = out.unionByName(read.where("docs IS NOT NULL").select(F.explode("docs").alias("d")).select("d.text", "d.source", "d.metadata"))
