@@ -9,7 +9,8 @@
    path share, and leaves subtrees whose remaining length cannot reach the similarity, or whose sets are all
    connected to it already: links between different sets of one component add nothing to the result.
 5. A cluster beyond BLOCK_SETS sets or BLOCK_SHINGLES shingles is dealt by hash to blocks, each joined together with block 0. What is then
-   outside the cluster's largest component is joined with every block, so that no link is lost and no task grows with a cluster.
+   outside the cluster's largest component meets all sets of the cluster that share a shingle of their prefixes with it, in groups of a block and
+   as many of the rest, so that no link is lost and no task grows with a cluster.
 
 Defined cases: null texts and texts without words have an empty set and are their own component; texts of fewer words than
 a shingle have one shingle of all their words; repeated rows and rows of one doc_id are classed by their texts; a null doc_id
@@ -451,10 +452,13 @@ def set_links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Data
         return links
     extent = rest.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("rows"))
     place = lambda row, column: (row.cast("long") * F.lit(1 << 31) + column.cast("long")).alias("group")
-    row = F.pmod(F.xxhash64("digest", F.lit(1)), "rows")
-    inner = rest.join(extent, "cluster").withColumn("row", row).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"))
-    inner = inner.select("cluster", place(F.col("row"), F.col("col")), F.lit(1).alias("role"), "digest", "component")
-    probes = parted.join(extent, "cluster").select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    # the rest is dealt to rows; a set probes the rows that hold a set with a prefix shingle of its own, and no others
+    rows = checkpoint(rest.join(extent, "cluster").select("cluster", F.pmod(F.xxhash64("digest", F.lit(1)), "rows").cast("int").alias("row"), "digest", "component"))
+    asked = rows.join(prefixes, "digest").select("key", "row").distinct()
+    near = prefixes.join(asked, "key").select("digest", "row").distinct()
+    probes = checkpoint(parted.join(near, "digest").select("cluster", "row", "block", "digest", "component"))
+    inner = rows.join(probes.select("cluster", "row", "block").distinct(), ["cluster", "row"])
+    inner = inner.select("cluster", place(F.col("row"), F.col("block")), F.lit(1).alias("role"), "digest", "component")
     probes = probes.select("cluster", place(F.col("row"), F.col("block")), F.lit(2).alias("role"), "digest", "component")
     return links.unionByName(checkpoint(_run_groups(inner.unionByName(probes), sets, parts, similarity)))
 

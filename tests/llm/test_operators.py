@@ -641,6 +641,24 @@ def test_one_row_of_each_component_stays(spark):
     assert [r["doc_id"] for r in ngram_join.drop_near_duplicates(linked).collect()] == [1]
 
 
+def test_clusters_that_fall_into_small_components(spark, monkeypatch):
+    """Texts about a common passage form one cluster of many components, blocks of two sets each."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+    r = random.Random(47)
+    common = [f"c{r.randrange(10**6)}" for _ in range(30)]
+    texts = []
+    for k in range(12):
+        base = [f"b{r.randrange(10**6)}" for _ in range(25)]
+        for _ in range(r.randrange(1, 5)):
+            words = base + common
+            for _ in range(r.randrange(3)):
+                words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+            texts.append((len(texts), " ".join(words)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = brute_join(texts)
+    assert got == want and 3 < len({c for _, c in want.values()}) < len(texts)
+
+
 @pytest.mark.parametrize("tree", [100_000, 90])
 def test_prefix_tree_against_pairs(tree, monkeypatch):
     monkeypatch.setattr(ngram_join, "TREE_SHINGLES", tree)
