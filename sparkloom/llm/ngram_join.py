@@ -45,6 +45,8 @@ BLOCK_SETS = 128
 BLOCK_SHINGLES = 400_000
 #: A prefix tree holds so many shingles at most (or one set); a group of more is joined tree after tree.
 TREE_SHINGLES = 100_000
+#: A batch of sets, on its way out of a worker, holds about so many shingles.
+BATCH_SHINGLES = 100_000
 #: Digests of sets that a mapper remembers, so that exact copies are dealt once.
 SEEN_DIGESTS = 200_000
 
@@ -91,7 +93,7 @@ def _deal(buckets: int):
         digests: list[bytes] = []
         seen: set[bytes] = set()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number
             mapper = (part << 24) | number
             number += 1
@@ -109,7 +111,8 @@ def _deal(buckets: int):
             rows = [(b, mapper, 0, planes(keys[i:j]), planes(docs[i:j]), planes(times[i:j])) for b, i, j in bucket_slices(keys, buckets)]
             rows.append((mapper % buckets, mapper, 1, b"".join(digests), sizes.tobytes(), planes(more_keys) + planes(more_docs)))
             digests.clear()
-            return _bucket_rows(rows)
+            for k in range(0, len(rows), 32):
+                yield _bucket_rows(rows[k : k + 32])
 
         held = 0
         for batch in batches:
@@ -126,10 +129,10 @@ def _deal(buckets: int):
                 digests.append(digest)
                 held += len(keys)
                 if held >= MAPPER_SHINGLES:
-                    yield flush()
+                    yield from flush()
                     held = 0
         if sets:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -192,14 +195,16 @@ def _gather(similarity: tuple[int, int]):
         keys, docs, counts = keys[keep], docs[keep], counts[keep]
         order = np.lexsort((keys, counts, docs))
         keys, docs, counts = keys[order], docs[order], counts[order]
-        out = []
+        out, held = [], 0
+        cuts = np.searchsorted(docs, np.arange(len(sizes) + 1, dtype=docs.dtype))
         for d in np.flatnonzero(enough):
-            i, j = np.searchsorted(docs, (d, d + 1))
+            i, j = cuts[d], cuts[d + 1]
             if i < j:
                 out.append((digests[16 * d : 16 * d + 16], int(sizes[d]), keys[i:j].tobytes(), counts[i:j].tobytes()))
-            if len(out) >= 500:
+                held += j - i
+            if held >= BATCH_SHINGLES:
                 yield _set_rows(out)
-                out = []
+                out, held = [], 0
         if out:
             yield _set_rows(out)
 
