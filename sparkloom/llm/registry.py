@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_dedup, decontaminate, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards
+from . import chat_format, chunk_dedup, decontaminate, filter_audit, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op9_ngram_join": ngram_join.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
