@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_dedup, decontaminate, filter_audit, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards
+from . import chat_format, chunk_dedup, decontaminate, filter_audit, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards, structure_repair
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_structure_repair": structure_repair.op11_structure_repair,
     "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -22,5 +23,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op9_ngram_join": ngram_join.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_structure_repair": structure_repair.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
