@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_dedup, decontaminate, filter_audit, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards, structure_repair
+from . import chat_format, chosen_path, chunk_dedup, decontaminate, filter_audit, license_scan, ngram_join, ngram_lm, packing, pii, quality_rules, shuffle_shards, structure_repair
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_structure_repair": structure_repair.op11_structure_repair,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_chosen_path": chosen_path.op13_chosen_path,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE_SQL,
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_quality_rules": quality_rules.ORACLE_SQL,
     "op11_structure_repair": structure_repair.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_chosen_path": chosen_path.ORACLE_SQL,
 }
