@@ -75,13 +75,21 @@ def shared_classes(rows: DataFrame) -> DataFrame:
 
 
 def _duplicates(docs: DataFrame, described: DataFrame, block_hash=_block_hash) -> DataFrame:
-    """``doc_id``, ``class`` of the documents whose text a smaller doc_id has."""
+    """``described`` (``doc_id``, ``class``, ...) with ``twice``: "E" for the documents whose text a smaller doc_id has, else null."""
     classes = shared_classes(described)
     if classes.count() <= BROADCAST_CLASSES:
         classes = F.broadcast(classes)
     texts = docs.select("doc_id", "text", _whole_class(F.col("text"), block_hash).alias("class")).join(classes, "class", "left_semi")
-    least = texts.groupBy("class", "text").agg(F.min("doc_id").alias("least"))
-    return texts.join(least, ["class", "text"]).where("doc_id > least").select("doc_id", "class").distinct()
+    least = checkpoint(texts.groupBy("class", "text").agg(F.min("doc_id").alias("least")).groupBy("class").agg(F.count("*").alias("texts"), F.min("least").alias("least")))
+    alike = described.join(least.where("texts = 1").drop("texts"), "class", "left").withColumn("twice", F.when(F.col("doc_id") > F.col("least"), "E")).drop("least")
+    several = least.where("texts > 1").select("class")
+    if several.isEmpty():
+        return alike
+    # different texts of equal length and block hashes: their documents are compared by the texts themselves
+    apart = texts.join(several, "class", "left_semi")
+    own = apart.groupBy("class", "text").agg(F.min("doc_id").alias("least"))
+    more = apart.join(own, ["class", "text"]).where("doc_id > least").select("doc_id", "class").distinct().withColumn("more", F.lit("E"))
+    return alike.join(more, ["doc_id", "class"], "left").withColumn("twice", F.coalesce("twice", "more")).drop("more")
 
 
 def failed_filters(docs: DataFrame, doc: str = "doc_id", text: str = "text", part: str = "lang", block_hash=_block_hash) -> DataFrame:
@@ -89,8 +97,7 @@ def failed_filters(docs: DataFrame, doc: str = "doc_id", text: str = "text", par
     docs = docs.select(F.col(doc).cast("long").alias("doc_id"), or_empty(text).alias("text"), or_empty(part).alias("part"))
     words = docs.select("doc_id", "part", failure_mask(F.col("text")).alias("mask"), F.length("text").alias("chars"), _blocks(F.col("text"), block_hash).alias("blocks"))
     described = checkpoint(words.withColumn("class", F.aggregate("blocks", F.xxhash64("chars"), lambda acc, b: F.xxhash64(acc, b))))
-    twice = _duplicates(docs, described, block_hash).withColumn("twice", F.lit("E"))
-    marked = described.join(twice, ["doc_id", "class"], "left")
+    marked = _duplicates(docs, described, block_hash)
     return marked.select("doc_id", "part", F.concat("mask", F.coalesce("twice", F.lit(""))).alias("mask"))
 
 
