@@ -57,7 +57,7 @@ class Graph:
         check_identifier(label)
         if key not in df.columns:
             raise SchemaError(f"Table {label} has no column {key}")
-        types = {c: _type_name(t) for c, t in df.dtypes if c != key}
+        types = {c: type_name(t) for c, t in df.dtypes if c != key}
         self.node_specs[label], self.nodes[label] = NodeTable(label, key, types, searchable), df
         return self
 
@@ -68,7 +68,7 @@ class Graph:
                 raise SchemaError(f"Relationship {name} refers to the unknown label {label}", f"Known labels: {', '.join(sorted(self.node_specs))}")
         if (old := self.rel_specs.get(name)) and (old.source, old.target) != (source, target):
             raise SchemaError(f"Relationship {name} already joins {old.source} to {old.target}")
-        types = {c: _type_name(t) for c, t in df.dtypes if c not in ("_src", "_dst")}
+        types = {c: type_name(t) for c, t in df.dtypes if c not in ("_src", "_dst")}
         self.rel_specs[name], self.rels[name] = RelTable(name, source, target, types), df
         return self
 
@@ -109,7 +109,7 @@ class Graph:
             df, key = self.rels[name].drop("_src", "_dst"), None
         else:
             raise SchemaError(f"Unknown table {name}", f"Known: {', '.join([*self.visible_labels(), *self.visible_rels()])}")
-        kind = lambda c, t: "FLOAT[]" if c == "embedding" else "BLOB" if t == "binary" else _type_name(t)
+        kind = lambda c, t: "FLOAT[]" if c == "embedding" else "BLOB" if t == "binary" else type_name(t)
         return [(k, k, c, kind(c, t), c == key, c == key) for k, (c, t) in enumerate(df.dtypes)]
 
     def endpoints(self, name: str) -> tuple[str, str, str, str]:
@@ -144,7 +144,7 @@ class Graph:
         lines = []
         for label in sorted(self.visible_labels()):
             spec = self.node_specs[label]
-            props = ", ".join([f"{spec.key}:{_type_name(self.key_type(label).simpleString())} PK", *(f"{p}:{t}" for p, t in spec.properties.items() if p not in VECTOR_COLUMNS and not p.startswith("_"))])
+            props = ", ".join([f"{spec.key}:{type_name(self.key_type(label).simpleString())} PK", *(f"{p}:{t}" for p, t in spec.properties.items() if p not in VECTOR_COLUMNS and not p.startswith("_"))])
             tail = [f"{self.nodes[label].count()} rows"] * counts + ["searchable"] * spec.searchable
             line = f"{label}({props})" + (f" [{', '.join(tail)}]" if tail else "")
             if samples and (keys := [r["key"] for r in self.sample_keys(label).collect()]):
@@ -164,5 +164,5 @@ def node_id(label: str, key):
 _NAMES = {"bigint": "INT64", "int": "INT64", "double": "DOUBLE", "float": "DOUBLE", "boolean": "BOOL", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "string": "STRING"}
 
 
-def _type_name(simple: str) -> str:
+def type_name(simple: str) -> str:
     return _NAMES.get(simple, simple)

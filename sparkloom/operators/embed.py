@@ -113,14 +113,17 @@ def make_embedder(provider: str | None, model: str = "", dim: int = 64, base_url
     raise ConfigurationError(f"Unknown embedder {provider}", "Known: hash, local, remote.")
 
 
+#: Spark's types of the vector columns.
+VECTOR_TYPES = {"embedding": "array<float>", "_emb_r": "double", "_emb_code": "binary", "_emb_model": "string"}
+
+
 def provision(df: DataFrame, dim: int) -> DataFrame:
     """``df`` with the vector columns, null where they are new. Vectors of another size are an error."""
-    kinds = {"embedding": "array<float>", "_emb_r": "double", "_emb_code": "binary", "_emb_model": "string"}
     if "embedding" in df.columns:
         row = df.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).where(F.col("n") != dim).limit(1).collect()
         if row:
             raise ConfigurationError(f"Vectors of {row[0]['n']} components are stored, the embedder makes {dim}", "Reindex, or use the embedder they were made with.")
-    return df.withColumns({c: F.lit(None).cast(kinds[c]) for c in VECTOR_COLUMNS if c not in df.columns})
+    return df.withColumns({c: F.lit(None).cast(VECTOR_TYPES[c]) for c in VECTOR_COLUMNS if c not in df.columns})
 
 
 def embedded_text(df: DataFrame, key: str) -> Column:
@@ -160,16 +163,26 @@ def pending_count(df: DataFrame) -> int:
     return df.where(F.col("embedding").isNull()).count() if "embedding" in df.columns else 0
 
 
+def made_pending(df: DataFrame, key: str, embedder: Embedder, codec: str = "fp32", most: int | None = None) -> DataFrame:
+    """The rows that have no vector, the first ``most`` by key if given, with one."""
+    df = provision(df, embedder.dim)
+    pending = df.where(F.col("embedding").isNull())
+    if most is not None:
+        pending = pending.orderBy(key).limit(most)
+    made = embed_column(pending.withColumn("__text", embedded_text(pending, key)), "__text", embedder, codec)
+    return made.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def embed_pending(df: DataFrame, key: str, embedder: Embedder, codec: str = "fp32", most: int | None = None) -> DataFrame:
     """``df`` with vectors for rows that have none, the first ``most`` by key if given. Rows that have one are left as they are."""
+    made = made_pending(df, key, embedder, codec, most)
     df = provision(df, embedder.dim)
-    pending, done = df.where(F.col("embedding").isNull()), df.where(F.col("embedding").isNotNull())
+    done = df.where(F.col("embedding").isNotNull())
     if most is not None:
-        chosen = pending.select(F.col(key).alias("__key")).orderBy("__key").limit(most)
-        later = pending.join(chosen, pending[key] == chosen["__key"], "left_anti")
-        pending, done = pending.join(chosen, pending[key] == chosen["__key"], "left_semi"), done.unionByName(later)
-    made = embed_column(pending.withColumn("__text", embedded_text(pending, key)), "__text", embedder, codec)
-    return done.unionByName(made.select(*[F.col(f"`{c}`") for c in done.columns]))
+        chosen = df.where(F.col("embedding").isNull()).select(F.col(key).alias("__key")).orderBy("__key").limit(most)
+        later = df.where(F.col("embedding").isNull())
+        done = done.unionByName(later.join(chosen, later[key] == chosen["__key"], "left_anti"))
+    return done.unionByName(made)
 
 
 def reindex(df: DataFrame, key: str, embedder: Embedder, codec: str = "fp32") -> DataFrame:

@@ -1,29 +1,84 @@
-"""Which texts mention which names, for a table of names of any size.
+"""Which texts mention which names.
 
-Names are found by the words they hold: a text's words are joined with the rarest word of each name, and only the pairs that meet
-are tested. Names without a whole word of their own, and matches that begin or end inside a word, need :func:`contained`, which compares
-every text with every name of a list that is small enough to travel.
+A list of names that can travel becomes automata (Aho-Corasick) of bounded size; every text passes each automaton once, whatever the number of names, and no
+text meets a name that it does not hold. A longer list, of any size, is for :func:`mentioned`: a text's words are joined with the rarest word of each name, and only
+the pairs that meet are tested, which finds names as whole words.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names that :func:`contained` takes at most: their list travels with the plan.
-MOST_NAMES = 100_000
+from ..errors import ConfigurationError
+from ..session import map_arrow
+
+#: Code points of the names of one automaton, and automata that a search makes at the most: their names travel to the executors.
+AUTOMATON_CHARS, MOST_AUTOMATA = 2_000_000, 16
 _WORD = r"[\p{L}\p{N}_]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_built: dict[str, object] = {}
+
+
+def _automaton(number: str, words: list[tuple[str, list[str]]]):
+    """The automaton of a list, built once a worker; the last two are kept."""
+    import ahocorasick
+
+    if number not in _built:
+        for old in list(_built)[:-1]:
+            del _built[old]
+        made = ahocorasick.Automaton()
+        for word, names in words:
+            made.add_word(word, (len(word), names))
+        made.make_automaton()
+        _built[number] = made
+    return _built[number]
+
+
+def _of_word(char: str) -> bool:
+    return char == "_" or unicodedata.category(char)[0] in "LN"
+
+
+def _hits(texts: DataFrame, text: Column, words: DataFrame, whole: bool) -> DataFrame:
+    """``key``, ``name`` of texts (``key``) that hold a word (``word``, ``name``), each once. ``whole``: no letter, digit or underscore may stand beside it."""
+    words = words.where("word IS NOT NULL AND name IS NOT NULL AND word <> ''").groupBy("word").agg(F.collect_set("name").alias("names"))
+    size = words.agg(F.coalesce(F.sum(F.length("word") + F.aggregate("names", F.lit(0), lambda a, n: a + F.length(n))), F.lit(0))).first()[0]
+    groups = max(1, -(-size // AUTOMATON_CHARS))
+    if groups > MOST_AUTOMATA:
+        raise ConfigurationError(f"The names have {size} characters", f"Up to {AUTOMATON_CHARS * MOST_AUTOMATA} can travel; `mentioned` joins names of any number by their words.")
+    kind, out = texts.schema["key"].dataType.simpleString(), None
+    for group in range(groups):
+        listed = [(r["word"], r["names"]) for r in words.where(F.pmod(F.xxhash64("word"), F.lit(groups)) == group).collect()]  # about AUTOMATON_CHARS
+        shared, number = texts.sparkSession.sparkContext.broadcast(listed), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            found = _automaton(number, shared.value) if shared.value else None
+            for batch in batches:
+                keys, names = [], []
+                for row, value in enumerate(batch.column(1).to_pylist()):
+                    mine = set()
+                    for end, (size, own) in found.iter(value) if found and value else ():
+                        start = end + 1 - size
+                        if not whole or not (start and _of_word(value[start - 1])) and not (end + 1 < len(value) and _of_word(value[end + 1])):
+                            mine.update(own)
+                    keys += [row] * len(mine)
+                    names += sorted(mine)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(names, pa.string())], ["key", "name"])
+
+        one = map_arrow(texts.select("key", text.alias("text")), run, f"key {kind}, name string")
+        out = one if out is None else out.unionByName(one)
+    return out if groups == 1 else out.distinct()
 
 
 def contained(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
-    """``key``, ``name``: texts that hold the name anywhere, letters of either case being the same. A nested loop over a broadcast list of checked size."""
-    few = names.select(F.col(name).alias("name")).where("name IS NOT NULL AND name <> ''").distinct()
-    if few.limit(MOST_NAMES + 1).count() > MOST_NAMES:
-        return mentioned(texts, key, text, names, name)
-    low = texts.select(F.col(key).alias("key"), F.lower(text).alias("__low"))
-    return low.join(F.broadcast(few), F.col("__low").contains(F.lower("name"))).select("key", "name")
+    """``key``, ``name``: texts that hold the name anywhere, letters of either case being the same. A list too long to travel is an error."""
+    words = names.select(F.lower(name).alias("word"), F.col(name).alias("name"))
+    return _hits(texts.select(F.col(key).alias("key"), F.col(text).alias("__text")), F.lower("__text"), words, False)
 
 
 def mentioned(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
@@ -45,10 +100,12 @@ def mentioned(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     return pairs.join(rows, "key").where(F.col("__low").contains(F.col("__n"))).where(F.regexp_like("__low", quoted)).select("key", "name").distinct()
 
 
-def pattern_mentions(texts: DataFrame, key: str, text: str, aliases: dict[str, list[str]]) -> DataFrame:
-    """``key``, ``name``: texts in which any alias of a name stands as whole words. One expression for each name, tried on each text once."""
-    if not aliases:
-        return texts.select(F.col(key).alias("key"), F.lit(None).cast("string").alias("name")).limit(0)
-    patterns = {n: r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(re.escape(a) for a in sorted(words, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])" for n, words in aliases.items() if words}
-    hits = F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in patterns.items()])
-    return texts.select(F.col(key).alias("key"), F.explode(F.array_compact(hits)).alias("name"))
+def pattern_mentions(texts: DataFrame, key: str, text: str, aliases: dict[str, list[str]] | DataFrame) -> DataFrame:
+    """``key``, ``name``: texts in which any alias of a name stands as whole words, ASCII letters of either case being the same.
+
+    ``aliases``: the aliases of each name, or a table of them (``name``, ``alias``).
+    """
+    if isinstance(aliases, dict):
+        aliases = texts.sparkSession.createDataFrame([(n, a) for n, words in aliases.items() for a in words], "name string, alias string")
+    low = lambda c: F.translate(c, UPPER, LOWER)
+    return _hits(texts.select(F.col(key).alias("key"), F.col(text).alias("__text")), low("__text"), aliases.select(low("alias").alias("word"), "name"), True)

@@ -110,11 +110,16 @@ def missing_endpoints(edges: DataFrame, sources: DataFrame, source_key: str, tar
     return no_source.unionByName(no_target)
 
 
-def upsert_edges(table: DataFrame, batch: DataFrame, sources: DataFrame, source_key: str, targets: DataFrame, target_key: str) -> DataFrame:
-    """Merge edges by their ends. No edge is written if any has a missing end."""
+def check_ends(batch: DataFrame, sources: DataFrame, source_key: str, targets: DataFrame, target_key: str) -> None:
+    """An error if an edge of the batch has a missing end."""
     lost = missing_endpoints(batch, sources, source_key, targets, target_key).limit(5).collect()
     if lost:
         raise NotFoundError(f"Missing ends of edges: {', '.join(f'{r._src}->{r._dst}' for r in lost)}", "Upsert the nodes first.")
+
+
+def upsert_edges(table: DataFrame, batch: DataFrame, sources: DataFrame, source_key: str, targets: DataFrame, target_key: str) -> DataFrame:
+    """Merge edges by their ends. No edge is written if any has a missing end."""
+    check_ends(batch, sources, source_key, targets, target_key)
     return upsert(table, batch, ["_src", "_dst"])
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,40 +42,50 @@ def diversify(fused: DataFrame, top_k: int = TOP_K, cap: int = LABEL_CAP) -> Dat
     return picked.withColumn("seed_rank", F.row_number().over(Window.orderBy("held", "fused_rank"))).drop("held")
 
 
-def expand(graph: Graph, seeds: DataFrame, hops: int = 1, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def expand(graph: Graph, seeds: DataFrame, hops: int = 1, edges: DataFrame | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """All nodes within ``hops`` of the seeds (``node_id``, ``depth``) and the edges met on the way, regardless of direction.
 
     Breadth first: each level joins the last level's new nodes only, so paths are never enumerated. The reached nodes are kept
-    level by level, so that no level is worked out again; each relationship type is joined on its own keys, where files and their statistics can prune.
+    level by level, so that no level is worked out again; each relationship type is joined on its own keys, where files and their statistics can prune,
+    and only types at which a label of the level's new nodes can stand are read. ``held`` gets the frames that are kept: unpersist them once the result is read.
     """
+    held = [] if held is None else held
     hops = max(0, min(MAX_HOPS, hops))
     reached = seeds.select("node_id").distinct().withColumn("depth", F.lit(0))
     frontier, touched = reached, None
     types = None if edges is not None else graph.visible_rels()
     for depth in range(1, hops + 1):
         frontier = frontier.persist()
+        held.append(frontier)
         if types is None:
             near = frontier.select(F.col("node_id").alias("near"))
             met = edges.join(near, edges["src"] == near["near"], "left_semi").union(edges.join(near, edges["dst"] == near["near"], "left_semi"))
         else:
-            met = _edges_at(graph, frontier, types)
+            labels = {r["label"] for r in frontier.select(F.substring_index("node_id", ":", 1).alias("label")).distinct().collect()}  # labels of the graph
+            met = _edges_at(graph, frontier, types, labels)
+            if met is None:  # no relationship can stand there
+                break
         met = met.distinct().persist()
+        held.append(met)
         ends = met.select(F.col("src").alias("node_id")).union(met.select("dst")).distinct()
         frontier = ends.join(reached.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth))
         reached = reached.unionByName(frontier)
         touched = met if touched is None else touched.union(met)
     if touched is None:
-        touched = (graph.edges() if edges is None else edges).limit(0)
+        known = graph.edges() if edges is None else edges
+        touched = known.limit(0) if known is not None else seeds.sparkSession.createDataFrame([], "type string, src string, dst string")
     return reached, touched.distinct()
 
 
-def _edges_at(graph: Graph, frontier: DataFrame, types: list[str]) -> DataFrame:
-    """Edges with an end in the frontier; keys are compared as their own type."""
+def _edges_at(graph: Graph, frontier: DataFrame, types: list[str], labels: set[str]) -> DataFrame | None:
+    """Edges with an end in the frontier, whose nodes have the labels; keys are compared as their own type."""
     out = None
     keys = {}
     for name in types:
         spec = graph.rel_specs[name]
         for end, label in (("_src", spec.source), ("_dst", spec.target)):
+            if label not in labels:
+                continue
             if label not in keys:
                 mine = frontier.where(F.col("node_id").startswith(f"{label}:"))
                 keys[label] = mine.select(F.expr(f"substring(node_id, {len(label) + 2})").cast(graph.key_type(label)).alias("near"))
@@ -99,10 +110,11 @@ def searched_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t == "string" and not c.startswith("_")]
 
 
-def text_hits(graph: Graph, query: str, labels: list[str], top_k: int, root: str | None = None) -> DataFrame | None:
+def text_hits(graph: Graph, query: str, labels: list[str], top_k: int, root: str | None = None, text_index: Callable[[str], textindex.TextIndex] | None = None) -> DataFrame | None:
     """BM25 hits of each table, at most ``top_k`` of each, ranked by table and then by score.
 
-    A table made of files is searched by its stored index below ``root`` (the session's shared folder by default), any other by a scan.
+    ``text_index`` gives a label's index. Without it a table made of files is searched by its stored index below ``root`` (the session's shared
+    folder by default), any other by a scan.
     """
     out = None
     for order, label in enumerate(labels):
@@ -111,8 +123,8 @@ def text_hits(graph: Graph, query: str, labels: list[str], top_k: int, root: str
         terms = bm.query_terms(df.sparkSession, query)
         if not columns or not terms:
             continue
-        index = textindex.index_for(df, spec.key, columns, root or textindex.shared_root(df.sparkSession))
-        hits = index.search(terms) if index else bm.bm25(df, spec.key, columns, terms)
+        index = text_index(label) if text_index else textindex.index_for(df, spec.key, columns, root or textindex.shared_root(df.sparkSession))
+        hits = index.search(terms, k=top_k) if index else bm.bm25(df, spec.key, columns, terms)
         hits = hits.orderBy(F.desc("score"), "key").limit(top_k)
         one = hits.select(node_id(label, F.col("key")).alias("node_id"), F.lit(label).alias("label"), F.lit(order).alias("table"), "score")
         out = one if out is None else out.unionByName(one)
@@ -121,14 +133,16 @@ def text_hits(graph: Graph, query: str, labels: list[str], top_k: int, root: str
     return out.withColumn("rank", F.row_number().over(Window.orderBy("table", F.desc("score"), "node_id"))).select("node_id", "label", "score", "rank")
 
 
-def vector_hits(graph: Graph, query: list[float], labels: list[str], top_k: int, codec: str = "fp32") -> DataFrame | None:
+def vector_hits(graph: Graph, query: list[float], labels: list[str], top_k: int, codec: str = "fp32", nearest: Callable[[str, list[float], int], DataFrame] | None = None) -> DataFrame | None:
+    """The rows of all tables nearest to the query. ``nearest`` gives a label's (``key``, ``score``); without it all vectors or codes are scanned."""
     out = None
     for label in labels:
         df, spec = graph.nodes[label], graph.node_specs[label]
         if "embedding" not in df.columns:
             continue
         code = "_emb_code" if codec != "fp32" and "_emb_code" in df.columns else None
-        one = vectors.top_k(df, spec.key, "embedding", query, top_k, codec, code).select(node_id(label, F.col("key")).alias("node_id"), F.lit(label).alias("label"), "score")
+        found = nearest(label, query, top_k) if nearest else vectors.top_k(df, spec.key, "embedding", query, top_k, codec, code)
+        one = found.select(node_id(label, F.col("key")).alias("node_id"), F.lit(label).alias("label"), "score")
         out = one if out is None else out.unionByName(one)
     if out is None:
         return None
@@ -142,6 +156,12 @@ class SearchResult:
     edges: DataFrame
     vector_status: str | None
     pending_embeddings: int = 0
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Let go of what the search keeps; call it once seeds, nodes and edges are read."""
+        for df in self.held:
+            df.unpersist()
 
 
 def candidate_labels(graph: Graph, labels: list[str] | None) -> list[str]:
@@ -150,7 +170,8 @@ def candidate_labels(graph: Graph, labels: list[str] | None) -> list[str]:
 
 
 def search(
-    graph: Graph, query: str, vector: list[float] | None = None, labels: list[str] | None = None, top_k: int = TOP_K, hops: int = 1, cap: int = LABEL_CAP, codec: str = "fp32", embedder: embed.Embedder | None = None, root: str | None = None
+    graph: Graph, query: str, vector: list[float] | None = None, labels: list[str] | None = None, top_k: int = TOP_K, hops: int = 1, cap: int = LABEL_CAP, codec: str = "fp32", embedder: embed.Embedder | None = None, root: str | None = None,
+    text_index: Callable[[str], textindex.TextIndex] | None = None, nearest: Callable[[str, list[float], int], DataFrame] | None = None,
 ) -> SearchResult:
     """Text and vector hits fused, made diverse and expanded.
 
@@ -162,19 +183,20 @@ def search(
     empty = spark.createDataFrame([], "node_id string, label string, score double, rank int")
     fts = near = status = None
     if query.strip():
-        fts, status = text_hits(graph, query, names, top_k, root), "off"
+        fts, status = text_hits(graph, query, names, top_k, root, text_index), "off"
         try:
             vector = vector or (embedder.embed([query])[0] if embedder else None)
             if vector:
-                near, status = vector_hits(graph, vector, names, top_k, codec), "on"
+                near, status = vector_hits(graph, vector, names, top_k, codec, nearest), "on"
         except Exception:  # whatever an embedder raises
             near, status = None, "error"
     pending = sum(embed.pending_count(graph.nodes[n]) for n in names) if embedder else 0
     fused = fuse(empty if fts is None else fts, empty if near is None else near)
     # a handful of rows that several plans read
     seeds = diversify(fused, top_k, cap).persist()
-    nodes, edges = expand(graph, seeds, hops)
-    return SearchResult(seeds, nodes, edges, status, pending)
+    held = [seeds]
+    nodes, edges = expand(graph, seeds, hops, held=held)
+    return SearchResult(seeds, nodes, edges, status, pending, held)
 
 
 def resolve_keys(graph: Graph, ids: list[str]) -> DataFrame:

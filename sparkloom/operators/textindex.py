@@ -1,85 +1,226 @@
-"""A stored text index: postings in folders by a hash of the term, so that a query reads its own terms' folders and nothing else.
+"""A stored text index of segments: postings in blocks, so that a query reads blocks of its own terms, and of those only what can matter.
 
-The index is keyed by the table's files and the searched columns: a table that changes, or columns that are added, make another index.
+A block is a row: a term, up to BLOCK postings (``keys``, ``tfs``, ``lengths``) and a level, which bounds their scores from above. Postings of a term are put into
+blocks by falling score, so few blocks hold what scores high. Blocks lie in folders by a hash of the term, as many folders as the text's bytes ask for, in
+files of even size: the postings of a frequent word fill several files and no task sorts them all.
+
+A search for the best ``k`` first reads the levels alone. The blocks of the highest level give ``k`` rows whose k-th score bounds the result from below, and
+levels of which no row can reach it are not read: a comparison with a column by which the files are sorted, so Spark's reader skips their pages.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
+import uuid
 import zlib
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as bm
-
-BUCKETS = 64
+from ..session import map_arrow
+from ..store import GraphStore, read_small, write_once
+from .segments import segments_of, touched_after
+
+#: Postings of a block.
+BLOCK = 128
+#: Bytes of text for each folder of postings.
+FOLDER_BYTES = 256 << 20
+MOST_FOLDERS = 4096
+#: Levels for a term's full weight: scores are rounded up to a level, so that block bounds are whole numbers.
+LEVELS = 32
+#: Blocks of each term that give the first scores of a search, at least.
+FIRST_BLOCKS = 4
+#: A search of fewer blocks reads them all at once: finding the bound would take longer.
+FEW_BLOCKS = 64
+#: Scores this close below the bound are still read.
+SLACK = 1e-9
 
 _open: dict[tuple[str, str], "TextIndex"] = {}
 
 
-class TextIndex:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.documents, self.mean_length = spark.read.parquet(f"{path}/totals").first()
-        self._postings: DataFrame | None = None
-
-    @classmethod
-    def write(cls, df: DataFrame, key: str, columns: list[str], path: str) -> "TextIndex":
-        """Build postings (``bucket``, ``term``, ``key``, ``tf``, ``dl``), sorted by term within a folder, then the totals."""
-        rows = bm.postings(df, key, columns).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
-        rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        lengths = df.select(F.size(bm.tokens(bm.searched_text(df, columns))).alias("dl"))
-        lengths.agg(F.count("*").alias("documents"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean_length")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-        return cls(df.sparkSession, path)
-
-    def search(self, terms: list[str], k1: float = bm.K1, b: float = bm.B) -> DataFrame:
-        """``key``, ``score`` of all rows with any of the terms. The statistics of the terms come from their postings."""
-        terms = list(dict.fromkeys(terms))
-        folders = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-        rows = self.postings().where(F.col("bucket").isin(folders) & F.col("term").isin(terms))
-        with_df = rows.groupBy("term").agg(F.count("*").alias("df"))  # one row a term of the query
-        rows = rows.join(F.broadcast(with_df), "term")
-        idf = F.log(1 + (F.lit(self.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.mean_length or 1.0)))
-        return rows.groupBy("key").agg(F.sum(idf * norm).alias("score"))
+def _blocks():
+    """Rows sorted by folder and term (``bucket``, ``term``, ``key``, ``tf``, ``dl``) to blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["term", "keys", "tfs", "lengths", "n", "level", "bucket"]
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            terms = table.column("term").combine_chunks()
+            codes = terms.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, int)
+            cuts = [at for a, b in zip(new, [*new[1:], len(codes)], strict=True) for at in range(a, b, BLOCK)]
+            # the last block may go on in the next batch
+            if cuts:
+                yield _as_blocks(table.slice(0, cuts[-1]), cuts[:-1], names)
+                rest = table.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield _as_blocks(rest, [0], names)
+
+    return run
+
+
+def _as_blocks(table: pa.Table, cuts: list[int], names: list[str]) -> pa.RecordBatch:
+    offsets = pa.array([*cuts, table.num_rows] if cuts else [0], pa.int32())
+    keys, tfs, lengths = (table.column(c).combine_chunks() for c in ("key", "tf", "dl"))
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (keys, tfs, lengths)]
+    n = np.diff([*cuts, table.num_rows] if cuts else []).astype(np.int32)
+    firsts = pa.array(cuts, pa.int64())  # the highest level of a block comes first
+    term, level, bucket = (table.column(c).combine_chunks().take(firsts) for c in ("term", "level", "bucket"))
+    return pa.RecordBatch.from_arrays([term, *lists, pa.array(n), level, bucket], names)
 
-    def postings(self) -> DataFrame:
-        if self._postings is None:
-            self._postings = self.spark.read.parquet(f"{self.path}/postings")
-        return self._postings
 
+def _norm(tf: Column, dl: Column, mean: float, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(mean or 1.0)))
 
-def _fingerprint(df: DataFrame, columns: list[str], key: str) -> str | None:
+
+def write_segment(df: DataFrame, touched: DataFrame | None, key: str, columns: list[str], folder: str, earlier: list[dict] = ()) -> dict:
+    """Write the postings of ``df``, its rows' lengths and the touched keys; what to remember of the segment, the live totals included."""
+    spark = df.sparkSession
+    text = bm.searched_text(df, columns)
+    tokens = F.size(bm.tokens(text)).cast("long")
+    size, documents, length = df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)), F.count("*"), F.coalesce(F.sum(tokens), F.lit(0))).first()
+    mean = length / documents if documents else 0.0
+    folders = max(1, min(MOST_FOLDERS, -(-size // FOLDER_BYTES)))
+    level = F.ceil(LEVELS * _norm(F.col("tf"), F.col("dl"), mean, bm.K1, bm.B)).cast("int").alias("level")
+    rows = bm.postings(df, key, columns).select((F.crc32("term") % folders).cast("int").alias("bucket"), "term", level, "key", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+    dealt = rows.hint("rebalance", F.col("bucket"), F.col("term")).sortWithinPartitions("bucket", "term", F.desc("level"))
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"term string, keys array<{kind}>, tfs array<int>, lengths array<int>, n int, level int, bucket int"
+    map_arrow(dealt, _blocks(), schema).sortWithinPartitions("bucket", "term", F.desc("level")).write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    df.select(F.col(key).alias("key"), tokens.alias("dl")).write.parquet(f"{folder}/docs")
+    if touched is not None:
+        touched.distinct().write.parquet(f"{folder}/touched")
+        gone = spark.read.parquet(f"{folder}/touched")
+        for number, segment in enumerate(earlier):
+            dead = spark.read.parquet(f"{segment['folder']}/docs").join(gone, "key", "left_semi")
+            if (later := touched_after(spark, list(earlier), number)) is not None:
+                dead = dead.join(later, "key", "left_anti")  # those were dead before
+            lost, short = dead.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            documents, length = documents - lost, length - short
+        documents, length = documents + earlier[-1]["documents"], length + earlier[-1]["length"]
+    return {"folder": folder, "schema": schema, "folders": folders, "mean": mean, "documents": documents, "length": length}
+
+
+class TextIndex:
+    """``segments``: as :func:`write_segment` describes them, in order; the last knows the totals of all."""
+
+    def __init__(self, spark: SparkSession, segments: list[dict]):
+        self.spark, self.segments = spark, segments
+        self.documents = segments[-1]["documents"]
+        self.mean_length = segments[-1]["length"] / self.documents if self.documents else 0.0
+        self._frames: dict[int, DataFrame] = {}
+
+    def blocks(self, terms: list[str]) -> list[DataFrame]:
+        """The terms' blocks of each segment; other folders are not listed, and within files only pages of the terms are read."""
+        out = []
+        for number, segment in enumerate(self.segments):
+            if number not in self._frames:
+                self._frames[number] = self.spark.read.schema(segment["schema"]).parquet(f"{segment['folder']}/blocks")  # a segment may be empty
+            own = sorted({zlib.crc32(t.encode()) % segment["folders"] for t in terms})
+            out.append(self._frames[number].where(F.col("bucket").isin(own) & F.col("term").isin(terms)))
+        return out
+
+    def _alive(self, postings: DataFrame, number: int) -> DataFrame:
+        later = touched_after(self.spark, self.segments, number)
+        return postings if later is None else postings.join(later, "key", "left_anti")
+
+    def _postings(self, parts: list[DataFrame], weights: Column, k1: float, b: float) -> DataFrame:
+        """``key``, ``score`` of the blocks' live postings, one a term."""
+        out = []
+        for number, part in enumerate(parts):
+            each = part.select(weights.alias("w"), F.explode(F.arrays_zip("keys", "tfs", "lengths")).alias("p"))
+            out.append(self._alive(each.select("w", F.col("p.keys").alias("key"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("dl")), number))
+        rows = reduce(DataFrame.unionByName, out)
+        return rows.groupBy("key").agg(F.sum(F.col("w") * _norm(F.col("tf"), F.col("dl"), self.mean_length, k1, b)).alias("score"))
+
+    def search(self, terms: list[str], k1: float = bm.K1, b: float = bm.B, k: int | None = None) -> DataFrame:
+        """``key``, ``score`` of rows with any of the terms: of all of them, or of those that can be among the best ``k``, ties included."""
+        terms = list(dict.fromkeys(terms))
+        parts = self.blocks(terms)
+        # a larger mean length than at the time of writing raises scores by no more than its growth
+        growth = [max(1.0, self.mean_length / s["mean"]) / LEVELS if s["mean"] else 1.0 for s in self.segments]
+        known: dict[str, list] = {}
+        for number, part in enumerate(parts):
+            for r in part.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.max("level").alias("level")).collect():  # a row a term
+                have = known.setdefault(r["term"], [0, 0, 0.0])
+                known[r["term"]] = [have[0] + r["n"], have[1] + r["blocks"], max(have[2], r["level"] * growth[number])]
+            if (later := touched_after(self.spark, self.segments, number)) is not None:
+                dead = part.select("term", F.explode("keys").alias("key")).join(later, "key", "left_semi").groupBy("term").count()
+                for r in dead.collect():
+                    known[r["term"]][0] -= r["count"]
+        idf = {t: math.log(1 + (self.documents - n + 0.5) / (n + 0.5)) for t, (n, _, _) in known.items() if n > 0}
+        if not idf:
+            return self._postings([p.where("false") for p in parts], F.lit(0.0), k1, b)
+        weights = F.create_map(*[x for t, w in idf.items() for x in (F.lit(t), F.lit(w))])[F.col("term")]
+        parts = [p.where(F.col("term").isin(list(idf))) for p in parts]
+        if k and (k1, b) == (bm.K1, bm.B) and sum(known[t][1] for t in idf) > FEW_BLOCKS:
+            parts = self._within_reach(parts, weights, idf, {t: idf[t] * known[t][2] for t in idf}, growth, k)
+        return self._postings(parts, weights, k1, b)
+
+    def _within_reach(self, parts: list[DataFrame], weights: Column, idf: dict[str, float], most: dict[str, float], growth: list[float], k: int) -> list[DataFrame]:
+        """The blocks without those of which no row can be among the best ``k``. most: what each term can add to a score at the most."""
+        best = Window.partitionBy("term").orderBy(F.desc("level"))
+        first = [p.withColumn("place", F.row_number().over(best)).where(F.col("place") <= FIRST_BLOCKS + k // BLOCK).drop("place") for p in parts]
+        scores = [r["score"] for r in self._postings(first, weights, bm.K1, bm.B).orderBy(F.desc("score")).limit(k).collect()]  # k rows
+        if len(scores) < k:
+            return parts
+        # what a row must get from a term, if all others give it their most
+        needed = {t: (scores[-1] - SLACK - (sum(most.values()) - most[t])) / idf[t] for t in idf}
+        return [p.where(reduce(lambda a, c: a | c, [(F.col("term") == t) & (F.col("level") >= math.ceil(needed[t] / up - SLACK)) for t in idf])) for p, up in zip(parts, growth, strict=True)]
+
+
+# where indexes are kept
+
+
+def fingerprint(df: DataFrame, columns: list[str], key: str) -> str | None:
     """What the table is made of: its files, when they were written, and how; None for what stands in no files."""
     files = sorted(df.inputFiles())
     if not files:
         return None
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     stamps = []
-    for file in files:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        stamps.append((file, status.getLen(), status.getModificationTime()))
+    for folder in sorted({f.rpartition("/")[0] for f in files}):  # one listing a folder
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        own = {f.rpartition("/")[2] for f in files if f.rpartition("/")[0] == folder}
+        stamps += [(folder, s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(conf).listStatus(path) if s.getPath().getName() in own]
     # filters and projections over the files count too
-    plan = str(df._jdf.queryExecution().analyzed().canonicalized().hashCode())
-    return hashlib.sha256(repr((stamps, columns, key, plan)).encode()).hexdigest()[:32]
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    return hashlib.sha256(repr((sorted(stamps), columns, key, plan)).encode()).hexdigest()[:32]
 
 
 def index_for(df: DataFrame, key: str, columns: list[str], root: str | None) -> TextIndex | None:
-    """The table's index below ``root``, written on first use; None where nothing can be kept."""
-    if root is None or (name := _fingerprint(df, columns, key)) is None:
+    """The index of a table made of files, below ``root``, written on first use; None where nothing can be kept. It is one segment: files do not say what changed."""
+    if root is None or (name := fingerprint(df, columns, key)) is None:
         return None
     spark = df.sparkSession
     place = (spark.sparkContext.applicationId, f"{root.rstrip('/')}/text-{name}")
     if place not in _open:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{place[1]}/totals/_SUCCESS")
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        _open[place] = TextIndex(spark, place[1]) if there else TextIndex.write(df, key, columns, place[1])
+        text = read_small(spark, f"{place[1]}/current")
+        if text is None:  # of several writers the first to finish names the segment that all use
+            made = write_segment(df, None, key, columns, f"{place[1]}/{uuid.uuid4().hex}")
+            text = write_once(spark, f"{place[1]}/current", json.dumps(made))
+        _open[place] = TextIndex(spark, [json.loads(text)])
     return _open[place]
 
 
+def index_of(store: GraphStore, label: str, columns: list[str]) -> TextIndex:
+    """The index of a store's table as it is now: what has changed since the last search becomes a segment."""
+    key = store.keys(label)[0]
+    signature = hashlib.sha256(repr(columns).encode()).hexdigest()[:16]
+    write = lambda rows, touched, folder, earlier: write_segment(rows, touched, key, columns, folder, earlier)
+    return TextIndex(store.spark, segments_of(store, label, f"{store.path}/indexes/text-{label}-{signature}", write))
+
+
 def shared_root(spark: SparkSession) -> str | None:
     """Where indexes are kept unless the caller says: in the shared folder of ``spark.checkpoint.dir``; None if the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,12 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .catalog import NodeTable
 from .functions import codecs, vectors
 from .functions import text as bm
-from .operators import chunk, codegraph, embed, mentions, mutate, pack, retrieve, subgraph, textindex
+from .operators import chunk, codegraph, embed, mentions, mutate, pack, retrieve, subgraph, textindex, vectorindex
 from .plans.compiler import cypher
+from .service import GraphService
+from .session import scratch_folder
 from .sources.testgraph import table_graph
 from .sources.transfer import export_lines
+from .store import DELETED, GraphStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,7 +158,7 @@ def _bm25_sql(text: str, terms: list[str]) -> str:
 def bm25_topk(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     index, terms = textindex.index_for(docs, "doc_id", ["text"], textindex.shared_root(spark)), ["the", "thand", "shand", "über"]
-    hits = index.search(terms) if index else bm.bm25(docs, "doc_id", ["text"], terms)
+    hits = index.search(terms, k=50) if index else bm.bm25(docs, "doc_id", ["text"], terms)
     hits = hits.select("key", F.round("score", 6).alias("score"))
     return hits.orderBy(F.desc("score"), "key").limit(50)
 
@@ -260,6 +264,27 @@ def batch_topk(spark, folder):
     return codecs.batch_top_k(_vectors(spark, folder), "vec_id", "embedding", asked, 5).select("query", "key", F.round("score", 5).alias("score"))
 
 
+def _vector_index(spark, folder):
+    return vectorindex.index_for(_vectors(spark, folder), "vec_id", "embedding", textindex.shared_root(spark) or scratch_folder(spark))
+
+
+@_query("ivf_topk", f"SELECT vec_id AS key, {_COS} AS score FROM embeddings ORDER BY {_COS.removeprefix('round(').removesuffix(', 6)')} DESC, 1 LIMIT 20")
+def ivf_topk(spark, folder):
+    """The nearest rows from the cells that can hold them: exact, without a scan."""
+    return _vector_index(spark, folder).search(_Q, 20).select("key", F.round("score", 6).alias("score"))
+
+
+@_query("ivf_recall", "SELECT count(*) AS queries, true AS enough, true AS fewer FROM embeddings WHERE vec_id % 50 = 0")
+def ivf_recall(spark, folder):
+    """Of every fiftieth row as a query: whether its nearest cells, which are fewer than all, give nine of the ten nearest rows on the average."""
+    table, index = _vectors(spark, folder), _vector_index(spark, folder)
+    asked = table.where("vec_id % 50 = 0")
+    truth = codecs.batch_top_k(table, "vec_id", "embedding", [(r["vec_id"], list(r["embedding"])) for r in asked.orderBy("vec_id").limit(codecs.BATCH_QUERIES).collect()], 10)
+    found = index.search_many(asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 10)
+    queries = asked.agg(F.count("*").alias("queries"))
+    return queries.crossJoin(F.broadcast(codecs.recall(truth, found))).select("queries", (F.col("recall") >= 0.9).alias("enough"), F.lit(index.probes() < len(index.cells)).alias("fewer"))  # one row and one row
+
+
 @_query("int8_rescore_topk", _RESCORED.format(shortlist=_INT8))
 def int8_rescore_topk(spark, folder):
     return vectors.top_k(_vectors(spark, folder), "vec_id", "embedding", _Q, 10, "int8").select("key", F.round("score", 6).alias("score"))
@@ -395,6 +420,35 @@ def hybrid_nodes(spark, folder):
 
 # writing
 
+
+def _stored_documents(spark, folder) -> GraphService:
+    """Documents in a store, of which every fiftieth then gets another text and every hundredth goes, by deltas."""
+    service = GraphService(GraphStore(spark, scratch_folder(spark)))
+    service.define_schema([NodeTable("Doc", "doc_id", {"text": "STRING", "lang": "STRING"}, True)], key_types={"Doc": "INT64"})
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    service.store.replace({"Doc": docs.withColumns({"_source": F.lit(None).cast("string"), "_created_at": F.lit(None).cast("timestamp")})})
+    service._text_index("Doc")
+    service.upsert_nodes("Doc", docs.where("doc_id % 50 = 1").select("doc_id", F.concat(F.lit("thand "), F.substring("text", 1, 200)).alias("text")))
+    service.store.merge({"Doc": docs.where("doc_id % 100 = 7").select("doc_id").withColumn(DELETED, F.lit(True))})
+    return service
+
+
+_CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 50 = 1 THEN 'thand ' || substr(text, 1, 200) ELSE text END AS text, lang FROM documents WHERE doc_id % 100 <> 7)"
+
+
+@_query("delta_rows", f"SELECT doc_id, sha256(text) AS text_sha256, lang FROM {_CHANGED}")
+def delta_rows(spark, folder):
+    """A stored table after two small writes: its base and two deltas, merged on reading."""
+    return _stored_documents(spark, folder).store.table("Doc").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang")
+
+
+@_query("delta_topk", _bm25_sql("concat_ws(' ', text, lang)", ["thand", "shand", "über"]).replace("FROM documents", f"FROM {_CHANGED}") + " ORDER BY 2 DESC, 1 LIMIT 50")
+def delta_topk(spark, folder):
+    """The best rows by an index of three segments: the table's and those of the two writes."""
+    index = _stored_documents(spark, folder)._text_index("Doc")
+    return index.search(["thand", "shand", "über"], k=50).orderBy(F.desc("score"), "key").limit(50).select("key", F.round("score", 6).alias("score"))
+
+
 @_query("upsert_merge", "SELECT coalesce(c.c_custkey, b.k) c_custkey, coalesce(b.name, c.c_name) c_name, c.c_nationkey, coalesce(b.bal, c.c_acctbal) c_acctbal, c.c_mktsegment FROM customer c FULL JOIN (SELECT s_suppkey*3 k, CASE WHEN s_suppkey%2=0 THEN s_name END AS name, s_acctbal bal FROM supplier) b ON c.c_custkey=b.k")
 def upsert_merge(spark, folder):
     customers, suppliers = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("customer", "supplier"))

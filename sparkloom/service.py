@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import VECTOR_COLUMNS, NodeTable, RelTable
+from .catalog import VECTOR_COLUMNS, NodeTable, RelTable, type_name
 from .errors import NotFoundError, SchemaError
 from .functions import codecs
 from .functions import text as bm
 from .functions import vectors
-from .operators import chunk, codegraph, embed, mutate, pack, retrieve, subgraph, textindex
+from .operators import chunk, codegraph, embed, mutate, pack, retrieve, subgraph, textindex, vectorindex
 from .plans.compiler import cypher
 from .plans.parser import check_read_only
 from .sources import transfer
-from .store import GraphStore
+from .store import DELETED, GraphStore
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 #: Rows that one search embeds at the most.
@@ -88,27 +88,63 @@ class GraphService:
 
     # writing
 
+    def _merged(self, name: str, batch: DataFrame, restore: bool = False) -> DataFrame:
+        """The rows that a batch of a table leaves, one a key. Of the table only what has the batch's keys is read."""
+        keys = self.store.keys(name)
+        old = self.store.rows_of(name, batch)
+        new = mutate.upsert(old, batch, keys, restore=restore)
+        held = [c for c in VECTOR_COLUMNS if c in old.columns]
+        if held and len(keys) == 1:
+            new = mutate.invalidate_embeddings(old, new, keys[0], self._texts(old, keys[0]), held)
+        return new
+
+    def _texts(self, df: DataFrame, key: str) -> list[str]:
+        return [c for c, t in df.dtypes if t == "string" and not c.startswith("_") and c != key]
+
+    def _write(self, changes: dict[str, DataFrame]) -> dict[str, int]:
+        """Merge changed rows into tables; tables with many deltas are folded, after their indexes have seen them."""
+        counts = self.store.merge(changes)
+        for name in changes:
+            if self.store.crowded(name):
+                self.compact(name)
+        return counts
+
+    def compact(self, name: str) -> int:
+        """Fold a table's deltas into its base; how many."""
+        entry = self.store.entry(name)
+        if "key" in entry and entry["searchable"]:
+            df, _ = self._label(name)
+            if columns := retrieve.searched_columns(df):
+                textindex.index_of(self.store, name, columns)
+            if "embedding" in df.columns:
+                vectorindex.index_of(self.store, name)
+        return self.store.compact(name)
+
+    def vacuum(self, keep: int = 10, older_than_s: float = 86_400.0) -> int:
+        """Remove earlier versions but the newest ``keep``, and the folders that only they name; see :meth:`GraphStore.vacuum`."""
+        return self.store.vacuum(keep, older_than_s)
+
     def upsert_nodes(self, label: str, batch: DataFrame) -> WriteReport:
-        """Merge rows by key (``_ordinal`` orders repeats). Changed text takes a row's vectors with it."""
+        """Merge rows by key (``_ordinal`` orders repeats). Changed text takes a row's vectors with it. ``written`` counts keys."""
         old, key = self._label(label)
         clean, warnings = mutate.sanitize(batch, old, [key])
-        clean = self._ordered(clean)
-        new = mutate.upsert(old, clean, [key])
-        held = [c for c in VECTOR_COLUMNS if c in old.columns]
-        if held:
-            texts = [c for c, t in old.dtypes if t == "string" and not c.startswith("_") and c != key]
-            new = mutate.invalidate_embeddings(old, new, key, texts, held)
-        self.store.replace({label: new})
-        return WriteReport(clean.count(), 0, warnings)
+        clean = self._ordered(clean).persist()
+        written = self._write({label: self._merged(label, clean)})
+        clean.unpersist()
+        return WriteReport(written[label], 0, warnings)
 
     def upsert_edges(self, name: str, batch: DataFrame) -> WriteReport:
         table, spec = self._type(name)
-        graph = self.store.graph()
         clean, warnings = mutate.sanitize(batch, table, ["_src", "_dst"])
-        clean = self._ordered(clean)
-        ends = [(graph.nodes[label], graph.node_specs[label].key) for label in (spec.source, spec.target)]
-        self.store.replace({name: mutate.upsert_edges(table, clean, *ends[0], *ends[1])})
-        return WriteReport(clean.count(), 0, warnings)
+        clean = self._ordered(clean).persist()
+        ends = []
+        for end, label in (("_src", spec.source), ("_dst", spec.target)):
+            key = self.store.keys(label)[0]
+            ends += [self.store.rows_of(label, clean.select(F.col(end).alias(key))), key]
+        mutate.check_ends(clean, *ends)
+        written = self._write({name: self._merged(name, clean)})
+        clean.unpersist()
+        return WriteReport(written[name], 0, warnings)
 
     def create_nodes(self, label: str, batch: DataFrame) -> WriteReport:
         """Add rows whose keys must be new."""
@@ -126,41 +162,44 @@ class GraphService:
         table, key = self._label(label)
         if unknown := [c for c in values if c not in table.columns or c == key]:
             raise SchemaError(f"{label} has no columns {', '.join(unknown)} to set", f"Columns: {', '.join(c for c in table.columns if c != key)}")
-        mine = F.col(key).isin(keys)
-        new = mutate.set_values(table, mine, {c: F.lit(v) for c, v in values.items()})
+        rows = self.store.rows_of(label, self._keyed(table, key, keys))
+        new = mutate.set_values(rows, F.lit(True), {c: F.lit(v) for c, v in values.items()})
         if held := [c for c in VECTOR_COLUMNS if c in table.columns]:
-            new = mutate.invalidate_embeddings(table, new, key, [c for c, t in table.dtypes if t == "string" and not c.startswith("_") and c != key], held)
-        self.store.replace({label: new})
-        return table.where(mine).count()
+            new = mutate.invalidate_embeddings(rows, new, key, self._texts(table, key), held)
+        return self._write({label: new})[label]
+
+    def _keyed(self, table: DataFrame, key: str, keys: list[Any]) -> DataFrame:
+        return table.sparkSession.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(key, table.schema[key].dataType)]))
 
     def delete_nodes(self, label: str, keys: list[Any]) -> int:
         """Delete nodes and the relationships that touch them; the number of nodes."""
         table, key = self._label(label)
-        return self._remove(label, table.where(F.col(key).isin(keys)), key)
+        return self._remove(label, self.store.rows_of(label, self._keyed(table, key, keys)), key)
 
     def delete_edges(self, name: str, pairs: list[tuple[Any, Any]]) -> int:
         """Delete the relationships between the pairs of keys; their number."""
         table, _ = self._type(name)
-        schema = T.StructType([T.StructField("__a", table.schema["_src"].dataType), T.StructField("__b", table.schema["_dst"].dataType)])
-        gone = table.sparkSession.createDataFrame(pairs, schema).distinct()
-        on = (table["_src"] == gone["__a"]) & (table["_dst"] == gone["__b"])
-        number = table.join(gone, on, "left_semi").count()
-        self.store.replace({name: table.join(gone, on, "left_anti")})
-        return number
+        schema = T.StructType([table.schema["_src"], table.schema["_dst"]])
+        gone = self.store.rows_of(name, table.sparkSession.createDataFrame(pairs, schema))
+        return self._write({name: gone.select("_src", "_dst").distinct().withColumn(DELETED, F.lit(True))})[name]
 
-    def _remove(self, label: str, removed: DataFrame, key: str, kept: DataFrame | None = None) -> int:
-        """Write a label without the removed rows, and each type without relationships to them, in one version."""
+    def _remove(self, label: str, removed: DataFrame, key: str, changed: DataFrame | None = None) -> int:
+        """Delete rows of a label and the relationships to them, and merge its ``changed`` rows, in one version; the number of rows deleted."""
         graph = self.store.graph()
-        table = graph.nodes[label] if kept is None else kept
-        gone = removed.select(F.col(key).alias("__k")).distinct().persist()
+        gone = removed.select(F.col(key)).distinct().persist()
         number = gone.count()
-        changed = {label: table.join(gone, table[key] == gone["__k"], "left_anti")}
+        marks = gone.withColumn(DELETED, F.lit(True))
+        changes = {label: marks if changed is None else changed.withColumn(DELETED, F.lit(False)).unionByName(marks, allowMissingColumns=True)}
         if number:
             for name, spec in graph.rel_specs.items():
-                ends = [end for end, at in (("_src", spec.source), ("_dst", spec.target)) if at == label]
-                if ends:
-                    changed[name] = mutate.detach(graph.rels[name], gone, "__k", ends)
-        self.store.replace(changed)
+                rels = graph.rels[name]
+                for end, at in (("_src", spec.source), ("_dst", spec.target)):
+                    if at == label:
+                        touching = rels.join(gone, rels[end] == gone[key], "left_semi").select("_src", "_dst").withColumn(DELETED, F.lit(True))
+                        changes[name] = touching if name not in changes else changes[name].union(touching)
+                if name in changes:
+                    changes[name] = changes[name].distinct()
+        self._write(changes)
         gone.unpersist()
         return number
 
@@ -183,21 +222,27 @@ class GraphService:
         def query_text(label: str, index: str, query: str, top: int = 10) -> DataFrame:
             df, key = self._label(label)
             terms, columns = bm.query_terms(df.sparkSession, query), retrieve.searched_columns(df)
-            found = textindex.index_for(df, key, columns, self._root())
-            hits = found.search(terms) if found else bm.bm25(df, key, columns, terms)
+            hits = textindex.index_of(self.store, label, columns).search(terms, k=top) if terms and columns else bm.bm25(df, key, columns, terms)
             return whole(label, hits.orderBy(F.desc("score"), "key").limit(top), "score").orderBy(F.desc("score"))
 
         def query_vectors(label: str, index: str, vector: list[float], k: int = 10) -> DataFrame:
             df, key = self._label(label)
             if "embedding" not in df.columns:
                 raise NotFoundError(f"{label} has no vectors", "Embed it first.")
-            hits = vectors.top_k(df, key, "embedding", vector, k, self.codec, "_emb_code" if self.codec != "fp32" and "_emb_code" in df.columns else None)
+            hits = self._nearest(label, vector, k)
             return whole(label, hits.select("key", (1 - F.col("score")).alias("distance")), "distance").orderBy("distance")
 
         return {"QUERY_FTS_INDEX": query_text, "QUERY_VECTOR_INDEX": query_vectors}
 
-    def _root(self) -> str:
-        return f"{self.store.path}/indexes"
+    def _nearest(self, label: str, vector: list[float], k: int) -> DataFrame:
+        """The ``k`` nearest rows, exactly: by the index's cells, or by the codes where the service keeps some."""
+        df, key = self._label(label)
+        if self.codec != "fp32" and "_emb_code" in df.columns:
+            return vectors.top_k(df, key, "embedding", vector, k, self.codec, "_emb_code")
+        return vectorindex.index_of(self.store, label).search(vector, k)
+
+    def _text_index(self, label: str) -> textindex.TextIndex:
+        return textindex.index_of(self.store, label, retrieve.searched_columns(self._label(label)[0]))
 
     def cypher_query(self, text: str, params: dict[str, Any] | None = None, limit: int | None = None) -> QueryResponse:
         check_read_only(text)
@@ -236,20 +281,23 @@ class GraphService:
         if self.embedder and query.strip():
             for label in retrieve.candidate_labels(self.store.graph(), labels):
                 self.embed_pending(label, EMBED_PER_SEARCH)
-        found = retrieve.search(self.store.graph(), query, vector, labels, top_k, hops, codec=self.codec, embedder=self.embedder, root=self._root())
+        found = retrieve.search(self.store.graph(), query, vector, labels, top_k, hops, codec=self.codec, embedder=self.embedder, text_index=self._text_index, nearest=self._nearest)
         seeds = [r.asDict() for r in found.seeds.orderBy("seed_rank").collect()]
         text, cut = self._context([s["node_id"] for s in seeds], found.nodes, found.edges, token_budget)
-        found.seeds.unpersist()
+        found.release()
         return ContextResponse(text, cut, seeds, found.vector_status, found.pending_embeddings)
 
     def get_context(self, ids: list[str], hops: int = 1, token_budget: int | None = None) -> ContextResponse:
         graph = self.store.graph()
         seeds = retrieve.resolve_keys(graph, ids)
-        nodes, edges = retrieve.expand(graph, seeds, hops)
+        held: list[DataFrame] = []
+        nodes, edges = retrieve.expand(graph, seeds, hops, held=held)
         have = {r["node_id"] for r in seeds.collect()}  # as many as were asked for
         asked = {n.partition(":")[2]: n for n in have}
         names = list(dict.fromkeys(n for i in ids if (n := i if i in have else asked.get(i)) in have))
         text, cut = self._context(names, nodes, edges, token_budget)
+        for df in held:
+            df.unpersist()
         return ContextResponse(text, cut, [{"node_id": n} for n in names])
 
     # vectors
@@ -261,7 +309,8 @@ class GraphService:
         df, key = self._label(label)
         waiting = embed.pending_count(df) if "embedding" in df.columns else df.count()
         if waiting:
-            self.store.replace({label: embed.embed_pending(df, key, self.embedder, self.codec, most)})
+            self.store.provision(label, embed.VECTOR_TYPES)
+            self._write({label: embed.made_pending(self.store.table(label), key, self.embedder, self.codec, most)})
         return waiting if most is None else min(waiting, most)
 
     def pending_embeddings(self, label: str) -> int:
@@ -282,14 +331,11 @@ class GraphService:
         self.store.define([NodeTable(label, "id", {"text": "STRING", "meta": "STRING"}, True)], [])
         old, key = self._label(label)
         chunks = chunk.chunk_documents(docs, size, overlap).withColumnRenamed("chunk", mutate.ORDINAL).persist()
-        merged = mutate.upsert(old, chunks, ["id"])
-        if held := [c for c in VECTOR_COLUMNS if c in old.columns]:
-            merged = mutate.invalidate_embeddings(old, merged, "id", ["text"], held)
         owners = chunks.select(F.regexp_replace("id", "#[0-9]+$", "").alias("prefix"))
-        kept, first = mutate.prune_prefix(merged, chunks, "id", owners)
-        kept, second = mutate.prune_sources(kept, chunks, "id", docs.where("source IS NOT NULL").select(F.col("source").alias("_source")))
+        _, first = mutate.prune_prefix(old, chunks, "id", owners)
+        _, second = mutate.prune_sources(old, chunks, "id", docs.where("source IS NOT NULL").select(F.col("source").alias("_source")))
         written = chunks.count()
-        removed = self._remove(label, first.select(key).union(second.select(key)), key, kept)
+        removed = self._remove(label, first.select(key).union(second.select(key)), key, self._merged(label, chunks))
         chunks.unpersist()
         self.embed_pending(label)
         return WriteReport(written, removed)
@@ -309,21 +355,9 @@ class GraphService:
         found, bad = transfer.import_graph(spark, path)
         nodes = [NodeTable(n, s.key, {p: k for p, k in s.properties.items() if not p.startswith("_")}, s.searchable) for n, s in found.node_specs.items()]
         rels = [RelTable(n, s.source, s.target, {p: k for p, k in s.properties.items() if not p.startswith("_")}) for n, s in found.rel_specs.items()]
-        from .catalog import _type_name
-
-        self.store.define(nodes, rels, {n: _type_name(found.key_type(n).simpleString()) for n in found.node_specs})
-        graph, written = self.store.graph(), 0
-        changed = {}
-        for name, df in found.nodes.items():
-            batch, key = df.withColumn(mutate.ORDINAL, F.monotonically_increasing_id()), graph.node_specs[name].key
-            new = mutate.upsert(graph.nodes[name], batch, [key], restore=True)
-            if held := [c for c in VECTOR_COLUMNS if c in new.columns]:
-                new = mutate.invalidate_embeddings(graph.nodes[name], new, key, [c for c, t in new.dtypes if t == "string" and not c.startswith("_") and c != key], held)
-            changed[name] = new
-            written += df.count()
-        for name, df in found.rels.items():
-            changed[name] = mutate.upsert(graph.rels[name], df.withColumn(mutate.ORDINAL, F.monotonically_increasing_id()), ["_src", "_dst"])
-            written += df.count()
-        self.store.replace(changed)
+        self.store.define(nodes, rels, {n: type_name(found.key_type(n).simpleString()) for n in found.node_specs})
+        ordered = lambda df: df.withColumn(mutate.ORDINAL, F.monotonically_increasing_id())
+        batches = {name: ordered(df) for name, df in found.nodes.items()} | {name: ordered(df) for name, df in found.rels.items()}
+        counts = self._write({name: self._merged(name, df, restore=name in found.nodes) for name, df in batches.items()})
         warned = bad.groupBy("warning").agg(F.count("*").alias("n"), F.min("line").alias("line")).collect()
-        return WriteReport(written, 0, [f"{r['warning']}: {r['n']} lines, as {r['line']}" for r in warned])
+        return WriteReport(sum(counts.values()), 0, [f"{r['warning']}: {r['n']} lines, as {r['line']}" for r in warned])

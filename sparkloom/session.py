@@ -5,12 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ConfigurationError
+
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
@@ -60,6 +64,16 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``; where none is set and all runs in one process (tests), a folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/scratch/{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ConfigurationError("No shared folder is known", "Set spark.checkpoint.dir.")
+    return tempfile.mkdtemp(prefix="sparkloom-scratch-")
+
+
 def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, name: str = "sparkloom", shared: str | None = None) -> SparkSession:
     """``shared``: a folder for checkpoints and indexes."""
     session = (
