@@ -33,7 +33,7 @@ def brute_repair(rows):
 
     def go(i, roles, cost, audit, out, inserted):
         nonlocal best
-        if best and cost > best[0]:
+        if cost > limit:
             return
         if i == len(rows) and grammar.fullmatch(roles):
             best = min(best or (cost, audit, out), (cost, audit, out))
@@ -54,8 +54,10 @@ def brute_repair(rows):
             if begins(roles + new[0]):
                 go(i + 1, roles + new[0], cost + 2 + extra, audit + "R", [*out, f"{new}:{text}"], 0)
 
-    go(0, "", 0, "", [], 0)
-    return best
+    for limit in range(3 * len(rows) + 1):  # all can be deleted
+        go(0, "", 0, "", [], 0)
+        if best:
+            return best
 
 
 def brute_conversations(table):
@@ -228,7 +230,8 @@ def test_large_groups(spark, monkeypatch, leaf, levels):
     """Groups many times a leaf: near copies, chains that lead away, texts that share a common passage, and what lies just below the similarity."""
     monkeypatch.setattr(chosen_path, "LEAF", leaf)
     monkeypatch.setattr(chosen_path, "LEVELS", levels)
-    monkeypatch.setattr(chosen_path, "REST_ROWS", 2)
+    for name, value in (("END_BLOCK", 6), ("END_SIZE", 20), ("END_ROWS", 12)):
+        monkeypatch.setattr(chosen_path, name, value)
     word = lambda: f"w{r.randrange(10**6)}"
     base, rows = [word() for _ in range(300)], []
     for k in range(60):
