@@ -1,6 +1,6 @@
 """Structure of source files: modules, classes, functions, and what they refer to, one file at a time.
 
-Python is read by its own grammar. The other languages are scanned: comments and literals are blanked, then declarations are
+Python is read by its own grammar. The other languages are scanned: a lexer blanks comments and literals, code in literals too; then declarations are
 recognised at the brackets' depth where they can stand. Every parser gives facts as dictionaries with the keys of FACT:
 
 * ``Module``, ``Class``, ``Function``, ``ModuleCall``: entities, ``qual`` being their name within the module;
@@ -17,6 +17,7 @@ import bisect
 import posixpath
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 FACT = {"kind": "string", "qual": "string", "name": "string", "line_start": "long", "line_end": "long", "signature": "string", "docstring": "string", "owner": "string", "is_method": "boolean", "target": "string", "module": "string", "version": "string"}
 
@@ -101,24 +102,115 @@ def _python_body(body: list[ast.stmt], owner: str | None, calls: bool) -> Iterat
 
 # scanned languages
 
-_C_LIKE = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)""", re.S)
-_HASHED = re.compile(r"""(?P<comment>(?://|\#)[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>"(?:[^"\\\n]|\\.)*")""", re.S)
+@dataclass(frozen=True)
+class Lexicon:
+    """What is no code in a language. ``token`` finds comments (group ``comment``), plain literals (``text``), openings of literals with code in
+    them (``open``), and braces; ``inside`` says, for an opening, what ends such a literal (``end``) and what begins code (``hole``)."""
+
+    token: re.Pattern
+    inside: dict[str, re.Pattern]
+    slashes: bool = False
+
+
+_COMMENTS = r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
+_QUOTED = r'"(?:[^"\\\n]|\\.)*"'
+_CHARACTERS = r"'(?:[^'\\\n]|\\.)*'"
+
+SCRIPT = Lexicon(
+    re.compile(rf"{_COMMENTS}|(?P<text>{_QUOTED}|{_CHARACTERS})|(?P<open>`)|(?P<word>[\w$]+)|(?P<mark>=>|\+\+|--|[^\s\w$])", re.S),
+    {"`": re.compile(r"\\.|(?P<end>`)|(?P<hole>\$\{)", re.S)},
+    slashes=True,
+)
+CSHARP = Lexicon(
+    re.compile(rf"""{_COMMENTS}|\$*(?P<text>(?P<raw>"{{3,}})(?!").*?(?P=raw)(?!"))|@(?P<verbatim>"(?:[^"]|"")*")|(?P<open>\$@"|@\$"|\$")|(?P<plain>{_QUOTED}|{_CHARACTERS})|(?P<mark>[{{}}])""", re.S),
+    {'$"': re.compile(r"""\\.|\{\{|(?P<end>")|(?P<hole>\{)""", re.S)} | dict.fromkeys(('$@"', '@$"'), re.compile(r"""\"\"|\{\{|(?P<end>")|(?P<hole>\{)""", re.S)),
+)
+GO = Lexicon(re.compile(rf"{_COMMENTS}|(?P<text>{_QUOTED}|{_CHARACTERS}|`[^`]*`)|(?P<mark>[{{}}])", re.S), {})
+TERRAFORM = Lexicon(
+    re.compile(r"""(?P<comment>(?://|\#)[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text><<-?(?P<until>\w+)[ \t]*\n(?:.*?\n)??[ \t]*(?P=until)\b)|(?P<open>")|(?P<mark>[{}])""", re.S),
+    {'"': re.compile(r"""\\.|\$\$\{|%%\{|(?P<end>")|(?P<hole>[$%]\{)""", re.S)},
+)
+
+_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/")
+# Words of the language after which a slash begins a regular expression.
+_BEFORE_VALUES = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "instanceof", "do", "else", "yield", "await", "default"}
+_BEFORE_CONDITIONS = {"if", "while", "for", "with"}
+
+
+def literals(source: str, lexicon: Lexicon) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a comment) of the comments and outermost literals, in order. A literal with code in it is one, however deep it goes."""
+    held: list[tuple[re.Pattern, int]] = []  # open literals, and how many braces are open in their code
+    start = at = 0
+    value = False  # whether a value ends here, so that a slash divides
+    conditions, last = [], ""  # of the open parentheses, whether a condition stands in them
+    while m := lexicon.token.search(source, at):
+        kind, at = m.lastgroup, m.end()
+        if lexicon.slashes and kind == "mark" and m[0] == "/" and not value and (found := _REGEX.match(source, m.start())):
+            kind, at = "text", found.end()
+        if kind == "comment":
+            if not held:
+                yield m.start(), at, True
+            continue
+        if kind in ("text", "plain", "verbatim"):
+            if not held:
+                yield (m.start(kind) if lexicon is CSHARP else m.start()), at, False
+            value = True
+            continue
+        closes = False
+        if kind == "open":
+            if not held:
+                start = at - 1
+            held.append((lexicon.inside[m[0]], -1))
+        elif m[0] == "{" and held:
+            held[-1] = (held[-1][0], held[-1][1] + 1)
+        elif m[0] == "}" and held:
+            closes = held[-1][1] == 0
+            held[-1] = (held[-1][0], held[-1][1] - 1)
+        if lexicon.slashes:
+            if m[0] == "(":
+                conditions.append(last in _BEFORE_CONDITIONS)
+            if kind == "word":
+                value = m[0] not in _BEFORE_VALUES or last == "."
+            elif m[0] == ")":
+                value = not (conditions and conditions.pop())
+            elif m[0] == "!":  # after a value it asserts that the value is there
+                value = value and source[m.start() - 1 : m.start()].strip() != ""
+            else:
+                # an angle before a slash is a tag's
+                value = m[0] in ("]", "}", "++", "--", "<", ">")
+            last = m[0]
+        while held and (kind == "open" or closes):
+            inside = held[-1][0]
+            while (e := inside.search(source, at)) and e.lastgroup is None:
+                at = e.end()
+            if e is None:
+                raise SyntaxError(f"a literal of line {source.count(chr(10), 0, start) + 1} is not closed")
+            at = e.end()
+            if e.lastgroup == "hole":
+                held[-1] = (inside, 0)
+                value, last = False, ""
+            else:
+                held.pop()
+                value = True
+                if not held:
+                    yield start, at, False
+            break
 
 
 class Scan:
     """A source with comments and literals blanked out (``bare``, same length), and its lines and comments."""
 
-    def __init__(self, source: str, blanks: re.Pattern = _C_LIKE):
+    def __init__(self, source: str, lexicon: Lexicon):
         self.source, self.comments = source, []
         self.line_starts = [0, *(m.end() for m in re.finditer("\n", source))]
-
-        def blank(m: re.Match) -> str:
-            if m.lastgroup == "comment":
-                self.comments.append((m.start(), m.end()))
-                return re.sub(r"[^\n]", " ", m[0])
-            return m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1]
-
-        self.bare = blanks.sub(blank, source)
+        parts, at = [], 0
+        for start, end, comment in literals(source, lexicon):
+            if comment:
+                self.comments.append((start, end))
+            edge = 0 if comment else 1
+            parts += [source[at : start + edge], re.sub(r"[^\n]", " ", source[start + edge : end - edge])]
+            at = end - edge
+        self.bare = "".join(parts) + source[at:]
         self.closing = self._brackets()
 
     def _brackets(self) -> dict[int, int]:
@@ -163,18 +255,36 @@ def clean_comment(comment: str) -> str:
 
 
 def statements(scan: Scan, start: int, end: int) -> Iterator[tuple[int, int, int | None]]:
-    """(begin, end of header, where its body opens or None) of each statement between two places; bodies are not entered."""
+    """(begin, end of header, where its body opens or None) of each statement between two places; bodies are not entered.
+
+    Braces in parentheses, and those of types (after a colon, comma, bar or angle), belong to the header.
+    """
     at = begin = start
-    while at < end:
-        m = re.compile(r"[{};]").search(scan.bare, at, end)
-        if m is None or m[0] == "}":
-            break
-        yield begin, m.start(), m.start() if m[0] == "{" else None
-        at = begin = (scan.closing[m.start()] if m[0] == "{" else m.start()) + 1
+    depth = 0
+    while m := _STEPS.search(scan.bare, at, end):
+        at = m.end()
+        if m[0] in "([":
+            depth += 1
+        elif m[0] in ")]":
+            depth = max(0, depth - 1)
+        elif m[0] == "{" and (depth or scan.bare[begin : m.start()].rstrip()[-1:] in tuple(":,|&<")):
+            at = scan.closing[m.start()] + 1
+        elif m[0] == "{" or not depth:
+            yield begin, m.start(), m.start() if m[0] == "{" else None
+            at = begin = (scan.closing[m.start()] if m[0] == "{" else m.start()) + 1
     if scan.bare[begin:end].strip():
         yield begin, end, None
 
 
+_STEPS = re.compile(r"[{;()\[\]]")
+
+
+def outside(scan: Scan, begin: int, at: int) -> bool:
+    """Whether a place stands in no bracket opened after another one."""
+    part = scan.bare[begin:at]
+    return all(part.count(x) == part.count(y) for x, y in ("()", "[]", "{}"))
+
+
 def _first(scan: Scan, begin: int) -> int:
     m = re.compile(r"\S").search(scan.bare, begin)
     return m.start() if m else begin
@@ -193,12 +303,14 @@ def _module(source: str, path: str) -> Fact:
     return {"kind": "Module", "name": dotted(path), "line_start": 1, "line_end": source.count("\n") + 1, "docstring": ""}
 
 
+# type parameters, nested up to three deep
+_ANGLES = r"<(?:[^<>;]|=>|<(?:[^<>;]|=>|<(?:[^<>;]|=>)*>)*>)*>"
 _TS_LEAD = r"(?:^|(?<=[{};]))[ \t]*(?:@[\w.]+(?:\([^)]*\))?\s*)*(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
 _TS_TYPE = re.compile(_TS_LEAD + r"(?P<shown>(?:abstract\s+)?(?:class|interface|enum)\s+(?P<name>[A-Za-z_$][\w$]*))", re.M)
 _TS_SPACE = re.compile(_TS_LEAD + r"(?:namespace|module)\s+(?P<name>[A-Za-z_$][\w$.]*)", re.M)
 _TS_FUNCTION = re.compile(_TS_LEAD + r"(?P<shown>(?:async\s+)?function\s*\*?\s*(?P<name>[A-Za-z_$][\w$]*))", re.M)
-_TS_ARROW = re.compile(_TS_LEAD + r"(?P<shown>(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)[^=\n]*=\s*(?:async\s+)?(?:function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)[^=;{]*=>|[A-Za-z_$][\w$]*\s*=>))", re.M)
-_TS_METHOD = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:@[\w.]+(?:\([^)]*\))?\s*)*(?P<shown>(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set)\s+)*\*?(?P<name>[A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\()", re.M)
+_TS_ARROW = re.compile(_TS_LEAD + r"(?P<shown>(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)(?:[^=\n]|=>)*=(?![=>])\s*(?:async\s+)?(?:function\b|(?:" + _ANGLES + r"\s*)?\([^()]*(?:\([^()]*\)[^()]*)*\)[^=;]*=>|[A-Za-z_$][\w$]*\s*=>))", re.M)
+_TS_METHOD = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:@[\w.]+(?:\([^)]*\))?\s*)*(?P<shown>(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set)\s+)*\*?(?P<name>[A-Za-z_$#][\w$]*)\??\s*(?:" + _ANGLES + r")?\()", re.M)
 _TS_IMPORT = re.compile(r"""(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)(["'])(?P<path>[^"'\n]+)\1""")
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "new", "function", "super", "await", "typeof", "using", "lock", "fixed", "foreach", "else", "do", "throw", "base", "this", "when", "nameof"}
 
@@ -214,7 +326,7 @@ def relative_modules(path: str, target: str) -> list[str]:
 
 def parse_script(path: str, source: str, calls: bool = True) -> Iterator[Fact]:
     """TypeScript and JavaScript."""
-    scan = Scan(source)
+    scan = Scan(source, SCRIPT)
     yield _module(source, path)
     seen: dict[str, None] = {}
     for m in _TS_IMPORT.finditer(source):
@@ -230,8 +342,9 @@ def parse_script(path: str, source: str, calls: bool = True) -> Iterator[Fact]:
 def _last(pattern: re.Pattern, scan: Scan, begin: int, end: int) -> re.Match | None:
     """The last match in a header: lines without semicolons before it belong to other statements."""
     found = None
-    for found in pattern.finditer(scan.bare, begin, end):
-        pass
+    for m in pattern.finditer(scan.bare, begin, end):
+        if outside(scan, begin, m.start("shown" if "shown" in pattern.groupindex else "name")):
+            found = m
     return found
 
 
@@ -247,7 +360,7 @@ def _script_body(scan: Scan, start: int, end: int, owner: str | None, prefix: st
                 yield from _script_members(scan, body + 1, scan.closing[body], qual)
         else:
             # without semicolons a header may hold several declarations; the last has the body
-            found = sorted([*_TS_ARROW.finditer(scan.bare, begin, head_end), *_TS_FUNCTION.finditer(scan.bare, begin, head_end)], key=lambda m: m.start("name"))
+            found = sorted([m for p in (_TS_ARROW, _TS_FUNCTION) for m in p.finditer(scan.bare, begin, head_end) if outside(scan, begin, m.start("shown"))], key=lambda m: m.start("name"))
             for k, m in enumerate(found):
                 last = k + 1 == len(found)
                 end_of = head_end if last else _last_mark(scan, found[k + 1].start())
@@ -271,7 +384,7 @@ _CS_METHOD = re.compile(r"(?:\[[^\]]*\]\s*)*(?P<shown>(?:[A-Za-z_][\w.<>,\[\]?]*
 
 
 def parse_csharp(path: str, source: str, calls: bool = True) -> Iterator[Fact]:
-    scan = Scan(source)
+    scan = Scan(source, CSHARP)
     yield _module(source, path)
     for m in re.finditer(r"^[ \t]*(?:global\s+)?using\s+(?:static\s+)?(?:[A-Za-z_]\w*\s*=\s*)?([A-Za-z_][\w.]*)\s*;", scan.bare, re.M):
         yield {"kind": "IMPORTS", "target": m[1]}
@@ -302,7 +415,7 @@ _GO_TOP = re.compile(r"^(?:func[ \t]*(?:\((?P<receiver>[^)]*)\)[ \t]*)?(?P<func>
 
 
 def parse_go(path: str, source: str, calls: bool = True) -> Iterator[Fact]:
-    scan = Scan(source)
+    scan = Scan(source, GO)
     yield _module(source, path)
     if m := re.search(r"^package[ \t]+(\w+)", scan.bare, re.M):
         yield {"kind": "KEY", "target": m[1]}
@@ -357,7 +470,7 @@ def _go_type(scan: Scan, begin: int, m: re.Match) -> Iterator[Fact]:
 
 
 def parse_terraform(path: str, source: str, calls: bool = True) -> Iterator[Fact]:
-    scan = Scan(source, _HASHED)
+    scan = Scan(source, TERRAFORM)
     yield _module(source, path)
     folder = posixpath.dirname(path)
     if folder:

@@ -170,3 +170,77 @@ def test_ingest_code(spark, tmp_path):
     paths = spark.createDataFrame([("one", "pkg/base.py"), ("two", "nowhere")], "name string, path string")
     assert [(r["name"], r["module_id"].partition(":")[2]) for r in codegraph.match_paths(paths, "path", service.store.table("Module").select("path", "id")).collect()] == [("one", "pkg/base.py")]
     assert codegraph.commits_behind(str(root), None) is None and codegraph.repo_id(str(root)).startswith("proj-") and len(codegraph.repo_id(str(root))) == 5 + 64
+
+HARD_SCRIPT = r'''import { a } from "./a";
+const clean = (s: string) => s.replace(/[{]/g, "").replace(/\/\*/, `x`);
+export class Deep<T extends Map<string, { n: number }>> extends Base<T> {
+  private half = this.size / 2; other = 4 / 2;
+  name(x: number): string { return `a ${x > 1 ? `b ${[1].map((y) => `{${y}`)}` : "}"} c`; }
+  pick<K extends Map<string, Set<T>>>(key: K, opts: { deep: boolean; run(x: number): void }): { k: K } { return { k: key }; }
+  test(v: string) { if (v) /}{/.test(v); return v.length! / 2 / 3; }
+}
+export function View({ title, items }: Props) {
+  return (<div a={1} />);
+}
+export const Card: FC<Props> = ({ a, b }: Props): Promise<{ x: number }> => { return null; };
+const late = <T,>(x: T) => x;
+function last() { return /[/{]/; }
+'''
+HARD_SHARP = r'''using System;
+namespace A.B;
+public class Q : Base {
+    string raw = """ a { "x" """;
+    string v = @"c:\{""quoted""}";
+    public string Hi(string n) => $"{{ {n.Replace("{", "}")} {d["k"]}";
+    public string Two(int n = 3) { return $@"a {n:{0}} ""b"" { (n > 1 ? "}" : "{") }"; }
+    char c = '{';
+    void Last() { }
+}
+'''
+HARD_GO = r'''package x
+
+var s = `a { \`
+
+type T[K comparable] struct{ n map[string]struct{ a int } }
+
+func (t *T[K]) Run(f func(x struct{ a int }) error) (m map[string]interface{}, err error) {
+	r := '{'
+	return nil, nil
+}
+func Last() {}
+'''
+HARD_TERRAFORM = r'''resource "a" "b" {
+  x = "${lookup(var.m, "k}")}-$${"
+  y = <<-EOT
+    { not closed "
+  EOT
+}
+module "net" {
+  source = "../net"
+}
+'''
+
+
+def test_literals_with_code_in_them():
+    _, pick = facts("x.tsx", HARD_SCRIPT)
+    assert pick("Class", "qual", "line_start", "line_end") == [("Deep", 3, 8)]
+    assert pick("Function", "qual", "line_start", "line_end") == [("clean", 2, 2), ("Deep.name", 5, 5), ("Deep.pick", 6, 6), ("Deep.test", 7, 7), ("View", 9, 11), ("Card", 12, 12), ("late", 13, 13), ("last", 14, 14)]
+    assert dict(pick("Function", "qual", "signature"))["View"] == "function View({ title, items }: Props)"
+    _, pick = facts("x.cs", HARD_SHARP)
+    assert pick("Function", "qual", "line_start") == [("A.B.Q.Hi", 6), ("A.B.Q.Two", 7), ("A.B.Q.Last", 9)]
+    _, pick = facts("x.go", HARD_GO)
+    assert pick("Class", "qual") == [("T",)] and pick("Function", "qual", "line_end") == [("T.Run", 10), ("Last", 11)]
+    _, pick = facts("d/x.tf", HARD_TERRAFORM)
+    assert pick("ModuleCall", "name", "target") == [("net", "../net")]
+
+
+@pytest.mark.parametrize("source", ["const x = `${`", "f(`a ${b", "x = { `${ `"])
+def test_unclosed_literals_are_errors(source):
+    assert [f["kind"] for f in codeparse.parse_file("x.ts", source)] == ["Error"]
+
+
+@pytest.mark.parametrize("code", ["a / 2; b = /[/]{/", "x) / 2 / 3", "`${a}/${`}`}` / 2", "return /{/", "<A b={1} /> / {}", "i++ / 2", "a => /}/.test(a)"])
+def test_slashes(code):
+    source = f"f({code});\nfunction after() {{}}\n" if not code.startswith("x)") else f"f({code};\nfunction after() {{}}\n"
+    _, pick = facts("x.ts", source)
+    assert pick("Function", "qual") == [("after",)]
