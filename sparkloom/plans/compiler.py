@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import VECTOR_COLUMNS, Graph, node_id
 from ..errors import CypherError, SchemaError
+from ..operators.paths import shortest_between, written
 from .parser import NodePattern, PathPattern, Projection, RelPattern, check_read_only, parse
 
 #: Levels after which an open ``*`` is given up with an error, unless the caller says otherwise. Nothing is cut silently.
@@ -386,7 +387,7 @@ class Compiler:
         """Extend over lo..hi relationships, level by level from the distinct nodes that the frame has reached.
 
         Without a path to keep, a level is (start, end, how many walks), summed, so that hubs do not multiply rows; for shortest paths a
-        level holds only ends that no level before it has reached from that start.
+        level holds only ends that no level before it has reached from that start. Shortest paths to ends that are known are searched from both ends.
         """
         low, high = rel.hops
         hop = self.name_for(None)
@@ -404,7 +405,46 @@ class Compiler:
         edges = rdf.select(whole(froms, col(f"{hop}{SEP}_from")).alias("__from"), whole(tos, col(f"{hop}{SEP}_to")).alias("__to"), *([edge.alias("__edge")] if keep_path else []))
         rels, nodes, end, walks = (f"{hop}{SEP}{x}" for x in ("rels", "nodes", "end", "walks"))
         origin = col(f"{left}{SEP}_key") if plain else col(f"{left}{SEP}_id")
+        asked = self.known_ends(frame, node, var, origin, froms, tos, plain, low) if shortest else None
         level = frame.df.select(origin.alias("__start")).distinct().withColumn(end, F.col("__start"))
+        if asked:
+            found, complete = shortest_between(edges, low, self.open_hops if high is None else high, paths=shortest if keep_path else None, point=point, **asked)
+            if high is None and not complete:
+                raise CypherError(*self.too_deep())
+            found = found.select(F.col("start").alias("__start"), F.col("goal").alias(end), *([F.col("rels").alias(rels), F.col("nodes").alias(nodes)] if keep_path else []))
+        else:
+            found = self.levels(level, edges, end, rels, nodes, walks, point, rel.hops, keep_path, shortest)
+        self.reach(frame, found, origin, end, node, var, froms, tos, plain, named, low)
+        if keep_path:
+            if rel.var:
+                frame.df = frame.df.withColumn(rel.var, col(rels))
+                frame.scope[rel.var] = Binding("value")
+            return hop
+        return None
+
+    def too_deep(self) -> tuple[str, str]:
+        return f"A path of open length goes on beyond {self.open_hops} hops", "Give an upper bound, as in *1..5, or a larger open_hops."
+
+    def known_ends(self, frame: Frame, node: NodePattern, var: str, origin: Column, froms: list[str], tos: list[str], plain: bool, low: int) -> dict[str, DataFrame] | None:
+        """What is asked of a search from both ends: the pairs, if the last node is bound, or starts and goals, if it is limited by properties; else None."""
+        if var in frame.scope:
+            if plain and frame.scope[var].labels != froms:
+                return None
+            goal = col(f"{var}{SEP}_key") if plain else col(f"{var}{SEP}_id")
+            within = frame.df.where(col(f"{var}{SEP}_label").isin(node.labels)) if node.labels else frame.df
+            return {"pairs": within.select(origin.alias("start"), goal.alias("goal"))}
+        if not node.props or any(v[0] not in ("lit", "param") for v in node.props.values()):
+            return None
+        ndf, binding = self.scan(node.labels or (tos if len(tos) == 1 and (low > 0 or plain) else []), var)
+        if plain and binding.labels != froms:
+            return None
+        ends = Frame(ndf, {var: binding})
+        self.filtered(ends, var, node.props)
+        return {"starts": frame.df.select(origin.alias("start")), "goals": ends.df.select((col(f"{var}{SEP}_key") if plain else col(f"{var}{SEP}_id")).alias("goal"))}
+
+    def levels(self, level: DataFrame, edges: DataFrame, end: str, rels: str, nodes: str, walks: str, point: Callable[[Column], Column], hops: tuple[int, int | None], keep_path: bool, shortest: str | None) -> DataFrame:
+        """Ends within ``hops`` of each start, level by level from the starts."""
+        low, high = hops
         if keep_path:
             level = level.withColumn(rels, F.array().cast("array<struct<_type:string,_src:string,_dst:string>>")).withColumn(nodes, F.array(point(F.col("__start"))))
         elif not shortest:
@@ -425,7 +465,7 @@ class Compiler:
                     step = step.groupBy("__start", end).agg(F.min(F.struct(rels, nodes)).alias("__one")).select("__start", end, F.col(f"__one.`{rels}`").alias(rels), F.col(f"__one.`{nodes}`").alias(nodes))
                 seen = seen.union(step.select("__start", end).distinct())
             if high is None:  # how far it goes is not known before
-                step = step.persist()
+                step = written(step)
                 if step.isEmpty():
                     break
             level = step
@@ -433,12 +473,16 @@ class Compiler:
                 found = level if found is None else found.unionByName(level)
         else:
             if high is None:
-                raise CypherError(f"A path of open length goes on beyond {self.open_hops} hops", "Give an upper bound, as in *1..5, or a larger open_hops.")
+                raise CypherError(*self.too_deep())
         if found is None:
             found = level.limit(0)
         if not keep_path and not shortest:
             # one row for each walk
             found = found.select("__start", end, F.explode(F.sequence(F.lit(1).cast("long"), col(walks))).alias("__walk")).drop("__walk")
+        return found
+
+    def reach(self, frame: Frame, found: DataFrame, origin: Column, end: str, node: NodePattern, var: str, froms: list[str], tos: list[str], plain: bool, named: Callable[[Column], Column], low: int) -> None:
+        """Join the frame with the ends that were found, and those with their nodes."""
         frame.df = frame.df.join(found, origin == F.col("__start")).drop("__start")
         if var in frame.scope:
             here = col(f"{var}{SEP}_key") if plain and frame.scope[var].labels == froms else col(f"{var}{SEP}_id")
@@ -453,12 +497,6 @@ class Compiler:
             frame.scope[var] = nbinding
         self.filtered(frame, var, node.props)
         frame.df = frame.df.drop(end)
-        if keep_path:
-            if rel.var:
-                frame.df = frame.df.withColumn(rel.var, col(rels))
-                frame.scope[rel.var] = Binding("value")
-            return hop
-        return None
 
     def match(self, frame: Frame, patterns: list[PathPattern]) -> None:
         for path in patterns:

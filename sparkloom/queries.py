@@ -97,6 +97,21 @@ _cypher("open_path", "MATCH (t:Turn {turn: 0})-[:NEXT_TURN*]->(u:Turn) WHERE t.c
 _cypher("undirected_walks", "MATCH (r:Region)-[:IN_REGION*2..3]-(x) RETURN r.r_regionkey AS k, label(x) AS label, count(*) AS n", "WITH d AS (SELECT n_regionkey r, count(*) c FROM nation GROUP BY 1) SELECT r k, 'Region' AS label, c n FROM d UNION ALL SELECT r, 'Nation', c * c FROM d")
 _cypher("all_shortest", "MATCH p = allShortestPaths((a:Region {r_regionkey: 1})-[*1..2]-(c:Customer)) RETURN c.c_custkey AS k, length(p) AS hops, nodes(p)[1]._id AS via", "SELECT c_custkey k, 2::BIGINT hops, 'Nation:'||n_nationkey AS via FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=1")
 _cypher("shortest_path", "MATCH p = (a:Turn)-[:NEXT_TURN* SHORTEST 1..3]->(b:Turn) WHERE a.turn = 1 RETURN a.conv_id AS c, b.turn AS t, length(p) AS hops", "SELECT a.conv_id c, b.turn t, b.turn - a.turn AS hops FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn - a.turn BETWEEN 1 AND 3 WHERE a.turn = 1")
+_cypher(
+    "shortest_between_groups",
+    "MATCH p = allShortestPaths((c:Customer {c_nationkey: 3})-[:PLACED|SUPPLIED_BY*..4]-(s:Supplier {s_nationkey: 3})) RETURN c.c_custkey AS c, s.s_suppkey AS s, length(p) AS hops, count(*) AS paths",
+    """WITH os AS (SELECT o_custkey c, l_suppkey s, count(*) n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3 GROUP BY 1, 2),
+g AS (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3),
+d2 AS (SELECT c, s, n FROM os JOIN g ON s = s_suppkey),
+ss AS (SELECT a.l_suppkey m, b.l_suppkey s, count(*) n FROM lineitem b JOIN g ON b.l_suppkey = s_suppkey JOIN lineitem a ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
+SELECT c, s, 2::BIGINT AS hops, n AS paths FROM d2
+UNION ALL SELECT os.c, ss.s, 4, sum(os.n * ss.n)::BIGINT FROM os JOIN ss ON os.s = ss.m ANTI JOIN d2 ON d2.c = os.c AND d2.s = ss.s GROUP BY 1, 2""",
+)
+_cypher(
+    "shortest_between_pairs",
+    "MATCH (a:Turn), (b:Turn) WHERE a.conv_id = b.conv_id AND a.turn = 0 AND b.turn >= 4 MATCH p = shortestPath((a)-[:NEXT_TURN*]->(b)) RETURN a.conv_id AS c, b.turn AS t, length(p) AS hops, nodes(p)[2]._id AS via",
+    "SELECT a.conv_id c, b.turn t, b.turn AS hops, 'Turn:' || (a.conv_id * 10000 + 2) AS via FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn >= 4",
+)
 _cypher("optional_chain", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:BASED_IN]-(s:Supplier)<-[:SUPPLIED_BY]-(o:Order) WHERE o.o_totalprice > 200000 RETURN n.n_nationkey AS k, count(DISTINCT s) AS suppliers, count(o) AS orders", "SELECT n_nationkey k, count(DISTINCT s_suppkey) suppliers, count(o_orderkey) orders FROM nation LEFT JOIN (SELECT s_nationkey, s_suppkey, o_orderkey FROM supplier JOIN lineitem ON l_suppkey=s_suppkey JOIN orders ON o_orderkey=l_orderkey AND o_totalprice > 200000) ON s_nationkey=n_nationkey GROUP BY 1")
 
 
