@@ -13,6 +13,7 @@ from ..errors import SchemaError
 from ..functions import text as bm
 from ..functions import vectors
 from . import embed, textindex
+from .adjacency import Adjacency
 
 RRF_K, LABEL_CAP, TOP_K, MAX_HOPS, TOKEN_BUDGET = 60, 2, 8, 3, 2000
 
@@ -42,22 +43,25 @@ def diversify(fused: DataFrame, top_k: int = TOP_K, cap: int = LABEL_CAP) -> Dat
     return picked.withColumn("seed_rank", F.row_number().over(Window.orderBy("held", "fused_rank"))).drop("held")
 
 
-def expand(graph: Graph, seeds: DataFrame, hops: int = 1, edges: DataFrame | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def expand(graph: Graph, seeds: DataFrame, hops: int = 1, edges: DataFrame | None = None, held: list[DataFrame] | None = None, lists: Adjacency | None = None) -> tuple[DataFrame, DataFrame]:
     """All nodes within ``hops`` of the seeds (``node_id``, ``depth``) and the edges met on the way, regardless of direction.
 
     Breadth first: each level joins the last level's new nodes only, so paths are never enumerated. The reached nodes are kept
     level by level, so that no level is worked out again; each relationship type is joined on its own keys, where files and their statistics can prune,
     and only types at which a label of the level's new nodes can stand are read. ``held`` gets the frames that are kept: unpersist them once the result is read.
+    With ``lists`` a level reads the neighbour lists of its nodes instead.
     """
     held = [] if held is None else held
     hops = max(0, min(MAX_HOPS, hops))
     reached = seeds.select("node_id").distinct().withColumn("depth", F.lit(0))
     frontier, touched = reached, None
-    types = None if edges is not None else graph.visible_rels()
+    types = None if edges is not None or lists else graph.visible_rels()
     for depth in range(1, hops + 1):
         frontier = frontier.persist()
         held.append(frontier)
-        if types is None:
+        if lists:
+            met = lists.edges_at(frontier)
+        elif types is None:
             near = frontier.select(F.col("node_id").alias("near"))
             met = edges.join(near, edges["src"] == near["near"], "left_semi").union(edges.join(near, edges["dst"] == near["near"], "left_semi"))
         else:
@@ -171,7 +175,7 @@ def candidate_labels(graph: Graph, labels: list[str] | None) -> list[str]:
 
 def search(
     graph: Graph, query: str, vector: list[float] | None = None, labels: list[str] | None = None, top_k: int = TOP_K, hops: int = 1, cap: int = LABEL_CAP, codec: str = "fp32", embedder: embed.Embedder | None = None, root: str | None = None,
-    text_index: Callable[[str], textindex.TextIndex] | None = None, nearest: Callable[[str, list[float], int], DataFrame] | None = None,
+    text_index: Callable[[str], textindex.TextIndex] | None = None, nearest: Callable[[str, list[float], int], DataFrame] | None = None, lists: Adjacency | None = None,
 ) -> SearchResult:
     """Text and vector hits fused, made diverse and expanded.
 
@@ -195,7 +199,7 @@ def search(
     # a handful of rows that several plans read
     seeds = diversify(fused, top_k, cap).persist()
     held = [seeds]
-    nodes, edges = expand(graph, seeds, hops, held=held)
+    nodes, edges = expand(graph, seeds, hops, held=held, lists=lists)
     return SearchResult(seeds, nodes, edges, status, pending, held)
 
 

@@ -21,7 +21,7 @@ MOST_SEGMENTS = 16
 _TRIES = 5
 
 
-def _newest(spark: SparkSession, root: str) -> tuple[int, dict | None]:
+def newest_state(spark: SparkSession, root: str) -> tuple[int, dict | None]:
     """(number, state) of the newest complete list."""
     for name in reversed(list_names(spark, f"{root}/state")):
         if text := read_small(spark, f"{root}/state/{name}"):
@@ -37,7 +37,7 @@ def segments_of(store: GraphStore, name: str, root: str, write: Callable[[DataFr
     for _ in range(_TRIES):
         entry = store.entry(name)
         epoch, upto = entry.get("epoch", 0), entry.get("next", 0)
-        number, state = _newest(store.spark, root)
+        number, state = newest_state(store.spark, root)
         if state and state["epoch"] == epoch and state["upto"] == upto:
             return state["segments"]
         late = [d for d in entry.get("deltas", []) if state and d["seq"] >= state["upto"]]

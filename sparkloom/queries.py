@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import NodeTable
 from .functions import codecs, vectors
 from .functions import text as bm
-from .operators import chunk, codegraph, embed, mentions, mutate, pack, retrieve, subgraph, textindex, vectorindex
+from .operators import adjacency, chunk, codegraph, embed, mentions, mutate, pack, retrieve, subgraph, textindex, vectorindex
 from .plans.compiler import cypher
 from .service import GraphService
 from .session import scratch_folder
@@ -388,6 +388,15 @@ def khop_nodes(spark, folder):
     return retrieve.expand(graph, seeds, 2)[0]
 
 
+@_query("khop_by_lists", _TWO_HOPS + "SELECT node_id, depth::INT depth FROM m")
+def khop_by_lists(spark, folder):
+    """The same by stored neighbour lists."""
+    graph = table_graph(spark, folder)
+    state = adjacency.write_lists(graph.edges(), scratch_folder(spark))
+    seeds = spark.createDataFrame([("Region:1",)], "node_id string")
+    return retrieve.expand(graph, seeds, 2, lists=adjacency.Adjacency(spark, state))[0]
+
+
 @_query("khop_edges", _TWO_HOPS + "SELECT DISTINCT s AS src, d AS dst FROM e WHERE s IN (SELECT node_id FROM m WHERE depth < 2) OR d IN (SELECT node_id FROM m WHERE depth < 2)")
 def khop_edges(spark, folder):
     graph = table_graph(spark, folder)

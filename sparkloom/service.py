@@ -15,7 +15,7 @@ from .errors import NotFoundError, SchemaError
 from .functions import codecs
 from .functions import text as bm
 from .functions import vectors
-from .operators import chunk, codegraph, embed, mutate, pack, retrieve, subgraph, textindex, vectorindex
+from .operators import adjacency, chunk, codegraph, embed, mutate, pack, retrieve, subgraph, textindex, vectorindex
 from .plans.compiler import cypher
 from .plans.parser import check_read_only
 from .sources import transfer
@@ -120,6 +120,14 @@ class GraphService:
                 vectorindex.index_of(self.store, name)
         return self.store.compact(name)
 
+    def index_relationships(self) -> int:
+        """Write neighbour lists, which expansions read from then on as long as changes can be laid over them; how many edges they hold."""
+        lists = adjacency.adjacency_of(self.store)
+        return lists.state["edges"] if lists else 0
+
+    def _lists(self) -> adjacency.Adjacency | None:
+        return adjacency.adjacency_of(self.store, make=False)
+
     def vacuum(self, keep: int = 10, older_than_s: float = 86_400.0) -> int:
         """Remove earlier versions but the newest ``keep``, and the folders that only they name; see :meth:`GraphStore.vacuum`."""
         return self.store.vacuum(keep, older_than_s)
@@ -281,7 +289,7 @@ class GraphService:
         if self.embedder and query.strip():
             for label in retrieve.candidate_labels(self.store.graph(), labels):
                 self.embed_pending(label, EMBED_PER_SEARCH)
-        found = retrieve.search(self.store.graph(), query, vector, labels, top_k, hops, codec=self.codec, embedder=self.embedder, text_index=self._text_index, nearest=self._nearest)
+        found = retrieve.search(self.store.graph(), query, vector, labels, top_k, hops, codec=self.codec, embedder=self.embedder, text_index=self._text_index, nearest=self._nearest, lists=self._lists())
         seeds = [r.asDict() for r in found.seeds.orderBy("seed_rank").collect()]
         text, cut = self._context([s["node_id"] for s in seeds], found.nodes, found.edges, token_budget)
         found.release()
@@ -291,7 +299,7 @@ class GraphService:
         graph = self.store.graph()
         seeds = retrieve.resolve_keys(graph, ids)
         held: list[DataFrame] = []
-        nodes, edges = retrieve.expand(graph, seeds, hops, held=held)
+        nodes, edges = retrieve.expand(graph, seeds, hops, held=held, lists=self._lists())
         have = {r["node_id"] for r in seeds.collect()}  # as many as were asked for
         asked = {n.partition(":")[2]: n for n in have}
         names = list(dict.fromkeys(n for i in ids if (n := i if i in have else asked.get(i)) in have))
