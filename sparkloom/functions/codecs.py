@@ -15,7 +15,7 @@ A zero vector has no direction; its code is that of all zeros (polar: empty) and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +66,25 @@ def blob_bytes(codec: str, dim: int) -> int | None:
     return {"fp32": 4 * dim, "int8": 4 + dim, "binary": -(-dim // 8)}.get(check_codec(codec))
 
 
-def _matrix(blobs: list[bytes], codec: str, dim: int) -> np.ndarray:
+Blobs = list[bytes] | pa.Array
+
+
+def _bytes_of(blobs: Blobs) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, all bytes one after another); an Arrow column without nulls is read where it lies."""
+    if isinstance(blobs, list):
+        return np.array([len(b) for b in blobs], np.int64), np.frombuffer(b"".join(blobs), np.uint8)
+    _, offsets, data = blobs.buffers()
+    kind = np.int64 if pa.types.is_large_binary(blobs.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.diff(ends), np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+def _matrix(blobs: Blobs, codec: str, dim: int) -> np.ndarray:
     want = blob_bytes(codec, dim)
-    if any(len(b) != want for b in blobs):
+    lengths, data = _bytes_of(blobs)
+    if (lengths != want).any():
         raise ConfigurationError(f"A {codec} code of {dim} components has {want} bytes")
-    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), want)
+    return data.reshape(len(blobs), want)
 
 
 def decode(blobs: list[bytes], codec: str, dim: int) -> np.ndarray:
@@ -92,14 +106,41 @@ def decode(blobs: list[bytes], codec: str, dim: int) -> np.ndarray:
     return raw[:, 4:].view(np.int8) * (np.ascontiguousarray(raw[:, :4]).view("<f4").astype(np.float64) / 127)
 
 
-def scores(blobs: list[bytes], query: np.ndarray, codec: str) -> np.ndarray:
+def scorer(blobs: Blobs, codec: str, dim: int) -> Callable[[np.ndarray], np.ndarray]:
+    """What each code says about the cosine with a unit query, for any number of queries: the codes are unpacked once, and scored by tables or as they are."""
+    check_codec(codec)
+    if not len(blobs):
+        return lambda query: np.zeros(0)
+    if codec == "polar":
+        lengths, data = _bytes_of(blobs)
+        some = np.flatnonzero(lengths)
+        if not len(some):
+            return lambda query: np.zeros(len(lengths))
+        if (lengths[some] != lengths[some[0]]).any():
+            raise ConfigurationError("Angular codes of several kinds")
+        width, bits, codes = polar.unpack(data.reshape(len(some), -1))
+        if width != dim:
+            raise ConfigurationError(f"The codes have {width} components, not {dim}")
+
+        def by_tables(query: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(lengths))
+            out[some] = polar.scores(width, bits, codes, query)
+            return out
+
+        return by_tables
+    raw = _matrix(blobs, codec, dim)
+    if codec == "binary":
+        return lambda query: np.cos(np.pi * np.bitwise_count(raw ^ np.packbits(query >= 0)[None, :]).sum(axis=1) / dim)
+    if codec == "int8":
+        whole, scale = raw[:, 4:].view(np.int8).astype(np.float64), np.ascontiguousarray(raw[:, :4]).view("<f4")[:, 0].astype(np.float64) / 127
+        return lambda query: whole @ query * scale
+    values = np.ascontiguousarray(raw).view("<f4").astype(np.float64)
+    return lambda query: values @ query
+
+
+def scores(blobs: Blobs, query: np.ndarray, codec: str) -> np.ndarray:
     """What each code says about the cosine with a unit query."""
-    if not blobs:
-        return np.zeros(0)
-    if codec != "binary":
-        return decode(blobs, codec, len(query)) @ query
-    differing = np.bitwise_count(_matrix(blobs, codec, len(query)) ^ np.packbits(query >= 0)[None, :]).sum(axis=1)
-    return np.cos(np.pi * differing / len(query))
+    return scorer(blobs, codec, len(query))(query)
 
 
 def cosines_from_codes(left: list[bytes], right: list[bytes], codec: str, dim: int) -> np.ndarray:
@@ -152,10 +193,8 @@ def shortlist(df: DataFrame, key: str, column: str, query: list[float], k: int,
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1)
-            blobs = values.to_pylist() if coded else encode(split_magnitude(rows_of(values))[1], codec)
+            blobs = values if coded else encode(split_magnitude(rows_of(values))[1], codec)
             found = scores(blobs, unit, codec)
-            if codec != "binary":
-                found = np.where([bool(b) for b in blobs], found, 0.0)
             # ties at the cut go on, so that the order by key decides them
             keep = np.flatnonzero(found >= np.partition(found, len(found) - k)[len(found) - k]) if len(found) > k else np.arange(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(found[keep])], ["key", "approx"])
@@ -184,10 +223,10 @@ def batch_top_k(df: DataFrame, key: str, vector: str, queries: list[tuple[int, l
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = split_magnitude(rows_of(batch.column(1)))[1]
-            blobs = (batch.column(2).to_pylist() if code else encode(own, codec)) if codec != "fp32" else []
+            score = scorer(batch.column(2) if code else encode(own, codec), codec, own.shape[1]) if codec != "fp32" else None
             for number, unit in zip(numbers, units, strict=True):
                 exact = own @ unit
-                found = exact if codec == "fp32" else scores(blobs, unit, codec)
+                found = exact if score is None else score(unit)
                 picked = np.flatnonzero(found >= np.partition(found, len(found) - keep)[len(found) - keep]) if len(found) > keep else np.arange(len(found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(picked), number)), batch.column(0).take(pa.array(picked)), pa.array(found[picked]), pa.array(exact[picked])], ["query", "key", "approx", "score"])
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,19 @@ def test_unknown_labels_and_keys(spark):
     for wrong in ("2", "nothing"):
         with pytest.raises(SchemaError):
             retrieve.resolve_keys(graph, [wrong])
+
+
+@pytest.mark.parametrize("codec", codecs.CODECS)
+def test_scores_from_codes_equal_decoding(codec):
+    rnd = np.random.default_rng(3)
+    units = codecs.split_magnitude(rnd.normal(size=(50, 24)))[1]
+    units[7] = 0
+    blobs = codecs.encode(units, codec, 3.0)
+    column = pa.array([b"left out", *blobs], pa.binary())[1:]
+    score = codecs.scorer(column, codec, 24)
+    for query in units[:5]:
+        got = score(query)
+        assert np.allclose(got, codecs.scores(blobs, query, codec), atol=1e-12)
+        if codec != "binary":
+            assert np.allclose(got, codecs.decode(blobs, codec, 24) @ query, atol=1e-9)
+    assert len(codecs.scorer(column[:0], codec, 24)(units[0])) == 0
