@@ -204,41 +204,180 @@ def shortlist(df: DataFrame, key: str, column: str, query: list[float], k: int,
     return map_arrow(rows, best, f"key {kind}, approx double").orderBy(F.desc("approx"), "key").limit(k)
 
 
-#: Query vectors that one pass scores together.
-BATCH_QUERIES = 1024
+#: Query vectors of a block, rows of a block, and query blocks of a partition: what a task holds is bounded by these.
+BATCH_QUERIES, BLOCK_ROWS, BLOCKS_A_PART = 1024, 8192, 16
+#: Cosines of a matrix product this much below the bound are worked out term by term.
+SLACK = 1e-9
+#: Cosines that are in memory at once, and results that a task collects before it thins them out.
+MATRIX, PENDING = 2 << 20, 1 << 18
 
 
-def batch_top_k(df: DataFrame, key: str, vector: str, queries: list[tuple[int, list[float]]], k: int, codec: str = "fp32", code: str | None = None) -> DataFrame:
-    """``query``, ``key``, ``score``, ``rank``: the ``k`` nearest rows of each query (number, vector), in one pass over the table.
+def _blobs(df: DataFrame, names: list[str], rows: int) -> DataFrame:
+    """Rows packed ``rows`` at a time: the first column as an array, the second (vectors) as ``dim`` and float64 bytes, others as arrays."""
 
-    Each batch hands on its best ``SHORTLIST * k`` of each query by code, the best of those are scored exactly. At most BATCH_QUERIES queries.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values = rows_of(part.column(1))
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in range(part.num_columns) if k != 1]
+                yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([values.shape[1]], pa.int32()), *lists], [f"{names[1]}", f"{names[1]}_dim", names[0], *names[2:]])
+
+    kinds = [f"{n} array<{f.dataType.simpleString()}>" for k, (n, f) in enumerate(zip(names, df.schema.fields, strict=True)) if k != 1]
+    return map_arrow(df, run, ", ".join([f"{names[1]} binary, {names[1]}_dim int", *kinds]))
+
+
+def _matrix_of(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    width = batch.column(f"{name}_dim")[row].as_py()
+    return np.frombuffer(batch.column(name)[row].as_buffer(), np.float64).reshape(-1, width)
+
+
+def _items(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+
+
+def _lengths(values: np.ndarray) -> np.ndarray:
+    return np.sqrt(_dots(values, values))
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, each summed from the first component to the last: equal rows have equal results wherever they lie, as in SQL."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _cosines(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    both = la * lb
+    return np.where(both > 0, _dots(a, b) / np.where(both > 0, both, 1.0), 0.0)
+
+
+def _leading(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of each query (first column) the ``k`` rows that are highest in the third column, then lowest in the second (their key)."""
+    query, key, score = columns[:3]
+    order = np.lexsort((key, -score, query))
+    query = query[order]
+    new = np.concatenate(([True], query[1:] != query[:-1]))
+    place = np.arange(len(query)) - np.maximum.accumulate(np.where(new, np.arange(len(query)), 0))
+    return [c[order[place < k]] for c in columns]
+
+
+def _first_copies(keys: np.ndarray, values: np.ndarray, groups: np.ndarray | None, k: int) -> np.ndarray:
+    """The rows without those that have ``k`` equal rows of smaller keys: those can be among nobody's best ``k``."""
+    order = np.argsort(keys, kind="stable")
+    own = np.ascontiguousarray(values[order]).view(f"V{values.shape[1] * 8}")[:, 0]
+    _, code = np.unique(own, return_inverse=True)
+    code = code if groups is None else code * (int(groups.max()) + 2) + groups[order] + 1
+    by = np.argsort(code, kind="stable")
+    new = np.concatenate(([True], code[by][1:] != code[by][:-1]))
+    place = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    return np.sort(order[by[place < k]])
+
+
+def _best_pairs(own: np.ndarray, lengths: np.ndarray, asked: np.ndarray, asked_lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the rows that can be among the ``k`` nearest of each query, all with that k-th cosine included."""
+    units, out = own / np.where(lengths > 0, lengths, 1.0)[:, None], []
+    step = max(1, MATRIX // max(1, len(own)))
+    for at in range(0, len(asked), step):
+        some, size = asked[at : at + step], asked_lengths[at : at + step]
+        near = (some / np.where(size > 0, size, 1.0)[:, None]) @ units.T
+        if near.shape[1] > k:
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            q, r = np.nonzero(near >= least[:, None] - SLACK)
+        else:
+            q, r = (x.ravel() for x in np.indices(near.shape))
+        for a in range(0, len(q), MATRIX // 8):
+            x, y = q[a : a + MATRIX // 8], r[a : a + MATRIX // 8]
+            out.append((x + at, y, _cosines(some[x], size[x], own[y], lengths[y])))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def nearest_pairs(rows: DataFrame, queries: DataFrame, k: int, codec: str = "fp32", coded: bool = False, near: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``query``, ``key``, ``score``, ``rank``: the ``k`` nearest of ``rows`` (``key``, ``value``, with ``coded`` ``code``) for each of ``queries`` (``query``, ``vector``).
+
+    Blocks of rows meet blocks of queries, neither of which any process holds whole; a task thins out what it found as it goes on. ``near``: which cells (``cell``, a column
+    of the rows) each query of a matrix of unit vectors reads, a matrix of booleans; all rows without it.
     """
-    check_codec(codec)
-    if len(queries) > BATCH_QUERIES:
-        raise ConfigurationError(f"{len(queries)} queries at once", f"Up to {BATCH_QUERIES} go together.")
-    numbers = np.array([q for q, _ in queries], np.int64)
-    units = split_magnitude(np.asarray([v for _, v in queries], np.float64))[1]
     keep = k if codec == "fp32" else SHORTLIST * k
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    extra = (["code"] if coded else []) + (["cell"] if near else [])
+    packed = _blobs(rows.select("key", "value", *extra), ["keys", "own", *extra], BLOCK_ROWS)
+    asked = queries.where(F.col("vector").isNotNull()).select("query", "vector")
+    parts = max(1, -(-asked.count() // (BATCH_QUERIES * BLOCKS_A_PART)))
+    blocks = _blobs(asked.repartition(parts), ["numbers", "asked"], BATCH_QUERIES).withColumn("block", F.monotonically_increasing_id())
+    names = ["query", "key", "approx", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[int, np.ndarray] = {}
+        waiting, number = [], 0
         for batch in batches:
-            own = split_magnitude(rows_of(batch.column(1)))[1]
-            score = scorer(batch.column(2) if code else encode(own, codec), codec, own.shape[1]) if codec != "fp32" else None
-            for number, unit in zip(numbers, units, strict=True):
-                exact = own @ unit
-                found = exact if score is None else score(unit)
+            for row in range(batch.num_rows):
+                for found in _met(batch, row, cells):
+                    waiting.append(found)
+                    number += len(found[0])
+                    if number > PENDING:
+                        waiting = [_leading([np.concatenate(c) for c in zip(*waiting, strict=True)], keep)]
+                        number = len(waiting[0][0])
+                        if number > PENDING // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in waiting[0]], names)
+                            waiting, number = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _leading([np.concatenate(c) for c in zip(*waiting, strict=True)], keep)], names)
+
+    def _met(batch: pa.RecordBatch, row: int, cells: dict[int, np.ndarray]) -> Iterator[list[np.ndarray]]:
+        keys, own, numbers, asked = _items(batch, "keys", row), _matrix_of(batch, "own", row), _items(batch, "numbers", row), _matrix_of(batch, "asked", row)
+        if own.shape[1] != asked.shape[1]:
+            raise ConfigurationError(f"A vector has not {asked.shape[1]} components")
+        lengths, asked_lengths = _lengths(own), _lengths(asked)
+        if codec != "fp32":
+            units, mine = split_magnitude(asked)[1], split_magnitude(own)[1]
+            score = scorer(batch.column("code")[row].values if coded else encode(mine, codec), codec, own.shape[1])
+            for n, unit in enumerate(units):
+                found = score(unit)
                 picked = np.flatnonzero(found >= np.partition(found, len(found) - keep)[len(found) - keep]) if len(found) > keep else np.arange(len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(picked), number)), batch.column(0).take(pa.array(picked)), pa.array(found[picked]), pa.array(exact[picked])], ["query", "key", "approx", "score"])
-
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("value"), *([F.col(code).alias("code")] if code else []))
-    found = map_arrow(rows, best, f"query long, key {kind}, approx double, score double")
+                picked = picked[np.lexsort((keys[picked], -found[picked]))[:keep]]
+                one = np.full(len(picked), n)
+                yield [numbers[one], keys[picked], found[picked], _cosines(asked[one], asked_lengths[one], own[picked], lengths[picked])]
+            return
+        there = _items(batch, "cell", row) if near else None
+        some = _first_copies(keys, own, there, k)
+        keys, own, lengths, there = keys[some], own[some], lengths[some], None if there is None else there[some]
+        if near is None:
+            q, r, cosine = _best_pairs(own, lengths, asked, asked_lengths, k)
+            yield [numbers[q], keys[r], cosine, cosine]
+            return
+        block = batch.column("block")[row].as_py()
+        if block not in cells:
+            if len(cells) >= BLOCKS_A_PART:
+                cells.clear()
+            cells[block] = near(split_magnitude(asked)[1])
+        for cell in np.unique(there):
+            readers = np.flatnonzero(cells[block][:, cell] & (asked_lengths > 0)) if cell >= 0 else np.zeros(0, int)
+            inside = np.flatnonzero(there == cell)
+            if len(readers):
+                q, r, cosine = _best_pairs(own[inside], lengths[inside], asked[readers], asked_lengths[readers], k)
+                yield [numbers[readers[q]], keys[inside[r]], cosine, cosine]
+
+    kinds = [queries.schema["query"].dataType.simpleString(), rows.schema["key"].dataType.simpleString()]
+    found = map_arrow(packed.crossJoin(blocks), run, f"query {kinds[0]}, key {kinds[1]}, approx double, score double")
     if codec != "fp32":
         found = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approx"), "key"))).where(F.col("place") <= keep)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key")))
     return ranked.where(F.col("rank") <= k).select("query", "key", "score", "rank")
 
 
+def batch_top_k(df: DataFrame, key: str, vector: str, queries: list[tuple[int, list[float]]] | DataFrame, k: int, codec: str = "fp32", code: str | None = None) -> DataFrame:
+    """``query``, ``key``, ``score``, ``rank``: the ``k`` nearest rows of each query, by pairs (number, vector) or a table (``query``, ``vector``) of any size.
+
+    Of coded rows the best ``SHORTLIST * k`` of each query by code are scored exactly. Equal scores are in order of their keys.
+    """
+    check_codec(codec)
+    if not isinstance(queries, DataFrame):
+        queries = df.sparkSession.createDataFrame([(int(q), [float(x) for x in v]) for q, v in queries], "query long, vector array<double>")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("value"), *([F.col(code).alias("code")] if code else []))
+    return nearest_pairs(rows, queries, k, codec, code is not None)
+
+
 def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     """``recall``: which share of the true pairs (``query``, ``key``) was found, over all queries."""
     pairs = truth.select("query", "key")

@@ -66,6 +66,20 @@ def test_batch_search_is_exact(spark, folder):
         assert [r["key"] for r in codecs.batch_top_k(table, "vec_id", "embedding", asked, 5).where(F.col("query") == q).orderBy("rank").collect()] == best
 
 
+def test_batch_search_takes_any_number_of_queries_and_orders_ties_by_key(spark):
+    rng = np.random.default_rng(9)
+    some = rng.normal(size=(400, 8)).astype(np.float32)
+    values = np.vstack([some[i % 400] for i in range(2400)]).astype(np.float64)  # each vector six times, at different places of its block
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(values)], "id long, v array<double>").repartition(5)
+    asked = table.where("id % 2 = 0").select(F.col("id").alias("query"), F.col("v").alias("vector"))  # more than a block of queries
+    found = {}
+    for r in codecs.batch_top_k(table, "id", "v", asked, 4).orderBy("query", "rank").collect():
+        found.setdefault(r["query"], []).append((r["key"], r["score"]))
+    assert sorted(found) == list(range(0, 2400, 2))
+    for q, hits in found.items():
+        assert [k for k, _ in hits] == [q % 400 + 400 * i for i in range(4)] and len({s for _, s in hits}) == 1
+
+
 def test_hash_embedder():
     one = embed.HashEmbedder(32)
     a, b, c = one.embed(["red fox", "Fox red", "something else"])
