@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
@@ -162,22 +162,16 @@ class VectorIndex:
         return self._top(self.exact_cells(query, k) if exact else self.nearest_cells(query, probes), query, k)
 
     def search_many(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """``query``, ``key``, ``score``, ``rank`` for a table of queries (``query``, ``vector``): each joins the rows of its nearest cells."""
+        """``query``, ``key``, ``score``, ``rank`` for a table of queries (``query``, ``vector``): each is compared with the rows of its nearest cells."""
         number, centroids, cells = probes or self.probes(), self.spark.sparkContext.broadcast(self.centroids), self.cells
 
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                angles = codecs.rows_of(batch.column(1)) @ centroids.value.T
-                picked = np.argsort(-angles, axis=1, kind="stable")[:, :number]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells[picked].tolist(), pa.list_(pa.int32()))], ["query", "vector", "cells"])
+        def near(units: np.ndarray) -> np.ndarray:
+            picked = np.argsort(-(units @ centroids.value.T), axis=1, kind="stable")[:, :number]
+            out = np.zeros((len(units), len(cells)), bool)
+            np.put_along_axis(out, picked, True, axis=1)
+            return out
 
-        kind, shape = queries.schema["query"].dataType.simpleString(), queries.schema["vector"].dataType.simpleString()
-        asked = map_arrow(queries.where(F.col("vector").isNotNull()).select("query", "vector"), near, f"query {kind}, vector {shape}, cells array<int>")
-        asked = asked.withColumn("length", vectors.magnitude(F.col("vector"))).where("length > 0").withColumn("cell", F.explode("cells")).drop("cells")
-        length = vectors.magnitude(F.col("v"))
-        pairs = self.rows().join(asked, "cell").withColumn("score", F.when(length == 0, 0.0).otherwise(vectors.dot(F.col("v"), F.col("vector")) / (length * F.col("length"))))
-        ranked = pairs.select("query", "key", "score").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key")))
-        return ranked.where(F.col("rank") <= k)
+        return codecs.nearest_pairs(self.rows().select("key", F.col("v").alias("value"), "cell"), queries, k, near=near)
 
 
 def _assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:

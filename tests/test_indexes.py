@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.catalog import NodeTable, RelTable
 from sparkloom.errors import SchemaError
 from sparkloom.functions import text as bm
-from sparkloom.functions import vectors
+from sparkloom.functions import codecs, vectors
 from sparkloom.operators import embed, textindex, vectorindex
 from sparkloom.service import GraphService
 from sparkloom.store import DELETED, GraphStore
@@ -199,6 +199,16 @@ def test_recall_of_nearest_cells(spark, clustered, tmp_path):
     assert hits >= 0.9 * 10 * asked.count() and index.probes() < len(index.cells) / 2
 
 
+def test_queries_do_not_make_a_row_for_each_cell_and_vector(spark, clustered, tmp_path):
+    index = vectorindex.VectorIndex(spark, [vectorindex.write_segment(clustered, None, "id", "v", f"{tmp_path}/v")])
+    found = index.search_many(clustered.where("id % 40 = 0 AND id < 2000").select(F.col("id").alias("query"), F.col("v").alias("vector")), 5, probes=len(index.cells))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "MapInArrow" in plan
+    # with all cells read it is the exact search
+    whole = codecs.batch_top_k(clustered, "id", "v", clustered.where("id % 40 = 0 AND id < 2000").select(F.col("id").alias("query"), F.col("v").alias("vector")), 5)
+    assert sorted(map(tuple, found.select("query", "key", "rank").collect())) == sorted(map(tuple, whole.select("query", "key", "rank").collect()))
+
+
 def test_vectors_follow_their_table(spark, tmp_path):
     service = GraphService(GraphStore(spark, str(tmp_path)), embed.HashEmbedder(16))
     service.define_schema([NodeTable("Doc", "id", {"body": "STRING"}, True)])
