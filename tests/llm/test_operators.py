@@ -91,6 +91,14 @@ def test_chat_loss_comes_from_the_mask(spark):
     assert chat_format.read_back(moved).first()["targets"] == ["old you", "gain"]  # a mask that is off by one shows
 
 
+def test_chat_losses_are_those_of_the_expanded_examples(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "told <|end|>"), (2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_conversations(df)
+    expand = chat_format.expanded
+    monkeypatch.setattr(chat_format, "expanded", lambda turns: expand(turns).withColumn("target", F.concat("target", F.lit("!"))))
+    assert {r["conv_id"]: r["targets"] for r in chat_format.read_back(formatted).collect()} == {1: ["told <|end|>!"], 2: []}
+
+
 def test_long_conversations_and_texts_take_linear_time(spark):
     import time
 
