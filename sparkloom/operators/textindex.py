@@ -88,16 +88,16 @@ def write_segment(df: DataFrame, touched: DataFrame | None, key: str, columns: l
     spark = df.sparkSession
     text = bm.searched_text(df, columns)
     tokens = F.size(bm.tokens(text)).cast("long")
-    size, documents, length = df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)), F.count("*"), F.coalesce(F.sum(tokens), F.lit(0))).first()
+    df.select(F.col(key).alias("key"), tokens.alias("dl"), F.octet_length(text).cast("long").alias("size")).write.parquet(f"{folder}/docs")
+    size, documents, length = spark.read.parquet(f"{folder}/docs").agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     mean = length / documents if documents else 0.0
     folders = max(1, min(MOST_FOLDERS, -(-size // FOLDER_BYTES)))
     level = F.ceil(LEVELS * _norm(F.col("tf"), F.col("dl"), mean, bm.K1, bm.B)).cast("int").alias("level")
-    rows = bm.postings(df, key, columns).select((F.crc32("term") % folders).cast("int").alias("bucket"), "term", level, "key", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+    rows = bm.counted(df, key, columns).select((F.crc32("term") % folders).cast("int").alias("bucket"), "term", level, "key", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
     dealt = rows.hint("rebalance", F.col("bucket"), F.col("term")).sortWithinPartitions("bucket", "term", F.desc("level"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"term string, keys array<{kind}>, tfs array<int>, lengths array<int>, n int, level int, bucket int"
     map_arrow(dealt, _blocks(), schema).sortWithinPartitions("bucket", "term", F.desc("level")).write.partitionBy("bucket").parquet(f"{folder}/blocks")
-    df.select(F.col(key).alias("key"), tokens.alias("dl")).write.parquet(f"{folder}/docs")
     if touched is not None:
         touched.distinct().write.parquet(f"{folder}/touched")
         gone = spark.read.parquet(f"{folder}/touched")

@@ -251,3 +251,26 @@ def test_many_names_without_a_nested_loop(spark, monkeypatch):
     monkeypatch.setattr(mentions, "MOST_AUTOMATA", 2)
     with pytest.raises(ConfigurationError):
         mentions.contained(texts, "id", "body", names, "name")
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "a b a", "b"), (2, None, "Ü ü"), (3, "", None), (4, "a", "a")], "id long, text string, more string")
+    got = bm.counted(df, "id", ["text", "more"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bm.postings(df, "id", ["text", "more"]).select("key", "term", "tf", "dl").collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hybrid_search_indexes_texts_without_a_join(spark, folder, monkeypatch):
+    from sparkloom import queries
+
+    plans, index_for = [], textindex.index_for
+    monkeypatch.setattr(textindex, "index_for", lambda df, *rest: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or index_for(df, *rest))
+    monkeypatch.setattr(queries.textindex, "shared_root", lambda spark: queries.scratch_folder(spark))
+    assert queries.hybrid_seeds(spark, folder).count() == 8 and plans and not any("Join" in p for p in plans)
+
+
+def test_reading_a_changed_table_needs_no_index(spark, folder, monkeypatch):
+    from sparkloom import queries
+
+    monkeypatch.setattr(GraphService, "_text_index", lambda *_: 1 / 0)
+    assert queries.delta_rows(spark, folder).count() > 0
