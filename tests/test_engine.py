@@ -172,3 +172,27 @@ def test_bare_keys(people):
     assert got(retrieve.resolve_keys(people, ["t", "Person:a"])) == [("Person:a",), ("Team:t",)]
     with pytest.raises(SchemaError):
         retrieve.resolve_keys(people, ["nobody"])
+
+
+@pytest.mark.parametrize("op", ["<", ">", "<=", ">="])
+def test_pairs_of_a_comparison_are_counted_without_being_made(spark, op):
+    import random
+
+    from sparkloom.catalog import Graph
+
+    rng = random.Random(5)
+    value = lambda: rng.choice([None, -0.0, 0.0, float("nan"), *[float(rng.randrange(40)) for _ in range(8)]])
+    buyers = [(k, k % 3, value(), "even" if k % 2 == 0 else None) for k in range(300)]
+    sellers = [(k, k % 4, value()) for k in range(90)]
+    graph = Graph()
+    graph.add_nodes("Town", spark.createDataFrame([(k,) for k in range(4)], "id long"), "id")
+    graph.add_nodes("Buyer", spark.createDataFrame(buyers, "id long, town long, x double, kind string"), "id")
+    graph.add_nodes("Seller", spark.createDataFrame(sellers, "id long, town long, y double"), "id")
+    graph.add_rels("LIVES", graph.nodes["Buyer"].select(F.col("id").alias("_src"), F.col("town").alias("_dst")), "Buyer", "Town")
+    graph.add_rels("SELLS", graph.nodes["Seller"].select(F.col("id").alias("_src"), F.col("town").alias("_dst")), "Seller", "Town")
+    text = f"MATCH (b:Buyer)-[:LIVES]->(t:Town), (s:Seller)-[:SELLS]->(t) WHERE b.x {op} s.y RETURN b.kind AS kind, count(*) AS n"
+    got = cypher(graph, text)
+    pairs = graph.nodes["Buyer"].alias("b").join(graph.nodes["Seller"].alias("s"), "town").where(f"b.x {op} s.y")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in pairs.groupBy("b.kind").count().collect()}
+    assert cypher(graph, text.replace("b.kind AS kind, ", "")).first()["n"] == pairs.count()
+    assert "Window" in got._jdf.queryExecution().optimizedPlan().toString()
