@@ -248,3 +248,24 @@ def test_large_groups(spark, monkeypatch, leaf, levels):
     rows += [(k, f"{shared} " + " ".join(word() for _ in range(r.choice([5, 12, 30, 200])))) for k in range(200, 260)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert shown(chosen_path.near_duplicates(df).collect()) == with_ids(rows)
+
+
+def test_chosen_path_leaves_no_shuffle_files(spark, folder):
+    """What its many checkpoints shuffled is gone from the disk when the method returns; the setting is as it was."""
+    import time
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    old = shuffled()
+    chosen_path.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
+    end = time.time() + 20
+    while shuffled() - old and time.time() < end:
+        time.sleep(0.5)
+    assert not shuffled() - old
+    assert spark.conf.get(key, None) == before
