@@ -82,3 +82,34 @@ def roads(spark):
 )
 def test_queries(roads, text, want):
     assert sorted(tuple(r) for r in cypher(roads, text).collect()) == want
+
+
+def test_paths_are_counted(spark):
+    """Only the number of the shortest paths is held, for each pair and level, with parallel edges and both ways of asking."""
+    edges = [(0, b, b) for b in range(1, 5)] * 3 + [(b, 9, 10 + b) for b in range(1, 5)] * 2 + [(9, 11, 30), (0, 11, 31), (11, 12, 32)]
+    given = spark.createDataFrame([e[:2] for e in edges], "__from long, __to long")
+    starts, goals = spark.createDataFrame([(0,), (1,)], "start long"), spark.createDataFrame([(g,) for g in (0, 3, 9, 11, 12)], "goal long")
+    want = sorted((s, g, n[0], len(n[1])) for s in (0, 1) for g in (0, 3, 9, 11, 12) if (n := all_paths(edges, s, 4).get(g)))
+    for way in ({"starts": starts, "goals": goals}, {"pairs": starts.crossJoin(goals)}):
+        found, _ = shortest_between(given, 0, 4, paths="count", **way)
+        assert sorted(map(tuple, found.select("start", "goal", "hops", "walks").collect())) == want
+
+
+def test_queries_count_paths(spark, monkeypatch):
+    """A query that asks for the length and the number of shortest paths lists none, whether its ends are known or not; one that asks for their nodes does."""
+    from sparkloom.plans import compiler
+
+    graph = Graph()
+    graph.add_nodes("Town", spark.range(6).select("id", (F.col("id") % 2).alias("zone")), "id")
+    graph.add_rels("ROAD", spark.createDataFrame([(0, 1), (0, 2), (0, 2), (1, 3), (2, 3), (3, 5)], "_src long, _dst long"), "Town", "Town")
+    listed = []
+    kept = compiler.Compiler.join_hops
+    monkeypatch.setattr(compiler.Compiler, "join_hops", lambda self, *args: (listed.append(args[5]), kept(self, *args))[1])
+    part = "MATCH p = allShortestPaths((a:Town {id: 0})-[:ROAD*..4]->(b:Town%s)) RETURN b.id AS b, length(p) AS n, count(*) AS paths"
+    for limited, ends in (("", (1, 2, 3, 5)), (" {zone: 1}", (1, 3, 5))):
+        found = [(r.b, r.n, r.paths) for r in cypher(graph, part % limited + " ORDER BY b").collect()]
+        assert found == [x for x in [(1, 1, 1), (2, 1, 2), (3, 2, 3), (5, 3, 3)] if x[0] in ends]
+    assert listed == [False, False]
+    text = (part % " {zone: 1}").replace("length(p) AS n", "nodes(p)[1]._id AS via")
+    assert sorted(map(tuple, cypher(graph, text).collect())) == [(1, "Town:1", 1), (3, "Town:1", 1), (3, "Town:2", 2), (5, "Town:1", 1), (5, "Town:2", 2)]
+    assert listed == [False, False, True]
