@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from ..catalog import node_id
 from ..store import DELETED, GraphStore, create_file
+from .paths import written
 from .segments import newest_state
 
 LIST = 1024
 #: Folders: one for so many list entries, and a bound, as a level's folders are named on the driver.
 ENTRIES_A_BUCKET, MOST_BUCKETS = 8_000_000, 4096
 SPREAD = 16
+#: So many hubs are broadcast; more are joined by a shuffle.
+BROADCAST_HUBS = 200_000
 #: Changes beyond this share of the edges are not laid over the lists any more.
 MOST_CHANGES = 0.25
 
@@ -38,12 +41,15 @@ def _bucket(node: Column, buckets: int) -> Column:
 def write_lists(edges: DataFrame, folder: str, buckets: int | None = None, longest: int = LIST) -> dict:
     """Write the lists of ``type``, ``src``, ``dst``, canonical ids; what must be remembered of them. Repeated edges count once, edges without an end not at all."""
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
-    number = edges.count()
-    buckets = buckets or max(1, min(MOST_BUCKETS, math.ceil(2 * number / ENTRIES_A_BUCKET)))
     ends = edges.select(F.col("src").alias("node"), "type", F.lit(True).alias("out"), F.col("dst").alias("other"))
     ends = ends.unionByName(edges.select(F.col("dst").alias("node"), "type", F.lit(False).alias("out"), F.col("src").alias("other")))
-    hubs = ends.groupBy("node").count().where(F.col("count") > longest).select("node", F.ceil(F.col("count") / longest).alias("chunks"))
-    dealt = ends.join(hubs, "node", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("type", "out", "other"), F.col("chunks")), F.lit(0)))
+    counted = ends.groupBy("node").count().where(F.col("count") > longest)
+    # hubs are few, and written so that Spark knows it: the ends themselves are not shuffled to meet them
+    hubs = written(counted.select(F.col("node").alias("hub"), F.ceil(F.col("count") / longest).alias("chunks")))
+    number = edges.count()
+    buckets = buckets or max(1, min(MOST_BUCKETS, math.ceil(2 * number / ENTRIES_A_BUCKET)))
+    few = F.broadcast(hubs) if hubs.count() <= BROADCAST_HUBS else hubs
+    dealt = ends.join(few, F.col("node") == F.col("hub"), "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("type", "out", "other"), F.col("chunks")), F.lit(0)))
     lists = dealt.groupBy("node", "chunk").agg(F.collect_set(F.struct("type", "out", "other")).alias("near")).withColumn("bucket", _bucket(F.col("node"), buckets))
     lists.repartition(F.col("bucket"), F.pmod("chunk", F.lit(SPREAD))).sortWithinPartitions("bucket", "node").write.partitionBy("bucket").parquet(folder)
     return {"folder": folder, "buckets": buckets, "edges": number}

@@ -80,3 +80,24 @@ def test_changes_are_laid_over(spark, service):
     service.store.compact("K")
     assert service._lists() is None and same()
     assert service.index_relationships() == 60 and service._lists().state["folder"] != folder and same()
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_ends_are_not_shuffled_to_meet_hubs(spark, tmp_path, monkeypatch, most):
+    """Few hubs are broadcast to the ends, however large Spark takes the ends to be; many are joined, with the same lists."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, known = [], DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *names: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), known(self, *names))[1])
+    if not most:
+        monkeypatch.setattr(adjacency, "BROADCAST_HUBS", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = adjacency.write_lists(spark.createDataFrame(edge_rows(), "type string, src string, dst string"), str(tmp_path / "lists"), buckets=4, longest=16)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ("SortMergeJoin" in plans[0]) == (not most)
+    found = spark.read.parquet(state["folder"]).select("node", F.explode("near").alias("e")).select("node", "e.type", "e.out", "e.other").collect()
+    whole = {e for e in edge_rows() if e[2]}
+    assert sorted(map(tuple, found)) == sorted([(s, t, True, d) for t, s, d in whole] + [(d, t, False, s) for t, s, d in whole])
