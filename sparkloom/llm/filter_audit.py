@@ -1,7 +1,7 @@
 """Filter interaction audit: what each of five filters removes in every order in which they may run.
 
 1. One pass over the texts tests filters A to D and hashes each text in blocks of growing size.
-2. Duplicates (filter E) by partition refinement: classes of equal length in code points are split by the hash of one block
+2. Duplicates (filter E) by partition refinement: classes of equal length in UTF-8 bytes are split by the hash of one block
    after another, and a class of one leaves at once. The texts that survive all blocks are compared as they are, and the ids
    that are not the least of their text are marked.
 3. Documents are counted by part and by mask, the letters of the filters that they fail. All orders, steps and Shapley sums follow from these few counts.
@@ -26,9 +26,9 @@ FILTERS = "ABCDE"
 ORDERS = ["".join(order) for order in permutations(FILTERS)]
 MIN_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT = 200, 50, 3
 SYMBOL = r"[#$%&*|]"
-#: Code points of a text's first block; each later block is GROWTH times as long.
+#: Bytes of a text's first block; each later block is GROWTH times as long.
 FIRST_BLOCK, GROWTH = 128, 4
-#: (start, length) of blocks that reach beyond the longest possible string.
+#: (start, length) of blocks; what lies beyond them, at 715 MB, only the comparison of texts sees.
 BLOCKS = [(FIRST_BLOCK * (GROWTH**k - 1) // (GROWTH - 1), FIRST_BLOCK * GROWTH**k) for k in range(12)]
 #: Classes that are broadcast, of eight bytes each; more are joined by a shuffle.
 BROADCAST_CLASSES = 500_000
@@ -38,15 +38,15 @@ def _block_hash(block: Column) -> Column:
     return F.xxhash64(block)
 
 
-def _blocks(text: Column, block_hash=_block_hash) -> Column:
-    """A hash of each block of the text."""
+def _blocks(data: Column, block_hash=_block_hash) -> Column:
+    """A hash of each block of the text's bytes. A block of bytes is cut out in time of its length; one of code points would be counted from the text's start."""
     spans = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(n).alias("n")) for a, n in BLOCKS])
-    return F.transform(F.filter(spans, lambda s: s["at"] < F.length(text)), lambda s: block_hash(F.substring(text, s["at"] + 1, s["n"])))
+    return F.transform(F.filter(spans, lambda s: s["at"] < F.octet_length(data)), lambda s: block_hash(F.substring(data, s["at"] + 1, s["n"])))
 
 
-def _whole_class(text: Column, block_hash=_block_hash) -> Column:
+def _class_of(size: Column, blocks: Column) -> Column:
     """The class to which a text belongs once all its blocks have been seen."""
-    return F.aggregate(_blocks(text, block_hash), F.xxhash64(F.length(text)), lambda acc, b: F.xxhash64(acc, b))
+    return F.aggregate(blocks, F.xxhash64(size), lambda acc, b: F.xxhash64(acc, b))
 
 
 def failure_mask(text: Column) -> Column:
@@ -62,8 +62,8 @@ def failure_mask(text: Column) -> Column:
 
 
 def shared_classes(rows: DataFrame) -> DataFrame:
-    """``class`` of two or more rows that agree in length and in every block. ``rows``: ``chars``, ``blocks``."""
-    live = rows.select(F.xxhash64("chars").alias("class"), "blocks")
+    """``class`` of two or more rows that agree in length and in every block. ``rows``: ``size``, ``blocks``."""
+    live = rows.select(F.xxhash64("size").alias("class"), "blocks")
     out = None
     for k in range((rows.agg(F.max(F.size("blocks"))).first()[0] or 0) + 1):
         several = live.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
@@ -74,12 +74,16 @@ def shared_classes(rows: DataFrame) -> DataFrame:
     return checkpoint(out)
 
 
+def _with_bytes(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("data", F.col("text").cast("binary"))
+
+
 def _duplicates(docs: DataFrame, described: DataFrame, block_hash=_block_hash) -> DataFrame:
     """``described`` (``doc_id``, ``class``, ...) with ``twice``: "E" for the documents whose text a smaller doc_id has, else null."""
     classes = shared_classes(described)
     if classes.count() <= BROADCAST_CLASSES:
         classes = F.broadcast(classes)
-    texts = docs.select("doc_id", "text", _whole_class(F.col("text"), block_hash).alias("class")).join(classes, "class", "left_semi")
+    texts = _with_bytes(docs).select("doc_id", "text", _class_of(F.octet_length("data"), _blocks(F.col("data"), block_hash)).alias("class")).join(classes, "class", "left_semi")
     least = checkpoint(texts.groupBy("class", "text").agg(F.min("doc_id").alias("least")).groupBy("class").agg(F.count("*").alias("texts"), F.min("least").alias("least")))
     alike = described.join(least.where("texts = 1").drop("texts"), "class", "left").withColumn("twice", F.when(F.col("doc_id") > F.col("least"), "E")).drop("least")
     several = least.where("texts > 1").select("class")
@@ -95,8 +99,8 @@ def _duplicates(docs: DataFrame, described: DataFrame, block_hash=_block_hash) -
 def failed_filters(docs: DataFrame, doc: str = "doc_id", text: str = "text", part: str = "lang", block_hash=_block_hash) -> DataFrame:
     """Per row ``doc_id``, ``part`` and ``mask``, the letters of all filters that the document fails."""
     docs = docs.select(F.col(doc).cast("long").alias("doc_id"), or_empty(text).alias("text"), or_empty(part).alias("part"))
-    words = docs.select("doc_id", "part", failure_mask(F.col("text")).alias("mask"), F.length("text").alias("chars"), _blocks(F.col("text"), block_hash).alias("blocks"))
-    described = checkpoint(words.withColumn("class", F.aggregate("blocks", F.xxhash64("chars"), lambda acc, b: F.xxhash64(acc, b))))
+    words = _with_bytes(docs).select("doc_id", "part", failure_mask(F.col("text")).alias("mask"), F.octet_length("data").alias("size"), _blocks(F.col("data"), block_hash).alias("blocks"))
+    described = checkpoint(words.withColumn("class", _class_of(F.col("size"), F.col("blocks"))))
     marked = _duplicates(docs, described, block_hash)
     return marked.select("doc_id", "part", F.concat("mask", F.coalesce("twice", F.lit(""))).alias("mask"))
 

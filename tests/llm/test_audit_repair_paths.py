@@ -179,6 +179,20 @@ def test_audit(spark, collide):
         assert filter_audit.audit_filters(df.limit(0), labels).count() == 0
 
 
+def test_blocks_are_cut_from_bytes(spark):
+    """A block of code points would be counted from the text's start, once for every block and once more for the text's length."""
+    df = spark.createDataFrame(audit_rows(), "doc_id long, text string, lang string")
+    cut = filter_audit._with_bytes(df).select(filter_audit._blocks(F.col("data")).alias("blocks"), "text")
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(data" in plan and "octet_length(data" in plan and " length(" not in plan
+    for row in cut.where("text LIKE '%é%' OR octet_length(text) > 3000").collect():
+        raw = row["text"].encode()
+        assert len(row["blocks"]) == sum(a < len(raw) for a, _ in filter_audit.BLOCKS)
+    parts = [b"".join(raw[a : a + n] for a, n in filter_audit.BLOCKS) for raw in (b"x" * k for k in (0, 127, 128, 129, 10_881, 200_000))]
+    assert list(map(len, parts)) == [0, 127, 128, 129, 10_881, 200_000]
+
+
+
 # chosen paths
 
 
