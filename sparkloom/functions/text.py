@@ -37,22 +37,23 @@ def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return words.select("key", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def counted(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``key``, ``term``, ``tf``, ``dl`` of each row by itself: as :func:`postings` where keys are unique, without a shuffle."""
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a key and its words to ``key``, ``term``, ``tf``, ``dl``."""
+    for batch in batches:
+        words = batch.column(1)
+        lengths = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        both, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        for at in range(0, len(both), COUNTED_ROWS):
+            row, term = (pa.array(x) for x in np.divmod(both[at : at + COUNTED_ROWS], size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), coded.dictionary.take(term), pa.array(tf[at : at + COUNTED_ROWS]), pa.array(lengths.astype(np.int32)).take(row)], ["key", "term", "tf", "dl"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(1)
-            lengths = np.diff(words.offsets.to_numpy())
-            coded = words.flatten().dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            both, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            for at in range(0, len(both), COUNTED_ROWS):
-                row, term = (pa.array(x) for x in np.divmod(both[at : at + COUNTED_ROWS], size))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), coded.dictionary.take(term), pa.array(tf[at : at + COUNTED_ROWS]), pa.array(lengths.astype(np.int32)).take(row)], ["key", "term", "tf", "dl"])
 
+def counted(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key``, ``term``, ``tf``, ``dl`` of each row by itself: as :func:`postings` where keys are unique, without a shuffle."""
     words = df.select(F.col(key).alias("key"), tokens(searched_text(df, columns)).alias("words"))
-    return map_arrow(words, run, f"key {words.schema['key'].dataType.simpleString()}, term string, tf long, dl int")
+    return map_arrow(words, count_words, f"key {words.schema['key'].dataType.simpleString()}, term string, tf long, dl int")
 
 
 def _is(word: str):

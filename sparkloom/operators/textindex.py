@@ -2,7 +2,7 @@
 
 A block is a row: a term, up to BLOCK postings (``keys``, ``tfs``, ``lengths``) and a level, which bounds their scores from above. Postings of a term are put into
 blocks by falling score, so few blocks hold what scores high. Blocks lie in folders by a hash of the term, as many folders as the text's bytes ask for, in
-files of even size: the postings of a frequent word fill several files and no task sorts them all.
+files of even size: the postings of a frequent word fill several files and no task sorts them all. What is shuffled is runs: of each term the postings of many texts, packed.
 
 A search for the best ``k`` first reads the levels alone. The blocks of the highest level give ``k`` rows whose k-th score bounds the result from below, and
 levels of which no row can reach it are not read: a comparison with a column by which the files are sorted, so Spark's reader skips their pages.
@@ -30,6 +30,9 @@ from .segments import segments_of, touched_after
 
 #: Postings of a block.
 BLOCK = 128
+#: Postings of a run, as they are shuffled, and those that a task makes runs of at a time.
+RUN = 64
+RUN_POSTINGS = 2_000_000
 #: Bytes of text for each folder of postings.
 FOLDER_BYTES = 256 << 20
 MOST_FOLDERS = 4096
@@ -45,42 +48,152 @@ SLACK = 1e-9
 _open: dict[tuple[str, str], "TextIndex"] = {}
 
 
-def _blocks():
-    """Rows sorted by folder and term (``bucket``, ``term``, ``key``, ``tf``, ``dl``) to blocks."""
+def _levels(tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarray:
+    return np.ceil(LEVELS * _norm(tf, dl, mean or 1.0, bm.K1, bm.B)).astype(np.int32)
+
+
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers in seven bits a byte, and the place of each in these bytes, the end included."""
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        sizes += values >= np.uint64(1 << 7 * k)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.zeros(at[-1], np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        on = sizes > k
+        out[at[:-1][on] + k] = (values[on] >> np.uint64(7 * k)) & np.uint64(127) | np.where(sizes[on] > k + 1, np.uint64(128), np.uint64(0))
+    return out, at
+
+
+def _numbers(data: np.ndarray) -> np.ndarray:
+    """What :func:`_varints` has written."""
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    first = np.concatenate(([0], np.flatnonzero(data < 128)[:-1] + 1))
+    place = np.arange(len(data)) - np.repeat(first, np.diff([*first, len(data)]))
+    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * place).astype(np.uint64), first)
+
+
+def _as_runs(postings: pa.Table, mean: float) -> Iterator[pa.RecordBatch]:
+    """``postings`` (``key``, ``term``, ``tf``, ``dl``) as runs of up to RUN of a term, those of alike level together.
+
+    Whole keys are written as differences, within ``data``; others, and null, as they are, in ``keys``.
+    """
+    coded = postings.column("term").combine_chunks().dictionary_encode()
+    codes, keys = coded.indices.to_numpy(), postings.column("key").combine_chunks()
+    tf, dl = (postings.column(c).to_numpy() for c in ("tf", "dl"))
+    level = _levels(tf, dl, mean)
+    order = np.lexsort((-level, codes))
+    own = np.concatenate(([True], np.diff(codes[order]) != 0))
+    starts = np.flatnonzero(own)
+    place = np.arange(len(order)) - np.repeat(starts, np.diff([*starts, len(order)]))
+    cuts = np.flatnonzero(place % RUN == 0)
+    top, n = level[order[cuts]], np.diff([*cuts, len(order)])
+    columns = [tf, dl]
+    if whole := pa.types.is_integer(keys.type) and not keys.null_count:
+        number = keys.to_numpy().astype(np.int64)
+        order = order[np.lexsort((number[order], np.repeat(np.arange(len(cuts)), n)))]
+        step = np.diff(number[order], prepend=0)
+        step[cuts] = number[order[cuts]]
+        zigzag = np.empty(len(tf), np.int64)
+        zigzag[order] = (step << 1) ^ (step >> 63)
+        columns = [zigzag, *columns]
+    data, at = _varints(np.stack([c[order] for c in columns], axis=1).astype(np.int64).view(np.uint64).ravel())
+    ends = np.append(cuts, len(order))
+    for a in range(0, len(cuts), bm.COUNTED_ROWS):
+        part = ends[a : a + bm.COUNTED_ROWS + 1]
+        edges = at[part * len(columns)]
+        binary = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer((edges - edges[0]).astype(np.int32)), pa.py_buffer(data[edges[0] : edges[-1]])])
+        lists = pa.nulls(len(part) - 1, pa.list_(keys.type)) if whole else pa.ListArray.from_arrays(pa.array(part - part[0], pa.int32()), keys.take(pa.array(order[part[0] : part[-1]])))
+        here = slice(a, a + len(part) - 1)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(order[cuts[here]]))), pa.array(top[here]), pa.array(n[here].astype(np.int32)), lists, binary], ["term", "level", "n", "keys", "data"])
+
+
+def _runs(mean: float):
+    """Words of rows (``key``, ``words``) to runs of postings: those of RUN_POSTINGS together, so that a frequent word is a few rows of each task, not one of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in bm.count_words(batches):
+            held.append(batch)
+            size += batch.num_rows
+            if size >= RUN_POSTINGS:
+                yield from _as_runs(pa.Table.from_batches(held), mean)
+                held, size = [], 0
+        if size:
+            yield from _as_runs(pa.Table.from_batches(held), mean)
+
+    return run
+
+
+def _postings_of(batch: pa.RecordBatch) -> pa.Table:
+    """The postings of runs."""
+    n, keys = batch.column("n").to_numpy(), batch.column("keys")
+    kind = keys.type.value_type
+    lists, data = keys.is_valid().to_numpy(zero_copy_only=False), batch.column("data")
+    out = []
+    for whole in (True, False):
+        rows = np.flatnonzero(lists != whole)
+        if not len(rows):
+            continue
+        mine, sizes = data.take(pa.array(rows)), n[rows]
+        offsets = np.frombuffer(mine.buffers()[1], np.int32)[mine.offset : mine.offset + len(mine) + 1]
+        raw = np.frombuffer(mine.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if mine.buffers()[2] else np.zeros(0, np.uint8)
+        numbers = _numbers(raw).view(np.int64).reshape(-1, 3 if whole else 2)
+        if whole:
+            zigzag = numbers[:, 0].view(np.uint64)
+            step = (zigzag >> np.uint64(1)).view(np.int64) ^ -(numbers[:, 0] & 1)
+            total = np.cumsum(step)
+            first = np.cumsum(sizes) - sizes
+            key = pa.array(total - np.repeat(total[first] - step[first], sizes)).cast(kind)
+        else:
+            key = keys.take(pa.array(rows)).flatten()
+        at = pa.array(np.repeat(rows, sizes))
+        out.append(pa.table([batch.column("bucket").take(at), batch.column("term").take(at), key, pa.array(numbers[:, -2].astype(np.int32)), pa.array(numbers[:, -1].astype(np.int32))], ["bucket", "term", "key", "tf", "dl"]))
+    return pa.concat_tables(out)
+
+
+def _blocks(mean: float):
+    """Runs sorted by folder, term and falling level to blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["term", "keys", "tfs", "lengths", "n", "level", "bucket"]
         rest = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            if not batch.num_rows:
+                continue
+            last = batch.column("term")[-1]
+            table = _postings_of(batch)
             if rest is not None:
-                table = pa.concat_tables([rest, table]).combine_chunks()
-            terms = table.column("term").combine_chunks()
-            codes = terms.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            new = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, int)
-            cuts = [at for a, b in zip(new, [*new[1:], len(codes)], strict=True) for at in range(a, b, BLOCK)]
-            # the last block may go on in the next batch
-            if cuts:
-                yield _as_blocks(table.slice(0, cuts[-1]), cuts[:-1], names)
-                rest = table.slice(cuts[-1])
-        if rest is not None and rest.num_rows:
-            yield _as_blocks(rest, [0], names)
+                table = pa.concat_tables([rest, table])
+            codes = table.column("term").combine_chunks().dictionary_encode()
+            level = _levels(table.column("tf").to_numpy(), table.column("dl").to_numpy(), mean)
+            code = codes.indices.to_numpy()
+            end = codes.dictionary.index(last).as_py()  # the last term comes last: it may go on in the next batch
+            order = np.lexsort((-level, code, code == end))
+            code, level = code[order], level[order]
+            table = table.take(pa.array(order))
+            new = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            cuts = [at for a, b in zip(new, [*new[1:], len(code)], strict=True) for at in range(a, b, BLOCK)]
+            if cuts[:-1]:
+                yield _as_blocks(table.slice(0, cuts[-1]), level[: cuts[-1]], cuts[:-1])
+            rest = table.slice(cuts[-1])
+        if rest is not None:
+            yield _as_blocks(rest, _levels(rest.column("tf").to_numpy(), rest.column("dl").to_numpy(), mean), [0])
 
     return run
 
 
-def _as_blocks(table: pa.Table, cuts: list[int], names: list[str]) -> pa.RecordBatch:
-    offsets = pa.array([*cuts, table.num_rows] if cuts else [0], pa.int32())
-    keys, tfs, lengths = (table.column(c).combine_chunks() for c in ("key", "tf", "dl"))
-    lists = [pa.ListArray.from_arrays(offsets, x) for x in (keys, tfs, lengths)]
-    n = np.diff([*cuts, table.num_rows] if cuts else []).astype(np.int32)
-    firsts = pa.array(cuts, pa.int64())  # the highest level of a block comes first
-    term, level, bucket = (table.column(c).combine_chunks().take(firsts) for c in ("term", "level", "bucket"))
-    return pa.RecordBatch.from_arrays([term, *lists, pa.array(n), level, bucket], names)
+def _as_blocks(table: pa.Table, level: np.ndarray, cuts: list[int]) -> pa.RecordBatch:
+    offsets = pa.array([*cuts, table.num_rows], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks()) for c in ("key", "tf", "dl")]
+    n = np.diff([*cuts, table.num_rows]).astype(np.int32)
+    term, bucket = (table.column(c).combine_chunks().take(pa.array(cuts, pa.int64())) for c in ("term", "bucket"))
+    return pa.RecordBatch.from_arrays([term, *lists, pa.array(n), pa.array(np.maximum.reduceat(level, cuts)), bucket], ["term", "keys", "tfs", "lengths", "n", "level", "bucket"])
 
 
-def _norm(tf: Column, dl: Column, mean: float, k1: float, b: float) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(mean or 1.0)))
+def _norm(tf, dl, mean: float, k1: float, b: float):
+    """Of columns or of arrays."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (mean or 1.0)))
 
 
 def write_segment(df: DataFrame, touched: DataFrame | None, key: str, columns: list[str], folder: str, earlier: list[dict] = ()) -> dict:
@@ -92,12 +205,13 @@ def write_segment(df: DataFrame, touched: DataFrame | None, key: str, columns: l
     size, documents, length = spark.read.parquet(f"{folder}/docs").agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     mean = length / documents if documents else 0.0
     folders = max(1, min(MOST_FOLDERS, -(-size // FOLDER_BYTES)))
-    level = F.ceil(LEVELS * _norm(F.col("tf"), F.col("dl"), mean, bm.K1, bm.B)).cast("int").alias("level")
-    rows = bm.counted(df, key, columns).select((F.crc32("term") % folders).cast("int").alias("bucket"), "term", level, "key", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-    dealt = rows.hint("rebalance", F.col("bucket"), F.col("term")).sortWithinPartitions("bucket", "term", F.desc("level"))
-    kind = rows.schema["key"].dataType.simpleString()
+    words = df.select(F.col(key).alias("key"), bm.tokens(text).alias("words"))
+    kind = words.schema["key"].dataType.simpleString()
+    runs = map_arrow(words, _runs(mean), f"term string, level int, n int, keys array<{kind}>, data binary").withColumn("bucket", (F.crc32("term") % folders).cast("int"))
+    dealt = runs.hint("rebalance", F.col("bucket"), F.col("term")).sortWithinPartitions("bucket", "term", F.desc("level"))
     schema = f"term string, keys array<{kind}>, tfs array<int>, lengths array<int>, n int, level int, bucket int"
-    map_arrow(dealt, _blocks(), schema).sortWithinPartitions("bucket", "term", F.desc("level")).write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    blocks = map_arrow(dealt, _blocks(mean), schema).sortWithinPartitions("bucket", "term", F.desc("level"))
+    blocks.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/blocks")
     if touched is not None:
         touched.distinct().write.parquet(f"{folder}/touched")
         gone = spark.read.parquet(f"{folder}/touched")

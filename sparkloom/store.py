@@ -142,7 +142,7 @@ class GraphStore:
         """Write a base, sorted by bucket in files of even size."""
         folder = f"{self.path}/tables/{uuid.uuid4().hex}"
         rows = df.withColumn(BUCKET, bucket_of([F.col(k) for k in keys])).hint("rebalance", F.col(BUCKET))
-        rows.sortWithinPartitions(BUCKET, *keys).write.parquet(folder)
+        rows.sortWithinPartitions(BUCKET, *keys).write.option("compression", "zstd").parquet(folder)
         return folder
 
     # schema

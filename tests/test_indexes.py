@@ -2,8 +2,10 @@
 
 import random
 import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +276,25 @@ def test_reading_a_changed_table_needs_no_index(spark, folder, monkeypatch):
 
     monkeypatch.setattr(GraphService, "_text_index", lambda *_: 1 / 0)
     assert queries.delta_rows(spark, folder).count() > 0
+
+
+@pytest.mark.parametrize("kind", [pa.int64(), pa.int32(), pa.string(), None])
+def test_postings_travel_as_runs(kind):
+    """What is shuffled for the text index is a row for up to RUN postings of a word, not one for each, and blocks hold just these postings."""
+    rng = np.random.default_rng(3)
+    n, mean = 6000, 50.0
+    number = rng.integers(-(2**31), 2**31 - 1, n) if kind != pa.int64() else np.concatenate(([-(2**63), 2**63 - 1], rng.integers(-(2**62), 2**62, n - 2)))
+    key = pa.array([None if i % 7 == 0 else int(x) for i, x in enumerate(number)], pa.int64()) if kind is None else pa.array([str(x) for x in number]) if kind == pa.string() else pa.array(number, kind)
+    term = pa.array([f"w{x}" for x in rng.zipf(1.5, n) % 300])
+    postings = pa.table([key, term, pa.array(rng.integers(1, 9, n)), pa.array(rng.integers(1, 3000, n).astype(np.int32))], ["key", "term", "tf", "dl"])
+    runs = pa.Table.from_batches(list(textindex._as_runs(postings, mean)))
+    assert runs.num_rows == sum(-(-c // textindex.RUN) for c in Counter(term.to_pylist()).values()) < n / 15
+    runs = runs.append_column("bucket", pa.array(np.zeros(runs.num_rows, np.int32)))
+    runs = runs.take(pa.array(np.lexsort((-runs["level"].to_numpy(), np.array(runs["term"].to_pylist()))))).combine_chunks()
+    got = []
+    for batch in textindex._blocks(mean)(iter(runs.to_batches(max_chunksize=37))):
+        for row in batch.to_pylist():
+            assert row["level"] == textindex._levels(np.array(row["tfs"]), np.array(row["lengths"]), mean).max() and row["n"] == len(row["keys"]) <= textindex.BLOCK
+            got += [(row["term"], *x) for x in zip(row["keys"], row["tfs"], row["lengths"], strict=True)]
+    assert Counter(got) == Counter(zip(*(postings[c].to_pylist() for c in ("term", "key", "tf", "dl")), strict=True))
+    assert list(textindex._runs(mean)(iter([]))) == list(textindex._blocks(mean)(iter([]))) == []
